@@ -24,7 +24,7 @@ def blank_to_null(c) -> Column:
 
 
 def has_text(c) -> Column:
-    return F.coalesce(F.length(F.trim(F.regexp_replace(col_of(c), r"(?U)\s+", " "))) > 0, F.lit(False))
+    return F.coalesce(col_of(c).rlike(r"(?U)\S"), F.lit(False))
 
 
 def norm_key(c) -> Column:

@@ -45,7 +45,16 @@ def _quote(text: Column, pattern: str) -> Column:
     return F.when(got != "", got)
 
 
-def language_quote(text: Column, strict: bool = False) -> Column:
+def _mentions(low: Column, *words: str) -> Column:
+    """Whether any of the words occurs at all in a lowercased text. A plain
+    byte search, so most texts never reach the patterns."""
+    out = F.contains(low, F.lit(words[0]))
+    for w in words[1:]:
+        out = out | F.contains(low, F.lit(w))
+    return out
+
+
+def language_quote(text: Column, low: Column, strict: bool = False) -> Column:
     """Quoted non-English requirement, or NULL.
 
     ``fluent in X`` reads X as the language; ``strict`` reads the very next
@@ -54,14 +63,17 @@ def language_quote(text: Column, strict: bool = False) -> Column:
     fluent = FLUENT_STRICT if strict else FLUENT
     spoken = F.lower(F.regexp_extract(text, fluent, 1))
     first = F.when((spoken != "") & (spoken != "english"), F.regexp_extract(text, fluent, 0))
-    return F.coalesce(first, _quote(text, REQUIRED))
+    return F.coalesce(
+        F.when(_mentions(low, "fluent"), first),
+        F.when(_mentions(low, "required", "must", "essential"), _quote(text, REQUIRED)),
+    )
 
 
-def batch_facts(text: Column) -> Column:
-    """Struct(years, exclusive): batch years named beside a batch word.
+def batch_mentions(text: Column, low: Column) -> Column:
+    """Array of (years, only): sentences naming a year beside a batch word.
 
-    ``exclusive`` needs an only-word in the same sentence, no later than the
-    line of the last mention.
+    ``only`` needs an only-word in the same sentence, no later than the line
+    of the last mention.
     """
     def read(sentence):
         spans = F.regexp_extract_all(sentence, F.lit(NEAR_BATCH), F.lit(0))
@@ -71,19 +83,27 @@ def batch_facts(text: Column) -> Column:
         last = F.size(lines) - F.coalesce(F.array_position(F.reverse(mentions), True), F.lit(0)) + 1
         upto = F.array_join(F.slice(lines, 1, F.greatest(last, F.lit(0)).cast("int")), "\n")
         only = F.exists(mentions, lambda m: m) & upto.rlike(ONLY_WORD)
-        return F.struct(years.alias("years"), only.alias("only"))
+        return F.struct(years.cast("array<int>").alias("years"), only.alias("only"))
+
+    worded = _mentions(low, "batch", "graduat", "pass", "class", "cohort", "fresher")
+    sentences = F.filter(
+        F.split(text, r"[.;!?]"), lambda s: F.contains(s, F.lit("20")) & s.rlike(NEAR_BATCH)
+    )
+    none = F.array().cast("array<struct<years:array<int>,only:boolean>>")
+    return F.when(F.contains(low, F.lit("20")) & worded, F.transform(sentences, read)).otherwise(none)
 
-    sentences = F.filter(F.split(text, r"[.;!?]"), lambda s: s.rlike(NEAR_BATCH))
-    found = F.transform(sentences, read)
-    empty = F.array().cast("array<string>")
-    hit = text.rlike(NEAR_BATCH)
-    years = F.when(hit, F.array_sort(F.array_distinct(F.flatten(F.transform(found, lambda f: f["years"]))))).otherwise(empty)
-    only = F.when(hit, F.exists(found, lambda f: f["only"])).otherwise(F.lit(False))
-    return F.struct(years.cast("array<int>").alias("years"), only.alias("exclusive"))
 
+def batch_years(facts: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.flatten(facts["batch"]["years"])))
 
-def first_money(text: Column, unit: str) -> Column:
-    """First amount tied to the unit; the four readings are tried in order."""
+
+def batch_exclusive(facts: Column) -> Column:
+    return F.exists(facts["batch"], lambda m: m["only"])
+
+
+def first_money(text: Column, low: Column, unit: str, *hints: str) -> Column:
+    """First amount tied to the unit; the four readings are tried in order.
+    Every text with the unit contains one of ``hints``."""
     amount, after = vocab.AMOUNT, vocab.CURRENCY_AFTER_UNIT
     readings = (
         rf"(?i){vocab.CURRENCY_BEFORE_AMOUNT}{amount}\s*(?:{unit})",
@@ -92,32 +112,41 @@ def first_money(text: Column, unit: str) -> Column:
         rf"(?i)(?:{unit}){vocab.MONEY_GAP}(?<!\w)of\s+{after}?{amount}",
     )
     values = [F.translate(F.regexp_extract(text, r, 1), ",", "").try_cast("double") for r in readings]
-    return F.when(text.rlike(f"(?i){unit}"), F.coalesce(*values))
+    worth = _mentions(low, *hints) & text.rlike("[0-9]") & text.rlike(f"(?i){unit}")
+    return F.when(worth, F.coalesce(*values))
 
 
-def bond_quote(text: Column) -> Column:
+def bond_quote(text: Column, low: Column) -> Column:
     """Bond terms as one line that is safe inside a pipe table."""
     line = F.regexp_replace(_quote(text, BOND), r"[\r\n]+", " ")
-    return F.trim(F.replace(line, F.lit("|"), F.lit("\\|")))
+    safe = F.trim(F.replace(line, F.lit("|"), F.lit("\\|")))
+    return F.when(_mentions(low, "bond", "service agreement"), safe)
 
 
-def text_facts(description, strict: bool = False) -> Column:
+def text_facts(description, low=None, strict: bool = False) -> Column:
+    """Struct of what the text gates need; ``low`` is the lowercased text."""
     t = col_of(description)
-    lakhs = first_money(t, LAKHS)
-    rupees = first_money(t, ANNUAL)
+    low = F.lower(t) if low is None else low
+    lakhs = first_money(t, low, LAKHS, "lpa", "lakh")
+    rupees = first_money(t, low, ANNUAL, "annum", "annually", "yr")
     return F.struct(
         has_text(t).alias("has_text"),
-        language_quote(t, strict).alias("language"),
-        batch_facts(t).alias("batch"),
-        first_money(t, MONTHLY).alias("monthly"),
+        language_quote(t, low, strict).alias("language"),
+        batch_mentions(t, low).alias("batch"),
+        first_money(t, low, MONTHLY, "mo").alias("monthly"),
         F.coalesce(lakhs, rupees / F.lit(100000.0)).alias("lpa"),
-        bond_quote(t).alias("bond"),
+        bond_quote(t, low).alias("bond"),
     )
 
 
 def with_text_facts(df: DataFrame, column: str = "description", strict: bool = False) -> DataFrame:
-    """Adds ``facts``: everything the text gates need, read once per posting."""
-    return df.withColumn("facts", text_facts(F.col(column), strict))
+    """Adds ``facts``: everything the text gates need, read once per posting.
+
+    The one-element ``explode`` keeps Catalyst from inlining the patterns into
+    every gate and every filter on a gate, which would read each text again.
+    """
+    facts = text_facts(F.col(column), F.col("_low"), strict)
+    return df.withColumn("_low", F.lower(column)).select("*", F.explode(F.array(facts)).alias("facts")).drop("_low")
 
 
 def _evaluated(name: str, facts: Column, result: Column) -> Column:
@@ -155,13 +184,13 @@ def gate_language(facts: Column) -> Column:
 
 
 def gate_batch(facts: Column, cand: Column) -> Column:
-    years = facts["batch"]["years"]
+    years = batch_years(facts)
     listed = F.array_join(years, "/")
     mine = F.concat(listed, F.lit(" (candidate: "), cand["grad_year"], F.lit(")"))
     applies = cand["stage"].isin("student", "fresher") & F.coalesce(cand["grad_year"] != 0, F.lit(False))
     found = (
         F.when((F.size(years) == 0) | F.array_contains(years, cand["grad_year"]), gate("batch", "PASS", ""))
-        .when(facts["batch"]["exclusive"], gate("batch", "FAIL", F.concat(F.lit("batch-restricted to "), mine)))
+        .when(batch_exclusive(facts), gate("batch", "FAIL", F.concat(F.lit("batch-restricted to "), mine)))
         .otherwise(gate("batch", "FLAG", F.concat(F.lit("mentions batches "), mine)))
     )
     return F.when(~applies, gate("batch", "PASS", "")).otherwise(_evaluated("batch", facts, found))

@@ -7,8 +7,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rolebook.session import spread_small
+
 AS_OF = "2024-04-30"
 WS = "[ \\t\\r\\n\\f]+"
+#: Sixty characters of a text, counting a run of whitespace as one.
+FIRST_60 = "^(?:[ \\t\\r\\n\\f]++|[^ \\t\\r\\n\\f]){0,60}+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,11 +43,11 @@ SUFFIXES = {
 
 
 def doc_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread_small(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     k = F.col("doc_id")
     return d.select(
         F.concat(F.lit("doc:"), k).alias("id"),
-        F.substring(F.regexp_replace("text", WS, " "), 1, 60).alias("title"),
+        F.regexp_replace(F.regexp_extract("text", FIRST_60, 0), WS, " ").alias("title"),
         F.col("source").alias("company"),
         choose(F.col("lang"), {"en": "Remote", "de": "Bangalore", "fr": "Mumbai"}).alias("location"),
         F.when(k % 11 != 0, days_before(k % 60)).alias("posted_date"),

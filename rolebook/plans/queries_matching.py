@@ -131,7 +131,7 @@ def text_facts(spark, sf):
     f = F.col("facts")
     return d.select(
         "id", f["has_text"].alias("has_text"), f["language"].alias("language"),
-        F.array_join(f["batch"]["years"], "/").alias("years"), f["batch"]["exclusive"].alias("exclusive"),
+        F.array_join(G.batch_years(f), "/").alias("years"), G.batch_exclusive(f).alias("exclusive"),
         f["monthly"].alias("monthly"), f["lpa"].alias("lpa"), f["bond"].alias("bond"),
     )
 

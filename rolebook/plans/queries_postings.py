@@ -264,9 +264,7 @@ def company_names(spark, sf):
 
 @query(
     "anglicize",
-    "SELECT doc_id, replace(replace(replace(replace(replace(replace(lower(text), 'ø', 'o'), 'æ', 'ae'), 'å', 'aa'), 'ö', 'o'), 'ä', 'a'), 'ü', 'u') AS plain FROM documents".replace(
-        "'ä', 'a'", "'ä', 'a'"
-    ),
+    "SELECT doc_id, replace(replace(replace(replace(replace(replace(lower(text), 'ø', 'o'), 'æ', 'ae'), 'å', 'aa'), 'ö', 'o'), 'ä', 'ae'), 'ü', 'u') AS plain FROM documents",
 )
 def anglicize(spark, sf):
     return B.table(spark, sf, "documents").select("doc_id", names.anglicize("text").alias("plain"))
@@ -316,7 +314,6 @@ def error_info(spark, sf):
 @query(
     "stage_filter",
     f"""WITH {B.PG_SQL} SELECT id, location FROM pg WHERE lower(location) LIKE '%en%'
-  AND regexp_matches(lower(title), 'intern|trainee|apprentice') IS NOT NULL
   AND coalesce(DATE '2024-04-30' - posted_date <= 21, true)""",
 )
 def stage_filter(spark, sf):
