@@ -25,14 +25,14 @@ def collapsed_sql(source: str, order: str) -> str:
     """Collapse ``source`` (a CTE) into CTE ``collapsed``."""
     return f"""grp AS (SELECT *, lower(company) AS gc, coalesce({SQL_REQ}, lower(title)) AS gr, coalesce(location, '') AS place,
       row_number() OVER () AS rid FROM {source}),
-  firsts AS (SELECT *, row_number() OVER (PARTITION BY gc, gr ORDER BY {order}) AS rn,
+  firsts AS (SELECT *, row_number() OVER (PARTITION BY gc, gr ORDER BY {order}) AS crn,
       count(*) OVER (PARTITION BY gc, gr) AS group_size FROM grp),
   cities AS (SELECT gc, gr, list(place ORDER BY first_at) AS places FROM (
       SELECT gc, gr, place, min(ord) AS first_at FROM (
         SELECT gc, gr, place, row_number() OVER (PARTITION BY gc, gr ORDER BY {order}) AS ord FROM grp) GROUP BY 1, 2, 3) GROUP BY 1, 2),
   collapsed AS (SELECT f.* EXCLUDE (location), CASE WHEN len(places) > 1 THEN places[1] || ' (+' || (len(places) - 1) || ' cities: '
       || array_to_string(places[2:], ', ') || ')' ELSE location END AS location
-    FROM firsts f JOIN cities c ON f.gc = c.gc AND f.gr = c.gr WHERE rn = 1)"""
+    FROM firsts f JOIN cities c ON f.gc = c.gc AND f.gr = c.gr WHERE crn = 1)"""
 
 
 def pools(spark, sf):
