@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolebook import vocab
@@ -140,11 +140,11 @@ def workday_path(ref, site) -> Column:
     return F.when(full.startswith("/"), full).otherwise(F.concat(F.lit("/"), full))
 
 
-def parse_ref(url) -> Column:
-    """Struct(board, slug, posting_id) of a posting URL."""
-    u = F.trim(col_of(url))
-    found = detect_board(u)
-    host = F.coalesce(host_of(u), F.lit(""))
+def with_ref(df: DataFrame, column: str = "url") -> DataFrame:
+    """Adds ``board``, ``slug`` and ``posting_id`` of a posting URL."""
+    d = df.withColumn("_u", F.trim(F.col(column)))
+    d = d.withColumns({"_host": F.coalesce(host_of("_u"), F.lit("")), "_found": detect_board("_u")})
+    host, found, u = F.col("_host"), F.col("_found"), F.col("_u")
     board = (
         F.when(found["board"] != "unknown", found["board"])
         .when(host.contains("remoteok"), "remoteok")
@@ -152,23 +152,26 @@ def parse_ref(url) -> Column:
         .when(host.contains("freehire"), "freehire")
         .otherwise("unknown")
     )
+    d = d.withColumn("board", board)
+
     def first_group(pattern):
         got = F.regexp_extract(u, pattern, 1)
         return F.when(got != "", got).otherwise(u)
 
     last_seg = F.coalesce(F.try_element_at(F.filter(F.split(u, "/"), lambda s: s != ""), F.lit(-1)), u)
     hexid = F.regexp_extract(u, r"(?i)([0-9a-f-]{8,})", 1)
+    kind = F.col("board")
     posting = (
-        F.when(board == "greenhouse", first_group(r"(\d+)(?!.*\d)"))
-        .when(board == "amazon", first_group(r"(\d{5,})"))
-        .when(board == "lever", last_seg)
-        .when(board == "smartrecruiters", F.when(hexid != "", hexid).otherwise(last_seg))
-        .when(board == "workday", workday_path(u, F.element_at(F.split(F.coalesce(found["slug"], F.lit("//")), "/"), 2)))
-        .when(board == "remoteok", numeric_ref(u, "remoteok"))
-        .when(board == "remotive", numeric_ref(u, "remotive"))
-        .when(board == "freehire", freehire_slug(u))
+        F.when(kind == "greenhouse", first_group(r"(\d+)(?!.*\d)"))
+        .when(kind == "amazon", first_group(r"(\d{5,})"))
+        .when(kind == "lever", last_seg)
+        .when(kind == "smartrecruiters", F.when(hexid != "", hexid).otherwise(last_seg))
+        .when(kind == "workday", workday_path(u, F.element_at(F.split(F.coalesce(found["slug"], F.lit("//")), "/"), 2)))
+        .when(kind == "remoteok", numeric_ref(u, "remoteok"))
+        .when(kind == "remotive", numeric_ref(u, "remotive"))
+        .when(kind == "freehire", freehire_slug(u))
     )
     slug = F.when(
-        board == "smartrecruiters", F.regexp_extract(u, r"(?i)smartrecruiters\.com/([^/]+)", 1)
+        kind == "smartrecruiters", F.regexp_extract(u, r"(?i)smartrecruiters\.com/([^/]+)", 1)
     ).otherwise(found["slug"])
-    return F.struct(board.alias("board"), slug.alias("slug"), posting.alias("posting_id"))
+    return d.withColumns({"slug": slug, "posting_id": posting}).drop("_u", "_host", "_found")

@@ -169,6 +169,21 @@ def gated(
     return G.run_gates(postings, cand, as_of, max_age_days)
 
 
+def rank_all(
+    postings: DataFrame,
+    cand: Column,
+    as_of,
+    with_text: bool = False,
+    max_age_days=vocab.RANK_MAX_AGE_DAYS,
+) -> DataFrame:
+    """Every posting once: gates, ``pass``, and score for survivors or
+    ``reasons`` for the rest. One narrow pass, no shuffle."""
+    rows = score_posting(gated(postings, cand, as_of, with_text, max_age_days), cand, as_of, with_text)
+    scored = ("score", "verdict", "strengths", "gaps")
+    rows = rows.withColumns({c: F.when(F.col("pass"), F.col(c)) for c in scored})
+    return rows.withColumn("reasons", F.when(~F.col("pass"), fail_reasons()))
+
+
 def rank_shortlist(
     postings: DataFrame,
     cand: Column,
@@ -180,12 +195,32 @@ def rank_shortlist(
     them, rejected rows with ``reasons``. Ranked rows are unsorted; order them
     by :func:`shortlist_order`, with a limit where only the top is wanted.
 
-    Narrow throughout: no shuffle until that final order.
+    Both halves read the postings; where both are needed together use
+    :func:`rank_all`.
+    """
+    rows = rank_all(postings, cand, as_of, with_text, max_age_days)
+    return rows.filter("pass").drop("reasons"), rows.filter(~F.col("pass"))
+
+
+def shortlist(
+    postings: DataFrame,
+    cand: Column,
+    as_of,
+    top: int,
+    with_text: bool = True,
+    max_age_days=vocab.RANK_MAX_AGE_DAYS,
+) -> DataFrame:
+    """The best ``top`` postings for a candidate.
+
+    Postings the date or the place already rules out are filtered before any
+    text is read: the filters reach the scan, and the text patterns run on
+    the survivors only.
     """
-    all_rows = gated(postings, cand, as_of, with_text, max_age_days)
-    rejected = all_rows.filter(~F.col("pass")).withColumn("reasons", fail_reasons())
-    ranked = score_posting(all_rows.filter("pass"), cand, as_of, with_text)
-    return ranked, rejected
+    in_time = G.gate_stale("posted_date", max_age_days, as_of)["verdict"] != "FAIL"
+    in_place = G.gate_location("location", cand)["verdict"] != "FAIL"
+    rows = gated(postings.filter(in_time).filter(in_place), cand, as_of, with_text, max_age_days)
+    scored = score_posting(rows.filter("pass"), cand, as_of, with_text)
+    return scored.orderBy(*shortlist_order()).limit(top)
 
 
 def shortlist_order() -> list[Column]:

@@ -275,10 +275,7 @@ def pair_candidates(spark, sf):
 
     docs = G.with_text_facts(B.doc_postings(spark, sf))
     pairs = joins.pair(docs, [STUDENT, EXPERIENCED])
-    ranked, rejected = S.rank_shortlist(pairs, F.col("cand"), B.AS_OF, with_text=True)
-    return ranked.select("cand.candidate_id", "id", "pass", "score").union(
-        rejected.select("cand.candidate_id", "id", "pass", F.lit(None).cast("int"))
-    )
+    return S.rank_all(pairs, F.col("cand"), B.AS_OF, with_text=True).select("cand.candidate_id", "id", "pass", "score")
 
 
 @query(

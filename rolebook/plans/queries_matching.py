@@ -266,8 +266,8 @@ def score_posting(spark, sf):
     f"{scored_sql(False)} SELECT id, title, score, verdict, strengths, gaps FROM scored WHERE pass ORDER BY score DESC, pos LIMIT 20",
 )
 def shortlist_top20(spark, sf):
-    ranked, _ = S.rank_shortlist(B.doc_postings(spark, sf), EXPERIENCED.as_struct(), B.AS_OF, with_text=True)
-    return flat(ranked).orderBy(*S.shortlist_order()).limit(20).select("id", "title", "score", "verdict", "strengths", "gaps")
+    top = S.shortlist(B.doc_postings(spark, sf), EXPERIENCED.as_struct(), B.AS_OF, 20)
+    return flat(top).select("id", "title", "score", "verdict", "strengths", "gaps")
 
 
 REASONS_SQL = "list_filter([" + ", ".join(
@@ -280,10 +280,8 @@ REASONS_SQL = "list_filter([" + ", ".join(
     f"{scored_sql(True)} SELECT id, CASE WHEN pass THEN score END AS score, CASE WHEN NOT pass THEN array_to_string({REASONS_SQL}, '; ') END AS reasons FROM scored",
 )
 def rank_shortlist(spark, sf):
-    ranked, rejected = S.rank_shortlist(B.doc_postings(spark, sf), STUDENT.as_struct(), B.AS_OF, with_text=True)
-    return ranked.select("id", "score", F.lit(None).cast("string").alias("reasons")).union(
-        rejected.select("id", F.lit(None).cast("int"), F.array_join("reasons", "; "))
-    )
+    rows = S.rank_all(B.doc_postings(spark, sf), STUDENT.as_struct(), B.AS_OF, with_text=True)
+    return rows.select("id", "score", F.array_join("reasons", "; ").alias("reasons"))
 
 
 @query(

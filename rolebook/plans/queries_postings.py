@@ -233,7 +233,7 @@ def board_url():
 )
 def parse_ref(spark, sf):
     p = B.table(spark, sf, "pages")
-    return p.select("page_id", urls.parse_ref(board_url()).alias("b")).select("page_id", "b.board", "b.posting_id")
+    return urls.with_ref(p.select("page_id", board_url().alias("url"))).select("page_id", "board", "posting_id")
 
 
 @query(
@@ -323,11 +323,14 @@ def stage_filter(spark, sf):
 
 @query(
     "stage_filter_interns",
-    f"""WITH {B.DOC_SQL} SELECT id, title FROM doc WHERE regexp_matches(lower(title), 'intern|trainee|apprentice')
+    f"""WITH {B.DOC_SQL}, t AS (SELECT * REPLACE (title || CASE doc_id % 6 WHEN 0 THEN ' Intern' WHEN 1 THEN ' (TRAINEE)' ELSE '' END AS title) FROM doc)
+SELECT id, title FROM t WHERE regexp_matches(lower(title), 'intern|trainee|apprentice')
   AND coalesce(DATE '2024-04-30' - posted_date <= 40, true)""",
 )
 def stage_filter_interns(spark, sf):
     d = B.doc_postings(spark, sf)
+    mark = B.choose(F.col("doc_id") % 6, {0: " Intern", 1: " (TRAINEE)"}, "")
+    d = d.withColumn("title", F.concat("title", mark))
     return filters.stage_filter(d, B.AS_OF, stage="student", max_age=40).select("id", "title")
 
 

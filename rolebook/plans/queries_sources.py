@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rolebook import schemas, vocab
 from rolebook.functions import text as T
 from rolebook.operators import reports as R
 from rolebook.plans import bindings as B
@@ -686,3 +687,55 @@ def parse_locale_number_q(spark, sf):
 def numeric_entities(spark, sf):
     raw = F.concat("lang", F.lit(" &#233; &#x1F600; &#65; &#99999999; &amp; "), "lang")
     return B.table(spark, sf, "documents").select("doc_id", T.decode_entities(raw).alias("decoded"))
+
+
+# --- contract ---------------------------------------------------------------------
+
+
+@query(
+    "contract_nulls",
+    f"""WITH {B.PG_SQL} SELECT 'id' AS field, count(*) - count(id) AS nulls FROM pg UNION ALL SELECT 'title', count(*) - count(title) FROM pg
+UNION ALL SELECT 'company', count(*) - count(company) FROM pg UNION ALL SELECT 'url', count(*) - count(url) FROM pg
+UNION ALL SELECT 'portal', count(*) - count(portal) FROM pg UNION ALL SELECT 'source', 0 FROM (SELECT 1)""",
+)
+def contract_nulls(spark, sf):
+    postings = schemas.conform(B.page_postings(spark, sf), "posting")
+    return schemas.required_nulls(postings, "posting")
+
+
+@query(
+    "enum_violations",
+    f"""WITH {B.TRK_SQL} SELECT status, count(*) AS rows FROM trk WHERE status IN ('no response', 'offer declined') GROUP BY 1""",
+)
+def enum_violations(spark, sf):
+    return schemas.enum_violations(B.tracker(spark, sf), "status", vocab.TRACKER_STATUSES)
+
+
+@query(
+    "tracker_csv",
+    f"""WITH {B.TRK_SQL} SELECT company, role, status, count(*) AS n, max(deadline) AS deadline FROM trk GROUP BY 1, 2, 3""",
+)
+def tracker_csv(spark, sf):
+    """Written as CSV files with a header and read back."""
+    path = scratch_path(spark, "tracker")
+    cols = [F.col(c).cast("string") if c in ("date", "company", "role", "status", "fit_rating", "source", "deadline") else F.lit("").alias(c) for c in vocab.TRACKER_COLUMNS]
+    B.tracker(spark, sf).select(*cols).write.option("header", True).csv(path)
+    t = tables.read_tracker(spark, path)
+    return t.groupBy("company", "role", "status").agg(F.count(F.lit(1)).alias("n"), F.max("deadline").alias("deadline"))
+
+
+@query(
+    "feed_files",
+    f"""WITH {B.DOC_SQL} SELECT reject_reason, count(*) AS n FROM (
+  SELECT CASE WHEN doc_id % 10 = 3 THEN 'no-position' END AS reject_reason FROM doc UNION ALL SELECT 'no-id' FROM doc) GROUP BY 1""",
+)
+def feed_files(spark, sf):
+    """Payloads landed as text files and read by the feed reader."""
+    path = scratch_path(spark, "landing")
+    k = F.col("doc_id")
+    item = doc(id=k, position=F.when(k % 10 != 3, F.lit("Role")), slug=F.concat(F.lit("s"), k))
+    docs(spark, sf).select(F.concat(F.lit('[{"legal":"terms"},'), item, F.lit("]")).alias("value")).write.text(path)
+    payloads = spark.read.text(path).withColumnRenamed("value", "payload")
+    good, bad = feeds.split_feed(feeds.FEEDS["remoteok"].map(payloads))
+    rows = good.select(F.lit(None).cast("string").alias("reject_reason")).union(bad.select("reject_reason"))
+    return rows.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))

@@ -24,9 +24,13 @@ TABLE_SCHEMA = (
 )
 
 
+def create_table(spark: SparkSession, out: str) -> None:
+    """An empty table where there is none; an existing one is left alone."""
+    spark.createDataFrame([], TABLE_SCHEMA).write.mode("ignore").partitionBy("ingest_batch").parquet(out)
+
+
 def read_table(spark: SparkSession, out: str) -> DataFrame:
-    """The ingested seen table (an empty one before the first batch)."""
-    spark.createDataFrame([], TABLE_SCHEMA).write.mode("append").partitionBy("ingest_batch").parquet(out)
+    """The ingested seen table."""
     return spark.read.schema(TABLE_SCHEMA).parquet(out)
 
 
@@ -62,6 +66,7 @@ def stream_ingest(
     Duplicates within the watermark are dropped by the stream's own state;
     older ones are found in the table.
     """
+    create_table(spark, out)
     landed = (
         spark.readStream.schema(LANDED_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
     )
