@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from rolebook.functions.text import col_of
+from rolebook.functions.text import col_of, let
 
 
 def as_of_col(as_of) -> Column:
@@ -29,17 +29,31 @@ def strict_iso(c) -> Column:
     return F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), _to_date(t))
 
 
+# fixed values: accepted spellings (shape -> pattern)
+_SPELLINGS = (
+    (r"^\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2} [+-]\d{4}$", "d MMM yyyy HH:mm:ss Z"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}$", "d MMM yyyy HH:mm:ss"),
+    (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
+    (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
+    (r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
+    (r"^\d{1,2} [A-Za-z]{4,9} \d{4}$", "d MMMM yyyy"),
+)
+
+
 def lenient_date(c) -> Column:
-    """ISO datetimes, RFC-822 dates and month-name dates, read as UTC."""
-    t = F.trim(col_of(c))
-    no_weekday = F.regexp_replace(t, r"^[A-Za-z]{3,9},\s+", "")
-    zone = F.regexp_replace(no_weekday, r"\s(?:GMT|UTC|Z)$", " +0000")
-    iso = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}"), t.try_cast("timestamp").cast("date"))
-    patterns = (
-        "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss", "d MMM yyyy",
-        "MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy",
-    )
-    return F.coalesce(iso, *[_to_date(zone, p) for p in patterns])
+    """ISO datetimes, RFC-822 dates and month-name dates, read as UTC.
+
+    Each pattern is tried only on texts of its shape: a failed parse costs an
+    exception inside the JVM.
+    """
+    def read(t):
+        bare = F.regexp_replace(F.regexp_replace(t, r"^[A-Za-z]{3,9},\s+", ""), r"\s(?:GMT|UTC|Z)$", " +0000")
+        out = F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}"), t.try_cast("timestamp").cast("date"))
+        for shape, pattern in _SPELLINGS:
+            out = out.when(bare.rlike(shape), _to_date(bare, pattern))
+        return out
+
+    return let(F.trim(col_of(c)), read)
 
 
 def relative_date(c, as_of) -> Column:

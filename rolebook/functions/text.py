@@ -12,6 +12,12 @@ def col_of(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once. Without it a long pattern
+    chain that is used in a condition and in its branches runs several times."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def squeeze(c) -> Column:
     """Runs of (Unicode) whitespace become one space; ends trimmed."""
     return F.trim(F.regexp_replace(col_of(c), r"(?U)\s+", " "))
@@ -78,15 +84,17 @@ def _code_point(cp: Column) -> Column:
 
 def _decode_numeric(text: Column, pattern: str, radix: int) -> Column:
     """Replace each distinct numeric entity of the text by its character."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
 
     def step(acc, entity):
         digits = F.regexp_extract(entity, pattern, 1)
         cp = F.when(F.length(F.ltrim(digits, F.lit("0"))) <= 8, F.conv(digits, radix, 10)).otherwise("-1")
         return F.replace(acc, entity, _code_point(cp.try_cast("bigint")))
 
-    decoded = F.aggregate(found, text, step)
-    return F.when(text.contains("&#"), decoded).otherwise(text)
+    def decode(t):
+        found = F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)))
+        return F.when(F.contains(t, F.lit("&#")), F.aggregate(found, t, step)).otherwise(t)
+
+    return let(text, decode)
 
 
 def decode_entities(c) -> Column:
@@ -129,7 +137,7 @@ def html_to_prose(c) -> Column:
     out = F.regexp_replace(out, r" *\n *", "\n")
     out = F.regexp_replace(out, r"\n{3,}", "\n\n")
     out = F.regexp_replace(out, r"(?U)^\s+|\s+\z", "")
-    return F.when(out != "", out)
+    return let(out, lambda t: F.when(t != "", t))
 
 
 def as_text(variant: Column, fallback: str | None = "") -> Column:

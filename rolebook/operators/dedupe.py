@@ -13,8 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolebook import vocab
 from rolebook.functions.urls import dedupe_key, req_id
+from rolebook.operators.gates import canonical_gate
 
 #: Rows of one pool that may share a task: ``pos`` is unique within a pool, so
 #: a span of this width can never hold more rows than this.
@@ -124,14 +124,6 @@ def collapse_spread(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     )
 
 
-def canonical_gate(name: Column) -> Column:
-    slug = F.lower(F.trim(name))
-    out = slug
-    for alias, canon in vocab.GATE_ALIASES.items():
-        out = F.when(slug == alias, canon).otherwise(out)
-    return out
-
-
 def diff_sets(expected: DataFrame, actual: DataFrame, by: list[str], column: str) -> DataFrame:
     """Names on one side only (aliases collapsed): ``side`` is missing or extra."""
     def canon(df):

@@ -189,8 +189,8 @@ def hygiene_issues(text) -> Column:
         ("cid-markers", t.rlike(r"\(cid:\d+\)")),
         ("leaked-item-bracket", t.rlike(r"\\item\s*\[")),
         ("leaked-macro", t.rlike(vocab.LEAKED_MACROS + r"(?!\w)")),
-        ("no-email", ~t.rlike(vocab.EMAIL)),
-        ("no-phone", ~t.rlike(vocab.PHONE)),
+        ("no-email", ~(F.contains(t, F.lit("@")) & t.rlike(vocab.EMAIL))),
+        ("no-phone", ~(t.rlike("[0-9X]{2}") & t.rlike(vocab.PHONE))),
         ("few-sections", sections < 2),
     )
     return F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in checks]))

@@ -8,13 +8,15 @@ never re-reads its text.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolebook import vocab
 from rolebook.functions.dates import age_days
 from rolebook.functions.money import plain_number
-from rolebook.functions.text import canon_location, col_of, contains_ci, has_text
+from rolebook.functions.text import canon_location, col_of, has_text
 
 _LANGS = "|".join(vocab.GATED_LANGUAGES)
 _TERM = vocab.BATCH_TERM
@@ -34,10 +36,38 @@ FLUENT_STRICT = r"(?i)fluent\s+([a-z]+)"
 REQUIRED = rf"(?i)(?:{_LANGS})\s*(?:required|must|essential)"
 
 
-def gate(name: str, verdict, note) -> Column:
-    v = F.lit(verdict) if isinstance(verdict, str) else verdict
-    n = F.lit(note) if isinstance(note, str) else note
-    return F.struct(F.lit(name).alias("gate"), v.alias("verdict"), n.alias("note"))
+@dataclass(frozen=True)
+class Gate:
+    """One gate as ordered branches (condition, verdict, note).
+
+    ``verdict`` alone is a CASE over literals, so a filter on it never builds
+    notes; ``result`` is the struct(gate, verdict, note) with the evidence.
+    """
+
+    name: str
+    branches: tuple[tuple[Column, str, object], ...]
+
+    def _case(self, pick) -> Column:
+        out = pick("PASS", "")
+        for condition, verdict, note in reversed(self.branches):
+            out = F.when(condition, pick(verdict, note)).otherwise(out)
+        return out
+
+    @property
+    def verdict(self) -> Column:
+        return self._case(lambda verdict, _: F.lit(verdict))
+
+    @property
+    def note(self) -> Column:
+        return self._case(lambda _, note: F.lit(note))
+
+    @property
+    def fails(self) -> Column:
+        return self.verdict == "FAIL"
+
+    @property
+    def result(self) -> Column:
+        return F.struct(F.lit(self.name).alias("gate"), self.verdict.alias("verdict"), self.note.alias("note"))
 
 
 def _quote(text: Column, pattern: str) -> Column:
@@ -140,169 +170,198 @@ def text_facts(description, low=None, strict: bool = False) -> Column:
 
 
 def with_text_facts(df: DataFrame, column: str = "description", strict: bool = False) -> DataFrame:
-    """Adds ``facts``: everything the text gates need, read once per posting.
+    """Adds ``facts`` (and ``place``): everything the gates need to know of a
+    posting, read once.
 
     The one-element ``explode`` keeps Catalyst from inlining the patterns into
     every gate and every filter on a gate, which would read each text again.
     """
     facts = text_facts(F.col(column), F.col("_low"), strict)
-    return df.withColumn("_low", F.lower(column)).select("*", F.explode(F.array(facts)).alias("facts")).drop("_low")
+    read = df.withColumn("_low", F.lower(column)).select("*", F.explode(F.array(facts)).alias("facts")).drop("_low")
+    return read.withColumn("place", canon_location("location"))
 
 
-def _evaluated(name: str, facts: Column, result: Column) -> Column:
-    return F.when(~facts["has_text"], gate(name, "PASS", vocab.NOT_EVALUATED_NOTE)).otherwise(result)
+def without_text(df: DataFrame) -> DataFrame:
+    """Facts of a pass that carries no description: every text gate reports
+    "not evaluated" instead of inventing a finding."""
+    nothing = F.struct(
+        F.lit(False).alias("has_text"),
+        F.lit(None).cast("string").alias("language"),
+        F.array().cast("array<struct<years:array<int>,only:boolean>>").alias("batch"),
+        F.lit(None).cast("double").alias("monthly"),
+        F.lit(None).cast("double").alias("lpa"),
+        F.lit(None).cast("string").alias("bond"),
+    )
+    return df.withColumns({"facts": nothing, "place": canon_location("location")})
 
 
-def gate_stale(posted, max_age_days, as_of) -> Column:
+def _text_gate(name: str, facts: Column, *branches, applies: Column | None = None) -> Gate:
+    """A gate that passes where it does not apply or there is no text."""
+    silent = [(~facts["has_text"], "PASS", vocab.NOT_EVALUATED_NOTE)]
+    if applies is not None:
+        silent.insert(0, (~applies, "PASS", ""))
+    return Gate(name, (*silent, *branches))
+
+
+def gate_stale(posted, max_age_days, as_of) -> Gate:
     age = age_days(posted, as_of)
     limit = F.lit(max_age_days) if isinstance(max_age_days, int) else max_age_days
     note = F.concat(F.lit("posted "), age, F.lit("d ago (> "), limit, F.lit("d window)"))
-    return (
-        F.when(age.isNull(), gate("stale", "FLAG", "no posting date; freshness unknown"))
-        .when(age > limit, gate("stale", "FAIL", note))
-        .otherwise(gate("stale", "PASS", ""))
+    return Gate(
+        "stale",
+        ((age.isNull(), "FLAG", "no posting date; freshness unknown"), (age > limit, "FAIL", note)),
     )
 
 
-def gate_location(location, cand: Column) -> Column:
+def gate_location(location, place, cand: Column) -> Gate:
+    """``place`` is the canonical location, ``cand.accept`` the canonical
+    accepted places; an empty list accepts anywhere."""
     loc = col_of(location)
-    place = canon_location(loc)
-    accepted = F.exists(cand["locations"], lambda w: F.contains(place, canon_location(w)))
+    accepted = F.exists(cand["accept"], lambda w: F.contains(place, w))
     outside = F.concat(F.lit('location "'), loc, F.lit('" outside accepted set'))
-    return (
-        F.when(F.size(cand["locations"]) == 0, gate("location", "PASS", ""))
-        .when(loc.isNull(), gate("location", "FAIL", "location unstated (source gave none)"))
-        .when(accepted, gate("location", "PASS", ""))
-        .otherwise(gate("location", "FAIL", outside))
+    return Gate(
+        "location",
+        (
+            (F.size(cand["accept"]) == 0, "PASS", ""),
+            (loc.isNull(), "FAIL", "location unstated (source gave none)"),
+            (~accepted, "FAIL", outside),
+        ),
     )
 
 
-def gate_language(facts: Column) -> Column:
+def gate_language(facts: Column) -> Gate:
     note = F.concat(F.lit('requires working language: "'), facts["language"], F.lit('"'))
-    found = F.when(facts["language"].isNotNull(), gate("language", "FAIL", note)).otherwise(gate("language", "PASS", ""))
-    return _evaluated("language", facts, found)
+    return _text_gate("language", facts, (facts["language"].isNotNull(), "FAIL", note))
 
 
-def gate_batch(facts: Column, cand: Column) -> Column:
+def gate_batch(facts: Column, cand: Column) -> Gate:
     years = batch_years(facts)
-    listed = F.array_join(years, "/")
-    mine = F.concat(listed, F.lit(" (candidate: "), cand["grad_year"], F.lit(")"))
-    applies = cand["stage"].isin("student", "fresher") & F.coalesce(cand["grad_year"] != 0, F.lit(False))
-    found = (
-        F.when((F.size(years) == 0) | F.array_contains(years, cand["grad_year"]), gate("batch", "PASS", ""))
-        .when(batch_exclusive(facts), gate("batch", "FAIL", F.concat(F.lit("batch-restricted to "), mine)))
-        .otherwise(gate("batch", "FLAG", F.concat(F.lit("mentions batches "), mine)))
+    mine = F.concat(F.array_join(years, "/"), F.lit(" (candidate: "), cand["grad_year"], F.lit(")"))
+    fits = (F.size(years) == 0) | F.array_contains(years, cand["grad_year"])
+    return _text_gate(
+        "batch", facts,
+        (fits, "PASS", ""),
+        (batch_exclusive(facts), "FAIL", F.concat(F.lit("batch-restricted to "), mine)),
+        (F.lit(True), "FLAG", F.concat(F.lit("mentions batches "), mine)),
+        applies=cand["stage"].isin("student", "fresher") & F.coalesce(cand["grad_year"] != 0, F.lit(False)),
     )
-    return F.when(~applies, gate("batch", "PASS", "")).otherwise(_evaluated("batch", facts, found))
 
 
-def gate_stipend(facts: Column, cand: Column) -> Column:
-    floor = cand["stipend_floor"]
-    applies = (cand["stage"] == "student") & F.coalesce(floor != 0, F.lit(False))
-    note = F.concat(
-        F.lit("stipend "), plain_number(facts["monthly"]), F.lit(" < floor "), plain_number(floor), F.lit("/month")
+def gate_stipend(facts: Column, cand: Column) -> Gate:
+    floor, paid = cand["stipend_floor"], facts["monthly"]
+    note = F.concat(F.lit("stipend "), plain_number(paid), F.lit(" < floor "), plain_number(floor), F.lit("/month"))
+    return _text_gate(
+        "stipend", facts,
+        (paid.isNull(), "FLAG", "no stipend stated"),
+        (paid < floor, "FAIL", note),
+        applies=(cand["stage"] == "student") & F.coalesce(floor != 0, F.lit(False)),
     )
-    found = (
-        F.when(facts["monthly"].isNull(), gate("stipend", "FLAG", "no stipend stated"))
-        .when(facts["monthly"] < floor, gate("stipend", "FAIL", note))
-        .otherwise(gate("stipend", "PASS", ""))
-    )
-    return F.when(~applies, gate("stipend", "PASS", "")).otherwise(_evaluated("stipend", facts, found))
 
 
-def gate_ctc(facts: Column, cand: Column) -> Column:
+def gate_ctc(facts: Column, cand: Column) -> Gate:
     """Below-floor pay only ever flags."""
-    floor = cand["ctc_floor"]
-    applies = F.coalesce(floor != 0, F.lit(False))
-    shown = F.round(facts["lpa"], 1).cast("decimal(38,1)").cast("string")
+    floor, paid = cand["ctc_floor"], facts["lpa"]
+    shown = F.round(paid, 1).cast("decimal(38,1)").cast("string")
     note = F.concat(F.lit("CTC ~"), shown, F.lit(" LPA < floor "), plain_number(floor), F.lit(" LPA"))
-    found = (
-        F.when(facts["lpa"].isNull(), gate("ctc", "FLAG", "no CTC stated"))
-        .when(facts["lpa"] < floor, gate("ctc", "FLAG", note))
-        .otherwise(gate("ctc", "PASS", ""))
+    return _text_gate(
+        "ctc", facts,
+        (paid.isNull(), "FLAG", "no CTC stated"),
+        (paid < floor, "FLAG", note),
+        applies=F.coalesce(floor != 0, F.lit(False)),
     )
-    return F.when(~applies, gate("ctc", "PASS", "")).otherwise(_evaluated("ctc", facts, found))
 
 
-def gate_bond(facts: Column) -> Column:
+def gate_bond(facts: Column) -> Gate:
     note = F.concat(F.lit('bond terms: "'), facts["bond"], F.lit('"'))
-    found = F.when(facts["bond"].isNotNull(), gate("bond", "FLAG", note)).otherwise(gate("bond", "PASS", ""))
-    return _evaluated("bond", facts, found)
-
+    return _text_gate("bond", facts, (facts["bond"].isNotNull(), "FLAG", note))
 
-def run_gates(df: DataFrame, cand: Column, as_of, max_age_days=vocab.RANK_MAX_AGE_DAYS) -> DataFrame:
-    """Adds ``gates`` (seven results in order) and ``pass`` (no FAIL).
 
-    ``df`` needs ``facts``; without text use :func:`without_text`.
-    """
+def all_gates(cand: Column, as_of, max_age_days=vocab.RANK_MAX_AGE_DAYS) -> list[Gate]:
+    """The seven gates in order, over ``facts`` and ``place``."""
     facts = F.col("facts")
-    results = F.array(
+    return [
         gate_stale("posted_date", max_age_days, as_of),
-        gate_location("location", cand),
+        gate_location("location", F.col("place"), cand),
         gate_language(facts),
         gate_batch(facts, cand),
         gate_stipend(facts, cand),
         gate_ctc(facts, cand),
         gate_bond(facts),
-    )
-    return df.withColumn("gates", results).withColumn("pass", F.forall("gates", lambda g: g["verdict"] != "FAIL"))
+    ]
 
 
-def without_text(df: DataFrame) -> DataFrame:
-    """Facts of a pass that carries no description: every text gate reports
-    "not evaluated" instead of inventing a finding."""
-    return df.withColumn("facts", text_facts(F.lit("")))
+def run_gates(df: DataFrame, cand: Column, as_of, max_age_days=vocab.RANK_MAX_AGE_DAYS) -> DataFrame:
+    """Adds ``gates`` (seven results in order) and ``pass`` (no FAIL).
 
+    ``pass`` reads the verdicts only, so a plan that just counts or filters
+    on it never builds the results. ``df`` needs :func:`with_text_facts` or
+    :func:`without_text`.
+    """
+    found = all_gates(cand, as_of, max_age_days)
+    failed = found[0].fails
+    for g in found[1:]:
+        failed = failed | g.fails
+    return df.withColumns({"gates": F.array(*[g.result for g in found]), "pass": ~failed})
 
-def gate_policy_rows() -> list[tuple]:
-    return [(g, list(s), list(m), v, h) for g, s, m, v, h in vocab.GATE_POLICY]
 
+def running_gates(stage: Column, market: Column) -> Column:
+    """Canonical gates that run for a stage and market, in policy order."""
+    def scope(values, c):
+        return F.lit(True) if "*" in values else c.isin(*values)
 
-def _scope(values: tuple[str, ...], c: Column) -> Column:
-    return F.lit(True) if "*" in values else c.isin(*values)
+    names = [F.when(scope(stages, stage) & scope(markets, market), F.lit(name)) for name, stages, markets, _, _ in vocab.GATE_POLICY]
+    return F.array_compact(F.array(*names))
 
 
 def gate_runs_for(gate_id: Column, stage: Column, market: Column) -> Column:
     """Whether the canonical policy runs a gate; unknown gates never run."""
-    out = F.lit(False)
-    for name, stages, markets, _, _ in vocab.GATE_POLICY:
-        out = F.when(gate_id == name, _scope(stages, stage) & _scope(markets, market)).otherwise(out)
-    return out
+    return F.array_contains(running_gates(stage, market), gate_id)
+
+
+def policy_map() -> Column:
+    """gate -> struct(verdict_on_fail, hard_stop)."""
+    entries = []
+    for name, _, _, verdict, hard in vocab.GATE_POLICY:
+        entries += [F.lit(name), F.struct(F.lit(verdict).alias("verdict_on_fail"), F.lit(hard).alias("hard_stop"))]
+    return F.create_map(*entries)
 
 
-def policy_verdict(gate_id: Column) -> Column:
-    """Struct(verdict_on_fail, hard_stop) of a canonical gate."""
-    verdict, hard = F.lit(None).cast("string"), F.lit(False)
-    for name, _, _, v, h in vocab.GATE_POLICY:
-        verdict = F.when(gate_id == name, v).otherwise(verdict)
-        hard = F.when(gate_id == name, h).otherwise(hard)
-    return F.struct(verdict.alias("verdict_on_fail"), hard.alias("hard_stop"))
+def canonical_gate(name: Column) -> Column:
+    """One spelling per gate: aliases of a gate count as that gate."""
+    slug = F.lower(F.trim(name))
+    pairs = [F.lit(v) for pair in vocab.GATE_ALIASES.items() for v in pair]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), slug), slug)
 
 
 def apply_gate_policy(df: DataFrame, stage: Column, market: Column) -> DataFrame:
     """Canonical gates: keeps results whose gate runs for the stage and market
-    and gives a tripped gate the policy's verdict. Adds ``policy_gates``,
+    and gives a failed gate the policy's verdict. Adds ``policy_gates``,
     ``policy_pass`` and ``hard_stop``. Verdicts of gates without rule text
     (eligibility, notice-period, timezone-overlap) come in with the input.
+
+    A FLAG is never raised to a FAIL by the policy.
     """
-    from rolebook.operators.dedupe import canonical_gate
-
-    def scoped(g):
-        name = canonical_gate(g["gate"])
-        policy = policy_verdict(name)
-        tripped = g["verdict"] != "PASS"
-        # A FLAG (not proven) is never raised to a FAIL by the policy.
-        verdict = F.when(tripped & (g["verdict"] == "FAIL"), policy["verdict_on_fail"]).otherwise(g["verdict"])
+    named = F.transform(
+        "gates", lambda g: F.struct(canonical_gate(g["gate"]).alias("gate"), g["verdict"].alias("verdict"), g["note"].alias("note"))
+    )
+
+    def judged(g):
+        policy = F.element_at(policy_map(), g["gate"])
+        verdict = F.when(g["verdict"] == "FAIL", policy["verdict_on_fail"]).otherwise(g["verdict"])
         return F.struct(
-            name.alias("gate"), verdict.alias("verdict"), g["note"].alias("note"),
-            (policy["hard_stop"] & (verdict == "FAIL")).alias("hard_stop"),
+            g["gate"].alias("gate"), verdict.alias("verdict"), g["note"].alias("note"),
+            (policy["hard_stop"] & (g["verdict"] == "FAIL")).alias("hard_stop"),
         )
 
-    kept = F.filter("gates", lambda g: gate_runs_for(canonical_gate(g["gate"]), stage, market))
-    out = df.withColumn("policy_gates", F.transform(kept, scoped))
-    return out.withColumn(
-        "policy_pass", F.forall("policy_gates", lambda g: g["verdict"] != "FAIL")
-    ).withColumn("hard_stop", F.exists("policy_gates", lambda g: g["hard_stop"]))
+    out = df.withColumns({"policy_gates": named, "_running": running_gates(stage, market)})
+    kept = F.filter("policy_gates", lambda g: F.array_contains(F.col("_running"), g["gate"]))
+    out = out.withColumn("policy_gates", F.transform(kept, judged)).drop("_running")
+    return out.withColumns(
+        {
+            "policy_pass": F.forall("policy_gates", lambda g: g["verdict"] != "FAIL"),
+            "hard_stop": F.exists("policy_gates", lambda g: g["hard_stop"]),
+        }
+    )
 
 
 def with_external_gates(df: DataFrame, external: Column) -> DataFrame:

@@ -11,6 +11,7 @@ from rolebook import vocab
 from rolebook.functions.dates import as_of_col
 from rolebook.functions.text import norm_key
 from rolebook.functions.urls import numeric_ref
+from rolebook.operators.scoring import candidate_struct
 
 
 def tracker_pairs(tracker: DataFrame) -> DataFrame:
@@ -108,7 +109,7 @@ def pair(postings: DataFrame, candidates: Sequence | DataFrame, blocks: int | No
         return postings.select("*", F.explode(F.array(*[c.as_struct() for c in candidates])).alias("cand"))
     n = blocks or int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = candidates.select(
-        F.struct(*candidates.columns).alias("cand"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_block")
+        candidate_struct(candidates).alias("cand"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_block")
     )
     placed = postings.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
     return placed.join(spread, "_block").drop("_block")

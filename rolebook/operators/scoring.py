@@ -11,10 +11,24 @@ from pyspark.sql import functions as F
 from rolebook import vocab
 from rolebook.functions.dates import age_days, as_of_col, strict_iso
 from rolebook.functions.money import half_up
-from rolebook.functions.text import col_of, contains_ci, score_tokens
+from rolebook.functions.text import canon_location, col_of, score_tokens
 from rolebook.operators import gates as G
 
 
+def canon_place(text: str) -> str:
+    """A configured place, spelled as :func:`canon_location` spells columns."""
+    out = text.lower()
+    for alias, canon in vocab.LOCATION_ALIASES:
+        out = out.replace(alias, canon, 1)
+    return out
+
+
+def candidate_struct(candidates: DataFrame) -> Column:
+    """The columns of a candidate table as one struct, ready for the gates."""
+    accept = F.transform("locations", lambda w: canon_location(w))
+    return F.struct(*candidates.columns, accept.alias("accept"))
+
+
 @dataclass(frozen=True)
 class Candidate:
     """One candidate. ``locations`` empty means anywhere."""
@@ -36,7 +50,9 @@ class Candidate:
         def words(values):
             return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 
+        accept = [canon_place(v) for v in self.locations]
         return F.struct(
+            words(accept).alias("accept"),
             F.lit(self.candidate_id).alias("candidate_id"),
             F.lit(self.stage).alias("stage"),
             words(self.skills).alias("skills"),
@@ -216,9 +232,9 @@ def shortlist(
     text is read: the filters reach the scan, and the text patterns run on
     the survivors only.
     """
-    in_time = G.gate_stale("posted_date", max_age_days, as_of)["verdict"] != "FAIL"
-    in_place = G.gate_location("location", cand)["verdict"] != "FAIL"
-    rows = gated(postings.filter(in_time).filter(in_place), cand, as_of, with_text, max_age_days)
+    late = G.gate_stale("posted_date", max_age_days, as_of).fails
+    away = G.gate_location("location", canon_location("location"), cand).fails
+    rows = gated(postings.filter(~late & ~away), cand, as_of, with_text, max_age_days)
     scored = score_posting(rows.filter("pass"), cand, as_of, with_text)
     return scored.orderBy(*shortlist_order()).limit(top)
 

@@ -19,6 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table whose rows are worth spreading over the cores before text work."""
+    df = table(spark, sf_dir, name)
+    return spread_small(df.select(*columns) if columns else df)
+
+
 def days_before(days: Column) -> Column:
     return F.date_sub(F.lit(AS_OF).cast("date"), days.cast("int"))
 
@@ -43,7 +49,7 @@ SUFFIXES = {
 
 
 def doc_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spread_small(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    d = text_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     k = F.col("doc_id")
     return d.select(
         F.concat(F.lit("doc:"), k).alias("id"),
@@ -82,7 +88,7 @@ DOC_SQL = """doc AS (
 
 
 def page_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages")
+    p = text_table(spark, sf_dir, "pages")
     k = F.col("page_id")
     host = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)
     place = F.regexp_extract("url", r"^[a-z]+://[^/?#]+/([a-z][a-z])(?:[/?#]|$)", 1)

@@ -96,7 +96,7 @@ def iso_dates(spark, sf):
     "CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS named, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS iso FROM orders",
 )
 def lenient_date(spark, sf):
-    o = B.table(spark, sf, "orders")
+    o = B.text_table(spark, sf, "orders", "o_orderkey", "o_orderdate")
     d = F.col("o_orderdate")
     return o.select(
         "o_orderkey",
@@ -169,7 +169,7 @@ SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace
 FROM p""",
 )
 def strip_html(spark, sf):
-    return B.table(spark, sf, "pages").select("page_id", text.strip_html("html").alias("body"))
+    return B.text_table(spark, sf, "pages").select("page_id", text.strip_html("html").alias("body"))
 
 
 @query(
@@ -182,7 +182,7 @@ SELECT page_id, regexp_replace(regexp_replace(regexp_replace(array_to_string(lis
   '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+', ''), '\\s+$', '') AS body FROM p""",
 )
 def html_to_text(spark, sf):
-    return B.table(spark, sf, "pages").select("page_id", text.html_to_text("html").alias("body"))
+    return B.text_table(spark, sf, "pages").select("page_id", text.html_to_text("html").alias("body"))
 
 
 @query(
@@ -194,7 +194,7 @@ SELECT page_id, nullif(trim(regexp_replace(regexp_replace(regexp_replace(
   '[ \\t]+', ' ', 'g'), ' *\\n *', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10)), '') AS body FROM p""",
 )
 def html_to_prose(spark, sf):
-    return B.table(spark, sf, "pages").select("page_id", text.html_to_prose("html").alias("body"))
+    return B.text_table(spark, sf, "pages").select("page_id", text.html_to_prose("html").alias("body"))
 
 
 @query(
@@ -455,5 +455,5 @@ ATS_WORDS_SQL = " + ".join(f"CAST(contains(l, '{w}') AS INTEGER)" for w in vocab
 SELECT doc_id, array_to_string(issues, ',') AS issues, len(issues) = 0 AS ok FROM f""",
 )
 def text_hygiene(spark, sf):
-    d = filters.text_hygiene(B.table(spark, sf, "documents"), min_chars=40)
+    d = filters.text_hygiene(B.text_table(spark, sf, "documents", "doc_id", "text"), min_chars=40)
     return d.select("doc_id", F.array_join("issues", ",").alias("issues"), "ok")

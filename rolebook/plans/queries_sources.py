@@ -114,7 +114,7 @@ def feed_smartrecruiters(spark, sf):
 SELECT doc_id, trim('Zeta' || chr(10) || body) || chr(10) || chr(10) || 'Alpha' || chr(10) || lang AS description FROM d""",
 )
 def feed_smartrecruiters_detail(spark, sf):
-    d = B.table(spark, sf, "documents")
+    d = B.text_table(spark, sf, "documents", "doc_id", "text", "lang")
     first, second = js(title=F.lit("Zeta"), text=F.col("text")), js(title=F.lit("Alpha"), text=F.col("lang"))
     as_array = doc(jobAd=js(sections=F.array(first, second)))
     as_object = doc(jobAd=js(sections=F.struct(first.alias("z"), second.alias("a"))))
@@ -149,7 +149,7 @@ def feed_amazon(spark, sf):
   CAST(NULL AS VARCHAR) AS reject_reason FROM orders""",
 )
 def feed_workday(spark, sf):
-    o = B.table(spark, sf, "orders")
+    o = B.text_table(spark, sf, "orders")
     k = F.col("o_orderkey")
     item = js(
         title=F.concat(F.lit("Role "), k), externalPath=F.when(k % 3 == 0, F.concat(F.lit("job/R-"), k)),
@@ -171,7 +171,7 @@ SELECT 'workday:acme:job/X_' || page_id AS id, CASE WHEN page_id % 9 = 0 THEN 'U
   CASE WHEN page_id % 9 = 0 THEN 'no-record' END AS reject_reason FROM p""",
 )
 def feed_workday_detail(spark, sf):
-    p = B.table(spark, sf, "pages")
+    p = B.text_table(spark, sf, "pages")
     k = F.col("page_id")
     info = js(title=F.concat(F.lit("Role "), k), jobDescription=F.col("html"), startDate=F.lit("2024-04-01"))
     payloads = p.select(
@@ -297,7 +297,7 @@ def feed_unstop(spark, sf):
   CASE WHEN o_orderkey % 13 = 6 THEN 'no-title' END AS reject_reason FROM orders""",
 )
 def feed_wwr(spark, sf):
-    o = B.table(spark, sf, "orders")
+    o = B.text_table(spark, sf, "orders")
     k = F.col("o_orderkey")
     role = F.concat(F.lit("Role &amp; "), k)
     title = F.when(k % 13 == 6, "").when(k % 2 == 0, F.concat(F.lit("Acme "), F.col("o_custkey") % 7, F.lit(": "), role)).otherwise(role)
@@ -323,7 +323,7 @@ def feed_wwr(spark, sf):
   CASE page_id % 4 WHEN 1 THEN '$' || page_id WHEN 2 THEN 'EUR1 - EUR' || (page_id + 2) END AS salary FROM pages""",
 )
 def extract_jsonld(spark, sf):
-    p = B.table(spark, sf, "pages")
+    p = B.text_table(spark, sf, "pages")
     k = F.col("page_id")
 
     def salary(low, high, currency):
