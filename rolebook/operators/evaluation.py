@@ -85,7 +85,7 @@ def rank_stability(first: DataFrame, second: DataFrame, k: int = 10) -> DataFram
     tops = (
         a.orderBy(F.col("a").desc(), "id").limit(k).select("id")
         .join(b.orderBy(F.col("b").desc(), "id").limit(k).select("id"), "id")
-        .agg(F.count(F.lit(1)).alias("top_k_overlap"), F.lit(1).alias("_one"))
+        .agg(F.count(F.lit(1)).alias("top_k_overlap"))
     )
     variance = (F.col("a") - F.col("b")) * (F.col("a") - F.col("b")) / 2.0
     stats = both.agg(
@@ -93,6 +93,6 @@ def rank_stability(first: DataFrame, second: DataFrame, k: int = 10) -> DataFram
         F.corr("rank_a", "rank_b").alias("spearman"),
         F.count_if(band(F.col("a")) != band(F.col("b"))).alias("band_churn"),
         F.sqrt(F.avg(variance)).alias("score_sigma"),
-        F.lit(1).alias("_one"),
     )
-    return stats.join(tops, "_one").drop("_one")
+    both_rows = stats.unionByName(tops, allowMissingColumns=True)
+    return both_rows.agg(*[F.max(c).alias(c) for c in both_rows.columns])

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rolebook import vocab
 from rolebook.functions.dates import age_days
 from rolebook.functions.money import parse_salary
-from rolebook.functions.text import col_of, contains_ci, squeeze
+from rolebook.functions.text import col_of, contains_ci, let, squeeze
 
 #: Columns a board's own phrase search looks at, joined by a space.
 PHRASE_COLUMNS = {
@@ -76,11 +76,12 @@ def match_all_words(df: DataFrame, query: str, columns: Sequence[str], tags: str
     parts = [F.coalesce(F.col(c), F.lit("")) for c in columns]
     if tags:
         parts.append(F.array_join(F.col(tags), " "))
+    words = query.lower().split()
+    if not words:
+        return df
+    wanted = F.array(*[F.lit(w) for w in words])
     hay = F.lower(F.concat_ws(" ", *parts))
-    out = df
-    for word in query.lower().split():
-        out = out.filter(F.contains(hay, F.lit(word)))
-    return out
+    return df.filter(let(hay, lambda h: F.forall(wanted, lambda w: F.contains(h, w))))
 
 
 def match_tag(df: DataFrame, tag: str, column: str = "tags") -> DataFrame:

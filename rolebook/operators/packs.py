@@ -45,13 +45,18 @@ def keyword_gaps(df: DataFrame, skills: Column, key: str = "id") -> DataFrame:
     order of first appearance. Words are counted per posting before they are
     shuffled, and only twelve per posting are ever ranked.
     """
-    title = F.transform(pack_tokens("title"), lambda w, i: F.struct(w.alias("word"), F.lit(4).alias("n"), F.lit(0).alias("part"), i.alias("at")))
-    body = F.transform(
-        pack_tokens(F.coalesce("description", F.lit(""))),
-        lambda w, i: F.struct(w.alias("word"), F.lit(1).alias("n"), F.lit(1).alias("part"), i.alias("at")),
-    )
+    def spots(tokens, weight: int, start: int):
+        """Words with their weight and their place in reading order."""
+        return F.transform(
+            tokens,
+            lambda w, i: F.struct(w.alias("word"), F.lit(weight).alias("n"), (F.lit(start) + i.cast("bigint")).alias("at")),
+        )
+
+    title = spots(pack_tokens("title"), 4, 0)
+    body = spots(pack_tokens(F.coalesce("description", F.lit(""))), 1, 1 << 40)
     words = df.select(key, F.inline(F.concat(title, body)))
-    weighed = words.groupBy(key, "word").agg(F.sum("n").alias("weight"), F.min(F.struct("part", "at")).alias("first"))
+    # Two numbers per word: a hash aggregate on the map side.
+    weighed = words.groupBy(key, "word").agg(F.sum("n").alias("weight"), F.min("at").alias("first"))
     order = Window.partitionBy(key).orderBy(F.col("weight").desc(), "first")
     top = weighed.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= vocab.GAP_TOP)
     prof = F.transform(skills, lambda s: F.lower(s))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from rolebook import vocab
 from rolebook.functions.dates import age_days, as_of_col, strict_iso
 from rolebook.functions.money import half_up
-from rolebook.functions.text import canon_location, col_of, score_tokens
+from rolebook.functions.text import canon_location, col_of, let, score_tokens
 from rolebook.operators import gates as G
 
 
@@ -77,10 +77,12 @@ def factor_weights(stage: Column) -> Column:
 
 def skill_overlap(skills: Column, text: Column) -> Column:
     """Struct(hit, miss): skills quoted in the text, in profile order."""
-    hay = F.lower(text)
-    return F.struct(
-        F.filter(skills, lambda s: F.contains(hay, F.lower(s))).alias("hit"),
-        F.filter(skills, lambda s: ~F.contains(hay, F.lower(s))).alias("miss"),
+    return let(
+        F.lower(text),
+        lambda hay: F.struct(
+            F.filter(skills, lambda s: F.contains(hay, F.lower(s))).alias("hit"),
+            F.filter(skills, lambda s: ~F.contains(hay, F.lower(s))).alias("miss"),
+        ),
     )
 
 

@@ -226,19 +226,20 @@ def advance_status(tracker: DataFrame, signals: DataFrame) -> DataFrame:
     row (``change`` = reapplied) when it is later than the closed one.
     """
     kinds = signals.select("application_id", "at", classify_signal(F.col("text")).alias("signal")).filter("signal IS NOT NULL")
-    acked = F.max(F.when(F.col("signal") == "applied", F.col("at"))).alias("ack_at")
     best = kinds.groupBy("application_id").agg(
-        F.max_by("signal", F.struct(_rank(F.col("signal")), "at")).alias("signal"), acked
+        F.max(_rank(F.col("signal"))).alias("signal_rank"),
+        F.max(F.when(F.col("signal") == "applied", F.col("at"))).alias("ack_at"),
     )
     joined = tracker.join(best, "application_id", "left")
+    signal = F.when(F.col("signal_rank") == vocab.STAGE_RANK["interview"], "interview").otherwise("applied")
     status = canon_status("status")
     final = status.isin(*vocab.FINAL_STATUSES)
-    moves = ~final & F.coalesce(_rank(F.col("signal")) > _rank(F.col("status")), F.lit(False))
+    moves = ~final & F.coalesce(F.col("signal_rank") > _rank(F.col("status")), F.lit(False))
     sent = moves & (status == "drafted") & F.col("ack_at").isNotNull()
     again = final & F.coalesce(F.col("ack_at") > F.col("date"), F.lit(False))
     columns = [c for c in tracker.columns if c not in ("status", "date")]
     kept = F.struct(
-        F.when(moves, F.col("signal")).otherwise(status).alias("status"),
+        F.when(moves, signal).otherwise(status).alias("status"),
         F.when(sent, F.col("ack_at")).otherwise(F.col("date")).alias("date"),
         F.when(moves, "advanced").alias("change"),
     )

@@ -120,13 +120,16 @@ def diff_sets(spark, sf):
 # --- limits ---------------------------------------------------------------------
 
 
-@query(
-    "limit_with_meta",
-    f"WITH {B.PG_SQL} SELECT p.id, t.total, t.truncated FROM (SELECT id FROM pg ORDER BY posted_date DESC, pos LIMIT 25) p, (SELECT count(*) AS total, count(*) > 25 AS truncated FROM pg) t",
-)
+@query("limit_with_meta", f"WITH {B.PG_SQL} SELECT id FROM pg ORDER BY posted_date DESC, pos LIMIT 25")
 def limit_with_meta(spark, sf):
-    rows, meta = limits.limit_with_meta(B.page_postings(spark, sf), [F.col("posted_date").desc(), "pos"], 25)
-    return rows.select("id", F.lit(1).alias("one")).join(meta.withColumn("one", F.lit(1)), "one").drop("one")
+    rows, _ = limits.limit_with_meta(B.page_postings(spark, sf), [F.col("posted_date").desc(), "pos"], 25)
+    return rows.select("id")
+
+
+@query("limit_meta", "SELECT count(*) AS total, count(*) > 25 AS truncated FROM pages")
+def limit_meta(spark, sf):
+    _, meta = limits.limit_with_meta(B.table(spark, sf, "pages"), ["page_id"], 25)
+    return meta
 
 
 @query("page", f"WITH {B.PG_SQL} SELECT id FROM pg ORDER BY posted_date DESC, pos LIMIT 20 OFFSET 40")
