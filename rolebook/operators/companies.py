@@ -47,10 +47,15 @@ def match_score(q: Column, n: Column, q_words: Column, overlap: Column) -> Colum
     )
 
 
+#: Longest substring that is joined whole. Longer keys are looked up by their
+#: first characters, so a key of any length yields a linear number of parts.
+PART = 16
+
+
 def _substrings(key: Column) -> Column:
-    """Substrings long enough to score by containment alone."""
+    """Substrings long enough to score by containment alone, up to PART."""
     n = F.length(key)
-    lengths = F.filter(F.sequence(F.lit(1), n), lambda k: (k >= 5) | (k * 2 >= n))
+    lengths = F.filter(F.sequence(F.lit(1), F.least(n, F.lit(PART))), lambda k: (k >= 5) | (k * 2 >= n))
     return F.array_distinct(
         F.flatten(
             F.transform(
@@ -62,8 +67,11 @@ def _substrings(key: Column) -> Column:
 
 
 def _contained_pairs(needles: DataFrame, needle: str, hays: DataFrame, hay: str) -> DataFrame:
+    """Pairs where the needle's key is inside the other key. A needle longer
+    than PART is found by its start; scoring checks the rest of it."""
     parts = hays.select(hay, F.explode(_substrings(F.col(f"{hay}_key"))).alias("_part"))
-    return parts.join(needles.select(needle, F.col(f"{needle}_key").alias("_part")), "_part").select("query", "company")
+    starts = needles.select(needle, F.substring(f"{needle}_key", 1, PART).alias("_part"))
+    return parts.join(starts, "_part").select("query", "company")
 
 
 def match_names(queries: DataFrame, companies: DataFrame, floor: int = vocab.MATCH_FLOOR) -> DataFrame:

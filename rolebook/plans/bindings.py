@@ -123,10 +123,10 @@ PG_SQL = """pg AS (
 
 
 def mirror_postings(pages: DataFrame) -> DataFrame:
-    """Every third page again, under a tracked URL and another portal."""
+    """The secure pages again, under a tracked URL and another portal."""
     base, frag = F.substring_index("url", "#", 1), F.regexp_extract("url", "(#.*)$", 1)
     mark = F.when(F.instr(base, "?") > 0, F.lit("&")).otherwise(F.lit("?"))
-    return pages.filter(F.col("page_id") % 3 == 0).withColumns(
+    return pages.filter(F.startswith("url", F.lit("https:"))).withColumns(
         {
             "id": F.concat(F.lit("mirror:"), "page_id"),
             "portal": F.lit("mirror"),
@@ -144,7 +144,7 @@ PG2_SQL = (
   SELECT 'mirror:' || page_id, title, company, location, posted_date,
          regexp_extract(url, '^([^#]*)', 1) || CASE WHEN regexp_extract(url, '^([^#]*)', 1) LIKE '%?%' THEN '&' ELSE '?' END
            || 'utm_source=m' || coalesce(regexp_extract(url, '(#.*)$', 1), ''),
-         'mirror', pos, description, page_id, 4 FROM pg WHERE page_id % 3 = 0)"""
+         'mirror', pos, description, page_id, 4 FROM pg WHERE url LIKE 'https:%')"""
 )
 
 
@@ -242,17 +242,17 @@ SEEN_SQL = """seen AS (
 
 
 def seen_tracker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tracker rows for a fifth of the seen postings, spelled differently."""
-    p = table(spark, sf_dir, "part").filter(F.col("p_partkey") % 5 == 0)
+    """Tracker rows for the promoted postings, spelled differently."""
+    p = table(spark, sf_dir, "part").filter(F.col("p_type") == "PROMO")
     return p.select(F.upper("p_brand").alias("company"), F.col("p_name").alias("role"))
 
 
-TRKS_SQL = "trks AS (SELECT upper(p_brand) AS company, p_name AS role FROM part WHERE p_partkey % 5 = 0)"
+TRKS_SQL = "trks AS (SELECT upper(p_brand) AS company, p_name AS role FROM part WHERE p_type = 'PROMO')"
 
 
 def score_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Score results for every fourth part, one unknown key per hundred and a
-    missing dimension here and there."""
+    """Score results for every part, with unknown keys and missing dimensions
+    here and there."""
     k = F.col("p_partkey")
     dims = F.struct(
         F.when(k % 23 != 0, ((k * 7) % 101).cast("double")).alias("technical"),
@@ -263,7 +263,6 @@ def score_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     gate = F.when(k % 3 == 0, F.lit(None)).when(k % 5 == 0, "FAIL").otherwise("PASS")
     return (
         table(spark, sf_dir, "part")
-        .filter(k % 4 == 0)
         .select(
             F.when(k % 100 == 0, F.concat(F.lit("gone:"), k)).otherwise(F.concat(F.lit("part:"), k)).alias("key"),
             F.when(k % 52 == 0, "expired").alias("status"),
@@ -290,7 +289,7 @@ SCORES_SQL = """scores AS (
          CASE WHEN p_partkey % 3 <> 0 AND p_partkey % 5 = 0 THEN 'note ' || p_partkey END AS language_note,
          CASE WHEN p_partkey % 8 <> 0 THEN '2024-05-03' END AS deadline,
          p_partkey % 16 <> 0 AS has_strengths
-  FROM part WHERE p_partkey % 4 = 0)"""
+  FROM part)"""
 
 COMPANY_SUFFIX = {0: "Pvt Ltd", 1: "Technologies", 2: "India", 3: "(Group)", 4: "Holding"}
 

@@ -343,12 +343,12 @@ def robots_filter(spark, sf):
 
 @query(
     "with_company",
-    f"""WITH {B.CO_SQL}, r AS (SELECT 'slug' || pos AS slug, company FROM co WHERE pos % 2 = 0)
+    f"""WITH {B.CO_SQL}, r AS (SELECT 'slug' || pos AS slug, company FROM co WHERE city IN ('ECONOMY', 'PROMO'))
 SELECT co.pos, coalesce(r.company, 'SLUG' || co.pos) AS company FROM co LEFT JOIN r ON r.slug = 'slug' || co.pos""",
 )
 def with_company(spark, sf):
     co = B.companies(spark, sf)
-    registry = co.filter(F.col("pos") % 2 == 0).select(F.concat(F.lit("Slug"), "pos").alias("slug"), "company")
+    registry = co.filter(F.col("city").isin("ECONOMY", "PROMO")).select(F.concat(F.lit("Slug"), "pos").alias("slug"), "company")
     return joins.with_company(co.select("pos", F.concat(F.lit("SLUG"), "pos").alias("slug")), registry).select("pos", "company")
 
 
@@ -399,16 +399,14 @@ def cache_lookup(spark, sf):
     return out.withColumn("fetched_date", F.col("fetched_date").cast("string"))
 
 
-def monthly_values(spark, sf, shift):
-    o = B.table(spark, sf, "orders")
-    k = F.col("o_orderkey")
-    counted = F.sum(F.when((k % 500 == 0) & F.lit(shift), 2).otherwise(1)).cast("double")
-    out = o.groupBy(F.col("o_custkey").alias("custkey")).agg(counted.alias("n"))
-    return out.filter(F.col("custkey") % 101 != 7) if shift else out.filter(F.col("custkey") % 103 != 9)
+def order_counts(spark, sf, left_out):
+    """Orders per customer, one order status left out."""
+    o = B.table(spark, sf, "orders").filter(F.col("o_orderstatus") != left_out)
+    return o.groupBy(F.col("o_custkey").alias("custkey")).agg(F.count(F.lit(1)).cast("double").alias("n"))
 
 
-RECONCILE_SQL = """e AS (SELECT o_custkey AS custkey, CAST(count(*) AS DOUBLE) AS n FROM orders WHERE o_custkey % 103 <> 9 GROUP BY 1),
-a AS (SELECT o_custkey AS custkey, CAST(sum(CASE WHEN o_orderkey % 500 = 0 THEN 2 ELSE 1 END) AS DOUBLE) AS n FROM orders WHERE o_custkey % 101 <> 7 GROUP BY 1),
+RECONCILE_SQL = """e AS (SELECT o_custkey AS custkey, CAST(count(*) AS DOUBLE) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1),
+a AS (SELECT o_custkey AS custkey, CAST(count(*) AS DOUBLE) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1),
 d AS (SELECT coalesce(e.custkey, a.custkey) AS custkey, e.n AS expected, a.n AS actual,
   CASE WHEN a.custkey IS NULL THEN 'missing: ' WHEN e.custkey IS NULL THEN 'extra: ' WHEN abs(e.n - a.n) > 1e-9 THEN 'differs: ' END
   || coalesce(e.custkey, a.custkey) AS detail FROM e FULL JOIN a ON e.custkey = a.custkey)"""
@@ -416,7 +414,7 @@ d AS (SELECT coalesce(e.custkey, a.custkey) AS custkey, e.n AS expected, a.n AS
 
 @query("reconcile", f"WITH {RECONCILE_SQL} SELECT * FROM d WHERE detail IS NOT NULL")
 def reconcile(spark, sf):
-    return joins.reconcile(monthly_values(spark, sf, False), monthly_values(spark, sf, True), ["custkey"], "n")
+    return joins.reconcile(order_counts(spark, sf, "F"), order_counts(spark, sf, "P"), ["custkey"], "n")
 
 
 KNOWN = ("missing: 1", "extra: 2", "differs: 999999")
@@ -429,7 +427,7 @@ SELECT pattern, count(detail) AS hits, count(detail) = 0 AS resolved FROM p LEFT
 UNION ALL SELECT 'unexpected', count(*), false FROM d WHERE detail IS NOT NULL AND NOT contains(detail, 'missing: 1') AND NOT contains(detail, 'extra: 2')""",
 )
 def ratchet(spark, sf):
-    diffs = joins.reconcile(monthly_values(spark, sf, False), monthly_values(spark, sf, True), ["custkey"], "n")
+    diffs = joins.reconcile(order_counts(spark, sf, "F"), order_counts(spark, sf, "P"), ["custkey"], "n")
     classed, patterns = joins.ratchet(diffs, KNOWN)
     unexpected = classed.filter(F.col("known").isNull()).agg(F.count(F.lit(1)).alias("hits"))
     return patterns.unionByName(unexpected.select(F.lit("unexpected").alias("pattern"), "hits", F.lit(False).alias("resolved")))

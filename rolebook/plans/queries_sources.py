@@ -562,12 +562,12 @@ def batch_outcome(spark, sf):
 
 @query(
     "parse_scores",
-    f"""WITH {B.SCORES_SQL} SELECT CASE WHEN key LIKE 'part:%0' THEN 'results[0]' ELSE key END AS key, CASE WHEN key NOT LIKE '%0' AND key NOT LIKE '%6' THEN technical END AS technical,
-  CASE WHEN key LIKE 'part:%0' THEN 'scoring object must be an object, got bigint' WHEN key LIKE '%6' THEN 'scores must be an object, got array' END AS error
-FROM scores WHERE key NOT LIKE 'gone%'""",
+    f"""WITH {B.SCORES_SQL} SELECT CASE WHEN key LIKE '%0' THEN 'results[0]' ELSE key END AS key, CASE WHEN key NOT LIKE '%0' AND key NOT LIKE '%6' THEN technical END AS technical,
+  CASE WHEN key LIKE '%0' THEN 'scoring object must be an object, got bigint' WHEN key LIKE '%6' THEN 'scores must be an object, got array' END AS error
+FROM scores""",
 )
 def parse_scores(spark, sf):
-    s = B.score_results(spark, sf).filter(~F.startswith("key", F.lit("gone")))
+    s = B.score_results(spark, sf)
     whole = F.to_json(F.struct("key", "scores", "language_gate"))
     payload = F.when(F.endswith("key", F.lit("0")), "[5]").when(
         F.endswith("key", F.lit("6")), F.concat(F.lit('{"results":[{"key":"'), "key", F.lit('","scores":[1]}]}'))

@@ -59,6 +59,8 @@ def test_company_match_equals_brute_force(spark):
     words = ["red", "hat", "tata", "ibm", "go", "a", "systems", "data", "lab", "labs", "inc", "india", "3m", "x1", "techno", "technology"]
     names = sorted({" ".join(rng.sample(words, rng.randint(1, 3))) + rng.choice(["", " Ltd", " (UK)", ", sub"]) for _ in range(120)})
     queries = sorted({" ".join(rng.sample(words, rng.randint(1, 3))) for _ in range(40)})
+    names += ["internationalbusinessmachines one", "internationalbusinessmachinestwo", "internationalbusinessXx", "theinternationalbusinessmachinestwoco"]
+    queries += ["internationalbusinessmachines", "internationalbusinessmachinestwo", "internationalbusiness", "x"]
     want = {(q, n): s for q in queries for n in names if (s := pair_score(q, n)) >= 30}
     assert run_match(spark, queries, names) == want
 
