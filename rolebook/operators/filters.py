@@ -181,16 +181,20 @@ def facet_filter(
 
 
 def hygiene_issues(text) -> Column:
-    """Names of the parseability rules an extracted document text breaks."""
+    """Names of the parseability rules an extracted document text breaks.
+
+    Patterns that need a rare character are tried only on texts holding it.
+    """
     t = col_of(text)
+    has = lambda part: F.contains(t, F.lit(part))
     low = F.lower(t)
     sections = sum((F.contains(low, F.lit(w)).cast("int") for w in vocab.ATS_SECTION_WORDS), F.lit(0))
     checks = (
-        ("replacement-chars", F.contains(t, F.lit("\ufffd"))),
-        ("cid-markers", t.rlike(r"\(cid:\d+\)")),
-        ("leaked-item-bracket", t.rlike(r"\\item\s*\[")),
-        ("leaked-macro", t.rlike(vocab.LEAKED_MACROS + r"(?!\w)")),
-        ("no-email", ~(F.contains(t, F.lit("@")) & t.rlike(vocab.EMAIL))),
+        ("replacement-chars", has("\ufffd")),
+        ("cid-markers", has("(cid:") & t.rlike(r"\(cid:\d+\)")),
+        ("leaked-item-bracket", has("\\item") & t.rlike(r"\\item\s*\[")),
+        ("leaked-macro", has("\\") & t.rlike(vocab.LEAKED_MACROS + r"(?!\w)")),
+        ("no-email", ~(has("@") & t.rlike(vocab.EMAIL))),
         ("no-phone", ~(t.rlike("[0-9X]{2}") & t.rlike(vocab.PHONE))),
         ("few-sections", sections < 2),
     )

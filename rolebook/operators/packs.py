@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolebook import vocab
-from rolebook.functions.text import pack_tokens
+from rolebook.functions.text import let, pack_tokens
 
 PROFILE_SCHEMA = (
     "name string, email string, phone string, location string, summary string, skills array<string>, "
@@ -37,42 +37,62 @@ def profile_issues(df: DataFrame) -> DataFrame:
     return df.withColumn("issue", issue)
 
 
-def keyword_gaps(df: DataFrame, skills: Column, key: str = "id") -> DataFrame:
-    """(key, covered, missing): the twelve heaviest posting words, split by
-    whether a skill contains or is contained in them.
+def top_words(title: Column, description: Column, top: int = vocab.GAP_TOP) -> Column:
+    """The heaviest words of a posting, heaviest first; ties keep the order of
+    first appearance.
 
-    A title word weighs 4 per occurrence, a description word 1; ties keep the
-    order of first appearance. Words are counted per posting before they are
-    shuffled, and only twelve per posting are ever ranked.
+    A title word weighs 4 per occurrence, a description word 1. The words are
+    counted inside the row: sorted with their places, equal words form runs,
+    and a run's length is the word's weight. Nothing is shuffled.
     """
-    def spots(tokens, weight: int, start: int):
-        """Words with their weight and their place in reading order."""
-        return F.transform(
-            tokens,
-            lambda w, i: F.struct(w.alias("word"), F.lit(weight).alias("n"), (F.lit(start) + i.cast("bigint")).alias("at")),
+    in_title = pack_tokens(title)
+    words = F.concat(F.flatten(F.array_repeat(in_title, 4)), pack_tokens(F.coalesce(description, F.lit(""))))
+
+    def ranked(ws):
+        spots = F.arrays_zip(ws.alias("word"), F.sequence(F.lit(1), F.size(ws)).alias("at"))
+        return let(F.sort_array(spots), runs)
+
+    def runs(s):
+        starts = F.filter(
+            F.sequence(F.lit(0), F.size(s) - 1),
+            lambda i: (i == 0) | (F.get(s, i)["word"] != F.get(s, i - 1)["word"]),
         )
+        return let(starts, lambda st: weights(s, st))
+
+    def weights(s, starts):
+        weighed = F.transform(
+            starts,
+            lambda i, j: F.struct(
+                (i - F.coalesce(F.get(starts, j + 1), F.size(s))).alias("lightness"),
+                F.get(s, i)["at"].alias("first"),
+                F.get(s, i)["word"].alias("word"),
+            ),
+        )
+        return F.transform(F.slice(F.sort_array(weighed), 1, top), lambda w: w["word"])
+
+    none = F.array().cast("array<string>")
+    return let(words, lambda ws: F.when(F.size(ws) == 0, none).otherwise(ranked(ws)))
+
 
-    title = spots(pack_tokens("title"), 4, 0)
-    body = spots(pack_tokens(F.coalesce("description", F.lit(""))), 1, 1 << 40)
-    words = df.select(key, F.inline(F.concat(title, body)))
-    # Two numbers per word: a hash aggregate on the map side.
-    weighed = words.groupBy(key, "word").agg(F.sum("n").alias("weight"), F.min("at").alias("first"))
-    order = Window.partitionBy(key).orderBy(F.col("weight").desc(), "first")
-    top = weighed.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= vocab.GAP_TOP)
+def with_keyword_gaps(df: DataFrame, skills: Column) -> DataFrame:
+    """Adds ``covered`` and ``missing``: the twelve heaviest posting words,
+    split by whether a skill contains or is contained in them; function words
+    are never missing, and at most five are named."""
     prof = F.transform(skills, lambda s: F.lower(s))
-    hit = F.exists(prof, lambda s: F.contains(s, F.col("word")) | F.contains(F.col("word"), s))
-    listed = top.select(key, F.struct("place", "word", hit.alias("hit")).alias("w"))
-    grouped = listed.groupBy(key).agg(F.array_sort(F.collect_list("w")).alias("ws"))
-    covered = F.transform(F.filter("ws", lambda w: w["hit"]), lambda w: w["word"])
-    missing = F.transform(F.filter("ws", lambda w: ~w["hit"] & ~w["word"].isin(*vocab.GAP_NOISE)), lambda w: w["word"])
-    return grouped.select(key, covered.alias("covered"), F.slice(missing, 1, vocab.GAP_MAX).alias("missing"))
 
+    def known(w):
+        return F.exists(prof, lambda s: F.contains(s, w) | F.contains(w, s))
 
-def with_keyword_gaps(df: DataFrame, skills: Column, key: str = "id") -> DataFrame:
-    """Adds covered and missing to postings; a posting without words has none."""
-    none = F.array().cast("array<string>")
-    out = df.join(keyword_gaps(df, skills, key), key, "left")
-    return out.withColumns({"covered": F.coalesce("covered", none), "missing": F.coalesce("missing", none)})
+    d = df.select("*", F.explode(F.array(top_words(F.col("title"), F.col("description")))).alias("_top"))
+    missing = F.filter("_top", lambda w: ~known(w) & ~w.isin(*vocab.GAP_NOISE))
+    return d.withColumns(
+        {"covered": F.filter("_top", known), "missing": F.slice(missing, 1, vocab.GAP_MAX)}
+    ).drop("_top")
+
+
+def keyword_gaps(df: DataFrame, skills: Column, key: str = "id") -> DataFrame:
+    """(key, covered, missing) of each posting."""
+    return with_keyword_gaps(df, skills).select(key, "covered", "missing")
 
 
 def pick_bullets(bullets: Column, job_no: Column, keywords: Column, take: int = 4) -> Column:

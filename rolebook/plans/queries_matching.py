@@ -21,8 +21,8 @@ def re2(pattern: str) -> str:
     return pattern.replace(r"(?<!\w)", r"\b").replace(r"(?!\w)", r"\b")
 
 
-NEAR = re2(G.NEAR_BATCH)
-ONLY = re2(G.ONLY_WORD)
+NEAR = "(?i)" + re2(G.NEAR_BATCH)
+ONLY = "(?i)" + re2(G.ONLY_WORD)
 
 
 def money_sql(unit: str) -> str:

@@ -75,7 +75,10 @@ def gap_skills():
     return F.array(F.lit("tion"), F.lit("Python"), F.lit("een"))
 
 
-@query("keyword_gaps", f"WITH {GAPS_SQL} SELECT id, covered, coalesce(missing, '') AS missing FROM kw")
+@query(
+    "keyword_gaps",
+    f"WITH {GAPS_SQL} SELECT doc.id, coalesce(covered, '') AS covered, coalesce(missing, '') AS missing FROM doc LEFT JOIN kw ON doc.id = kw.id",
+)
 def keyword_gaps(spark, sf):
     g = packs.keyword_gaps(B.doc_postings(spark, sf).select("id", "title", "description"), gap_skills())
     return g.select("id", F.array_join("covered", ",").alias("covered"), F.array_join("missing", ",").alias("missing"))
