@@ -204,10 +204,14 @@ def hygiene_issues(text) -> Column:
 def text_hygiene(df: DataFrame, column: str = "text", min_chars: int = 1, required: Sequence[str] = ()) -> DataFrame:
     """Adds ``issues`` (array) and ``ok``: hygiene rules, minimum length and
     required phrases after whitespace squeezing."""
-    flat = squeeze(F.coalesce(F.col(column), F.lit("")))
-    extra = [F.when(F.length(flat) < min_chars, F.lit("too-short"))]
+    body = F.coalesce(F.col(column), F.lit(""))
+    flat = squeeze(body)
+    # A squeezed text is at least as long as its squeezed start, so most texts are
+    # known to be long enough from their first characters.
+    starts_long = F.length(squeeze(F.substring(body, 1, 4 * min_chars))) >= min_chars
+    extra = [F.when(starts_long, F.lit(None).cast("string")).when(F.length(flat) < min_chars, F.lit("too-short"))]
     for phrase in required:
         want = " ".join(phrase.split())
         extra.append(F.when(~F.contains(flat, F.lit(want)), F.lit(f"missing: {want}")))
-    issues = F.concat(F.array_compact(F.array(*extra)), hygiene_issues(F.coalesce(F.col(column), F.lit(""))))
+    issues = F.concat(F.array_compact(F.array(*extra)), hygiene_issues(body))
     return df.withColumn("issues", issues).withColumn("ok", F.size("issues") == 0)

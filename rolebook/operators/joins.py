@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from rolebook import vocab
 from rolebook.functions.dates import as_of_col
-from rolebook.functions.text import norm_key
+from rolebook.functions.text import canon_location, norm_key
 from rolebook.functions.urls import numeric_ref
-from rolebook.operators.scoring import candidate_struct
+from rolebook.operators.gates import gate_stale
+from rolebook.operators.scoring import Candidate
 
 
 def tracker_pairs(tracker: DataFrame) -> DataFrame:
@@ -97,22 +98,53 @@ def resolve_refs(refs: DataFrame, postings: DataFrame, board: str = "remoteok")
     )
 
 
-def pair(postings: DataFrame, candidates: Sequence | DataFrame, blocks: int | None = None) -> DataFrame:
-    """Every posting with every candidate, candidate as struct ``cand``.
+def pair(postings: DataFrame, candidates: Sequence[Candidate]) -> DataFrame:
+    """Every posting with each of a few configured candidates, as struct
+    ``cand``. The list is exploded in place: no join, no shuffle. For a table
+    of candidates see :func:`candidate_reach`, which forms no pairs."""
+    return postings.select("*", F.explode(F.array(*[c.as_struct() for c in candidates])).alias("cand"))
 
-    The product is this operator's definition. A list of candidates is
-    configuration and is exploded in place: no join, no shuffle. A candidate
-    table of any size is replicated to ``blocks`` blocks of postings by an
-    equi join on the block, so neither side is broadcast or collected.
+
+#: Places are looked up by substrings of at most this many characters.
+TERM = 16
+
+
+def _place_parts(place: Column) -> Column:
+    n = F.length(place)
+    parts = F.flatten(
+        F.transform(
+            F.sequence(F.lit(1), F.least(n, F.lit(TERM))),
+            lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.substr(place, i, k)),
+        )
+    )
+    return F.array_distinct(F.concat(F.array(F.lit("")), F.when(n > 0, parts).otherwise(F.array(F.lit("")))))
+
+
+def candidate_reach(postings: DataFrame, candidates: DataFrame, as_of, max_age_days: int = vocab.RANK_MAX_AGE_DAYS) -> DataFrame:
+    """(candidate_id, passed): postings that pass the date and place gates of
+    each row of a candidate table (candidate_id, locations), of any size.
+
+    Postings are reduced to counts per distinct place, candidates to distinct
+    accepted sets; the two meet in an equi join of accepted terms with the
+    substrings of a place. No posting ever meets a candidate.
     """
-    if not isinstance(candidates, DataFrame):
-        return postings.select("*", F.explode(F.array(*[c.as_struct() for c in candidates])).alias("cand"))
-    n = blocks or int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = candidates.select(
-        candidate_struct(candidates).alias("cand"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_block")
+    late = gate_stale("posted_date", max_age_days, as_of).fails
+    places = postings.filter(~late).groupBy(canon_location("location").alias("place")).agg(F.count(F.lit(1)).alias("n"))
+    accept = F.array_sort(F.array_distinct(F.transform("locations", lambda w: canon_location(w))))
+    wants = candidates.select("candidate_id", accept.alias("accept"))
+    terms = wants.select("accept").distinct().select("accept", F.explode("accept").alias("term"))
+    parts = places.filter(F.col("place").isNotNull()).select("place", "n", F.explode(_place_parts(F.col("place"))).alias("_part"))
+    hits = (
+        terms.withColumn("_part", F.substring("term", 1, TERM))
+        .join(parts, "_part")
+        .filter(F.contains("place", F.col("term")))
+        .select("accept", "place", "n")
+        .distinct()
     )
-    placed = postings.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    return placed.join(spread, "_block").drop("_block")
+    anywhere = places.select(F.array().cast("array<string>").alias("accept"), "place", "n")
+    counts = hits.union(anywhere).groupBy("accept").agg(F.sum("n").alias("passed"))
+    out = wants.join(counts, "accept", "left")
+    return out.select("candidate_id", F.coalesce("passed", F.lit(0)).cast("bigint").alias("passed"))
 
 
 def with_company(df: DataFrame, registry: DataFrame, slug: str = "slug") -> DataFrame:

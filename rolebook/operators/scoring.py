@@ -23,12 +23,6 @@ def canon_place(text: str) -> str:
     return out
 
 
-def candidate_struct(candidates: DataFrame) -> Column:
-    """The columns of a candidate table as one struct, ready for the gates."""
-    accept = F.transform("locations", lambda w: canon_location(w))
-    return F.struct(*candidates.columns, accept.alias("accept"))
-
-
 @dataclass(frozen=True)
 class Candidate:
     """One candidate. ``locations`` empty means anywhere."""

@@ -286,24 +286,14 @@ def pair_candidates(spark, sf):
     f"""WITH {B.DOC_SQL}, c AS (SELECT 's' || s_suppkey AS candidate_id, CASE s_nationkey % 3 WHEN 0 THEN 'Remote' WHEN 1 THEN 'Mumbai' ELSE 'Bengaluru' END AS want FROM supplier),
 g AS (SELECT candidate_id, coalesce(DATE '2024-04-30' - posted_date <= 30, true) AND location IS NOT NULL
    AND contains(replace(lower(location), 'bangalore', 'bengaluru'), lower(want)) AS pass FROM doc, c)
-SELECT candidate_id, count(*) AS pairs, CAST(sum(CAST(pass AS INTEGER)) AS BIGINT) AS passed FROM g GROUP BY 1""",
+SELECT candidate_id, CAST(sum(CAST(pass AS INTEGER)) AS BIGINT) AS passed FROM g GROUP BY 1""",
 )
 def pair_candidate_table(spark, sf):
-    s = B.table(spark, sf, "supplier")
     want = B.choose(F.col("s_nationkey") % 3, {0: "Remote", 1: "Mumbai", 2: "Bengaluru"})
-    cands = s.select(
-        F.concat(F.lit("s"), "s_suppkey").alias("candidate_id"),
-        F.lit("experienced").alias("stage"),
-        F.array().cast("array<string>").alias("skills"),
-        F.array(want).alias("locations"),
-        F.lit(None).cast("int").alias("grad_year"),
-        F.lit(None).cast("double").alias("stipend_floor"),
-        F.lit(None).cast("double").alias("ctc_floor"),
-        F.lit("global").alias("market"),
+    cands = B.table(spark, sf, "supplier").select(
+        F.concat(F.lit("s"), "s_suppkey").alias("candidate_id"), F.array(want).alias("locations")
     )
-    slim = B.doc_postings(spark, sf).select("id", "location", "posted_date")
-    g = S.gated(joins.pair(slim, cands), F.col("cand"), B.AS_OF, with_text=False)
-    return g.groupBy("cand.candidate_id").agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.col("pass").cast("int")).alias("passed"))
+    return joins.candidate_reach(B.doc_postings(spark, sf), cands, B.AS_OF)
 
 
 POLICY_BODIES = {

@@ -492,7 +492,7 @@ SELECT key, 'new' AS status, count(*) - count(*) AS repeats FROM k GROUP BY 1"""
 def stream_ingest(spark, sf):
     """Pages land in two waves (the mirror second) and are ingested by two
     runs of the stream; every key is stored once."""
-    landing, out, check = (scratch_path(spark, n) for n in ("landing", "ingested", "offsets"))
+    landing, out = (scratch_path(spark, n) for n in ("landing", "ingested"))
     p = pools(spark, sf)
     late = F.col("portal") == "mirror"
     landed = p.select(
@@ -502,6 +502,6 @@ def stream_ingest(spark, sf):
     )
     for wave in (~late, late):
         landed.filter(wave).write.mode("append").parquet(landing)
-        ingest.stream_ingest(spark, landing, out, check).awaitTermination()
+        ingest.stream_ingest(spark, landing, out).awaitTermination()
     rows = ingest.read_table(spark, out)
     return rows.groupBy("key", "status").agg((F.count(F.lit(1)) - 1).alias("repeats"))

@@ -42,8 +42,8 @@ def keyed(landed: DataFrame) -> DataFrame:
 def upsert_batch(batch: DataFrame, batch_id: int, out: str) -> None:
     """Append the rows whose key the table does not hold yet.
 
-    Rows of the same batch id are ignored when looking for known keys, which
-    makes a replay write exactly what the first run wrote.
+    Rows of the same batch id are ignored when looking for known keys, so a
+    replay stores the same keys as the first run.
     """
     spark = batch.sparkSession
     earlier = read_table(spark, out).filter(F.col("ingest_batch") < batch_id)
@@ -59,12 +59,14 @@ def upsert_batch(batch: DataFrame, batch_id: int, out: str) -> None:
 
 
 def stream_ingest(
-    spark: SparkSession, path: str, out: str, checkpoint: str, watermark: str = "14 days", files_per_trigger: int = 1000,
+    spark: SparkSession, path: str, out: str, checkpoint: str | None = None, watermark: str = "14 days", files_per_trigger: int = 1000,
 ):
     """Start the ingest over what has landed and return its query.
 
-    Duplicates within the watermark are dropped by the stream's own state;
-    older ones are found in the table.
+    Duplicates within the watermark are dropped by the stream's own state
+    (use the RocksDB state store for large windows); older ones are found in
+    the table. Offsets are kept beside the table by default, because batch
+    numbers only mean something together with it.
     """
     create_table(spark, out)
     landed = (
@@ -73,7 +75,7 @@ def stream_ingest(
     unique = keyed(landed).withWatermark("ingested_at", watermark).dropDuplicatesWithinWatermark(["key"])
     return (
         unique.writeStream.foreachBatch(lambda df, batch_id: upsert_batch(df, batch_id, out))
-        .option("checkpointLocation", checkpoint)
+        .option("checkpointLocation", checkpoint or f"{out}/_offsets")
         .trigger(availableNow=True)
         .start()
     )

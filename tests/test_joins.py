@@ -97,14 +97,26 @@ def test_resolve_refs(spark):
     }
 
 
-def test_pair_forms_agree(spark):
+def test_pair(spark):
     posts = spark.createDataFrame([(str(i), "Pune") for i in range(30)], "id string, location string")
     cands = [S.Candidate(f"c{i}", "student", (), ("Bangalore",)) for i in range(4)]
-    table = spark.createDataFrame([(f"c{i}", "student", [], ["Bangalore"]) for i in range(4)], "candidate_id string, stage string, skills array<string>, locations array<string>")
-    a = joins.pair(posts, cands).select("id", "cand.candidate_id", "cand.accept")
-    b = joins.pair(posts, table, blocks=3).select("id", "cand.candidate_id", "cand.accept")
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
-    assert a.count() == 120
+    out = joins.pair(posts, cands)
+    assert out.count() == 120 and out.first().cand.accept == ["bengaluru"]
+
+
+def test_candidate_reach_equals_gates(spark):
+    places = ["Bangalore, IN", "Remote", None, "New Delhi / Gurgaon", "", "Greater Mumbai Metropolitan Region West"]
+    wants = [[], ["Bengaluru"], ["remote", "Delhi"], ["gurugram", "delhi"], ["Paris"], [""], ["Greater Bombay Metropolitan Region"], ["mumbai metropolitan region east"]]
+    day = dt.date(2026, 10, 10)
+    posts = spark.createDataFrame(
+        [(i, places[i % 6], None if i % 7 == 0 else day - dt.timedelta(days=i)) for i in range(60)], "id int, location string, posted_date date"
+    )
+    table = spark.createDataFrame([(f"c{i}", w) for i, w in enumerate(wants)], "candidate_id string, locations array<string>")
+    got = {r.candidate_id: r.passed for r in joins.candidate_reach(posts, table, day).collect()}
+    cands = [S.Candidate(f"c{i}", "student", (), tuple(w)) for i, w in enumerate(wants)]
+    gated = S.gated(joins.pair(posts, cands), F.col("cand"), day, with_text=False)
+    want = {r.candidate_id: r.n for r in gated.groupBy("cand.candidate_id").agg(F.count_if("pass").alias("n")).collect()}
+    assert got == want
 
 
 def test_cache_lookup(spark):

@@ -304,3 +304,10 @@ def test_contract(spark):
 def test_envelope_count(spark):
     p = payloads(spark, {"meta": {"count": 1}, "results": [1]}, {"meta": {"count": 2}, "results": [1]}, {"results": []})
     assert feeds.envelope_issues(p).count() == 2
+
+
+def test_scratch_goes_to_the_named_folder(spark):
+    from rolebook.session import scratch_path
+
+    named = spark.conf.get("spark.checkpoint.dir")
+    assert scratch_path(spark, "x").startswith(named + "/x-")
