@@ -18,7 +18,7 @@ from rolebook.operators.gates import canonical_gate
 
 #: Rows of one pool that may share a task: ``pos`` is unique within a pool, so
 #: a span of this width can never hold more rows than this.
-SPAN = 1 << 18
+SPAN = 1 << 16
 
 
 def union_pools(*pools: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +36,17 @@ def health_lines(notes: DataFrame) -> DataFrame:
     return notes.filter(~F.col("ok")).select("portal", line.alias("line"))
 
 
+def status_lines(notes: DataFrame, skipped: Sequence[str] = (), fallback: Sequence[str] = ()) -> DataFrame:
+    """What a run should say of its sources: skipped ones, fallbacks, then one
+    health line per failed source. ``position`` orders the lines."""
+    said = [(0, "skipped", skipped), (1, "fallback", fallback)]
+    rows = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(f"{name}: {', '.join(v)}").alias("line")) for i, name, v in said if v])
+    lines = health_lines(notes).select(F.lit(2).alias("position"), "line")
+    if not (skipped or fallback):
+        return lines
+    return notes.sparkSession.range(1).select(F.inline(rows)).unionByName(lines)
+
+
 def rejections_by_gate(gated: DataFrame) -> DataFrame:
     """Postings failed per gate (a posting counts for every gate it fails)."""
     fails = gated.select(F.explode(F.filter("gates", lambda g: g["verdict"] == "FAIL")).alias("g"))

@@ -134,40 +134,49 @@ def _excluded(exclude: Sequence[str]) -> Column:
     return F.col("key").isin(*exclude) if exclude else F.lit(False)
 
 
-def sweep(seen: DataFrame, as_of, exclude: Sequence[str] = ()) -> DataFrame:
-    """Adds ``sweep`` to ranked rows: expired, closing (within seven days),
-    unparseable, or ok. A blank deadline is left alone."""
-    due, today = strict_iso("deadline"), as_of_col(as_of)
-    left = F.datediff(due, today)
-    found = (
+def sweep_finding(as_of) -> Column:
+    """What the sweep says of a ranked row: expired, closing (within seven
+    days), unparseable, or ok. A blank deadline is left alone."""
+    due = strict_iso("deadline")
+    left = F.datediff(due, as_of_col(as_of))
+    return (
         F.when(F.coalesce("deadline", F.lit("")) == "", "ok")
         .when(due.isNull(), "unparseable")
         .when(left < 0, "expired")
         .when(left <= vocab.URGENT_DAYS, "closing")
         .otherwise("ok")
     )
-    return seen.withColumn("sweep", F.when((F.col("status") == "ranked") & ~_excluded(exclude), found))
 
 
-def apply_sweep(swept: DataFrame) -> DataFrame:
-    """The store after the sweep: expired rows carry that status."""
-    return swept.withColumn("status", F.when(F.col("sweep") == "expired", "expired").otherwise(F.col("status"))).drop("sweep")
+def sweep(seen: DataFrame, as_of, exclude: Sequence[str] = ()) -> DataFrame:
+    """The swept rows with their ``sweep``. Only ranked rows are read, which
+    on a store written by status is one partition."""
+    rows = seen.filter(F.col("status") == "ranked").filter(~_excluded(exclude))
+    return rows.withColumn("sweep", sweep_finding(as_of))
+
+
+def apply_sweep(seen: DataFrame, as_of, exclude: Sequence[str] = ()) -> DataFrame:
+    """The whole store after the sweep: expired rows carry that status."""
+    ranked = F.coalesce(F.col("status") == "ranked", F.lit(False)) & ~_excluded(exclude)
+    gone = ranked & (sweep_finding(as_of) == "expired")
+    return seen.withColumn("status", F.when(gone, "expired").otherwise(F.col("status")))
 
 
 def compactable(as_of, exclude: Sequence[str] = (), older_than: int = vocab.COMPACT_AGE_DAYS) -> Column:
-    """Whether an entry can never come back: skipped or expired, no open
-    deadline, dated, old enough, not excluded."""
+    """Whether a closed entry can never come back: no open deadline, dated,
+    old enough, not excluded."""
     today, due, posted = as_of_col(as_of), strict_iso("deadline"), strict_iso("posted_date")
-    closed = F.coalesce(F.col("status").isin("skipped", "expired"), F.lit(False))
     past = due.isNull() | (due < today)
     old = F.coalesce(posted <= F.date_sub(today, older_than), F.lit(False))
-    return closed & past & old & ~_excluded(exclude)
+    return past & old & ~_excluded(exclude)
 
 
 def compact(seen: DataFrame, as_of, exclude: Sequence[str] = (), older_than: int = vocab.COMPACT_AGE_DAYS) -> tuple[DataFrame, DataFrame]:
-    """(kept, dropped); together they are the store."""
+    """(kept, dropped); together they are the store. Only skipped and expired
+    rows can be dropped, so ``dropped`` reads just those partitions."""
+    closed = F.col("status").isin("skipped", "expired")
     gone = compactable(as_of, exclude, older_than)
-    return seen.filter(~gone), seen.filter(gone)
+    return seen.filter(~(F.coalesce(closed, F.lit(False)) & gone)), seen.filter(closed).filter(gone)
 
 
 # --- applications -----------------------------------------------------------------

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from rolebook import vocab
 from rolebook.operators import companies as C
 from rolebook.operators import dedupe, filters, joins, limits, robots
 from rolebook.operators import scoring as S

@@ -10,16 +10,14 @@ from rolebook.operators import evaluation as E
 from rolebook.operators import reports as R
 from rolebook.operators import scoring as S
 from rolebook.plans import bindings as B
-from rolebook.plans.queries_joins import GAP_SOURCES_SQL, MERGED_SQL, gap_sources, pools
+from rolebook.plans.queries_joins import GAP_SOURCES_SQL, gap_sources, pools
 from rolebook.plans.queries_matching import (
     BAND_SQL,
-    EXPERIENCED,
     GATE_COLS,
     STUDENT,
     docs_gated,
     gated_sql,
     overall_sql,
-    scored_sql,
 )
 from rolebook.plans.queries_postings import SQL_NORM
 from rolebook.plans.registry import query
@@ -378,8 +376,7 @@ def score_movement(spark, sf):
   WHEN CAST(deadline AS DATE) <= DATE '2024-05-07' THEN 'closing' ELSE 'ok' END AS sweep FROM (SELECT key, nullif(deadline, 'ASAP') AS d, deadline FROM seen WHERE status = 'ranked' AND key NOT IN {EXCLUDE_SQL})""",
 )
 def sweep(spark, sf):
-    s = state.sweep(B.seen_store(spark, sf), B.AS_OF, EXCLUDE)
-    return s.filter(F.col("sweep").isNotNull()).select("key", "sweep")
+    return state.sweep(B.seen_store(spark, sf), B.AS_OF, EXCLUDE).select("key", "sweep")
 
 
 @query(
@@ -393,7 +390,7 @@ def sweep_and_compact(spark, sf):
     """Over a store written by status, so each step reads what it needs."""
     root = scratch_path(spark, "store")
     sinks.write_seen(B.seen_store(spark, sf), root, 1)
-    swept = state.apply_sweep(state.sweep(sinks.read_seen(spark, root), B.AS_OF))
+    swept = state.apply_sweep(sinks.read_seen(spark, root), B.AS_OF)
     kept, dropped = state.compact(swept, B.AS_OF, EXCLUDE)
     both = kept.select("status", F.lit(False).alias("dropped")).union(dropped.select("status", F.lit(True)))
     return both.groupBy("status", "dropped").agg(F.count(F.lit(1)).alias("n"))
@@ -461,7 +458,7 @@ SIGNAL_TEXT = {
 @query(
     "advance_status",
     f"""WITH {B.TRK_SQL}, sig AS (SELECT conv_id AS application_id, DATE '1999-01-01' + CAST(turn AS INTEGER) AS day, CASE WHEN regexp_matches(lower(text), 'application was viewed|viewed your application') THEN NULL
-    WHEN (conv_id + turn) % 5 IN (0, 3) OR regexp_matches(lower(text), 'shortlisted|next round|interview') THEN CASE WHEN (conv_id + turn) % 5 = 1 THEN NULL ELSE 2 END WHEN (conv_id + turn) % 5 = 2 THEN 1 END AS k FROM conversations),
+    WHEN (conv_id + turn) % 5 IN (0, 3) OR regexp_matches(lower(text), 'shortlisted|next[ -]round') THEN CASE WHEN (conv_id + turn) % 5 = 1 THEN NULL ELSE 2 END WHEN (conv_id + turn) % 5 = 2 THEN 1 END AS k FROM conversations),
 b AS (SELECT application_id, max(k) AS k, max(day) FILTER (WHERE k = 1) AS ack FROM sig WHERE k IS NOT NULL GROUP BY 1),
 j AS (SELECT t.application_id, date, replace(status, ' ', '_') AS st, k, ack, application_id % 11 >= 4 AS final,
    CASE application_id % 11 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 END AS cur FROM trk t LEFT JOIN b USING (application_id)),

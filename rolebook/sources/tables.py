@@ -138,9 +138,10 @@ def conform_tracker(df: DataFrame) -> DataFrame:
     )
 
 
-def read_tracker(spark: SparkSession, path: str) -> DataFrame:
-    """Tracker CSV files with a header, all text."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+def read_tracker(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """Tracker CSV files with a header, all text. Without line breaks inside
+    notes, ``multiline=False`` lets Spark split large files."""
+    df = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"').csv(path)
     return conform_tracker(df)
 
 

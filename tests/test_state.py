@@ -93,9 +93,21 @@ def test_sweep(spark):
     deadlines = {"a": "2026-10-09", "b": "2026-10-17", "c": None, "d": "ASAP", "e": "2026-10-18", "f": "2026-10-10", "x": "2026-01-01"}
     s = store(spark, *[{"key": k, "status": "ranked", "deadline": d} for k, d in deadlines.items()], {"key": "n", "status": "new", "deadline": "2026-01-01"})
     out = state.sweep(s, AS_OF, exclude=["x"])
-    assert {r.key: r.sweep for r in out.collect()} == {"a": "expired", "b": "closing", "c": "ok", "d": "unparseable", "e": "ok", "f": "closing", "x": None, "n": None}
-    after = {r.key: r.status for r in state.apply_sweep(out).collect()}
-    assert after["a"] == "expired" and after["x"] == "ranked" and after["n"] == "new"
+    assert {r.key: r.sweep for r in out.collect()} == {"a": "expired", "b": "closing", "c": "ok", "d": "unparseable", "e": "ok", "f": "closing"}
+    after = {r.key: r.status for r in state.apply_sweep(s, AS_OF, exclude=["x"]).collect()}
+    assert after == {**dict.fromkeys("bcdefx", "ranked"), "a": "expired", "n": "new"}
+
+
+def test_store_reads_only_the_partitions_it_needs(spark, tmp_path):
+    from rolebook.sources import sinks
+
+    root = str(tmp_path / "store")
+    sinks.write_seen(store(spark, {"key": "a", "status": "ranked"}, {"key": "b", "status": "skipped"}, {"key": "c", "status": "new"}), root, 1)
+    seen = sinks.read_seen(spark, root)
+    swept = state.sweep(seen, AS_OF)._jdf.queryExecution().executedPlan().toString()
+    dropped = state.compact(seen, AS_OF)[1]._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(status" in swept and "= ranked)]" in swept
+    assert "PartitionFilters: [status" in dropped and "IN (skipped,expired)]" in dropped
 
 
 def test_compact(spark):
@@ -196,6 +208,9 @@ def test_source_notes_show_dead_sources(spark):
     notes = reports.source_notes(p, sources, errors, 2)
     assert {r.portal: (r.ok, r.rows, r.truncated) for r in notes.collect()} == {"a": (True, 2, True), "b": (False, 0, False), "c": (True, 0, False)}
     assert [r.line for r in reports.health_lines(notes).collect()] == ["health: b — error: timeout"]
+    said = reports.status_lines(notes, skipped=["x", "y"], fallback=["z"]).orderBy("position", "line")
+    assert [r.line for r in said.collect()] == ["skipped: x, y", "fallback: z", "health: b — error: timeout"]
+    assert reports.status_lines(notes).count() == 1
 
 
 # --- packs ------------------------------------------------------------------------
