@@ -48,7 +48,7 @@ def parse_salary(c) -> Column:
 
 def parse_locale_number(c) -> Column:
     """Number of a localised cell; a lone separator before three digits is ambiguous."""
-    t = F.translate(F.trim(col_of(c)), "  ", "")
+    t = F.regexp_replace(col_of(c), r"^\s+|\s+$|[ \u00a0]", "")
     comma, dot = F.contains(t, F.lit(",")), F.contains(t, F.lit("."))
     last_is_comma = F.instr(F.reverse(t), ",") < F.instr(F.reverse(t), ".")
     european = F.translate(F.translate(t, ".", ""), ",", ".")

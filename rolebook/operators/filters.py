@@ -194,7 +194,7 @@ def hygiene_issues(text) -> Column:
         ("cid-markers", has("(cid:") & t.rlike(r"\(cid:\d+\)")),
         ("leaked-item-bracket", has("\\item") & t.rlike(r"\\item\s*\[")),
         ("leaked-macro", has("\\") & t.rlike(vocab.LEAKED_MACROS + r"(?!\w)")),
-        ("no-email", ~(has("@") & t.rlike(vocab.EMAIL))),
+        ("no-email", ~(has("@") & t.rlike("(?U)" + vocab.EMAIL))),
         ("no-phone", ~(t.rlike("[0-9X]{2}") & t.rlike(vocab.PHONE))),
         ("few-sections", sections < 2),
     )

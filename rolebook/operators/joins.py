@@ -39,21 +39,27 @@ def mark_tracked(postings: DataFrame, tracker: DataFrame) -> DataFrame:
     return out.withColumn("tracked", F.coalesce("_hit", F.lit(False))).drop("_hit", *keys)
 
 
-def only_new(postings: DataFrame, seen: DataFrame, key: str = "dedupe_key") -> DataFrame:
-    """Postings whose key the seen store does not hold.
+def known_keys(seen: DataFrame, asked: DataFrame) -> DataFrame:
+    """The distinct asked keys (column ``key``) that the store holds.
 
-    The store is the large side and grows for ever, so it is first narrowed
-    to the keys of this batch (a semi join that can broadcast the batch);
-    only those few keys meet the postings.
+    The store is the large side and grows for ever. A semi join keeps it on
+    the streamed side, so a small batch of keys can be broadcast to it and
+    the store itself is not shuffled.
     """
-    known = seen.select(F.col("key").alias(key)).join(postings.select(key).distinct(), key, "left_semi").distinct()
+    return seen.select("key").join(asked.distinct(), "key", "left_semi").distinct()
+
+
+def only_new(postings: DataFrame, seen: DataFrame, key: str = "dedupe_key") -> DataFrame:
+    """Postings whose key the seen store does not hold."""
+    known = known_keys(seen, postings.select(F.col(key).alias("key"))).withColumnRenamed("key", key)
     return postings.join(known, key, "left_anti")
 
 
 def join_scores(results: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(matched, errors): score results against stored entries; a result with
-    an unknown key is an error row."""
-    known = seen.select(F.col("key"), F.lit(True).alias("_known"))
+    an unknown key is an error row. As in :func:`only_new` the store is first
+    narrowed to the keys asked for."""
+    known = known_keys(seen, results.select("key")).withColumn("_known", F.lit(True))
     joined = results.join(known, "key", "left")
     errors = joined.filter(F.col("_known").isNull()).select("key", F.lit("no such key in the seen store").alias("error"))
     return joined.filter(F.col("_known")).drop("_known"), errors

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolebook.functions.dates import epoch_date, epoch_or_iso_date, iso_date, lenient_date, relative_date
+from rolebook.functions.dates import epoch_date, iso_date, lenient_date, relative_date
 from rolebook.functions.money import format_salary, format_salary_currency
 from rolebook.functions.text import (
     as_text,
@@ -95,6 +95,12 @@ def _posting(df: DataFrame, portal: str, rules: Sequence[tuple[str, Column]], **
     )
 
 
+def body_text(item: Column) -> Column:
+    """Text of an item's description, NULL when it states none."""
+    body = get(item, "description")
+    return F.when(body != "", html_to_text(body))
+
+
 def _title(c: Column) -> Column:
     return F.trim(F.coalesce(c, F.lit("Untitled")))
 
@@ -279,7 +285,7 @@ def map_remoteok(payloads: DataFrame, as_of=None, chars: int | None = None) -> D
         salary=format_salary(get(i, "salary_min", "double"), get(i, "salary_max", "double")),
         tags=string_array(i, "tags"),
         apply_url=F.when(apply_url != "", apply_url).otherwise(url),
-        description=html_to_text(get(i, "description")),
+        description=body_text(i),
     )
 
 
@@ -307,7 +313,7 @@ def map_remotive(payloads: DataFrame, as_of=None, chars: int | None = None) -> D
         category=stated("category"),
         job_type=stated("job_type"),
         tags=string_array(i, "tags"),
-        description=html_to_text(get(i, "description")),
+        description=body_text(i),
     )
 
 
@@ -364,9 +370,11 @@ def map_arbeitnow(payloads: DataFrame, as_of=None, chars: int | None = None) ->
         title=F.coalesce(title, F.lit("Untitled")),
         company=F.coalesce(company, F.lit("Unknown")),
         location=F.coalesce(blank_to_null(get(i, "location")), remote),
-        posted_date=epoch_or_iso_date(get(i, "created_at")),
+        posted_date=F.when(kind_of(i, "created_at") == "STRING", iso_date(get(i, "created_at"))).otherwise(
+            epoch_date(get(i, "created_at"))
+        ),
         url=F.trim(get(i, "url")),
-        description=html_to_text(get(i, "description")),
+        description=body_text(i),
     )
 
 
@@ -546,7 +554,7 @@ def extract_jsonld(pages: DataFrame, html: str = "html") -> DataFrame:
     i = F.col("_ld")
     low, high = get(i, "baseSalary.value.minValue"), get(i, "baseSalary.value.maxValue")
     currency = F.coalesce(F.when(get(i, "baseSalary.currency") != "", get(i, "baseSalary.currency")), F.lit("$"))
-    has_salary = F.coalesce(low, high).isNotNull()
+    has_salary = F.coalesce(F.nullif(low, F.lit("0")), F.nullif(high, F.lit("0"))).isNotNull()
     salary = F.when(low.eqNullSafe(high), F.concat(currency, low)).otherwise(
         F.concat(currency, F.coalesce(low, F.lit("")), F.lit(" - "), currency, F.coalesce(high, F.lit("")))
     )

@@ -143,9 +143,9 @@ def test_money(column):
     assert got == ["$50,000 - $90,000 / year", "$50,000 / year", "Up to $90,000 / year", "From $50,000 / year", None, None]
     got = column(lambda d: money.parse_salary("t"), [("$50,000 - 60,000",), ("80k",), ("great",), (",",)], "t string")
     assert got == [50000.0, 80000.0, None, None]
-    rows = [("1.234,56",), ("1,234.56",), ("1,234",), ("12,5",), ("1 234",), ("n/a",), ("1.234",), ("7",), ("",)]
+    rows = [("1.234,56",), ("1,234.56",), ("1,234",), ("12,5",), ("1 234",), ("n/a",), ("1.234",), ("7",), ("",), ("\u00a01\u00a0234,5\t",)]
     got = column(lambda d: money.parse_locale_number("t"), rows, "t string")
-    assert got == [1234.56, 1234.56, None, 12.5, 1234.0, None, None, 7.0, None]
+    assert got == [1234.56, 1234.56, None, 12.5, 1234.0, None, None, 7.0, None, 1234.5]
 
 
 def test_half_up(column):

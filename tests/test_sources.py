@@ -134,9 +134,10 @@ def test_freehire(spark):
 def test_arbeitnow(spark):
     rows = mapped(
         spark, "arbeitnow",
-        {"data": [{"slug": "a", "url": "https://a/1", "remote": True, "created_at": 1760000000}, {"slug": "b", "url": "https://a/2", "location": "Berlin", "created_at": "2026-10-01T01:00:00"}, {"url": "x"}]},
+        {"data": [{"slug": "a", "url": "https://a/1", "remote": True, "created_at": 1760000000}, {"slug": "b", "url": "https://a/2", "location": "Berlin", "created_at": "2026-10-01T01:00:00"}, {"url": "x"}, {"slug": "c", "url": "y", "created_at": "1760000000"}]},
     )
-    assert [r["reject_reason"] for r in rows] == [None, None, "no-slug"]
+    assert [r["reject_reason"] for r in rows] == [None, None, "no-slug", None]
+    assert (rows[3]["posted_date"], rows[3]["description"]) == (None, None)
     assert [(r["location"], r["posted_date"]) for r in rows[:2]] == [("Remote", dt.date(2025, 10, 9)), ("Berlin", dt.date(2026, 10, 1))]
 
 
