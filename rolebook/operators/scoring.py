@@ -105,9 +105,11 @@ def fit_verdict(score: Column) -> Column:
     return out
 
 
-def score_posting(df: DataFrame, cand: Column, as_of, with_text: bool = True) -> DataFrame:
-    """Adds ``score``, ``verdict``, ``strengths`` and ``gaps`` to gated rows."""
-    body = F.col("description") if with_text else F.lit("")
+def score_posting(df: DataFrame, cand: Column, as_of, with_text: bool = True, body: Column | None = None) -> DataFrame:
+    """Adds ``score``, ``verdict``, ``strengths`` and ``gaps`` to gated rows.
+    ``body`` replaces the description as the text that skills are sought in."""
+    if body is None:
+        body = F.col("description") if with_text else F.lit("")
     text = F.concat(F.col("title"), F.lit("\n"), F.coalesce(body, F.lit("")))
     n = F.size(cand["skills"])
     weights = factor_weights(cand["stage"])
@@ -190,7 +192,10 @@ def rank_all(
 ) -> DataFrame:
     """Every posting once: gates, ``pass``, and score for survivors or
     ``reasons`` for the rest. One narrow pass, no shuffle."""
-    rows = score_posting(gated(postings, cand, as_of, with_text, max_age_days), cand, as_of, with_text)
+    rows = gated(postings, cand, as_of, with_text, max_age_days)
+    # Rejected rows get no score, so their texts are not searched for skills.
+    body = F.when(F.col("pass"), F.col("description")) if with_text else None
+    rows = score_posting(rows, cand, as_of, with_text, body)
     scored = ("score", "verdict", "strengths", "gaps")
     rows = rows.withColumns({c: F.when(F.col("pass"), F.col(c)) for c in scored})
     return rows.withColumn("reasons", F.when(~F.col("pass"), fail_reasons()))
