@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rolebook.llm import bpe
+from rolebook.llm import bpe, langid
+from rolebook.llm import texts as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -38,3 +40,11 @@ def public_ranks() -> tuple[str, str]:
 @query("op1_byte_bpe")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), *public_ranks())
+
+
+@query("op3_language_id")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.identify(docs, X.crc_mod(F.col("doc_id"), 3) != 1)
+    held_out = (X.crc_mod(F.col("doc_id"), 3) == 1).alias("held_out")
+    return out.select("doc_id", held_out, "lang_pred", "score", "bits_per_byte")
