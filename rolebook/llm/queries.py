@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolebook.llm import bpe, langid
+from rolebook.llm import bpe, langid, toxicity
 from rolebook.llm import texts as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = langid.identify(docs, X.crc_mod(F.col("doc_id"), 3) != 1)
     held_out = (X.crc_mod(F.col("doc_id"), 3) == 1).alias("held_out")
     return out.select("doc_id", held_out, "lang_pred", "score", "bits_per_byte")
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, labels, X.crc_mod(F.col("doc_id"), 4) != 2)
+    held_out = (X.crc_mod(F.col("doc_id"), 4) == 2).alias("held_out")
+    return toxicity.score(docs, model).select("doc_id", held_out, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
