@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolebook.llm import bpe, langid, toxicity
+from rolebook.llm import bpe, langid, pii, toxicity
 from rolebook.llm import texts as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,24 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, labels, X.crc_mod(F.col("doc_id"), 4) != 2)
     held_out = (X.crc_mod(F.col("doc_id"), 4) == 2).alias("held_out")
     return toxicity.score(docs, model).select("doc_id", held_out, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def count_of(spans: str, kind: str):
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+def only(spans: str, kinds: tuple):
+    return F.filter(spans, lambda s: s["kind"].isin(*kinds))
+
+
+@query("op7_pii")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    base = pii.KINDS[:4]
+    return found.select(
+        "doc_id",
+        *(count_of("spans", k) for k in base),
+        F.sha2(pii.joined(only("spans", base)), 256).alias("base_sha256"),
+        pii.joined(F.col("spans")).alias("spans"),
+        F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",").alias("scores"),
+    )

@@ -74,3 +74,9 @@ def sum_by_row(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     total = np.zeros((len(values) + 1, *values.shape[1:]), np.float64)
     np.cumsum(values, axis=0, out=total[1:])
     return total[starts[1:]] - total[starts[:-1]]
+
+
+def strings(array: pa.Array, rows: int = 256) -> Iterator[str | None]:
+    """The texts one by one, a few hundred at a time as Python strings."""
+    for lo in range(0, len(array), rows):
+        yield from array.slice(lo, rows).to_pylist()
