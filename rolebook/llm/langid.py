@@ -18,14 +18,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rolebook.llm import texts as X
 
 ORDER = 3
-#: Bounds of the training sample: rows of each language, in the order of a hash of
-#: their id, and bytes of one such row (longer rows are not learned from).
+#: Bounds of the training sample: rows of each language, chosen by a hash of their id
+#: (this many are expected, all where there are fewer), and bytes of one such row
+#: (longer rows are not learned from).
 SAMPLE_ROWS, SAMPLE_BYTES = 400, 1 << 16
 #: Bound of the model: contexts of full length, the most frequent first, and how
 #: often a context has to occur.
@@ -139,25 +140,23 @@ def build(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarra
 def train(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on the rows where ``learn`` holds, text and language being not null.
 
-    The sample's hash bounds (a row for each language) and the counts of the bounded
-    sample come to the driver."""
+    The number of rows of each language and the counts of the bounded sample come to
+    the driver."""
     rows = df.where(learn).select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where("text IS NOT NULL AND lang IS NOT NULL").where(F.octet_length("text") <= SAMPLE_BYTES)
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    cut = rows.select("lang", "h").withColumn("place", place).where(F.col("place") <= SAMPLE_ROWS)
-    cut = cut.groupBy("lang").agg(F.max("h").alias("h"), F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    cut = sorted((r.lang, r.h) for r in cut)
-    if not cut:
+    found = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    found = sorted((r.lang, r.n) for r in found)
+    if not found:
         return Model([], np.zeros(256, np.uint8), np.full((1, 1), -1, np.int32), np.zeros((1, 1, 0), np.float32))
     wanted, number = F.lit(False), F.lit(None).cast("int")
-    for i, (lang, h) in enumerate(cut):
-        wanted = wanted | ((F.col("lang") == lang) & (F.col("h") <= h))
+    for i, (lang, n) in enumerate(found):
+        wanted = wanted | ((F.col("lang") == lang) & (F.pmod("h", F.lit(n)) < SAMPLE_ROWS))
         number = F.when(F.col("lang") == lang, i).otherwise(number)
-    counts = fit_counts(rows.where(wanted).select(number.alias("lang"), "text"), [x for x, _ in cut]).toArrow()
+    counts = fit_counts(rows.where(wanted).select(number.alias("lang"), "text"), [x for x, _ in found]).toArrow()
     lang, gram, n = (counts.column(c).to_numpy() for c in ("lang", "gram", "n"))
     if not len(n):
         return Model([], np.zeros(256, np.uint8), np.full((1, 1), -1, np.int32), np.zeros((1, 1, 0), np.float32))
-    return build([x for x, _ in cut], lang, gram, n)
+    return build([x for x, _ in found], lang, gram, n)
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
