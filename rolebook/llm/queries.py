@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolebook.llm import bpe, langid, pii, toxicity
+from rolebook.llm import bpe, langid, pii, secret_scan, toxicity
 from rolebook.llm import texts as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,17 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         pii.joined(F.col("spans")).alias("spans"),
         F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",").alias("scores"),
     )
+
+
+@query("op6_secrets")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secret_scan.find(docs, secret_scan.train(docs))
+    base = secret_scan.KINDS[:3]
+    return found.select(
+        "doc_id",
+        *(count_of("spans", k) for k in base),
+        F.sha2(secret_scan.joined(only("spans", base)), 256).alias("base_sha256"),
+        secret_scan.joined(F.col("spans")).alias("spans"),
+        count_of("spans", "format"),
+    )
