@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolebook.llm import bpe, langid, pii, secret_scan, toxicity
+from rolebook.llm import bpe, langid, pii, quality, secret_scan, toxicity
 from rolebook.llm import texts as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,31 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         secret_scan.joined(F.col("spans")).alias("spans"),
         count_of("spans", "format"),
     )
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+m AS (SELECT k, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+p AS (SELECT k, w, unnest(range(1, len(w) - 1)) AS i FROM m WHERE len(w) >= 3),
+c AS (SELECT k, i, count(*) OVER (PARTITION BY k, w[i], w[i + 1], w[i + 2]) AS n FROM p),
+r AS (SELECT k, count(DISTINCT j) AS n_repeat_words FROM (SELECT k, unnest([i, i + 1, i + 2]) AS j FROM c WHERE n > 1) GROUP BY k),
+f AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+        CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines,
+        coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(len(l) AS BIGINT) AS n_lines,
+        length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(t, '\P{L}', '', 'g')) AS n_letters
+      FROM m LEFT JOIN r USING (k)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM f)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > n_words OR 100 * n_dup_lines > 40 * n_lines OR 2 * word_chars < 5 * n_words
+            OR word_chars > 12 * n_words OR 100 * n_upper > 40 * word_chars OR 100 * n_letters < 60 * word_chars) AS kept
+FROM b
+"""
+
+
+@query("op10_quality", OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.cascade(table(spark, sf_dir, "documents"), measures=("word_chars", "n_symbols", "n_dup_lines", "n_lines"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
