@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolebook.llm import bpe, langid, pii, quality, secret_scan, toxicity
+from rolebook.llm import bpe, decontaminate, langid, pii, quality, secret_scan, toxicity
 from rolebook.llm import texts as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,30 @@ FROM b
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.cascade(table(spark, sf_dir, "documents"), measures=("word_chars", "n_symbols", "n_dup_lines", "n_lines"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP4_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+i AS (SELECT item_id, w, least(13, len(w)) AS m FROM b WHERE len(w) > 0),
+iw AS (SELECT DISTINCT item_id, m, array_to_string(w[s:s + m - 1], ' ') AS x FROM (SELECT item_id, m, w, unnest(range(1, len(w) - m + 2)) AS s FROM i)),
+dw AS (SELECT k, m, s, array_to_string(w[s:s + m - 1], ' ') AS x
+       FROM (SELECT k, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM d, (SELECT DISTINCT m FROM i) WHERE len(w) >= m)),
+h AS (SELECT k, item_id, s, dw.m AS m FROM dw JOIN iw ON dw.m = iw.m AND dw.x = iw.x),
+c AS (SELECT k, count(DISTINCT p) AS n FROM (SELECT k, unnest(range(s, s + m)) AS p FROM h) GROUP BY k),
+t AS (SELECT k, count(*) AS n, string_agg(x, ',' ORDER BY x) AS l FROM (SELECT DISTINCT k, CAST(item_id AS VARCHAR) AS x FROM h) GROUP BY k)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items,
+       sha256(coalesce(l, '')) AS items_sha256, coalesce(c.n, 0) > 0 AND 20 * coalesce(c.n, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN c USING (k) LEFT JOIN t USING (k)
+"""
+
+
+@query("op4_decontamination", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontaminate.contaminated().alias("contaminated"),
+    )
