@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rolebook.session import shared_folder
+
 #: Bytes of text handled at once inside a task; one longer text is a run alone.
 RUN_BYTES = 1 << 20
 
@@ -80,3 +82,12 @@ def strings(array: pa.Array, rows: int = 256) -> Iterator[str | None]:
     """The texts one by one, a few hundred at a time as Python strings."""
     for lo in range(0, len(array), rows):
         yield from array.slice(lo, rows).to_pylist()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read from there: its lineage
+    ends, and what it took to make is done once."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return df.checkpoint()
