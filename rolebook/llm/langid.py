@@ -16,6 +16,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -159,34 +160,47 @@ def train(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     return build([x for x, _ in found], lang, gram, n)
 
 
+def _predicted(texts: pa.Array, m: Model) -> list[pa.Array]:
+    names = np.array([*m.languages, "und"], object)
+    has_letter = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+    best, score, rate = [], [], []
+    for lo, hi, data, at in X.text_runs(texts):
+        known = has_letter[lo:hi] & bool(m.languages)
+        bits = m.code_lengths(data, at) if m.languages else np.zeros((hi - lo, 1))
+        least = bits.min(1)
+        share = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
+        best.append(np.where(known, bits.argmin(1), len(names) - 1))
+        score.append(np.where(known, share, 0.0))
+        rate.append(np.where(known, least / np.maximum(np.diff(at), 1), np.nan))
+    r = np.concatenate(rate)
+    return [pa.array(names[np.concatenate(best)], pa.string()), pa.array(np.concatenate(score)), pa.array(r, mask=np.isnan(r))]
+
+
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, bits_per_byte): the best language, its share among
     all languages by code length, and its bits for each byte (null for ``und``)."""
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def columns(batch: pa.RecordBatch) -> list:
-        m = sent.value
-        names = np.array([*m.languages, "und"], object)
-        has_letter = pc.fill_null(pc.match_substring_regex(batch.column(1), r"\p{L}"), False).to_numpy(zero_copy_only=False)
-        best, score, rate = [], [], []
-        for lo, hi, data, at in X.text_runs(batch.column(1)):
-            known = has_letter[lo:hi] & bool(m.languages)
-            if not m.languages:
-                bits = np.zeros((hi - lo, 1))
-            else:
-                bits = m.code_lengths(data, at)
-            k = bits.argmin(1)
-            least = bits.min(1)
-            share = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
-            best.append(np.where(known, k, len(names) - 1))
-            score.append(np.where(known, share, 0.0))
-            rate.append(np.where(known, least / np.maximum(np.diff(at), 1), np.nan))
-        r = np.concatenate(rate)
-        return [batch.column(0), pa.array(names[np.concatenate(best)], pa.string()), pa.array(np.concatenate(score)), pa.array(r, mask=np.isnan(r))]
+        return [batch.column(0), *_predicted(batch.column(1), sent.value)]
 
     return X.map_batches(X.pairs(df, id_col, text_col), columns, "doc_id long, lang_pred string, score double, bits_per_byte double")
 
 
+def label(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """All columns of ``df`` and the prediction's three; columns of those names are
+    replaced."""
+    sent = df.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("lang_pred string, score double, bits_per_byte double")
+    def predicted(texts: pd.Series) -> pd.DataFrame:
+        parts = _predicted(pa.array(texts, pa.string(), from_pandas=True), sent.value)
+        return pd.DataFrame(dict(zip(("lang_pred", "score", "bits_per_byte"), (p.to_pandas() for p in parts), strict=True)))
+
+    found = df.withColumn("_lang", predicted(F.col(text_col).cast("string")))
+    return found.withColumns({c: F.col("_lang")[c] for c in ("lang_pred", "score", "bits_per_byte")}).drop("_lang")
+
+
 def identify(df: DataFrame, learn: Column) -> DataFrame:
     """Train on the rows where ``learn`` holds and predict every row of ``df``."""
     return predict(df, train(df, learn))

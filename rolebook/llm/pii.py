@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -140,7 +141,7 @@ def mask_column(text: Column) -> Column:
     """The masked text; null stays null."""
 
     @F.pandas_udf("string")
-    def masked(texts):
+    def masked(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else mask(t))
 
     return masked(text)
