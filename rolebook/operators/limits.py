@@ -2,23 +2,11 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolebook import vocab
-
-
-def clamp_limit(limit: float | None, fallback: int = vocab.DEFAULT_LIMIT, most: int = vocab.MAX_LIMIT) -> int:
-    """0 means no cap; missing takes the fallback; negatives become 1."""
-    if limit == 0:
-        return 0
-    if limit is None or math.isnan(limit):
-        return fallback
-    return min(max(1, math.floor(limit)), most)
-
 
 def limit_with_meta(df: DataFrame, order: Sequence, limit: int) -> tuple[DataFrame, DataFrame]:
     """(rows, meta): the first rows by order and one row of total/truncated."""

@@ -71,55 +71,74 @@ def migrate_seen(seen: DataFrame, version: int = STORE_VERSION) -> DataFrame:
 
 def apply_scores(seen: DataFrame, results: DataFrame, as_of, stage: str = "experienced") -> tuple[DataFrame, DataFrame]:
     """(store, errors): the store after scoring, with ``outcome`` ranked /
-    expired / NULL and ``prev_score``.
+    expired / NULL and ``prev_score``, the stored score before.
 
     Absence is not a correction: a result without a deadline or language gate
     leaves the stored one. Results with an unknown key or a missing dimension
-    are error rows and change nothing.
+    are error rows and change nothing. Several results for one key are applied in
+    the order of their position ``n``, each pushing the score before it into the
+    history; without that column a repeated key is an error row and not applied.
     """
+    if "n" not in results.columns:
+        results = results.withColumn("n", F.lit(0))
     good, unknown = joins.join_scores(results, seen)
     gone = F.coalesce(F.col("status") == "expired", F.lit(False))
     judged = good.withColumn("_error", F.when(~gone, S.missing_dimension(F.col("scores"))))
     errors = unknown.unionByName(judged.filter("_error IS NOT NULL").select("key", F.col("_error").alias("error")))
-    fresh = judged.filter("_error IS NULL").select(
-        "key",
-        F.struct(
-            F.when(gone, "expired").otherwise("ranked").alias("outcome"),
-            S.overall_score(F.col("scores"), stage).alias("score"),
-            F.col("scores").alias("scores"),
-            *[_stated(F.col(c)).alias(c) for c in ("location_verdict", "language_gate", "language_note", "deadline")],
-            "strengths", "gaps",
-        ).alias("r"),
+    one = F.struct(
+        "n",
+        F.when(gone, "expired").otherwise("ranked").alias("outcome"),
+        S.overall_score(F.col("scores"), stage).alias("score"),
+        F.col("scores").alias("scores"),
+        *[_stated(F.col(c)).alias(c) for c in ("location_verdict", "language_gate", "language_note", "deadline")],
+        "strengths", "gaps",
+    )
+    fresh = judged.filter("_error IS NULL").groupBy("key").agg(F.sort_array(F.collect_list(one)).alias("rs"))
+    places = F.transform("rs", lambda r: r["n"])
+    fresh = fresh.withColumn("_clash", F.size(F.array_distinct(places)) < F.size("rs"))
+    clash = fresh.filter("_clash").select("key", F.lit("several results for one key at one position").alias("error"))
+    joined = seen.join(fresh.filter("NOT _clash").drop("_clash"), "key", "left")
+    # an expired result changes the status alone
+    joined = joined.withColumn("_ranked", F.filter("rs", lambda r: r["outcome"] == "ranked"))
+    outcome = F.element_at("rs", -1)["outcome"]
+    ranked = F.coalesce(F.size("_ranked") > 0, F.lit(False))
+    today = as_of_col(as_of)
+    legacy = F.coalesce(_stated(F.col("location_verdict")), legacy_verdict(F.col("location")))
+    texts = ("language_gate", "language_note", "deadline")
+    start = F.struct(
+        F.col("rank_score").cast("int").alias("score"), F.col("rank_verdict").alias("verdict"), F.col("rank_date").cast("string").alias("date"),
+        F.col("rank_history").alias("history"), legacy.alias("location_verdict"), *texts, "strengths", "gaps",
     )
-    joined = seen.join(fresh, "key", "left")
-    outcome = F.col("r.outcome")
-    ranked = F.coalesce(outcome == "ranked", F.lit(False))
+
+    def apply(had: Column, r: Column) -> Column:
+        gate, note = r["language_gate"], F.coalesce(r["language_note"], had["language_note"])
+        keep_note = F.when(gate.isNull(), had["language_note"]).when(gate != "PASS", note)
+        return F.struct(
+            r["score"].cast("int").alias("score"),
+            S.band(r["score"]).alias("verdict"),
+            today.cast("string").alias("date"),
+            S.push_history(had["history"], had["score"], had["verdict"], had["date"]).alias("history"),
+            F.coalesce(r["location_verdict"], had["location_verdict"]).alias("location_verdict"),
+            F.coalesce(gate, had["language_gate"]).alias("language_gate"),
+            keep_note.alias("language_note"),
+            F.coalesce(r["deadline"], had["deadline"]).alias("deadline"),
+            *[F.coalesce(F.slice(r[c], 1, 3), had[c]).alias(c) for c in ("strengths", "gaps")],
+        )
+
+    joined = joined.withColumn("_s", F.when(ranked, F.aggregate("_ranked", start, apply)))
 
     def old_unless(name: str, new: Column) -> Column:
         return F.when(ranked, new).otherwise(F.col(name))
 
-    legacy = F.coalesce(_stated(F.col("location_verdict")), legacy_verdict(F.col("location")))
-    gate, note = F.col("r.language_gate"), F.col("r.language_note")
-    today = as_of_col(as_of)
-    new_score = F.col("r.score")
+    now = F.col("_s")
     updates = {
         "status": F.coalesce(outcome, F.col("status")),
         "location": F.when(ranked & legacy_verdict(F.col("location")).isNotNull(), F.lit(None).cast("string")).otherwise(F.col("location")),
-        "location_verdict": old_unless("location_verdict", F.coalesce(F.col("r.location_verdict"), legacy, F.lit("PASS"))),
-        "language_gate": old_unless("language_gate", F.coalesce(gate, F.col("language_gate"))),
-        "language_note": old_unless(
-            "language_note",
-            F.when(gate == "PASS", F.lit(None).cast("string")).when(gate.isNotNull(), F.coalesce(note, F.col("language_note"))).otherwise(F.col("language_note")),
-        ),
-        "deadline": old_unless("deadline", F.coalesce(F.col("r.deadline"), F.col("deadline"))),
-        "strengths": old_unless("strengths", F.coalesce(F.slice("r.strengths", 1, 3), F.col("strengths"))),
-        "gaps": old_unless("gaps", F.coalesce(F.slice("r.gaps", 1, 3), F.col("gaps"))),
-        "rank_history": old_unless(
-            "rank_history",
-            S.push_history("rank_history", F.col("rank_score"), F.col("rank_verdict"), F.col("rank_date").cast("string")),
-        ),
-        "rank_score": old_unless("rank_score", new_score),
-        "rank_verdict": old_unless("rank_verdict", S.band(new_score)),
+        "location_verdict": old_unless("location_verdict", F.coalesce(now["location_verdict"], F.lit("PASS"))),
+        **{c: old_unless(c, now[c]) for c in (*texts, "strengths", "gaps")},
+        "rank_history": old_unless("rank_history", now["history"]),
+        "rank_score": old_unless("rank_score", now["score"]),
+        "rank_verdict": old_unless("rank_verdict", now["verdict"]),
         "rank_date": old_unless("rank_date", today),
     }
     out = joined.select(
@@ -127,7 +146,7 @@ def apply_scores(seen: DataFrame, results: DataFrame, as_of, stage: str = "exper
         outcome.alias("outcome"),
         F.when(ranked, F.col("rank_score")).alias("prev_score"),
     )
-    return out, errors
+    return out, errors.unionByName(clash)
 
 
 def _excluded(exclude: Sequence[str]) -> Column:

@@ -7,12 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolebook.session import spread_small
-
 AS_OF = "2024-04-30"
 WS = "[ \\t\\r\\n\\f]+"
-#: Sixty characters of a text, counting a run of whitespace as one.
-FIRST_60 = "^(?:[ \\t\\r\\n\\f]++|[^ \\t\\r\\n\\f]){0,60}+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,9 +16,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """A table whose rows are worth spreading over the cores before text work."""
+    """A table of texts; the session's split size says how many tasks read it."""
     df = table(spark, sf_dir, name)
-    return spread_small(df.select(*columns) if columns else df)
+    return df.select(*columns) if columns else df
 
 
 def days_before(days: Column) -> Column:
@@ -53,7 +49,7 @@ def doc_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("doc_id")
     return d.select(
         F.concat(F.lit("doc:"), k).alias("id"),
-        F.regexp_replace(F.regexp_extract("text", FIRST_60, 0), WS, " ").alias("title"),
+        F.regexp_replace("text", WS, " ").alias("title"),
         F.col("source").alias("company"),
         choose(F.col("lang"), {"en": "Remote", "de": "Bangalore", "fr": "Mumbai"}).alias("location"),
         F.when(k % 11 != 0, days_before(k % 60)).alias("posted_date"),
@@ -62,7 +58,7 @@ def doc_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("adapter").alias("source"),
         F.regexp_extract("source", r"(\d+)", 1).cast("int").alias("pool_no"),
         k.alias("pos"),
-        F.when(k % 13 == 0, F.lit("")).otherwise(F.concat("text", choose(k % 8, SUFFIXES))).alias("description"),
+        F.concat("text", choose(k % 8, SUFFIXES)).alias("description"),
         "doc_id",
         "lang",
     )
@@ -70,7 +66,7 @@ def doc_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 DOC_SQL = """doc AS (
   SELECT 'doc:' || doc_id AS id,
-         substr(regexp_replace(text, '[ \\t\\r\\n\\f]+', ' ', 'g'), 1, 60) AS title,
+         regexp_replace(text, '[ \\t\\r\\n\\f]+', ' ', 'g') AS title,
          source AS company,
          CASE lang WHEN 'en' THEN 'Remote' WHEN 'de' THEN 'Bangalore' WHEN 'fr' THEN 'Mumbai' END AS location,
          CASE WHEN doc_id % 11 <> 0 THEN DATE '2024-04-30' - CAST(doc_id % 60 AS INTEGER) END AS posted_date,
@@ -78,11 +74,11 @@ DOC_SQL = """doc AS (
          source AS portal,
          CAST(regexp_extract(source, '(\\d+)', 1) AS INTEGER) AS pool_no,
          doc_id AS pos,
-         CASE WHEN doc_id % 13 = 0 THEN '' ELSE text || CASE doc_id % 8
+         text || CASE doc_id % 8
             WHEN 0 THEN '. 2025 batch only.' WHEN 1 THEN '. Monthly stipend of INR 15000.'
             WHEN 2 THEN '. CTC 8 LPA.' WHEN 3 THEN '. 2 year service agreement applies.'
             WHEN 4 THEN '. Fluent German.' WHEN 5 THEN '. 2026 batch welcome.'
-            WHEN 6 THEN '. Rs 30000 per month.' ELSE '' END END AS description,
+            WHEN 6 THEN '. Rs 30000 per month.' ELSE '' END AS description,
          doc_id, lang
   FROM documents)"""
 

@@ -78,22 +78,17 @@ def collapse_spread_pages(spark, sf):
     return dedupe.collapse_spread(slim).select("id", "location", "group_size")
 
 
-CAPPED_SQL = f"""{RANKED_SQL}, capped AS (SELECT * FROM ranked WHERE pool_rank <= 150),
-  keyed AS (SELECT *, {SQL_NORM} AS dedupe_key FROM capped),
-  merged AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dedupe_key ORDER BY pool_rank, pool_no, id) AS rn0 FROM keyed) WHERE rn0 = 1),
-  {collapsed_sql('merged', 'pool_rank, pool_no, id')}"""
-
-
 @query(
     "scrape_top50",
-    f"""WITH {CAPPED_SQL} SELECT id, location, portal FROM collapsed
+    f"""WITH {MERGED_SQL}, {collapsed_sql('merged', 'pool_rank, pool_no, id')} SELECT id, location, portal FROM collapsed
 WHERE lower(location) LIKE '%en%' AND coalesce(DATE '2024-04-30' - posted_date <= 40, true)
 ORDER BY pool_rank, pool_no LIMIT 50""",
 )
 def scrape_top50(spark, sf):
-    """Cap, interleave, merge, collapse, filter and slice: the whole fan-in."""
-    capped = limits.cap_per_source(pools(spark, sf).drop("description"), 50)
-    merged = dedupe.merge_pools(capped).drop("copies", "dedupe_key")
+    """Interleave, merge, collapse, filter and slice: the whole fan-in. Landed rows
+    cost no fetching, so no source is capped before the filter."""
+    ranked = dedupe.interleave(pools(spark, sf).drop("description"))
+    merged = dedupe.merge_pools(ranked).drop("copies", "dedupe_key")
     rows = filters.stage_filter(dedupe.collapse_spread(merged), B.AS_OF, location="en", max_age=40)
     top, _ = limits.limit_with_meta(rows, dedupe.round_robin_order(), 50)
     return top.select("id", "location", "portal")
@@ -388,14 +383,13 @@ def cache_lookup(spark, sf):
     return out.withColumn("fetched_date", F.col("fetched_date").cast("string"))
 
 
-def order_counts(spark, sf, left_out):
-    """Orders per customer, one order status left out."""
-    o = B.table(spark, sf, "orders").filter(F.col("o_orderstatus") != left_out)
-    return o.groupBy(F.col("o_custkey").alias("custkey")).agg(F.count(F.lit(1)).cast("double").alias("n"))
+def line_counts(spark, sf, key):
+    """Order lines by supplier or by part: two aggregates of all lines that differ."""
+    return B.table(spark, sf, "lineitem").groupBy(F.col(key).alias("custkey")).agg(F.count(F.lit(1)).cast("double").alias("n"))
 
 
-RECONCILE_SQL = """e AS (SELECT o_custkey AS custkey, CAST(count(*) AS DOUBLE) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1),
-a AS (SELECT o_custkey AS custkey, CAST(count(*) AS DOUBLE) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1),
+RECONCILE_SQL = """e AS (SELECT l_suppkey AS custkey, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY 1),
+a AS (SELECT l_partkey AS custkey, CAST(count(*) AS DOUBLE) AS n FROM lineitem GROUP BY 1),
 d AS (SELECT coalesce(e.custkey, a.custkey) AS custkey, e.n AS expected, a.n AS actual,
   CASE WHEN a.custkey IS NULL THEN 'missing: ' WHEN e.custkey IS NULL THEN 'extra: ' WHEN abs(e.n - a.n) > 1e-9 THEN 'differs: ' END
   || coalesce(e.custkey, a.custkey) AS detail FROM e FULL JOIN a ON e.custkey = a.custkey)"""
@@ -403,7 +397,7 @@ d AS (SELECT coalesce(e.custkey, a.custkey) AS custkey, e.n AS expected, a.n AS
 
 @query("reconcile", f"WITH {RECONCILE_SQL} SELECT * FROM d WHERE detail IS NOT NULL")
 def reconcile(spark, sf):
-    return joins.reconcile(order_counts(spark, sf, "F"), order_counts(spark, sf, "P"), ["custkey"], "n")
+    return joins.reconcile(line_counts(spark, sf, "l_suppkey"), line_counts(spark, sf, "l_partkey"), ["custkey"], "n")
 
 
 KNOWN = ("missing: 1", "extra: 2", "differs: 999999")
@@ -416,7 +410,7 @@ SELECT pattern, count(detail) AS hits, count(detail) = 0 AS resolved FROM p LEFT
 UNION ALL SELECT 'unexpected', count(*), false FROM d WHERE detail IS NOT NULL AND NOT contains(detail, 'missing: 1') AND NOT contains(detail, 'extra: 2')""",
 )
 def ratchet(spark, sf):
-    diffs = joins.reconcile(order_counts(spark, sf, "F"), order_counts(spark, sf, "P"), ["custkey"], "n")
+    diffs = joins.reconcile(line_counts(spark, sf, "l_suppkey"), line_counts(spark, sf, "l_partkey"), ["custkey"], "n")
     classed, patterns = joins.ratchet(diffs, KNOWN)
     unexpected = classed.filter(F.col("known").isNull()).agg(F.count(F.lit(1)).alias("hits"))
     return patterns.unionByName(unexpected.select(F.lit("unexpected").alias("pattern"), "hits", F.lit(False).alias("resolved")))

@@ -146,6 +146,21 @@ def not_evaluated(spark, sf):
     return d.select("id", F.col("gates")[2]["note"].alias("note"), "pass")
 
 
+BLANK_DOC_SQL = B.DOC_SQL.replace("doc AS (", "doc0 AS (", 1) + """,
+doc AS (SELECT * REPLACE (CASE WHEN doc_id % 13 = 0 THEN '' ELSE description END AS description) FROM doc0)"""
+
+
+@query(
+    "not_evaluated_blank",
+    gated_sql(True).replace(B.DOC_SQL, BLANK_DOC_SQL, 1) + " SELECT id, g_language AS result FROM gated",
+)
+def not_evaluated_blank(spark, sf):
+    """Texts that are empty here and there: their text gates pass unevaluated."""
+    d = B.doc_postings(spark, sf)
+    d = d.withColumn("description", F.when(F.col("doc_id") % 13 == 0, "").otherwise(F.col("description")))
+    return S.gated(d, STUDENT.as_struct(), B.AS_OF, with_text=True).select("id", gate_text(2).alias("result"))
+
+
 @query(
     "run_gates",
     f"{gated_sql(True)} SELECT id, pass, {' || chr(10) || '.join(GATE_COLS)} AS results FROM gated",

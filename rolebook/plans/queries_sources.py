@@ -739,3 +739,50 @@ def feed_files(spark, sf):
     good, bad = feeds.split_feed(feeds.FEEDS["remoteok"].map(payloads))
     rows = good.select(F.lit(None).cast("string").alias("reject_reason")).union(bad.select("reject_reason"))
     return rows.groupBy("reject_reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "document_issues",
+    """SELECT CASE o_orderkey % 6 WHEN 0 THEN 'document is not valid JSON' WHEN 1 THEN 'no list at jobs, got object' WHEN 3 THEN 'no list at jobs, got bigint'
+  WHEN 4 THEN 'document is missing' END AS document_error, count(*) AS n FROM orders WHERE o_orderkey % 6 <> 2 GROUP BY 1""",
+)
+def document_issues(spark, sf):
+    """Items and unusable documents: every document with an item or a fault is a row."""
+    k = F.col("o_orderkey")
+    payload = (
+        F.when(k % 6 == 0, F.concat(F.lit("{oops"), k)).when(k % 6 == 1, doc(jobs=k.cast("string"))).when(k % 6 == 2, "[]")
+        .when(k % 6 == 3, k.cast("string")).when(k % 6 == 5, doc(jobs=F.array(js(id=k))))
+    )
+    items = feeds.items_of(B.table(spark, sf, "orders").select(payload.alias("payload")), ["jobs"])
+    return items.groupBy("document_error").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "salary_document_issues",
+    """SELECT CASE p_partkey % 5 WHEN 0 THEN 'companies must be a list, got string' WHEN 1 THEN 'metadata must be an object, got bigint'
+  WHEN 2 THEN 'top level must be an object, got array' ELSE 'entry must be an object' END AS error, p_partkey % 5 = 4 AS entry, count(*) AS n
+FROM part WHERE p_partkey % 5 <> 3 GROUP BY 1, 2""",
+)
+def salary_document_issues(spark, sf):
+    k = F.col("p_partkey")
+    payload = (
+        F.when(k % 5 == 0, doc(companies=F.col("p_name"))).when(k % 5 == 1, doc(metadata=k, companies=F.array().cast("array<int>")))
+        .when(k % 5 == 2, F.to_json(F.array(k))).when(k % 5 == 3, doc(companies=F.array(js(company=F.col("p_name"))))).otherwise(doc(companies=F.array(k)))
+    )
+    out = tables.salary_issues(B.table(spark, sf, "part").select(payload.alias("payload")))
+    return out.groupBy("error", F.col("pos").isNotNull().alias("entry")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "tracker_mixed",
+    f"""WITH {B.TRK_SQL} SELECT status, count(*) AS n, count(deadline) AS deadlines FROM trk GROUP BY 1""",
+)
+def tracker_mixed(spark, sf):
+    """One folder of files with thirteen and with fourteen columns."""
+    path = scratch_path(spark, "tracker-mixed")
+    cols = [F.col(c).cast("string") if c in ("date", "company", "role", "status", "fit_rating", "source", "deadline") else F.lit("").alias(c) for c in vocab.TRACKER_COLUMNS]
+    rows = B.tracker(spark, sf).select(*cols)
+    rows.where("deadline IS NULL").select(*vocab.TRACKER_COLUMNS[:13]).write.option("header", True).csv(path)
+    rows.where("deadline IS NOT NULL").write.mode("append").option("header", True).csv(path)
+    t = tables.read_tracker(spark, path)
+    return t.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count("deadline").alias("deadlines"))

@@ -30,12 +30,3 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder."""
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-
-def spread_small(df, *keys):
-    """Repartition an input of fewer splits than cores, so text work on a
-    small file uses them all. A large input has enough splits and is returned
-    as it is: no shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)

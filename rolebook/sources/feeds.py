@@ -25,6 +25,7 @@ from rolebook.functions.text import (
     strip_html,
 )
 from rolebook.operators.filters import reject_reason
+from rolebook.sources import documents as D
 
 # --- fixed values: the boards' own addresses ------------------------------------
 REMOTEOK_URL = "https://remoteok.com"
@@ -64,10 +65,19 @@ def pick_array(variant: Column, paths: Sequence[str]) -> Column:
 
 
 def items_of(payloads: DataFrame, paths: Sequence[str]) -> DataFrame:
-    """One row per listed item: ``item`` (VARIANT) and its position ``item_no``."""
-    parsed = payloads.withColumn("_doc", F.try_parse_json("payload"))
+    """One row per listed item: ``item`` (VARIANT) and its position ``item_no``; a
+    document that cannot be used is one row with its ``document_error``."""
+    parsed = payloads.withColumn("_doc", D.parsed(F.col("payload")))
+    parsed = parsed.withColumn("_problem", D.no_list(F.col("payload"), F.col("_doc"), paths))
     keep = [c for c in payloads.columns if c != "payload"]
-    return parsed.select(*keep, F.posexplode(pick_array(F.col("_doc"), paths)).alias("item_no", "item"))
+    nothing = F.lit(None)
+    listed = F.transform(
+        pick_array(F.col("_doc"), paths),
+        lambda x, i: F.struct(i.alias("item_no"), x.alias("item"), nothing.cast("string").alias("document_error")),
+    )
+    lone = F.array(F.struct(nothing.cast("int").alias("item_no"), nothing.cast("variant").alias("item"), F.col("_problem").alias("document_error")))
+    entries = F.when(F.col("_problem").isNull(), listed).otherwise(lone)
+    return parsed.select(*keep, F.explode_outer(entries).alias("_e")).where("_e IS NOT NULL").select(*keep, "_e.*")
 
 
 def encode_component(c: Column) -> Column:
@@ -88,11 +98,12 @@ def cut(c: Column, chars: int | None) -> Column:
 
 
 def _posting(df: DataFrame, portal: str, rules: Sequence[tuple[str, Column]], **columns: Column) -> DataFrame:
-    keep = [c for c in df.columns if c not in ("item", "slug", "company")]
+    keep = [c for c in df.columns if c not in ("item", "slug", "company", "document_error")]
     shaped = {"portal": F.lit(portal), "source": F.lit("adapter"), **columns}
-    return df.select(
-        *keep, *[c.alias(n) for n, c in shaped.items()], reject_reason(rules).alias("reject_reason")
-    )
+    reason = reject_reason(rules)
+    if "document_error" in df.columns:
+        reason = F.coalesce("document_error", reason)
+    return df.select(*keep, *[c.alias(n) for n, c in shaped.items()], reason.alias("reject_reason"))
 
 
 def body_text(item: Column) -> Column:
@@ -241,7 +252,7 @@ def map_workday_detail(payloads: DataFrame, as_of, chars: int | None = None) ->
     ``company`` and ``ref``; a document without the record is rejected."""
     from rolebook.functions.urls import workday_path
 
-    doc = F.try_parse_json("payload")
+    doc = D.parsed(F.col("payload"))
     parts = F.split("slug", "/")
     tenant, site, inst = parts[0], parts[1], F.concat(F.lit("wd"), parts[2])
     d = payloads.withColumn("item", F.try_variant_get(doc, "$.jobPostingInfo", "variant"))
@@ -524,7 +535,7 @@ def read_wwr_rss(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def payload_notes(payloads: DataFrame, portal: str, paths: Sequence[str] = ()) -> DataFrame:
     """One note per payload: unreadable documents are notes, not failures."""
-    doc = F.try_parse_json("payload")
+    doc = D.parsed(F.col("payload"))
     return payloads.select(
         F.lit(portal).alias("portal"),
         doc.isNotNull().alias("ok"),
@@ -535,7 +546,7 @@ def payload_notes(payloads: DataFrame, portal: str, paths: Sequence[str] = ()) -
 
 def envelope_issues(payloads: DataFrame) -> DataFrame:
     """Provider envelopes whose ``meta.count`` is not the number of results."""
-    doc = F.try_parse_json("payload")
+    doc = D.parsed(F.col("payload"))
     stated, listed = F.try_variant_get(doc, "$.meta.count", "bigint"), F.size(pick_array(doc, ["results"]))
     return payloads.withColumns({"stated": stated, "listed": listed}).filter(
         F.coalesce(F.col("stated") != F.col("listed"), F.lit(True))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from rolebook import vocab
 from rolebook.functions.money import parse_locale_number
-from rolebook.sources.feeds import get, kind_of, pick_array, read_payloads
+from rolebook.sources import documents as D
+from rolebook.sources.feeds import get, items_of, kind_of, pick_array, read_payloads
 
 # --- registry --------------------------------------------------------------------
 
@@ -89,9 +90,14 @@ HISTORY = "array<struct<score:int,verdict:string,date:string>>"
 def parse_seen(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entries, bad keys) of store documents: ``{"seen": {...}}`` or a bare map.
 
-    Fields outside the known ones are kept as JSON text in ``extra``.
+    Fields outside the known ones are kept as JSON text in ``extra``. A document
+    that cannot be used is a bad row without a key.
     """
-    doc = F.try_parse_json("payload")
+    doc = D.parsed(F.col("payload"))
+    problem = D.no_object(F.col("payload"), doc, objects=["seen"])
+    unusable = payloads.select(problem.alias("error")).where("error IS NOT NULL").select(
+        F.lit(None).cast("string").alias("key"), "error", F.lit(None).cast("string").alias("found")
+    )
     wrapped = F.try_variant_get(doc, "$.seen", "map<string,variant>")
     bare = F.try_variant_get(doc, "$", "map<string,variant>")
     has_seen = F.map_contains_key(bare, "seen")
@@ -113,11 +119,13 @@ def parse_seen(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     bad = entries.filter(~is_object).select(
         "key", F.lit("entry is not an object").alias("error"), F.to_json("item").alias("found")
     )
-    return good, bad
+    return good, bad.unionByName(unusable)
 
 
-def read_seen_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return parse_seen(read_payloads(spark, path))
+def read_seen_json(spark: SparkSession, path: str, lines: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Stores landed as whole documents, or, for stores of any size, as ``lines``: one
+    object of one or a few entries each, which Spark splits."""
+    return parse_seen(spark.read.text(path).withColumnRenamed("value", "payload") if lines else read_payloads(spark, path))
 
 
 def first_bad_keys(bad: DataFrame, show: int = 5) -> DataFrame:
@@ -139,10 +147,24 @@ def conform_tracker(df: DataFrame) -> DataFrame:
 
 
 def read_tracker(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """Tracker CSV files with a header, all text. Without line breaks inside
-    notes, ``multiline=False`` lets Spark split large files."""
-    df = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"').csv(path)
-    return conform_tracker(df)
+    """Tracker CSV files with a header, all text: each file's own header decides, so
+    files of thirteen and of fourteen columns may lie in one folder.
+
+    Columns are matched by place, as both headers agree on the first thirteen; short
+    rows are padded with NULL. A header that names other columns fails the read.
+    Without line breaks inside notes, ``multiline=False`` lets Spark split large files.
+    """
+    schema = ", ".join(f"`{c}` string" for c in vocab.TRACKER_COLUMNS)
+    reader = spark.read.schema(schema).option("multiLine", multiline).option("escape", '"')
+    rows = reader.option("header", False).option("mode", "PERMISSIVE").csv(path)
+    names = list(vocab.TRACKER_COLUMNS)
+    is_header = F.col(names[0]) == names[0]
+    known = F.lit(True)
+    for c in names[1:]:
+        known = known & F.coalesce(F.col(c) == c, F.lit(c == "deadline"))
+    odd = F.concat(F.lit("tracker header is not the known one: "), F.concat_ws(",", *names))
+    checked = F.when(is_header & ~known, F.raise_error(odd).cast("boolean")).otherwise(~F.coalesce(is_header, F.lit(False)))
+    return conform_tracker(rows.filter(checked))
 
 
 # --- salary data -----------------------------------------------------------------
@@ -150,17 +172,21 @@ def read_tracker(spark: SparkSession, path: str, multiline: bool = True) -> Data
 
 def parse_salary_data(payloads: DataFrame) -> DataFrame:
     """(company, city, category, count, index, baseline) from salary documents;
-    ``index`` stays text because a data set may withhold it as text."""
-    doc = F.try_parse_json("payload")
+    ``index`` stays text because a data set may withhold it as text. Without
+    ``categories`` the object-valued fields of an entry are its categories; an entry
+    without any keeps its company, with NULL figures. Documents that cannot be used
+    are in :func:`salary_issues`."""
+    doc = D.parsed(F.col("payload"))
     rows = payloads.select(
         F.coalesce(F.try_variant_get(doc, "$.metadata.index_baseline", "double"), F.lit(100.0)).alias("baseline"),
         F.posexplode(pick_array(doc, ["companies"])).alias("pos", "item"),
     )
     i = F.col("item")
-    cats = F.coalesce(get(i, "categories", "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    simple = F.map_filter(F.try_variant_get(i, "$", "map<string,variant>"), lambda k, v: (D.kind(v) == "OBJECT") & (k != "categories"))
+    cats = F.coalesce(get(i, "categories", "map<string,variant>"), F.when(kind_of(i, "categories") == "VOID", simple))
     return rows.select(
         "pos", "baseline", get(i, "company").alias("company"), get(i, "city").alias("city"),
-        F.explode(cats).alias("category", "_c"),
+        F.explode_outer(cats).alias("category", "_c"),
     ).select(
         "pos", "company", "city", "category",
         get(F.col("_c"), "count", "double").alias("count"),
@@ -174,9 +200,13 @@ def read_salary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def salary_issues(payloads: DataFrame) -> DataFrame:
-    """Hard problems of salary documents: (pos, error)."""
-    doc = F.try_parse_json("payload")
-    rows = payloads.select(F.posexplode(pick_array(doc, ["companies"])).alias("pos", "item"))
+    """Hard problems of salary documents: (pos, error); pos is NULL where the document
+    as a whole cannot be used or its metadata is wrong."""
+    doc = D.parsed(F.col("payload"))
+    whole = payloads.select(D.no_object(F.col("payload"), doc, objects=["metadata"], lists=["companies"]).alias("error"))
+    whole = whole.where("error IS NOT NULL").select(F.lit(None).cast("int").alias("pos"), "error")
+    entries_of = F.when(D.kind(doc) == "OBJECT", pick_array(doc, ["companies"]))
+    rows = payloads.select(F.posexplode(entries_of).alias("pos", "item"))
     i = F.col("item")
     company, city, cats = kind_of(i, "company"), kind_of(i, "city"), kind_of(i, "categories")
     is_object = F.startswith(F.coalesce(F.schema_of_variant("item"), F.lit("VOID")), F.lit("OBJECT"))
@@ -204,7 +234,7 @@ def salary_issues(payloads: DataFrame) -> DataFrame:
                F.lit("categories must be an object when provided")),
     )
     nested = F.coalesce(F.transform(entries, category_error), F.array().cast("array<string>"))
-    return rows.select("pos", F.explode(F.array_compact(F.concat(own, nested))).alias("error"))
+    return rows.select("pos", F.explode(F.array_compact(F.concat(own, nested))).alias("error")).unionByName(whole)
 
 
 def _names(header: Column, words: Sequence[str]) -> Column:
@@ -328,10 +358,9 @@ def unpivot_salary(cells: DataFrame) -> DataFrame:
 
 def parse_batch_refs(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(entries, errors): an entry without a ref is an error row, never an
-    abort of the others."""
-    doc = F.try_parse_json("payload")
+    abort of the others; so is a document that cannot be used."""
     keep = [c for c in payloads.columns if c != "payload"]
-    rows = payloads.select(*keep, F.posexplode(pick_array(doc, [])).alias("entry_no", "item"))
+    rows = items_of(payloads, []).withColumnRenamed("item_no", "entry_no")
     i = F.col("item")
     ref = F.when(kind_of(i, "ref") == "STRING", get(i, "ref"))
     ok = F.coalesce(F.trim(ref) != "", F.lit(False))
@@ -339,8 +368,8 @@ def parse_batch_refs(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     good = rows.filter(ok).select(*keep, "entry_no", "ref", get(i, "description").alias("description"))
     bad = rows.filter(~ok).select(
         *keep, "entry_no",
-        F.coalesce("ref", F.concat(F.lit("entry#"), "entry_no")).alias("ref"),
-        F.lit("batch entry is missing its ref").alias("error"),
+        F.coalesce("ref", F.concat(F.lit("entry#"), "entry_no"), F.lit("document")).alias("ref"),
+        F.coalesce("document_error", F.lit("batch entry is missing its ref")).alias("error"),
         F.lit("batch-file").alias("code"),
     )
     return good, bad
@@ -355,13 +384,14 @@ def _kind_name(c: Column) -> Column:
 
 
 def parse_scores(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(results, errors) of score documents: a list or ``{"results": []}``."""
-    doc = F.try_parse_json("payload")
-    rows = payloads.select(F.posexplode(pick_array(doc, ["results"])).alias("n", "item"))
+    """(results, errors) of score documents: a list or ``{"results": []}``. Results
+    carry their position ``n`` in the document; a document that cannot be used is an
+    error row."""
+    rows = items_of(payloads.select("payload"), ["results"]).withColumnRenamed("item_no", "n")
     i = F.col("item")
     kind = F.coalesce(F.schema_of_variant("item"), F.lit("VOID"))
     scores = kind_of(i, "scores")
-    error = F.when(
+    error = F.when(F.col("document_error").isNotNull(), F.col("document_error")).when(
         ~F.startswith(kind, F.lit("OBJECT")), F.concat(F.lit("scoring object must be an object, got "), _kind_name(kind))
     ).when(
         ~(F.startswith(scores, F.lit("OBJECT")) | (scores == "VOID")),
@@ -373,9 +403,10 @@ def parse_scores(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
         return F.when(number, get(i, f"scores.{name}", "double")).alias(name)
 
     rows = rows.withColumn("error", error)
-    key = F.coalesce(get(i, "key"), F.concat(F.lit("results["), "n", F.lit("]")))
+    key = F.coalesce(get(i, "key"), F.concat(F.lit("results["), "n", F.lit("]")), F.lit("document"))
     errors = rows.filter(F.col("error").isNotNull()).select(key.alias("key"), "error")
     good = rows.filter(F.col("error").isNull()).select(
+        "n",
         get(i, "key").alias("key"),
         get(i, "status").alias("status"),
         F.struct(*[dim(d) for d in vocab.DIMENSIONS]).alias("scores"),

@@ -1,8 +1,9 @@
 """Repeated scrapes into the seen table, as a stream.
 
 Landed posting files flow in; each new posting becomes one ``new`` row of an
-append-only table, partitioned by ingest batch. A replayed batch overwrites
-its own partition, so a restart adds nothing twice.
+append-only table, partitioned by a bucket of its key and by ingest batch. A batch
+reads the keys of the buckets it touches. A replayed batch overwrites its own
+partitions, so a restart adds nothing twice.
 """
 
 from __future__ import annotations
@@ -20,13 +21,15 @@ LANDED_SCHEMA = (
 )
 TABLE_SCHEMA = (
     "key string, title string, company string, location string, posted_date string, url string, portal string, "
-    "deadline string, status string, location_verdict string, first_seen date, ingest_batch bigint"
+    "deadline string, status string, location_verdict string, first_seen date, bucket int, ingest_batch bigint"
 )
+#: Folders that keys are dealt over; fixed for the life of a table.
+BUCKETS = 64
 
 
 def create_table(spark: SparkSession, out: str) -> None:
     """An empty table where there is none; an existing one is left alone."""
-    spark.createDataFrame([], TABLE_SCHEMA).write.mode("ignore").partitionBy("ingest_batch").parquet(out)
+    spark.createDataFrame([], TABLE_SCHEMA).write.mode("ignore").partitionBy("bucket", "ingest_batch").parquet(out)
 
 
 def read_table(spark: SparkSession, out: str) -> DataFrame:
@@ -46,16 +49,20 @@ def upsert_batch(batch: DataFrame, batch_id: int, out: str) -> None:
     replay stores the same keys as the first run.
     """
     spark = batch.sparkSession
-    earlier = read_table(spark, out).filter(F.col("ingest_batch") < batch_id)
+    batch = batch.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int"))
+    # at most BUCKETS numbers
+    touched = [r.bucket for r in batch.select("bucket").distinct().collect()]
+    earlier = read_table(spark, out).filter(F.col("bucket").isin(touched) & (F.col("ingest_batch") < batch_id))
     first = batch.groupBy("key").agg(
         F.min_by(F.struct(*[c for c in batch.columns if c != "key"]), F.struct("ingested_at", "id")).alias("_row")
     ).select("key", "_row.*")
     fresh = migrate_seen(joins.only_new(first, earlier, key="key"))
     rows = fresh.select(
         "key", "title", "company", "location", "posted_date", "url", "portal", "deadline", "status",
-        "location_verdict", F.col("ingested_at").cast("date").alias("first_seen"),
+        "location_verdict", F.col("ingested_at").cast("date").alias("first_seen"), "bucket", F.lit(batch_id).cast("bigint").alias("ingest_batch"),
     )
-    rows.write.mode("overwrite").parquet(f"{out}/ingest_batch={batch_id}")
+    # only the partitions of this batch are replaced
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "ingest_batch").parquet(out)
 
 
 def stream_ingest(
@@ -72,9 +79,8 @@ def stream_ingest(
     landed = (
         spark.readStream.schema(LANDED_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
     )
-    unique = keyed(landed).withWatermark("ingested_at", watermark).dropDuplicatesWithinWatermark(["key"])
     return (
-        unique.writeStream.foreachBatch(lambda df, batch_id: upsert_batch(df, batch_id, out))
+        keyed(landed).writeStream.foreachBatch(lambda df, batch_id: upsert_batch(df, batch_id, out))
         .option("checkpointLocation", checkpoint or f"{out}/_offsets")
         .trigger(availableNow=True)
         .start()
