@@ -63,10 +63,7 @@ def strip_html(c) -> Column:
     and doubly escaped entities both resolve.
     """
     out = col_of(c)
-    for entity, char in (
-        ("&amp;", "&"), ("&nbsp;", " "), ("&lt;", "<"),
-        ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
-    ):
+    for entity, char in vocab.STRIP_ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(char))
     out = F.regexp_replace(out, r"(?is)<script.*?</script>", " ")
     out = F.regexp_replace(out, r"(?is)<style.*?</style>", " ")
@@ -99,10 +96,7 @@ def _decode_numeric(text: Column, pattern: str, radix: int) -> Column:
 
 def decode_entities(c) -> Column:
     out = col_of(c)
-    for entity, char in (
-        ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'),
-        ("&#39;", "'"), ("&apos;", "'"), ("&#x2F;", "/"), ("&#x3D;", "="),
-    ):
+    for entity, char in vocab.TEXT_ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(char))
     out = _decode_numeric(out, r"&#(\d+);", 10)
     out = _decode_numeric(out, r"&#[xX]([0-9a-fA-F]+);", 16)
@@ -112,15 +106,7 @@ def decode_entities(c) -> Column:
 def html_to_text(c) -> Column:
     """Block-preserving text: paragraphs and headings keep their line breaks."""
     out = F.coalesce(col_of(c), F.lit(""))
-    for pattern, repl in (
-        (r"(?i)<br\s*/?>", "\n"),
-        (r"(?i)</p>", "\n\n"),
-        (r"(?i)</div>", "\n"),
-        (r"(?i)</li>", "\n"),
-        (r"(?i)<li[^>]*>", "• "),
-        (r"(?i)<h[1-6][^>]*>(.*?)</h[1-6]>", "\n\n$1\n"),
-        (r"<[^>]+>", ""),
-    ):
+    for pattern, repl in vocab.BLOCK_TAGS:
         out = F.regexp_replace(out, pattern, repl)
     out = decode_entities(out)
     out = F.regexp_replace(out, r"(?U)[\s&&[^\n]]+(?=\n|\z)", "")
@@ -175,7 +161,7 @@ def error_info(code) -> Column:
     """Struct(code, known, retryable) of an error code; unknown is not retryable."""
     c = col_of(code)
     known = [row[0] for row in vocab.ERROR_CODES]
-    retry = [row[0] for row in vocab.ERROR_CODES if row[2]]
+    retry = [row[0] for row in vocab.ERROR_CODES if row[1]]
     return F.struct(
         normal_code(c).alias("code"),
         F.coalesce(c.isin(*known), F.lit(False)).alias("known"),

@@ -62,37 +62,49 @@ def evaluate_dedupe(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     )
 
 
-def average_rank(df: DataFrame, score: str, out: str) -> DataFrame:
-    """Adds the rank of an integer score, ties sharing their average rank.
-
-    Ranks follow from how many rows hold each score, so only the distinct
-    scores (0-100) are ordered, never the rows.
-    """
-    counts = df.groupBy(score).agg(F.count(F.lit(1)).alias("_n"))
+def _ranks(cells: DataFrame, score: str, out: str) -> DataFrame:
+    """Rank of each distinct score, ties sharing their average rank, from (score, n)
+    cells: at most 101 rows are ordered."""
+    counts = cells.groupBy(score).agg(F.sum("n").alias("_n"))
     before = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select(
-        score, (F.coalesce(F.sum("_n").over(before), F.lit(0)) + (F.col("_n") + 1) / 2.0).alias(out)
-    )
-    return df.join(ranks, score)
+    return counts.select(score, (F.coalesce(F.sum("_n").over(before), F.lit(0)) + (F.col("_n") + 1) / 2.0).alias(out))
+
+
+def _score(c: str) -> Column:
+    """An integer score of 0 to 100; anything else fails."""
+    ok = F.col(c).between(0, 100) & (F.col(c) == F.floor(c))
+    return F.when(ok | F.col(c).isNull(), F.col(c).cast("int")).otherwise(F.raise_error(F.concat(F.lit("no integer score of 0 to 100: "), c)).cast("int"))
 
 
 def rank_stability(first: DataFrame, second: DataFrame, k: int = 10) -> DataFrame:
     """One row comparing two rankings (id, score): Spearman rho, top-k overlap,
-    band churn, and the root mean variance of a posting's two scores."""
-    a = first.select("id", F.col("score").alias("a"))
-    b = second.select("id", F.col("score").alias("b"))
-    both = average_rank(average_rank(a.join(b, "id"), "a", "rank_a"), "b", "rank_b")
+    band churn, and the root mean variance of a posting's two scores.
+
+    Rows meet once, on id; everything else follows from how often each pair of
+    scores occurs, at most 101 x 101 cells."""
+    a = first.select("id", _score("score").alias("a"))
+    b = second.select("id", _score("score").alias("b"))
+    cells = a.join(b, "id").where("a IS NOT NULL AND b IS NOT NULL").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
+    both = cells.join(_ranks(cells, "a", "x"), "a").join(_ranks(cells, "b", "y"), "b")
+    n, x, y = F.col("n"), F.col("x"), F.col("y")
+    total = both.agg(
+        F.coalesce(F.sum(n), F.lit(0)).alias("postings"),
+        *[F.sum(n * v).alias(c) for c, v in (("sx", x), ("sy", y), ("sxx", x * x), ("syy", y * y), ("sxy", x * y))],
+        F.coalesce(F.sum(F.when(band(F.col("a")) != band(F.col("b")), n).otherwise(0)), F.lit(0)).alias("band_churn"),
+        F.sum(n * (F.col("a") - F.col("b")) * (F.col("a") - F.col("b")) / 2.0).alias("var"),
+    )
+    m = F.col("postings")
+    spread = F.sqrt((m * F.col("sxx") - F.col("sx") * F.col("sx")) * (m * F.col("syy") - F.col("sy") * F.col("sy")))
+    stats = total.select(
+        "postings",
+        F.try_divide(m * F.col("sxy") - F.col("sx") * F.col("sy"), spread).alias("spearman"),
+        "band_churn",
+        F.sqrt(F.try_divide("var", m)).alias("score_sigma"),
+    )
     tops = (
         a.orderBy(F.col("a").desc(), "id").limit(k).select("id")
         .join(b.orderBy(F.col("b").desc(), "id").limit(k).select("id"), "id")
         .agg(F.count(F.lit(1)).alias("top_k_overlap"))
     )
-    variance = (F.col("a") - F.col("b")) * (F.col("a") - F.col("b")) / 2.0
-    stats = both.agg(
-        F.count(F.lit(1)).alias("postings"),
-        F.corr("rank_a", "rank_b").alias("spearman"),
-        F.count_if(band(F.col("a")) != band(F.col("b"))).alias("band_churn"),
-        F.sqrt(F.avg(variance)).alias("score_sigma"),
-    )
     both_rows = stats.unionByName(tops, allowMissingColumns=True)
     return both_rows.agg(*[F.max(c).alias(c) for c in both_rows.columns])

@@ -29,13 +29,13 @@ NEAR_BATCH = (
     rf"|(?<!\w)(?:{_TERM})(?!\w){_GAP}(?<!\w)20\d{{2}}(?!\w)"
 )
 ONLY_WORD = rf"(?<!\w)(?:{vocab.BATCH_ONLY})(?!\w)"
-MONTHLY = r"per\s+month|per\s+mo(?!\w)|/\s*month|/\s*mo(?!\w)|monthly"
-LAKHS = r"(?<!\w)lpa(?!\w)|(?<!\w)lakhs?(?!\w)"
-ANNUAL = r"per\s+annum(?!\w)|(?<!\w)annually(?!\w)|/\s*yr(?!\w)"
+MONTHLY = vocab.MONTHLY_PATTERN
+LAKHS = vocab.LAKHS_PATTERN
+ANNUAL = vocab.ANNUAL_PATTERN
 BOND = "(?i)" + vocab.BOND_PHRASE
-FLUENT = r"(?i)fluent\s+(?:in\s+)?([a-z]+)"
-FLUENT_STRICT = r"(?i)fluent\s+([a-z]+)"
-REQUIRED = rf"(?i)(?:{_LANGS})\s*(?:required|must|essential)"
+FLUENT = vocab.FLUENT_PATTERN
+FLUENT_STRICT = vocab.FLUENT_STRICT_PATTERN
+REQUIRED = rf"(?i)(?:{_LANGS})\s*(?:{vocab.REQUIRED_WORDS})"
 
 
 @dataclass(frozen=True)
@@ -262,10 +262,22 @@ def gate_stipend(facts: Column, cand: Column) -> Gate:
     )
 
 
+def one_decimal(x: Column) -> Column:
+    """A non-negative double with one decimal: the nearer of the two neighbours by its
+    exact binary value (1.15 is a little less, so 1.1), a true tie upwards."""
+    tenths = F.floor(x * 10).cast("double")
+    wide = x * 134217729.0
+    high = wide - (wide - x)
+    # 10 * x less the middle, without rounding: both halves of x times ten are exact
+    over = (high * 10 - (tenths + 0.5)) + (x - high) * 10
+    n = F.when(over >= 0, tenths + 1).otherwise(tenths).cast("bigint")
+    return F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"))
+
+
 def gate_ctc(facts: Column, cand: Column) -> Gate:
     """Below-floor pay only ever flags."""
     floor, paid = cand["ctc_floor"], facts["lpa"]
-    shown = F.round(paid, 1).cast("decimal(38,1)").cast("string")
+    shown = one_decimal(paid)
     note = F.concat(F.lit("CTC ~"), shown, F.lit(" LPA < floor "), plain_number(floor), F.lit(" LPA"))
     return _text_gate(
         "ctc", facts,

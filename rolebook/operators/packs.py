@@ -156,16 +156,16 @@ def build_packs(scored: DataFrame, profile: Column) -> DataFrame:
         schooling, link_lines,
     )
     role = F.concat(F.col("title"), F.lit(" at "), F.col("company"))
-    matches = F.concat(F.lit("my strongest matches are "), F.array_join(F.slice(covered, 1, 3), ", "), F.lit("."))
+    matches = F.concat(F.lit(vocab.PITCH_MATCHES), F.array_join(F.slice(covered, 1, 3), ", "), F.lit("."))
     pitch = F.concat(
-        F.lit("Applying for "), role, F.lit(": "),
-        F.when(F.size(covered) > 0, matches).otherwise(F.lit("my background is a growth fit for this role.")),
+        F.lit(vocab.PITCH_START), role, F.lit(": "),
+        F.when(F.size(covered) > 0, matches).otherwise(F.lit(vocab.PITCH_GROWTH)),
         F.lit(" "), summary,
     )
-    area = F.when(F.size(covered) > 0, F.array_join(F.slice(covered, 1, 2), " and ")).otherwise("this area")
+    area = F.when(F.size(covered) > 0, F.array_join(F.slice(covered, 1, 2), " and ")).otherwise(vocab.FOLLOW_UP_AREA)
     follow_up = F.concat(
-        F.lit("Hi — I applied for "), role, F.lit(" a week ago and wanted to briefly follow up. The role matches my work in "),
-        area, F.lit(". Happy to share anything useful. Thanks!"),
+        F.lit(vocab.FOLLOW_UP_START), role, F.lit(vocab.FOLLOW_UP_MIDDLE),
+        area, F.lit(vocab.FOLLOW_UP_END),
     )
     pack = F.struct(
         F.array_join(lines, "\n").alias("resume"),

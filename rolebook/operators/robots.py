@@ -82,7 +82,10 @@ def _matcher(pattern: Column) -> Column:
 
 def policy_table(policies: DataFrame) -> DataFrame:
     """One row per host: ``state`` (rules, open, unconfirmed), known agents and
-    ready-made rules. ``policies`` has host, http_status and body."""
+    ready-made rules. ``policies`` has host, http_status and body; of several rows for
+    a host, in any case, the best answered one counts (200, then 404), ties by body."""
+    best = F.min(F.struct(F.when(F.col("http_status") == 200, 0).when(F.col("http_status") == 404, 1).otherwise(2).alias("o"), "http_status", "body"))
+    policies = policies.groupBy(F.lower("host").alias("host")).agg(best.alias("p")).select("host", "p.http_status", "p.body")
     parsed = policies.select(
         F.lower("host").alias("host"), "http_status",
         F.coalesce("body", F.lit("")).alias("body"),
@@ -116,7 +119,7 @@ def _allowed(agent: str, path: Column) -> Column:
 def robots_filter(urls: DataFrame, policies: DataFrame, agents: Sequence[str] = ("*",), column: str = "url") -> DataFrame:
     """Adds ``robots``: allowed, disallowed or unconfirmed.
 
-    Each host has one policy row, so the join never multiplies URLs, and the
+    The policies are reduced to one row a host, so the join never multiplies URLs, and the
     rules are evaluated inside the row.
     """
     query = query_of(column)

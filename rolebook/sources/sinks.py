@@ -2,32 +2,50 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+LEDGER = "version bigint, seq bigint, folder string"
+
+
+def ledger(spark: SparkSession, root: str) -> list:
+    """(version, seq, folder) of every write, oldest first; a few rows a version."""
+    folder = spark.createDataFrame([(None, None, None)], LEDGER).limit(0)
+    folder.write.mode("append").parquet(f"{root}/ledger")  # an empty ledger where there is none
+    return sorted(spark.read.schema(LEDGER).parquet(f"{root}/ledger").collect(), key=lambda r: r.seq)
+
+
 def write_seen(df: DataFrame, root: str, version: int) -> None:
     """Replace the whole store as a new version.
 
-    The version is written to its own folder first and becomes current only
-    when the ledger names it, so a failed write leaves the old store in place
-    and a repeated write of one version changes nothing else. Partitioned by
-    ``status``: a sweep reads only ranked rows, a compaction only closed ones.
+    Every write goes to a folder of its own and becomes current only when the ledger
+    names it, so a failed write leaves the old store in place, also where it rewrites
+    the current version. A version older than the current one is refused. Partitioned
+    by ``status``: a sweep reads only ranked rows, a compaction only closed ones.
     """
     spark = df.sparkSession
-    df.write.mode("overwrite").partitionBy("status").parquet(f"{root}/data/version={version}")
-    row = spark.range(1).select(F.lit(int(version)).cast("bigint").alias("version"))
+    known = ledger(spark, root)
+    if known and version < known[-1].version:
+        raise ValueError(f"version {version} is older than the store's version {known[-1].version}")
+    folder = f"version={version}-{uuid.uuid4().hex}"
+    df.write.partitionBy("status").parquet(f"{root}/data/{folder}")
+    row = spark.createDataFrame([(int(version), len(known), folder)], LEDGER)
     row.write.mode("append").parquet(f"{root}/ledger")
 
 
 def current_version(spark: SparkSession, root: str) -> int:
-    return spark.read.schema("version bigint").parquet(f"{root}/ledger").agg(F.max("version")).first()[0]
+    return ledger(spark, root)[-1].version
 
 
 def read_seen(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
-    """The current version of the store (or a named one)."""
-    v = current_version(spark, root) if version is None else version
-    return spark.read.parquet(f"{root}/data/version={v}")
+    """The current version of the store (or a named one, as last written)."""
+    rows = [r for r in ledger(spark, root) if version in (None, r.version)]
+    if not rows:
+        raise ValueError(f"the store has no version {version}")
+    return spark.read.parquet(f"{root}/data/{rows[-1].folder}")
 
 
 def _cell(name: str, missing: str | None = None):

@@ -110,3 +110,33 @@ def test_repeated_results(spark):
     plain = spark.createDataFrame(rows[:2], RESULT).drop("n")
     out, errors = state.apply_scores(seen, plain, "2024-05-01")
     assert out.count() == 50 and errors.count() == 1 and out.where("outcome IS NOT NULL").count() == 0
+
+
+def test_one_decimal(column):
+    from rolebook.operators.gates import one_decimal
+
+    values = [1.15, 1.25, 0.05, 2.5, 9.95, 12.0, 0.0, 123456.75, 1.35, 0.25]
+    from decimal import ROUND_HALF_UP, Decimal
+
+    want = [str(Decimal(v).quantize(Decimal("0.1"), ROUND_HALF_UP)) for v in values]
+    assert column(lambda df: one_decimal(F.col("x")), [(v,) for v in values], "x double") == want
+
+
+def test_store_versions(spark, tmp_path):
+    from rolebook.sources import sinks
+
+    root = str(tmp_path / "s")
+    df = spark.createDataFrame([("a", "new"), ("b", "ranked")], "key string, status string")
+    sinks.write_seen(df, root, 4)
+    sinks.write_seen(sinks.read_seen(spark, root).where("key = 'a'"), root, 4)
+    assert [r.key for r in sinks.read_seen(spark, root).collect()] == ["a"]
+    with pytest.raises(ValueError, match="older"):
+        sinks.write_seen(df, root, 3)
+
+
+def test_policies_of_one_host(spark):
+    from rolebook.operators.robots import policy_table
+
+    rows = [("A.com", 500, None), ("a.com", 200, "User-agent: *\nDisallow: /x\n"), ("a.COM", 404, None)]
+    out = policy_table(spark.createDataFrame(rows, "host string, http_status int, body string")).collect()
+    assert [(r.host, r.state) for r in out] == [("a.com", "rules")]
