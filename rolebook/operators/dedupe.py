@@ -59,24 +59,22 @@ def with_dedupe_key(df: DataFrame) -> DataFrame:
     return df.withColumn("dedupe_key", dedupe_key("url", "company", "title", "location"))
 
 
-def _first_by(df: DataFrame, keys: list[str], order: list[str], extra: list[Column]) -> DataFrame:
-    """One whole row per key, the lowest by ``order``, with partial aggregation."""
-    rest = [c for c in df.columns if c not in keys]
-    return (
-        df.groupBy(*keys)
-        .agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"), *extra)
-        .select("*", "_row.*")
-        .drop("_row")
-    )
+def round_robin_place() -> Column:
+    """(pool_rank, pool_no) as one number, so that winners aggregate on plain longs."""
+    rank, pool = F.col("pool_rank"), F.coalesce(F.col("pool_no"), F.lit(65535))
+    place = F.shiftleft(rank.cast("bigint"), 16).bitwiseOR(pool.cast("bigint"))
+    return F.when(pool.between(0, 65535), place).otherwise(F.raise_error(F.lit("pool_no must be 0 to 65535")).cast("bigint"))
 
 
 def merge_pools(ranked: DataFrame) -> DataFrame:
     """First-seen row per dedupe key in round-robin order, with ``copies``.
 
-    The number of duplicates is ``sum(copies - 1)``.
+    Winners are found on the key and the place alone; whole rows meet them in one join
+    on the place, which no two rows share. The number of duplicates is ``sum(copies - 1)``.
     """
-    keyed = with_dedupe_key(ranked)
-    return _first_by(keyed, ["dedupe_key"], ["pool_rank", "pool_no", "id"], [F.count(F.lit(1)).alias("copies")])
+    keyed = with_dedupe_key(ranked).withColumn("_place", round_robin_place())
+    won = keyed.groupBy("dedupe_key").agg(F.min("_place").alias("_place"), F.count(F.lit(1)).alias("copies"))
+    return keyed.join(won.select("_place", "copies"), "_place").drop("_place")
 
 
 def duplicate_count(merged: DataFrame) -> DataFrame:
@@ -93,7 +91,7 @@ def spread_key() -> list[Column]:
 def collapse_spread(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     """One row per company and requisition, other cities noted in ``location``.
 
-    The first row wins. Rows are reduced to one per (group, location) before
+    The first row wins; the ordering columns name one row. Rows are reduced to one per (group, location) before
     the group itself is formed, so a group holds its distinct places only.
     ``group_size`` counts the input rows of the group.
     """
@@ -101,16 +99,16 @@ def collapse_spread(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     columns = df.columns
     keyed = df.select("*", *spread_key()).withColumn("_place", F.coalesce("location", F.lit("")))
     rank = F.struct(*order)
-    places = keyed.groupBy("_company", "_req", "_place").agg(
-        F.min(rank).alias("_rank"),
-        F.min_by(F.struct(*columns), rank).alias("_row"),
-        F.count(F.lit(1)).alias("_n"),
-    )
-    groups = places.groupBy("_company", "_req").agg(
-        F.min_by("_row", "_rank").alias("_row"),
+    # winners and places on the ordering columns alone; whole rows meet them once
+    places = keyed.groupBy("_company", "_req", "_place").agg(F.min(rank).alias("_rank"), F.count(F.lit(1)).alias("_n"))
+    won = places.groupBy("_company", "_req").agg(
+        F.min("_rank").alias("_first"),
         F.array_sort(F.collect_list(F.struct("_rank", "_place"))).alias("_places"),
         F.sum("_n").alias("group_size"),
     )
+    won = won.select(*[F.col(f"_first.{c}").alias(f"_w_{c}") for c in order], "_places", "group_size")
+    met = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_w_{c}")) for c in order])
+    groups = df.join(won, met)
     cities = F.col("_places._place")
     extra = F.size("_places") - 1
     spread = F.concat(
@@ -118,8 +116,8 @@ def collapse_spread(df: DataFrame, order: list[str] | None = None) -> DataFrame:
         F.array_join(F.slice(cities, 2, F.greatest(extra, F.lit(1))), ", "), F.lit(")"),
     )
     return groups.select(
-        *[F.col(f"_row.{c}").alias(c) for c in columns if c != "location"],
-        F.when(extra > 0, spread).otherwise(F.col("_row.location")).alias("location"),
+        *[c for c in columns if c != "location"],
+        F.when(extra > 0, spread).otherwise(F.col("location")).alias("location"),
         "group_size",
     )
 
