@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 from rolebook import schemas, vocab
 from rolebook.functions import text as T
+from rolebook.operators import dedupe, filters, limits
 from rolebook.operators import reports as R
 from rolebook.plans import bindings as B
-from rolebook.plans.queries_postings import SQL_DECODE
+from rolebook.plans.queries_joins import collapsed_sql
+from rolebook.plans.queries_postings import SQL_DECODE, SQL_NORM
 from rolebook.plans.registry import query
 from rolebook.session import scratch_path
 from rolebook.sources import feeds, sinks, tables
@@ -191,8 +193,7 @@ SELECT 'remoteok:' || doc_id AS id, CASE WHEN doc_id % 10 <> 3 THEN title END AS
 UNION ALL SELECT 'remoteok', NULL, 'Unknown', NULL, NULL, NULL, NULL, '', 'no-id' FROM doc"""
 
 
-@query("feed_remoteok", REMOTEOK_SQL)
-def feed_remoteok(spark, sf):
+def landed_remoteok(spark, sf):
     d, k = docs(spark, sf), F.col("doc_id")
     notice = F.lit('{"last_updated":1794556821,"legal":"terms"}')
     item = doc(
@@ -202,26 +203,34 @@ def feed_remoteok(spark, sf):
         salary_min=F.when(k % 3 < 2, 30000 + k).otherwise(F.lit(0)), salary_max=F.when(k % 3 == 0, 90000).otherwise(F.lit(0)),
         description=F.col("description"),
     )
-    payloads = d.select(F.concat(F.lit("["), notice, F.lit(","), item, F.lit("]")).alias("payload"))
-    out = feeds.map_remoteok(payloads).withColumn("tags", F.array_join("tags", ","))
-    return shown(out, "salary", "tags")
+    payloads = d.select("doc_id", F.concat(F.lit("["), notice, F.lit(","), item, F.lit("]")).alias("payload"))
+    return feeds.map_remoteok(payloads).withColumn("tags", F.array_join("tags", ","))
 
 
-@query(
-    "feed_remotive",
-    f"""WITH {B.DOC_SQL} SELECT CASE WHEN doc_id % 12 = 5 THEN 'remotive' ELSE 'remotive:' || doc_id END AS id, title || ' & co' AS title,
+@query("feed_remoteok", REMOTEOK_SQL)
+def feed_remoteok(spark, sf):
+    return shown(landed_remoteok(spark, sf), "salary", "tags")
+
+
+REMOTIVE_SQL = f"""WITH {B.DOC_SQL} SELECT CASE WHEN doc_id % 12 = 5 THEN 'remotive' ELSE 'remotive:' || doc_id END AS id, title || ' & co' AS title,
   CASE WHEN doc_id % 6 = 0 THEN 'Unknown' ELSE company || ' / x' END AS company, location, {DATE_SQL},
   CASE WHEN doc_id % 2 = 0 THEN url WHEN doc_id % 12 = 5 THEN NULL ELSE 'https://remotive.com/remote-jobs/' || doc_id END AS url,
-  lang AS category, CASE WHEN doc_id % 12 = 5 OR doc_id = 0 THEN 'no-id' END AS reject_reason FROM doc""",
-)
-def feed_remotive(spark, sf):
+  lang AS category, CASE WHEN doc_id % 12 = 5 OR doc_id = 0 THEN 'no-id' END AS reject_reason FROM doc"""
+
+
+def landed_remotive(spark, sf):
     d, k = docs(spark, sf), F.col("doc_id")
     item = js(
         id=F.when(k % 12 != 5, k), url=F.when(k % 2 == 0, F.col("url")), title=F.concat("title", F.lit(" &amp; co")),
         company_name=F.when(k % 6 != 0, F.concat("company", F.lit(" &#x2F; &#120;"))), category=F.col("lang"),
         publication_date=F.concat(day(F.col("posted_date")), F.lit("T00:00:00")), candidate_required_location=F.col("location"),
     )
-    return shown(feeds.map_remotive(d.select(doc(jobs=F.array(item)).alias("payload"))), "category")
+    return feeds.map_remotive(d.select("doc_id", doc(jobs=F.array(item)).alias("payload")))
+
+
+@query("feed_remotive", REMOTIVE_SQL)
+def feed_remotive(spark, sf):
+    return shown(landed_remotive(spark, sf), "category")
 
 
 @query(
@@ -249,13 +258,12 @@ def feed_freehire(spark, sf):
     return shown(out, "seniority", "salary", "skills")
 
 
-@query(
-    "feed_arbeitnow",
-    f"""WITH {B.DOC_SQL} SELECT CASE WHEN doc_id % 15 = 4 THEN 'arbeitnow' ELSE 'arbeitnow:a' || doc_id END AS id, CASE WHEN doc_id % 8 = 1 THEN 'Untitled' ELSE trim(title) END AS title,
+ARBEITNOW_SQL = f"""WITH {B.DOC_SQL} SELECT CASE WHEN doc_id % 15 = 4 THEN 'arbeitnow' ELSE 'arbeitnow:a' || doc_id END AS id, CASE WHEN doc_id % 8 = 1 THEN 'Untitled' ELSE trim(title) END AS title,
   CASE WHEN doc_id % 6 = 0 THEN 'Unknown' ELSE company END AS company, CASE WHEN location IS NOT NULL THEN location WHEN doc_id % 2 = 0 THEN 'Remote' END AS location,
-  {DATE_SQL}, url, CASE WHEN doc_id % 15 = 4 THEN 'no-slug' END AS reject_reason FROM doc""",
-)
-def feed_arbeitnow(spark, sf):
+  {DATE_SQL}, url, CASE WHEN doc_id % 15 = 4 THEN 'no-slug' END AS reject_reason FROM doc"""
+
+
+def landed_arbeitnow(spark, sf):
     d, k = docs(spark, sf), F.col("doc_id")
     seconds = F.unix_timestamp(F.col("posted_date").cast("timestamp"))
     common = dict(
@@ -265,7 +273,12 @@ def feed_arbeitnow(spark, sf):
     by_seconds = doc(data=F.array(js(created_at=seconds, **common)))
     by_text = doc(data=F.array(js(created_at=F.concat(day(F.col("posted_date")), F.lit("T01:02:03Z")), **common)))
     payload = F.when(k % 3 == 0, by_text).otherwise(by_seconds)
-    return shown(feeds.map_arbeitnow(d.select(payload.alias("payload"))))
+    return feeds.map_arbeitnow(d.select("doc_id", payload.alias("payload")))
+
+
+@query("feed_arbeitnow", ARBEITNOW_SQL)
+def feed_arbeitnow(spark, sf):
+    return shown(landed_arbeitnow(spark, sf))
 
 
 @query(
@@ -786,3 +799,52 @@ def tracker_mixed(spark, sf):
     rows.where("deadline IS NOT NULL").write.mode("append").option("header", True).csv(path)
     t = tables.read_tracker(spark, path)
     return t.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count("deadline").alias("deadlines"))
+
+
+SCRAPED = (("remoteok", REMOTEOK_SQL), ("remotive", REMOTIVE_SQL), ("arbeitnow", ARBEITNOW_SQL))
+
+
+def scraped(spark, sf):
+    """Landed payloads of three boards as one pool each, rejects among them."""
+    mapped = (landed_remoteok(spark, sf), landed_remotive(spark, sf), landed_arbeitnow(spark, sf))
+    cols = ["id", "title", "company", "location", "posted_date", "url", "portal", "reject_reason", F.col("doc_id").alias("pos")]
+    pools = [m.select(*cols).withColumn("pool_no", F.lit(i)) for i, m in enumerate(mapped)]
+    return dedupe.union_pools(*pools)
+
+
+def scraped_sql():
+    rows = " UNION ALL ".join(
+        f"SELECT id, title, company, location, posted_date, url, reject_reason, '{portal}' AS portal, {i} AS pool_no FROM ({sql})"
+        for i, (portal, sql) in enumerate(SCRAPED)
+    )
+    return f"""landed AS ({rows}),
+  pg2 AS (SELECT * REPLACE (CAST(posted_date AS DATE) AS posted_date), CAST(regexp_extract(id, '([0-9]+)$', 1) AS BIGINT) AS pos FROM landed WHERE reject_reason IS NULL),
+  ranked AS (SELECT *, row_number() OVER (PARTITION BY pool_no ORDER BY pos) AS pool_rank FROM pg2),
+  keyed AS (SELECT *, {SQL_NORM} AS dedupe_key FROM ranked),
+  merged AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dedupe_key ORDER BY pool_rank, pool_no, id) AS rn FROM keyed) WHERE rn = 1),
+  {collapsed_sql('merged', 'pool_rank, pool_no, id')}"""
+
+
+@query(
+    "scrape_feeds",
+    f"""WITH {scraped_sql()} SELECT id, company, location, portal FROM collapsed
+WHERE lower(location) LIKE '%remote%' AND coalesce(DATE '2024-04-30' - posted_date <= 40, true) ORDER BY pool_rank, pool_no LIMIT 50""",
+)
+def scrape_feeds(spark, sf):
+    """Payloads to mappers to one merged, collapsed, filtered and sliced list."""
+    good, _ = feeds.split_feed(scraped(spark, sf))
+    merged = dedupe.merge_pools(dedupe.interleave(good)).drop("copies", "dedupe_key")
+    rows = filters.stage_filter(dedupe.collapse_spread(merged), B.AS_OF, location="remote", max_age=40)
+    top, _ = limits.limit_with_meta(rows, dedupe.round_robin_order(), 50)
+    return top.select("id", "company", "location", "portal")
+
+
+@query(
+    "scrape_feeds_notes",
+    f"""WITH {scraped_sql()} SELECT portal, CAST(count(*) FILTER (WHERE reject_reason IS NULL) AS BIGINT) AS rows,
+  CAST(count(reject_reason) AS BIGINT) AS quarantined FROM landed GROUP BY 1""",
+)
+def scrape_feeds_notes(spark, sf):
+    """What each board gave: listed rows are postings or quarantined, none is lost."""
+    rows = scraped(spark, sf)
+    return rows.groupBy("portal").agg(F.count_if(F.col("reject_reason").isNull()).alias("rows"), F.count("reject_reason").alias("quarantined"))

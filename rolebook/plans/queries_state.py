@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rolebook import vocab
-from rolebook.operators import dedupe, packs, state
+from rolebook.operators import apply, dedupe, packs, state
 from rolebook.operators import evaluation as E
 from rolebook.operators import reports as R
 from rolebook.operators import scoring as S
@@ -18,11 +18,12 @@ from rolebook.plans.queries_matching import (
     docs_gated,
     gated_sql,
     overall_sql,
+    scored_sql,
 )
 from rolebook.plans.queries_postings import SQL_NORM
 from rolebook.plans.registry import query
 from rolebook.session import scratch_path
-from rolebook.sources import sinks
+from rolebook.sources import sinks, tables
 from rolebook.streaming import ingest
 
 # --- reports ----------------------------------------------------------------------
@@ -89,6 +90,29 @@ PROFILE_JSON = """{"name":"Asha","email":"a@example.com","phone":"","location":"
 "education":[{"degree":"BTech","school":"IIT","year":"2026"},{"degree":"XII","school":"KV"}],"links":["https://x.example.com"]}"""
 
 
+APPLY_SQL = scored_sql(True).replace("age > 30 THEN 'FAIL", "age > 90 THEN 'FAIL").replace("(> 30d window)", "(> 90d window)")
+
+
+@query(
+    "apply_batch",
+    f"""{APPLY_SQL}, {GAPS_SQL.replace(B.DOC_SQL + ",", "", 1)},
+ent AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN id WHEN 1 THEN url WHEN 2 THEN 'missing ' || doc_id || 'x' END AS ref FROM doc),
+u AS (SELECT url, arg_min(id, doc_id) AS pid FROM doc GROUP BY 1),
+r AS (SELECT ref, CASE doc_id % 4 WHEN 0 THEN ref WHEN 1 THEN pid END AS posting_id FROM ent LEFT JOIN u ON ent.ref = u.url)
+SELECT coalesce(ref, 'entry#0') AS ref, posting_id, CASE WHEN ref IS NULL THEN 'batch-file' WHEN posting_id IS NULL THEN 'apply-failed' END AS code,
+  scored.pass AS pass, scored.score AS score, scored.verdict AS verdict, CASE WHEN posting_id IS NOT NULL THEN coalesce(kw.missing, '') END AS gaps
+FROM r LEFT JOIN scored ON scored.id = posting_id LEFT JOIN kw ON kw.id = posting_id""",
+)
+def apply_batch(spark, sf):
+    """Batch documents of one entry each, resolved, gated over 90 days, scored and packed."""
+    d, k = B.doc_postings(spark, sf), F.col("doc_id")
+    ref = F.when(k % 4 == 0, F.col("id")).when(k % 4 == 1, F.col("url")).when(k % 4 == 2, F.concat(F.lit("missing "), k, F.lit("x")))
+    entries, errors = tables.parse_batch_refs(d.select(F.to_json(F.array(F.struct(ref.alias("ref")))).alias("payload")))
+    profile = F.from_json(F.lit(PROFILE_JSON), packs.PROFILE_SCHEMA)
+    out = apply.apply_batch(entries, errors, d, STUDENT.as_struct(), profile, gap_skills(), B.AS_OF)
+    return out.select("ref", "posting_id", "code", "pass", "score", "verdict", F.array_join("pack.gaps", ",").alias("gaps"))
+
+
 @query(
     "build_packs",
     f"""WITH {GAPS_SQL}, p AS (SELECT doc.id, title, company, coalesce(covered, '') AS c, coalesce(missing, '') AS m FROM doc LEFT JOIN kw USING (id)),
