@@ -24,7 +24,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter or in no learned language go; lang becomes the predicted one.
     The prediction travels beside the row's other columns, never joined by id."""
     model = langid.train(docs, X.crc_mod(F.col("doc_id"), 3) != 1)
-    kept = langid.label(docs, model).where(f"lang_pred <> 'und' AND bits_per_byte <= {STRANGE}")
+    kept = langid.label(docs.select(*COLUMNS), model).where(f"lang_pred <> 'und' AND bits_per_byte <= {STRANGE}")
     return kept.select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
@@ -40,8 +40,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every span found is replaced by its kind; n_chars follows the new text."""
-    out = docs.select("doc_id", pii.mask_column(F.col("text")).alias("text"), "lang", "source")
-    return out.withColumn("n_chars", F.length("text").cast("long"))
+    return pii.masked(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

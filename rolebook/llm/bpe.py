@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from rolebook.llm import texts as X
 
 #: Distinct chunks a worker remembers; past it the memory starts anew.
-CHUNKS_KEPT = 300_000
+CHUNKS_KEPT = 150_000
 #: No match of the public pattern goes on from a non-space into white space, so
 #: texts may be cut there. Pass None with a pattern of which that is not true.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"

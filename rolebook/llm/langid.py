@@ -16,7 +16,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -32,6 +31,8 @@ SAMPLE_ROWS, SAMPLE_BYTES = 400, 1 << 16
 #: Bound of the model: contexts of full length, the most frequent first, and how
 #: often a context has to occur.
 CONTEXTS, LEAST = 20_000, 2
+#: Bytes scored at once in a task.
+RUN = 1 << 18
 #: Bound of the model: languages learned, the most frequent first.
 LANGUAGES = 64
 
@@ -164,7 +165,7 @@ def _predicted(texts: pa.Array, m: Model) -> list[pa.Array]:
     names = np.array([*m.languages, "und"], object)
     has_letter = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
     best, score, rate = [], [], []
-    for lo, hi, data, at in X.text_runs(texts):
+    for lo, hi, data, at in X.text_runs(texts, RUN):
         known = has_letter[lo:hi] & bool(m.languages)
         bits = m.code_lengths(data, at) if m.languages else np.zeros((hi - lo, 1))
         least = bits.min(1)
@@ -191,14 +192,7 @@ def label(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """All columns of ``df`` and the prediction's three; columns of those names are
     replaced."""
     sent = df.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf("lang_pred string, score double, bits_per_byte double")
-    def predicted(texts: pd.Series) -> pd.DataFrame:
-        parts = _predicted(pa.array(texts, pa.string(), from_pandas=True), sent.value)
-        return pd.DataFrame(dict(zip(("lang_pred", "score", "bits_per_byte"), (p.to_pandas() for p in parts), strict=True)))
-
-    found = df.withColumn("_lang", predicted(F.col(text_col).cast("string")))
-    return found.withColumns({c: F.col("_lang")[c] for c in ("lang_pred", "score", "bits_per_byte")}).drop("_lang")
+    return X.with_columns(df, text_col, lambda texts: _predicted(texts, sent.value), "lang_pred string, score double, bits_per_byte double")
 
 
 def identify(df: DataFrame, learn: Column) -> DataFrame:

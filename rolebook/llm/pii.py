@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -137,14 +136,14 @@ def mask(text: str) -> str:
     return "".join([*out, text[at:]])
 
 
-def mask_column(text: Column) -> Column:
-    """The masked text; null stays null."""
+def masked(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """All columns of ``df``, the text with its spans replaced by their kinds; null
+    stays null."""
 
-    @F.pandas_udf("string")
-    def masked(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else mask(t))
+    def make(texts: pa.Array) -> list:
+        return [pa.array([None if t is None else mask(t) for t in X.strings(texts)], pa.string())]
 
-    return masked(text)
+    return X.with_columns(df, text_col, make, f"{text_col} string").select(*df.columns)
 
 
 def joined(spans: Column) -> Column:

@@ -70,6 +70,24 @@ def map_batches(df: DataFrame, make: Callable[[pa.RecordBatch], list], schema: s
     return df.mapInArrow(run, schema)
 
 
+def with_columns(df: DataFrame, text_col: str, make: Callable[[pa.Array], list], added: str) -> DataFrame:
+    """All columns of ``df`` and those that ``make`` gives for the text column of each
+    batch, as (name type) pairs; columns of those names are replaced. Batches pass
+    through as they are, so long texts are not turned into Python strings."""
+    names = [x.split()[0] for x in added.split(", ")]
+    kept = [f for f in df.schema.fields if f.name not in names]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{x.split()[0]}` {x.split()[1]}" for x in added.split(", ")])
+    places = [i for i, f in enumerate(df.schema.fields) if f.name not in names]
+    text = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(i) for i in places] + make(batch.column(text)), [f.name for f in kept] + names)
+
+    return df.mapInArrow(run, schema)
+
+
 def sum_by_row(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sums of ``values`` between consecutive ``starts`` (len = rows + 1); an
     empty row sums to 0."""

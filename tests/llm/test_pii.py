@@ -72,4 +72,5 @@ def test_query(spark, tmp_path):
         s = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
         assert (r.spans, r.base_sha256) == (s, hashlib.sha256(s.encode()).hexdigest())
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for k, *_ in want) for x in PLAIN]
-    assert [r.m for r in spark.createDataFrame([("a@b.cd",), (None,), ("",)], "t string").select(P.mask_column("t").alias("m")).collect()] == ["[EMAIL]", None, ""]
+    masked = P.masked(spark.createDataFrame([(1, "a@b.cd", "x"), (2, None, "y"), (3, "", "z")], "doc_id long, text string, kind string"))
+    assert [tuple(r) for r in masked.orderBy("doc_id").collect()] == [(1, "[EMAIL]", "x"), (2, None, "y"), (3, "", "z")]
