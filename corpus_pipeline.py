@@ -16,15 +16,16 @@ from rolebook.llm.queries import public_ranks
 from rolebook.session import scratch_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Bits that the best language needs for a byte of a text past which it is in none.
-STRANGE = 7.5
+#: Bits that the best language needs for a byte of a text past which it is in none, and
+#: bytes of a text from which that can be told (a single odd word is no evidence).
+STRANGE, ENOUGH = 7.5, 200
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter or in no learned language go; lang becomes the predicted one.
+    """Texts without a letter go, and longer ones in no learned language; lang becomes the predicted one.
     The prediction travels beside the row's other columns, never joined by id."""
     model = langid.train(docs, X.crc_mod(F.col("doc_id"), 3) != 1)
-    kept = langid.label(docs.select(*COLUMNS), model).where(f"lang_pred <> 'und' AND bits_per_byte <= {STRANGE}")
+    kept = langid.label(docs.select(*COLUMNS), model).where(f"lang_pred <> 'und' AND (bits_per_byte <= {STRANGE} OR octet_length(text) < {ENOUGH})")
     return kept.select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
