@@ -58,15 +58,20 @@ def around(w: str, place: Column, left: int, right: int) -> Column:
 
 
 def marked(df: DataFrame) -> DataFrame:
-    """(key columns, place, h, near) for each fingerprint of rows with words ``w``: near
-    are the words of all windows that hold the fingerprint's gram."""
+    """(key columns, place, h, left, near) for each fingerprint of rows with words ``w``:
+    near are the words of all windows that hold the fingerprint's gram, ``left`` of them
+    before it."""
     keys = [c for c in df.columns if c != "w"]
     reach = WINDOW - GRAM
     df = df.withColumn("g", grams("w"))
-    entry = lambda p: F.struct(p.alias("place"), F.get("g", p).alias("h"), around("w", p, reach, WINDOW - 1).alias("near"))
+
+    def entry(p: Column) -> Column:
+        left = F.least(p, F.lit(reach))
+        return F.struct(p.alias("place"), F.get("g", p).alias("h"), left.alias("left"), F.slice("w", p - left + 1, left + WINDOW).alias("near"))
+
     df = df.withColumn("f", F.transform(fingerprints("g"), entry))
     # the outer form: the plain one would test the array's size on the scan, computing it twice
-    return df.select(*keys, F.explode_outer("f").alias("f")).select(*keys, "f.place", "f.h", "f.near").where("place IS NOT NULL")
+    return df.select(*keys, F.explode_outer("f").alias("f")).select(*keys, "f.*").where("place IS NOT NULL")
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -103,10 +108,13 @@ def hits(docs: DataFrame, items: DataFrame) -> DataFrame:
     windows of the item, from documents (doc_id, text_key, w) and items (item, w)."""
     keys = ["doc_id", "text_key"]
     known = marked(items.where(F.size("w") >= WINDOW).select("item", "w"))
-    known = known.select("item", F.col("h").alias("item_h"), F.col("near").alias("item_near")).distinct()
+    known = known.select("item", F.col("h").alias("item_h"), F.col("left").alias("item_left"), F.col("near").alias("item_near")).distinct()
     found = marked(docs.select(*keys, "w")).join(_bounded(known), F.col("h") == F.col("item_h"))
-    same = F.transform("near", lambda x, i: x == F.get("item_near", i))
-    found = found.select(*keys, "item", (F.col("place") - (WINDOW - GRAM)).alias("start"), same.alias("same"))
+    both = F.least("left", "item_left")  # words before the gram that both have
+    same = F.transform(
+        F.slice("near", F.col("left") - both + 1, F.size("near")), lambda x, i: x == F.get("item_near", F.col("item_left") - both + i)
+    )
+    found = found.select(*keys, "item", (F.col("place") - both).alias("start"), same.alias("same"))
     found = found.withColumn("b", bounds(F.col("same")))
     found = found.select(*keys, "item", "start", F.explode_outer(runs(F.col("b"), WINDOW)).alias("r")).where("r IS NOT NULL")
     out = found.select(*keys, "item", (F.col("start") + F.col("r.a")).alias("first"), (F.col("start") + F.col("r.z")).alias("last"))
