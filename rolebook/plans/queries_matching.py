@@ -16,34 +16,39 @@ STUDENT = S.Candidate(
 EXPERIENCED = S.Candidate("c-exp", "experienced", ("the", "and", "python"), (), None, None, 12.0, "global")
 
 
-def re2(pattern: str) -> str:
-    """A pattern with ASCII word boundaries spelled for RE2."""
-    return pattern.replace(r"(?<!\w)", r"\b").replace(r"(?!\w)", r"\b")
-
-
-NEAR = "(?i)" + re2(G.NEAR_BATCH)
-ONLY = "(?i)" + re2(G.ONLY_WORD)
+# The expected patterns, written out for RE2 apart from those under test.
+TERM = r"(?:batch|graduat(?:ing|es|ion|ors?)?|pass\s?out|passing\s+out|class\s+of|cohort|fresher)"
+NEAR = rf"(?i)\b20\d{{2}}\b[^.;!?|\n]{{0,30}}?\b{TERM}\b|\b{TERM}\b[^.;!?|\n]{{0,30}}?\b20\d{{2}}\b"
+ONLY = r"(?i)\b(?:only|exclusively|exclusive|restricted)\b"
+FLUENT = r"(?i)fluent\s+(?:in\s+)?([a-z]+)"
+REQUIRED = (
+    r"(?i)(?:hindi|kannada|tamil|telugu|malayalam|marathi|bengali|german|french|spanish|japanese|mandarin)"
+    r"\s*(?:required|must|essential)"
+)
+BOND = r"(?i)(?:service (?:agreement|bond)|training bond|bond of [\w\s]+years?)[^.]{0,80}"
+MONTHLY = r"per\s+month|per\s+mo\b|/\s*month|/\s*mo\b|monthly"
+LAKHS = r"\blpa\b|\blakhs?\b"
+ANNUAL = r"per\s+annum\b|\bannually\b|/\s*yr\b"
 
 
 def money_sql(unit: str) -> str:
-    unit = re2(unit)
-    a, cur = vocab.AMOUNT, vocab.CURRENCY_AFTER_UNIT
+    a, cur, gap = r"(\d[\d,]*(?:\.\d+)?)", r"(?:₹|rs\.?\s*|inr\s*)", r"[^.;!?|\n]{0,20}?"
     readings = (
-        f"(?i){vocab.CURRENCY_BEFORE_AMOUNT}{a}\\s*(?:{unit})",
-        f"(?i)(?:{unit})\\s*{vocab.MONEY_JOINERS}{cur}?{a}",
-        f"(?i)(?:{unit}){vocab.MONEY_GAP}{cur}{a}",
-        f"(?i)(?:{unit}){vocab.MONEY_GAP}\\bof\\s+{cur}?{a}",
+        rf"(?i)(?:₹|rs\.?\s+|inr\s*)?{a}\s*(?:{unit})",
+        rf"(?i)(?:{unit})\s*(?:of\s+|is\s+|about\s+|around\s+|up\s+to\s+)?{cur}?{a}",
+        rf"(?i)(?:{unit}){gap}{cur}{a}",
+        rf"(?i)(?:{unit}){gap}\bof\s+{cur}?{a}",
     )
     return "coalesce(" + ", ".join(f"try_cast(replace(regexp_extract(d, '{r}', 1), ',', '') AS DOUBLE)" for r in readings) + ")"
 
 
 FACTS_SQL = f"""facts AS (
   SELECT *, length(trim(regexp_replace(d, '\\s+', ' ', 'g'))) > 0 AS has_text,
-    CASE WHEN nullif(lower(regexp_extract(d, '{G.FLUENT}', 1)), '') <> 'english' THEN regexp_extract(d, '{G.FLUENT}', 0)
-         ELSE nullif(regexp_extract(d, '{G.REQUIRED}', 0), '') END AS language,
-    {money_sql(G.MONTHLY)} AS monthly,
-    coalesce({money_sql(G.LAKHS)}, {money_sql(G.ANNUAL)} / 100000.0) AS lpa,
-    trim(replace(regexp_replace(nullif(regexp_extract(d, '{G.BOND}', 0), ''), '[\\r\\n]+', ' ', 'g'), '|', '\\|')) AS bond,
+    CASE WHEN nullif(lower(regexp_extract(d, '{FLUENT}', 1)), '') <> 'english' THEN regexp_extract(d, '{FLUENT}', 0)
+         ELSE nullif(regexp_extract(d, '{REQUIRED}', 0), '') END AS language,
+    {money_sql(MONTHLY)} AS monthly,
+    coalesce({money_sql(LAKHS)}, {money_sql(ANNUAL)} / 100000.0) AS lpa,
+    trim(replace(regexp_replace(nullif(regexp_extract(d, '{BOND}', 0), ''), '[\\r\\n]+', ' ', 'g'), '|', '\\|')) AS bond,
     list_sort(list_distinct(regexp_extract_all(array_to_string(regexp_extract_all(d, '{NEAR}'), ' '), '\\b20\\d{{2}}\\b'))) AS years,
     len(list_filter(string_split_regex(d, '[.;!?]'), lambda s: regexp_matches(s, '{NEAR}') AND (
         regexp_matches(s, '{ONLY}[\\s\\S]*(?:{NEAR})') OR regexp_matches(s, '(?:{NEAR})[^\\n]*{ONLY}')
