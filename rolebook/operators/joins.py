@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolebook import vocab
@@ -12,7 +12,7 @@ from rolebook.functions.dates import as_of_col
 from rolebook.functions.text import canon_location, norm_key
 from rolebook.functions.urls import numeric_ref
 from rolebook.operators.gates import gate_stale
-from rolebook.operators.scoring import Candidate
+from rolebook.operators.scoring import Candidate, factor_weights, freshness, half_up
 
 
 def tracker_pairs(tracker: DataFrame) -> DataFrame:
@@ -126,6 +126,25 @@ def _place_parts(place: Column) -> Column:
     return F.array_distinct(F.concat(F.array(F.lit("")), F.when(n > 0, parts).otherwise(F.array(F.lit("")))))
 
 
+def _accepted(places: DataFrame, wants: DataFrame) -> DataFrame:
+    """Distinct (accept, place) of accepted sets and the distinct places they admit, by
+    an equi join of terms with parts of places; an empty set admits every place."""
+    terms = wants.select("accept").distinct().select("accept", F.explode("accept").alias("term"))
+    parts = places.filter(F.col("place").isNotNull()).select("place", F.explode(_place_parts(F.col("place"))).alias("_part"))
+    hits = (
+        terms.withColumn("_part", F.substring("term", 1, TERM))
+        .join(parts, "_part")
+        .filter(F.contains("place", F.col("term")))
+        .select("accept", "place")
+        .distinct()
+    )
+    return hits.union(places.select(F.array().cast("array<string>").alias("accept"), "place"))
+
+
+def _accept() -> Column:
+    return F.array_sort(F.array_distinct(F.transform("locations", lambda w: canon_location(w))))
+
+
 def candidate_reach(postings: DataFrame, candidates: DataFrame, as_of, max_age_days: int = vocab.RANK_MAX_AGE_DAYS) -> DataFrame:
     """(candidate_id, passed): postings that pass the date and place gates of
     each row of a candidate table (candidate_id, locations), of any size.
@@ -136,23 +155,70 @@ def candidate_reach(postings: DataFrame, candidates: DataFrame, as_of, max_age_d
     """
     late = gate_stale("posted_date", max_age_days, as_of).fails
     places = postings.filter(~late).groupBy(canon_location("location").alias("place")).agg(F.count(F.lit(1)).alias("n"))
-    accept = F.array_sort(F.array_distinct(F.transform("locations", lambda w: canon_location(w))))
-    wants = candidates.select("candidate_id", accept.alias("accept"))
-    terms = wants.select("accept").distinct().select("accept", F.explode("accept").alias("term"))
-    parts = places.filter(F.col("place").isNotNull()).select("place", "n", F.explode(_place_parts(F.col("place"))).alias("_part"))
-    hits = (
-        terms.withColumn("_part", F.substring("term", 1, TERM))
-        .join(parts, "_part")
-        .filter(F.contains("place", F.col("term")))
-        .select("accept", "place", "n")
-        .distinct()
-    )
-    anywhere = places.select(F.array().cast("array<string>").alias("accept"), "place", "n")
-    counts = hits.union(anywhere).groupBy("accept").agg(F.sum("n").alias("passed"))
+    wants = candidates.select("candidate_id", _accept().alias("accept"))
+    met = _accepted(places.select("place"), wants).join(places.withColumnRenamed("place", "_p"), F.col("place").eqNullSafe(F.col("_p")))
+    counts = met.groupBy("accept").agg(F.sum("n").alias("passed"))
     out = wants.join(counts, "accept", "left")
     return out.select("candidate_id", F.coalesce("passed", F.lit(0)).cast("bigint").alias("passed"))
 
 
+def _title_parts(title: Column) -> Column:
+    """Distinct parts of one to three characters."""
+    sized = F.transform(
+        F.sequence(F.lit(1), F.lit(3)),
+        lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.length(title) - k + 1, F.lit(1))), lambda i: F.substr(title, i, k)),
+    )
+    return F.array_distinct(F.flatten(sized))
+
+
+def shortlist_per_candidate(postings: DataFrame, candidates: DataFrame, as_of, top: int, max_age_days: int = vocab.RANK_MAX_AGE_DAYS) -> DataFrame:
+    """(candidate_id, id, score): the best ``top`` postings of each row of a candidate
+    table (candidate_id, stage, skills, locations), as ranking without texts scores them;
+    best first is score desc, pos.
+
+    Candidates are reduced to distinct profiles and postings to distinct titles and
+    places. Skills meet titles, and accepted terms places, in equi joins; a profile meets
+    only postings whose title names one of its skills, and, for the rest, the ``top``
+    freshest postings of its accepted places: any other without a skill is outranked by
+    those. Tops are cut before they are shuffled.
+    """
+    late = gate_stale("posted_date", max_age_days, as_of).fails
+    live = postings.filter(~late).select(
+        "id", "pos", F.lower(F.coalesce("title", F.lit(""))).alias("title"), canon_location("location").alias("place"), freshness("posted_date", as_of).alias("fresh")
+    )
+    skills = F.array_sort(F.array_distinct(F.transform("skills", lambda s: F.lower(s))))
+    wants = candidates.select("candidate_id", "stage", skills.alias("skills"), _accept().alias("accept"))
+    wants = wants.withColumn("profile", F.sha2(F.to_json(F.struct("stage", "skills", "accept")), 256))
+    profiles = wants.select("profile", "stage", "skills", "accept").dropDuplicates(["profile"])
+    places = _accepted(live.select("place").distinct(), profiles).withColumnRenamed("place", "_p")
+
+    terms = profiles.select(F.explode("skills").alias("term")).distinct().withColumn("_part", F.substring("term", 1, 3))
+    parts = live.select("title").distinct().select("title", F.explode(_title_parts(F.col("title"))).alias("_part"))
+    named = parts.join(terms, "_part").filter(F.contains("title", F.col("term"))).select("title", "term").distinct()
+    each = profiles.select("profile", "accept", F.explode("skills").alias("term"))
+    hits = each.join(named, "term").groupBy("profile", "accept", "title").agg(F.count(F.lit(1)).alias("hits"))
+    here = F.col("place").eqNullSafe(F.col("_p"))
+    skilled = hits.join(live, "title").join(places.withColumnRenamed("accept", "_a"), here & (F.col("accept") == F.col("_a")))
+    skilled = skilled.select("profile", "id", "pos", "fresh", "hits")
+
+    def first(df: DataFrame, key: str, *order) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+        return df.withColumn("_n", place).filter(F.col("_n") <= top).drop("_n")
+
+    newest = first(live, "place", F.col("fresh").desc(), "pos").join(places, here)
+    newest = first(newest, "accept", F.col("fresh").desc(), "pos").select("accept", "id", "pos", "fresh")
+    others = profiles.select("profile", "accept").join(newest, "accept").select("profile", "id", "pos", "fresh", F.lit(0).cast("bigint").alias("hits"))
+
+    n, w = F.size("skills"), factor_weights(F.col("stage"))
+    share = F.when(n == 0, 0.5).otherwise(F.try_divide(F.col("hits").cast("double"), n.cast("double")))
+    echo = F.when(n == 0, 0.5).otherwise(F.least(F.lit(1.0), F.try_divide(F.col("hits").cast("double"), F.least(n, F.lit(3)).cast("double"))))
+    score = half_up(F.lit(100.0) * (w["skill"] * share + w["title"] * echo + w["freshness"] * F.col("fresh")))
+    rows = skilled.union(others).groupBy("profile", "id", "pos", "fresh").agg(F.max("hits").alias("hits"))
+    rows = rows.join(profiles.select("profile", "stage", "skills"), "profile").select("profile", "id", "pos", score.alias("score"))
+    best = first(rows, "profile", F.col("score").desc(), "pos")
+    return wants.select("candidate_id", "profile").join(best, "profile").select("candidate_id", "id", "score")
+
+
 def with_company(df: DataFrame, registry: DataFrame, slug: str = "slug") -> DataFrame:
     """Display name of a board slug (ignoring case), else the slug."""
     names = registry.groupBy(F.lower("slug").alias("_slug")).agg(F.min("company").alias("_company"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rolebook import vocab
 from rolebook.operators import companies as C
 from rolebook.operators import dedupe, filters, joins, limits, robots
 from rolebook.operators import scoring as S
@@ -290,6 +291,41 @@ def pair_candidate_table(spark, sf):
     return joins.candidate_reach(B.doc_postings(spark, sf), cands, B.AS_OF)
 
 
+TABLE_SKILLS = {0: ("the", "tion"), 1: ("Eaux", "de", "zzz"), 2: ("er", "th", "on", "python"), 3: ()}
+TABLE_WEIGHTS = {stage: vocab.FACTOR_WEIGHTS[stage] for stage in ("student", "experienced")}
+
+
+def weight_sql(i):
+    return f"CASE WHEN stage = 'student' THEN {TABLE_WEIGHTS['student'][i]}::DOUBLE ELSE {TABLE_WEIGHTS['experienced'][i]}::DOUBLE END"
+
+
+@query(
+    "shortlist_per_candidate",
+    f"""WITH {B.PG_SQL}, c AS (SELECT 's' || s_suppkey AS candidate_id, CASE WHEN s_suppkey % 2 = 0 THEN 'student' ELSE 'experienced' END AS stage,
+  CASE s_suppkey % 4 WHEN 0 THEN ['the', 'tion'] WHEN 1 THEN ['eaux', 'de', 'zzz'] WHEN 2 THEN ['er', 'th', 'on', 'python'] ELSE [] END AS skills,
+  CASE s_nationkey % 3 WHEN 0 THEN 'en' WHEN 1 THEN 'fr' ELSE '' END AS want FROM supplier),
+x AS (SELECT c.*, id, pos, CAST(DATE '2024-04-30' - posted_date AS INTEGER) AS age, len(list_filter(skills, lambda s: contains(lower(title), s))) AS h, len(skills) AS n
+  FROM pg, c WHERE coalesce(DATE '2024-04-30' - posted_date <= 30, true) AND (want = '' OR coalesce(contains(lower(location), want), false))),
+y AS (SELECT *, CASE WHEN n = 0 THEN 0.5::DOUBLE ELSE h::DOUBLE / n END AS share, CASE WHEN n = 0 THEN 0.5::DOUBLE ELSE least(1.0::DOUBLE, h::DOUBLE / least(n, 3)) END AS echo,
+  CASE WHEN age IS NULL THEN 0.4::DOUBLE WHEN age <= 3 THEN 1.0::DOUBLE WHEN age <= 7 THEN 0.85::DOUBLE WHEN age <= 14 THEN 0.65::DOUBLE WHEN age <= 30 THEN 0.4::DOUBLE ELSE 0.15::DOUBLE END AS fresh FROM x),
+z AS (SELECT candidate_id, id, pos, CAST(floor(100.0::DOUBLE * (({weight_sql(0)}) * share + ({weight_sql(1)}) * echo + ({weight_sql(2)}) * fresh) + 0.5::DOUBLE) AS INTEGER) AS score FROM y)
+SELECT candidate_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY score DESC, pos) AS r FROM z) WHERE r <= 5""",
+)
+def shortlist_per_candidate(spark, sf):
+    """The five best pages of every supplier, taken as candidates."""
+    k = F.col("s_suppkey")
+    skills = F.lit(None).cast("array<string>")
+    for n, own in TABLE_SKILLS.items():
+        skills = F.when(k % 4 == n, F.array(*[F.lit(s) for s in own]).cast("array<string>")).otherwise(skills)
+    want = B.choose(F.col("s_nationkey") % 3, {0: "en", 1: "fr"})
+    cands = B.table(spark, sf, "supplier").select(
+        F.concat(F.lit("s"), k).alias("candidate_id"), F.when(k % 2 == 0, "student").otherwise("experienced").alias("stage"), skills.alias("skills"),
+        F.filter(F.array(want), lambda x: x.isNotNull()).alias("locations"),
+    )
+    pages = B.page_postings(spark, sf).select("id", "pos", "title", "location", "posted_date")
+    return joins.shortlist_per_candidate(pages, cands, B.AS_OF, 5)
+
+
 POLICY_BODIES = {
     0: "User-agent: *\nDisallow: /en/\nAllow: /en/1*\n",
     1: "# rules\nUser-agent: bot\nUser-agent: *\nDisallow: /*.html$\n\nUser-agent: other\nDisallow: /\n",
