@@ -3,8 +3,9 @@
 Turns are read in order and cut into turn-aligned windows: the prefix sums of the turns'
 tokens say how many more turns fit. A window repeats the system turn and a limited
 history, whose targets are masked, then holds its own turns; only its own assistant turns
-carry loss, so each does so once. A turn that alone exceeds the budget has a window for
-itself, whole.
+carry loss, so each does so once. The system turn that opens a conversation stands in
+front of every later window; only history makes room. A turn that does not fit beside it
+has a window for itself, whole, which then exceeds the budget.
 
 Template: ``<s>``, then for each turn ``[INST]role[/INST]text</s>``. In roles and texts a
 control string is escaped by a backslash, and backslashes in front of one, or at the end,
@@ -65,8 +66,11 @@ class Turn:
 
 @dataclass
 class Windows:
-    """The windows of one conversation, fed turn by turn."""
+    """The windows of one conversation, fed turn by turn. Where the system turn and the
+    next turn exceed the budget, the window exceeds it too if ``overrun``; else the
+    system turn is not repeated there."""
 
+    overrun: bool = False
     number: int = 0
     total: int = 0
     system: Turn | None = None
@@ -91,8 +95,8 @@ class Windows:
     def _context(self, turn: Turn) -> list[Turn]:
         head = [self.system] if self.system else []
         room = BUDGET - turn.size - sum(t.size for t in head)
-        if room < 0:  # the turn alone, or nothing that would not fit
-            return []
+        if room < 0:  # no history
+            return head if self.overrun else []
         past = [t for t in self.recent if t is not self.system]
         while past and turn.before - past[0].before > min(room, HISTORY_TOKENS):
             past.pop(0)
@@ -133,7 +137,7 @@ def windows(df: DataFrame) -> DataFrame:
     kinds = (pa.int64(), pa.int64(), pa.string(), target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, made, ids, out = None, Windows(), [], []
+        conv, made, ids, out = None, Windows(overrun=True), [], []
 
         def flush() -> pa.RecordBatch:
             cols = [pa.array(ids, pa.int64()), *(pa.array([w[n] for w in out], k) for n, k in zip(names, kinds, strict=True))]
@@ -150,7 +154,7 @@ def windows(df: DataFrame) -> DataFrame:
             for c, role, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if c != conv:
                     keep(made.close())
-                    conv, made = c, Windows()
+                    conv, made = c, Windows(overrun=True)
                 keep(made.add(role or "", text or ""))
                 if len(out) >= 1000:
                     yield flush()

@@ -75,3 +75,22 @@ def test_query(spark, tmp_path):
     assert C.read_back(C.windows(df.limit(0))).collect() == []
     for r in C.windows(df).where("conv_id = 903").collect():
         assert len(C.parse(r.text)) <= 64 and len(r.targets) == sum(x == "assistant" for x, _ in C.parse(r.text)[r.repeated :])
+
+
+def test_system_turn_in_every_window(spark):
+    long = [("system", "rule " * 250), ("user", "a b"), ("assistant", "c"), ("user", "word " * 300), ("assistant", "d " * 20)]
+    tight = [("system", "be kind"), ("user", "word " * 250), ("assistant", "word " * 250), ("user", "x"), ("assistant", "word " * 400), ("user", "y")]
+    rows = [(c, k, *t) for c, turns in enumerate([long, tight]) for k, t in enumerate(turns)]
+    got = defaultdict(list)
+    for r in C.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("conv_id", "window").collect():
+        got[r.conv_id].append(r)
+    for c, turns in enumerate([long, tight]):
+        assert len(got[c]) > 2
+        assert [t for r in got[c] for t in C.parse(r.text)[r.repeated :]] == turns
+        for k, r in enumerate(got[c]):
+            said = C.parse(r.text)
+            assert said[0] == turns[0] and (k == 0 or r.repeated >= 1)
+            # over the budget: one turn and the system turn, without history
+            assert sum(C.tokens(*t) for t in said) <= C.BUDGET or len(said) == 2
+            # what is repeated is masked
+            assert len(r.targets) == sum(x == "assistant" for x, _ in said[r.repeated :])
