@@ -529,6 +529,34 @@ def unpivot_salary(spark, sf):
     return tables.unpivot_salary(sheet_cells(spark, sf))
 
 
+def gap_cells(spark, sf):
+    """Companies of which some have no figure; the header of every other brand is in row 12."""
+    p = B.table(spark, sf, "part")
+    k, low = F.col("p_partkey"), F.substring("p_brand", -1, 1).cast("int") % 2 == 0
+    values = F.array("p_name", F.when(k % 7 == 0, "n/a").otherwise(k.cast("string")))
+    body = p.select(F.col("p_brand").alias("sheet"), (k + 20).alias("row"), F.posexplode(values).alias("col", "value"))
+    heads = p.select("p_brand", F.when(low, 12).otherwise(2).cast("bigint").alias("row")).distinct()
+    header = heads.select(F.col("p_brand").alias("sheet"), "row", F.posexplode(F.array(F.lit("Employer"), F.lit("Median pay"))).alias("col", "value"))
+    return body.union(header)
+
+
+@query(
+    "unpivot_salary_gaps",
+    """SELECT p_brand AS sheet, p_partkey + 20 AS row, p_name AS company, '' AS city, CASE WHEN p_partkey % 7 <> 0 THEN 'median_pay' END AS category,
+  CAST(NULL AS DOUBLE) AS count, CASE WHEN p_partkey % 7 <> 0 THEN CAST(p_partkey AS DOUBLE) END AS index FROM part""",
+)
+def unpivot_salary_gaps(spark, sf):
+    return tables.unpivot_salary(gap_cells(spark, sf), depth=12)
+
+
+@query(
+    "sheet_issues",
+    """SELECT DISTINCT p_brand AS sheet, 'no header in the first 10 rows' AS error FROM part WHERE CAST(right(p_brand, 1) AS INTEGER) % 2 = 0""",
+)
+def sheet_issues(spark, sf):
+    return tables.sheet_issues(gap_cells(spark, sf))
+
+
 @query(
     "salary_issues",
     f"""WITH {B.CO_SQL}, e AS (SELECT pos, unnest(CASE pos % 5 WHEN 0 THEN ['company must be a non-empty string'] WHEN 1 THEN ['city must be a string when provided']

@@ -246,14 +246,15 @@ def _without(header: Column, words: Sequence[str]) -> Column:
     return F.regexp_replace(bare, r"^[ _-]+|[ _-]+$", "")
 
 
-def sheet_headers(cells: DataFrame) -> DataFrame:
+def sheet_headers(cells: DataFrame, depth: int = vocab.SHEET_HEADER_ROWS) -> DataFrame:
     """Header cells (sheet, header_row, col, header) of each sheet.
 
-    The header is the first of ten rows with a company cell and a different
-    city, count or index cell; else the first with any company cell.
+    The header is the first of ``depth`` rows with a company cell and a different
+    city, count or index cell; else the first with any company cell. Sheets without
+    one are in :func:`sheet_issues`.
     """
     text = F.trim("value")
-    top = cells.filter((F.col("row") <= vocab.SHEET_HEADER_ROWS) & (F.coalesce(text, F.lit("")) != ""))
+    top = cells.filter((F.col("row") <= depth) & (F.coalesce(text, F.lit("")) != ""))
     top = top.select("sheet", "row", "col", text.alias("header"))
     company = _names(F.col("header"), vocab.SHEET_COMPANY)
     other = (
@@ -318,13 +319,27 @@ def sheet_roles(headers: DataFrame) -> DataFrame:
     )
 
 
-def unpivot_salary(cells: DataFrame) -> DataFrame:
+def sheet_issues(cells: DataFrame, depth: int = vocab.SHEET_HEADER_ROWS) -> DataFrame:
+    """Sheets that give no entry or no figure: (sheet, error), one row a sheet at most."""
+    roles = sheet_roles(sheet_headers(cells, depth)).groupBy(F.col("sheet").alias("_sheet")).agg(
+        F.count("category").alias("_data")
+    )
+    sheets = cells.select("sheet").distinct().join(roles, F.col("sheet") == F.col("_sheet"), "left")
+    error = F.when(F.col("_data").isNull(), f"no header in the first {depth} rows").when(
+        F.col("_data") == 0, "no salary data columns"
+    )
+    return sheets.select("sheet", error.alias("error")).filter("error IS NOT NULL")
+
+
+def unpivot_salary(cells: DataFrame, depth: int = vocab.SHEET_HEADER_ROWS) -> DataFrame:
     """Wide sheets as (sheet, row, company, city, category, count, index).
 
     ``cells`` is (sheet, row, col, value as text). Text that is no number is
-    not salary data; a row without a company is no entry.
+    not salary data; a row without a company is no entry. A company without any
+    figure is one row without category. Sheets without a header in their first
+    ``depth`` rows are in :func:`sheet_issues`.
     """
-    roles = sheet_roles(sheet_headers(cells))
+    roles = sheet_roles(sheet_headers(cells, depth))
     body = cells.join(roles, ["sheet", "col"]).filter(F.col("row") > F.col("header_row"))
     value = F.trim("value")
 
@@ -346,7 +361,7 @@ def unpivot_salary(cells: DataFrame) -> DataFrame:
         cell("company").alias("company"), F.coalesce(cell("city"), F.lit("")).alias("city"), facts.alias("facts")
     )
     flat = rows.filter(F.col("company").isNotNull()).select(
-        "sheet", "row", "company", "city", F.inline("facts")
+        "sheet", "row", "company", "city", F.inline_outer("facts")
     )
     return flat.groupBy("sheet", "row", "company", "city", "category").agg(
         F.max("count").alias("count"), F.max("index").alias("index")

@@ -248,6 +248,18 @@ def test_unpivot_falls_back_to_any_company_cell(spark):
     assert tables.unpivot_salary(sheet(spark, ["a", "b"], ["c", "d"])).count() == 0
 
 
+def test_companies_without_figures_and_late_headers(spark):
+    df = sheet(spark, *[["note"]] * 10, ["Company", "City", "Pay"], ["Acme", "Pune", "n/a"], ["Beta", "", "10"], ["Gamma"])
+    got = sorted((r.company, r.city, r.category, r["index"]) for r in tables.unpivot_salary(df, depth=11).collect())
+    assert got == [("Acme", "Pune", None, None), ("Beta", "", "pay", 10.0), ("Gamma", "", None, None)]
+    assert tables.unpivot_salary(df).count() == 0
+    assert [tuple(r) for r in tables.sheet_issues(df).collect()] == [("s", "no header in the first 10 rows")]
+    assert tables.sheet_issues(df, depth=11).count() == 0
+    bare = sheet(spark, ["Company", "City"], ["Acme", "Pune"])
+    assert [(r.company, r.category) for r in tables.unpivot_salary(bare).collect()] == [("Acme", None)]
+    assert [tuple(r) for r in tables.sheet_issues(bare).collect()] == [("s", "no salary data columns")]
+
+
 def test_salary_data(spark):
     p = payloads(spark, {"metadata": {"index_baseline": 50}, "companies": [{"company": "A", "city": "P", "categories": {"eng": {"count": 3, "index": "12.5"}, "ops": {"index": 7}}}]})
     got = sorted((r.category, r["count"], r["index"], r.baseline) for r in tables.parse_salary_data(p).collect())
