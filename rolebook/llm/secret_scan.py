@@ -4,9 +4,10 @@ Base kinds assign, access and hex are found leftmost and non-overlapping for eac
 For each kind, values that the patterns found in a bounded sample are the labelled
 credentials: their prefix tree is folded, state by state, wherever the frequencies of
 two states are statistically compatible (Hoeffding bound), into a probabilistic
-automaton. Ordinary long tokens give a background automaton the same way. Every token of
-16 or more credential characters with a letter and a digit is then scored: the best kind's log-likelihood less the
-background's. Tokens clear of base spans that reach ``MARGIN`` are added as ``format``.
+automaton. Ordinary tokens give a background automaton the same way. Tokens are the runs
+of credential characters, cut at base spans, from the shortest labelled length upwards.
+Every one is scored: the best kind's log-likelihood less the background's. Those that
+reach ``MARGIN`` are added as ``format``.
 
 Offsets are code points, the end exclusive. Null texts read as empty and have no spans;
 repeated rows give repeated rows; a kind without a labelled value has no automaton.
@@ -41,8 +42,11 @@ ASSIGN = re.compile(
 )
 ACCESS = re.compile(r"AKIA[A-Z0-9]++")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}+")
-DIGIT, LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}+")
+#: Characters of the shortest value that a pattern can label.
+LEAST = 6
+TOKEN = re.compile(rf"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{{{LEAST},}}+")
+#: Tokens whose score a worker remembers.
+REMEMBERED = 1 << 16
 
 
 def base(text: str) -> list[tuple[str, int, int]]:
@@ -56,27 +60,31 @@ def base(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def tokens(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, int]]:
-    """Runs of 16 or more credential characters that touch no base span."""
-    out, k = [], 0
+def tokens(text: str, spans: list[tuple[str, int, int]], least: int = LEAST) -> list[tuple[int, int]]:
+    """Runs of credential characters without their parts in base spans: the pieces of
+    ``least`` or more characters."""
+    out, k, reach = [], 0, 0
     spans = sorted((a, b) for _, a, b in spans)
-    reach = 0
     for m in TOKEN.finditer(text):
-        a, b = m.span()
+        at, b = m.span()
+        at = max(at, min(reach, b))
         while k < len(spans) and spans[k][0] < b:
+            if spans[k][0] - at >= least:
+                out.append((at, spans[k][0]))
             reach = max(reach, spans[k][1])
+            at = max(at, min(reach, b))
             k += 1
-        if reach <= a:
-            out.append((a, b))
+        if b - at >= least:
+            out.append((at, b))
     return out
 
 
 class Automaton:
     """A probabilistic automaton: next state and log-probability of (state, symbol),
-    log-probability of ending in a state."""
+    log-probability of ending in a state; length of the shortest value learned."""
 
-    def __init__(self, step: dict[tuple[int, str], tuple[int, float]], end: dict[int, float]):
-        self.step, self.end = step, end
+    def __init__(self, step: dict[tuple[int, str], tuple[int, float]], end: dict[int, float], shortest: int = 0):
+        self.step, self.end, self.shortest = step, end, shortest
 
     def log_likelihood(self, value: str) -> float:
         state, total = 0, 0.0
@@ -91,12 +99,13 @@ class Automaton:
         return total + self.end.get(state, SURPRISE)
 
     def rows(self) -> list[tuple[int, str, int, float]]:
-        return [(s, c, t, p) for (s, c), (t, p) in self.step.items()] + [(s, "", -1, p) for s, p in self.end.items()]
+        return [(s, c, t, p) for (s, c), (t, p) in self.step.items()] + [(s, "", -1, p) for s, p in self.end.items()] + [(-1, "", self.shortest, 0.0)]
 
     @classmethod
     def of_rows(cls, rows) -> Automaton:
         rows = list(rows)
-        return cls({(s, c): (t, p) for s, c, t, p in rows if c}, {s: p for s, c, _, p in rows if not c})
+        shortest = max((t for s, _, t, _ in rows if s < 0), default=0)
+        return cls({(s, c): (t, p) for s, c, t, p in rows if c}, {s: p for s, c, _, p in rows if not c and s >= 0}, shortest)
 
 
 def infer(values: list[str]) -> Automaton:
@@ -177,7 +186,7 @@ def infer(values: list[str]) -> Automaton:
             step[s, c] = (t, math.log(n / total))
         if ends[s]:
             end[s] = math.log(ends[s] / total)
-    return Automaton(step, end)
+    return Automaton(step, end, min(map(len, values), default=0))
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict[str, Automaton]:
@@ -204,9 +213,11 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict
         return [pa.array(kinds, pa.string()), pa.array(found, pa.string())]
 
     seen = X.map_batches(docs, values, "kind string, value string").distinct()
-    per = {r.kind: r.n for r in seen.groupBy("kind").agg(F.count("*").alias("n")).collect()}
-    if not per:
+    shortest = seen.where("kind <> ''").agg(F.min(F.length("value")).alias("n")).first().n
+    if shortest is None:  # nothing to compare tokens with
         return {}
+    seen = seen.where((F.col("kind") != "") | (F.length("value") >= shortest))
+    per = {r.kind: r.n for r in seen.groupBy("kind").agg(F.count("*").alias("n")).collect()}
     share = F.lit(0)
     for kind, k in per.items():
         share = F.when(F.col("kind") == kind, F.lit(k)).otherwise(share)
@@ -219,13 +230,19 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict
         return out
 
     rows = chosen.groupBy("kind").applyInPandas(fit, "kind string, state long, symbol string, target long, p double").collect()
-    return {k: Automaton.of_rows((r.state, r.symbol, r.target, r.p) for r in rows if r.kind == k) for k in {r.kind for r in rows}}
+    out = {k: Automaton.of_rows((r.state, r.symbol, r.target, r.p) for r in rows if r.kind == k) for k in {r.kind for r in rows}}
+    for a in out.values():  # of the whole sample, also where fewer values are learned from
+        a.shortest = shortest
+    return out
 
 
 def ratio(value: str, automata: dict[str, Automaton]) -> float:
-    """Log-likelihood of the best kind less that of the background."""
+    """Log-likelihood of the best kind less that of the background, for which a word in
+    capitals is also the word in small letters (at the odds of one in two)."""
     best = max((a.log_likelihood(value) for k, a in automata.items() if k), default=-math.inf)
     other = automata[""].log_likelihood(value) if "" in automata else SURPRISE * len(value)
+    if "" in automata and value.isupper():
+        other = max(other, automata[""].log_likelihood(value.lower()) - math.log(2))
     return best - other
 
 
@@ -236,15 +253,25 @@ def find(df: DataFrame, automata: dict[str, Automaton], id_col: str = "doc_id",
     """(doc_id, spans): array of (kind, start, end, score), by start, then kind; the
     score is the log-likelihood ratio, for base spans of the text they cover."""
     sent = df.sparkSession.sparkContext.broadcast({k: a.rows() for k, a in automata.items()})
+    least = min((a.shortest for k, a in automata.items() if k), default=None)
     made: dict[str, Automaton] = {}
+    scored: dict[str, float] = {}
+
+    def score(token: str) -> float:
+        r = scored.get(token)
+        if r is None:
+            r = ratio(token, made)
+            if len(token) <= SAMPLE_CHARS:
+                if len(scored) >= REMEMBERED:
+                    scored.clear()
+                scored[token] = r
+        return r
 
     def spans_of(text: str) -> list[dict]:
         spans = base(text)
         out = [(kind, a, b, ratio(text[a:b], made)) for kind, a, b in spans]
-        for a, b in tokens(text, spans):
-            if not (DIGIT.search(text, a, b) and LETTER.search(text, a, b)):
-                continue
-            r = ratio(text[a:b], made)
+        for a, b in tokens(text, spans, max(least, LEAST)) if least is not None else ():
+            r = score(text[a:b])
             if r >= max(MARGIN, MARGIN_CHAR * (b - a)):
                 out.append(("format", a, b, r))
         out.sort(key=lambda s: (s[1], KINDS.index(s[0])))

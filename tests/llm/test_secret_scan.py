@@ -73,3 +73,35 @@ def test_query(spark, tmp_path):
     assert added == {"format:6:26": 1, "": 0}  # another prefix, the same format
     assert S.train(df.limit(0)) == {}
     assert [r.spans for r in S.find(df.where("doc_id = 900"), {}).collect()] == [[]]
+
+
+def test_tokens_around_base_spans():
+    text = "ab AbCdEfGh/0123456789abcdef01234567/xyzuvw short longer."
+    spans = S.base(text)
+    assert [text[a:b] for a, b in S.tokens(text, spans)] == ["AbCdEfGh/", "/xyzuvw", "longer."]
+    assert [text[a:b] for a, b in S.tokens(text, spans, 8)] == ["AbCdEfGh/"]
+    assert S.tokens("password=abcdefgh", S.base("password=abcdefgh")) == []
+
+
+def test_short_letter_only_and_adjoining_credentials(spark):
+    rng = random.Random(5)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    pick = lambda n, of=letters + "0123456789": "".join(rng.choice(of) for _ in range(n))
+    parts = ["ment", "tion", "able", "ness", "over", "under", "inter", "work", "light", "stand"]
+    word = lambda: "".join(rng.choice(parts) for _ in range(rng.randint(2, 3)))
+    rows = [(i, " ".join(word() for _ in range(5)) + f" password={pick(rng.randint(8, 14))} {word().upper()}") for i in range(400)]
+    rows += [(1000 + i, f"{word()} {pick(12)} {word()}") for i in range(8)]
+    rows += [(2000 + i, f"{word()} {pick(14, letters)} {word()}") for i in range(8)]
+    rows += [(3000 + i, f"{word()} {pick(12)}/{pick(32, '0123456789abcdef')} {word()}") for i in range(8)]
+    rows += [(4000 + i, f"{word()} {pick(14, '0123456789')} {word()}") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = S.train(df.where("doc_id < 1000"))
+    assert {a.shortest for a in model.values()} == {8}
+    hits, words = [0] * 5, 0
+    for r in S.find(df, model).join(df, "doc_id").collect():
+        for s in (s for s in r.spans if s.kind == "format"):
+            v = r.text[s.start : s.end]
+            ordinary = v.isalpha() and (v.islower() or v.isupper())
+            words += ordinary
+            hits[r.doc_id // 1000] += not ordinary
+    assert min(hits[1:]) >= 6 and hits[0] == words == 0
