@@ -5,7 +5,8 @@ sample of labelled rows and then frozen. A byte seen after its context costs
 -log2(n / (total + distinct)); an unseen one pays the escape probability
 distinct / (total + distinct) and is looked up one byte shorter, without the bytes
 already excluded, down to one of 256 equally likely bytes. The language with the
-shortest code for the whole text wins; ties go to the first name.
+shortest code for the whole text wins; ties go to the first name. Every language that
+occurs is learned; ``BLOCK`` languages share a tree, and a task holds one block at a time.
 
 Null texts and texts without a letter give ``und`` with score 0; with no labelled row
 every text is ``und``. Repeated rows give repeated rows.
@@ -13,6 +14,7 @@ every text is ``und``. Repeated rows give repeated rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,14 +29,14 @@ ORDER = 3
 #: Bounds of the training sample: rows of each language, chosen by a hash of their id
 #: (this many are expected, all where there are fewer), and bytes of one such row
 #: (longer rows are not learned from).
-SAMPLE_ROWS, SAMPLE_BYTES = 400, 1 << 16
-#: Bound of the model: contexts of full length, the most frequent first, and how
-#: often a context has to occur.
+SAMPLE_ROWS, SAMPLE_CHARS = 400, 1 << 16
+#: Bound of a block's model: contexts of full length, the most frequent first, and how
+#: often a context has to occur in it.
 CONTEXTS, LEAST = 20_000, 2
 #: Bytes scored at once in a task.
 RUN = 1 << 18
-#: Bound of the model: languages learned, the most frequent first.
-LANGUAGES = 64
+#: Languages of a block.
+BLOCK = 8
 
 
 @dataclass
@@ -68,6 +70,24 @@ class Model:
         return X.sum_by_row(self.bits[node, sym], at)
 
 
+@dataclass
+class Trained:
+    """What was counted: n of each (number of a language, gram)."""
+
+    languages: list[str]
+    lang: np.ndarray
+    gram: np.ndarray
+    n: np.ndarray
+
+    def blocks(self) -> Iterator[Model]:
+        """The models of ``BLOCK`` languages each, in order, made one at a time. They
+        share their symbols, so that code lengths of different blocks compare."""
+        seen = symbols(self.gram)
+        for lo in range(0, len(self.languages), BLOCK):
+            of = (self.lang >= lo) & (self.lang < lo + BLOCK)
+            yield build(self.languages[lo : lo + BLOCK], self.lang[of] - lo, self.gram[of], self.n[of], seen)
+
+
 def fit_counts(rows: DataFrame, languages: list[str]) -> DataFrame:
     """(lang, gram, n): how often ``ORDER`` bytes (0 and a flag before the start)
     and the byte after them occur, from rows (lang number, text)."""
@@ -94,10 +114,15 @@ def fit_counts(rows: DataFrame, languages: list[str]) -> DataFrame:
     return rows.mapInArrow(count, "lang long, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def build(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> Model:
-    """The frozen trees of all languages over one common set of contexts."""
+def symbols(gram: np.ndarray) -> np.ndarray:
+    """The bytes that occur."""
     seen = np.unique(np.concatenate([(gram >> (9 * k)) & 511 for k in range(ORDER + 1)]))
-    seen = seen[seen < 256]
+    return seen[seen < 256]
+
+
+def build(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray, seen: np.ndarray | None = None) -> Model:
+    """The frozen trees of all languages over one common set of contexts."""
+    seen = symbols(gram) if seen is None else seen
     s = len(seen) + 1
     symbol = np.full(257, s - 1, np.uint8 if s <= 256 else np.uint16)
     symbol[seen] = np.arange(s - 1)
@@ -139,60 +164,71 @@ def build(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarra
     return Model(languages, symbol[:256], child, -np.log2(np.concatenate(tables)))
 
 
-def train(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
+def train(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Trained:
     """Fit on the rows where ``learn`` holds, text and language being not null.
 
     The number of rows of each language and the counts of the bounded sample come to
     the driver."""
-    rows = df.where(learn).select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.where("text IS NOT NULL AND lang IS NOT NULL").where(F.octet_length("text") <= SAMPLE_BYTES)
-    found = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    found = sorted((r.lang, r.n) for r in found)
+    text = F.col(text_col).cast("string")
+    rows = df.where(learn).select(F.xxhash64(F.col(id_col)).alias("h"), F.substring(text, 1, SAMPLE_CHARS).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = rows.where("text IS NOT NULL AND lang IS NOT NULL")
+    found = sorted((r.lang, r.n) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect())
+    nothing = np.zeros(0, np.int64)
     if not found:
-        return Model([], np.zeros(256, np.uint8), np.full((1, 1), -1, np.int32), np.zeros((1, 1, 0), np.float32))
-    wanted, number = F.lit(False), F.lit(None).cast("int")
-    for i, (lang, n) in enumerate(found):
-        wanted = wanted | ((F.col("lang") == lang) & (F.pmod("h", F.lit(n)) < SAMPLE_ROWS))
-        number = F.when(F.col("lang") == lang, i).otherwise(number)
-    counts = fit_counts(rows.where(wanted).select(number.alias("lang"), "text"), [x for x, _ in found]).toArrow()
-    lang, gram, n = (counts.column(c).to_numpy() for c in ("lang", "gram", "n"))
-    if not len(n):
-        return Model([], np.zeros(256, np.uint8), np.full((1, 1), -1, np.int32), np.zeros((1, 1, 0), np.float32))
-    return build([x for x, _ in found], lang, gram, n)
-
-
-def _predicted(texts: pa.Array, m: Model) -> list[pa.Array]:
-    names = np.array([*m.languages, "und"], object)
+        return Trained([], nothing, nothing, nothing)
+    names = [x for x, _ in found]
+    place = F.array_position(F.lit(names), F.col("lang"))
+    wanted = rows.where(F.pmod("h", F.element_at(F.lit([n for _, n in found]), place.cast("int"))) < SAMPLE_ROWS)
+    counts = fit_counts(wanted.select((place - 1).alias("lang"), "text"), names).toArrow()
+    if not counts.num_rows:
+        return Trained([], nothing, nothing, nothing)
+    return Trained(names, *(counts.column(c).to_numpy() for c in ("lang", "gram", "n")))
+
+
+class Sent:
+    """The blocks of a model, broadcast one by one. A worker holds one block: a single
+    one for good, of several the one at hand, read again for each batch."""
+
+    def __init__(self, df: DataFrame, model: Trained):
+        self.languages = model.languages
+        self.parts = [df.sparkSession.sparkContext.broadcast(m) for m in model.blocks()]
+
+    def blocks(self) -> Iterator[Model]:
+        for part in self.parts:
+            yield part.value
+            if len(self.parts) > 1:
+                part.__dict__.pop("_value", None)  # else every block would stay in memory
+
+
+def _predicted(texts: pa.Array, sent: Sent) -> list[pa.Array]:
+    names = np.array([*sent.languages, "und"], object)
     has_letter = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-    best, score, rate = [], [], []
-    for lo, hi, data, at in X.text_runs(texts, RUN):
-        known = has_letter[lo:hi] & bool(m.languages)
-        bits = m.code_lengths(data, at) if m.languages else np.zeros((hi - lo, 1))
-        least = bits.min(1)
-        share = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
-        best.append(np.where(known, bits.argmin(1), len(names) - 1))
-        score.append(np.where(known, share, 0.0))
-        rate.append(np.where(known, least / np.maximum(np.diff(at), 1), np.nan))
-    r = np.concatenate(rate)
-    return [pa.array(names[np.concatenate(best)], pa.string()), pa.array(np.concatenate(score)), pa.array(r, mask=np.isnan(r))]
-
-
-def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    known, size = has_letter & bool(sent.languages), np.diff(X.text_bytes(texts)[1])
+    bits = [np.concatenate([m.code_lengths(data, at) for _, _, data, at in X.text_runs(texts, RUN)]) for m in sent.blocks()]
+    bits = np.concatenate(bits, 1) if bits else np.zeros((len(texts), 1))
+    least = bits.min(1)
+    share = 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1)
+    best = np.where(known, bits.argmin(1), len(names) - 1)
+    rate = np.where(known, least / np.maximum(size, 1), np.nan)
+    return [pa.array(names[best], pa.string()), pa.array(np.where(known, share, 0.0)), pa.array(rate, mask=np.isnan(rate))]
+
+
+def predict(df: DataFrame, model: Trained, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score, bits_per_byte): the best language, its share among
     all languages by code length, and its bits for each byte (null for ``und``)."""
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    sent = Sent(df, model)
 
     def columns(batch: pa.RecordBatch) -> list:
-        return [batch.column(0), *_predicted(batch.column(1), sent.value)]
+        return [batch.column(0), *_predicted(batch.column(1), sent)]
 
     return X.map_batches(X.pairs(df, id_col, text_col), columns, "doc_id long, lang_pred string, score double, bits_per_byte double")
 
 
-def label(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+def label(df: DataFrame, model: Trained, text_col: str = "text") -> DataFrame:
     """All columns of ``df`` and the prediction's three; columns of those names are
     replaced."""
-    sent = df.sparkSession.sparkContext.broadcast(model)
-    return X.with_columns(df, text_col, lambda texts: _predicted(texts, sent.value), "lang_pred string, score double, bits_per_byte double")
+    sent = Sent(df, model)
+    return X.with_columns(df, text_col, lambda texts: _predicted(texts, sent), "lang_pred string, score double, bits_per_byte double")
 
 
 def identify(df: DataFrame, learn: Column) -> DataFrame:

@@ -103,3 +103,21 @@ def test_held_out(spark):
     held = out.join(docs, "doc_id").where(X.crc_mod(F.col("doc_id"), 3) == 1)
     right, n = held.agg(F.sum((F.col("lang") == F.col("lang_pred")).cast("int")), F.count("*")).first()
     assert right >= 0.98 * n
+
+
+def test_many_languages_and_long_texts(spark):
+    rng = np.random.default_rng(7)
+    signs = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    words = [["".join(rng.choice(signs, 5)) for _ in range(6)] for _ in range(70)]
+    rows = [(k * 100 + i, " ".join(rng.choice(words[k], 12)), f"l{k:02}") for k in range(70) for i in range(6 if k < 69 else 3)]
+    # a language with long texts only
+    rows += [(9000 + i, "zyxwv utsrq ponml " * 5000, "long") for i in range(2)]
+    held = [(20_000 + k, " ".join(rng.choice(words[k], 8)), f"l{k:02}") for k in range(70)] + [(30_000, "utsrq zyxwv ponml", "long")]
+    df = spark.createDataFrame(rows + held, "doc_id long, text string, lang string")
+    model = L.train(df, F.col("doc_id") < 20_000)
+    assert len(model.languages) == 71 and len(list(model.blocks())) == 9
+    got = {r.doc_id: r for r in L.predict(df, model).collect()}
+    assert [got[i].lang_pred for i, _, _ in held] == [x for _, _, x in held]
+    # one block gives the same order of code lengths for the languages of a block
+    whole = L.build(model.languages, model.lang, model.gram, model.n)
+    assert [m.bits.shape[1] for m in model.blocks()] == [whole.bits.shape[1]] * 9
