@@ -160,6 +160,8 @@ def repeated(parts: list[bytes], group: np.ndarray) -> list[list[tuple[int, int]
     hit = np.flatnonzero(index.matching() >= LENGTH)
     text = np.searchsorted(index.start, hit, side="right") - 1
     out: list[list[tuple[int, int]]] = [[] for _ in parts]
+    if not len(hit):
+        return out
     new = np.ones(len(hit), bool)
     new[1:] = (hit[1:] != hit[:-1] + 1) | (text[1:] != text[:-1])
     first = np.flatnonzero(new)

@@ -85,3 +85,20 @@ def test_like_plain(spark, tmp_path, monkeypatch, seed, heavy, batch):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert R.remove(df).collect() == []
+
+
+def test_shared_below_length(spark):
+    """Texts share 190 bytes and nothing longer: an index batch holds no repeat."""
+    for seed in range(4):
+        rng = random.Random(seed)
+        noise = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+        shared = noise(190)
+        docs = [noise(60) + shared + noise(60) for _ in range(4)]
+        out = R.remove(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").repartition(seed + 1)).collect()
+        assert all(r.spans == [] and bytes(r.kept) == docs[r.doc_id].encode() for r in out) and len(out) == 4
+    assert R.repeated([d.encode() for d in docs], np.zeros(4, int)) == [[], [], [], []]
+
+
+def test_heavy_shared_below_length(spark, monkeypatch):
+    monkeypatch.setattr(R, "HEAVY", 1)
+    test_shared_below_length(spark)
