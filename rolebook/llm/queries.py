@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolebook.llm import bpe, chat, decontaminate, langid, pii, quality, repeats, secret_scan, simhash, toxicity
+from rolebook.llm import bpe, chat, decontaminate, langid, pii, quality, repeats, secret_scan, simhash, substrings, toxicity
 from rolebook.llm import texts as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,25 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat.read_back(chat.windows(turns.unionByName(extra)))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT k, doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50),
+x AS (SELECT k, doc_id, p, sha256(array_to_string(w[p:p + 49], ' ')) AS x FROM s),
+m AS (SELECT x, min(doc_id) AS least FROM x GROUP BY x),
+g AS (SELECT DISTINCT k, p + j AS p FROM (SELECT k, p FROM x JOIN m USING (x) WHERE least < doc_id), (SELECT unnest(range(50)) AS j)),
+l AS (SELECT k, list(p) AS gone FROM g GROUP BY k),
+f AS (SELECT doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN l USING (k)),
+u AS (SELECT doc_id, len(w) AS n, len(gone) AS r, w, list_transform(range(1, len(w) + 1), lambda p: p) AS a, gone FROM f)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed,
+       sha256(array_to_string(list_transform(CASE WHEN r = 0 THEN a ELSE list_filter(a, lambda p: NOT list_contains(gone, p)) END, lambda p: w[p]), ' ')) AS kept_sha256
+FROM u
+"""
+
+
+@query("op11_substrings", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substrings.remove(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
