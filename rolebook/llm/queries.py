@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolebook.llm import bpe, chat, decontaminate, langid, pii, quality, repeats, secret_scan, simhash, substrings, toxicity
+from rolebook.llm import bpe, chat, codebooks, decontaminate, langid, pii, quality, repeats, secret_scan, simhash, substrings, toxicity
 from rolebook.llm import texts as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -189,3 +189,34 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substrings.remove(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return out.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP13_NEAREST = """
+a{0} AS (SELECT r, v.p AS p, min({{'d': list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'k': k}}) AS m
+       FROM v JOIN c{0} ON v.p = c{0}.p GROUP BY r, v.p)"""
+OP13_ROUND = OP13_NEAREST + """,
+s{0} AS (SELECT p, k, list((s - ((s % n) + n) % n) // n ORDER BY j) AS c
+       FROM (SELECT p, k, j, sum(x[j]) AS s, count(*) AS n FROM (SELECT v.p AS p, m.k AS k, x, unnest(range(1, len(x) + 1)) AS j FROM v JOIN a{0} USING (r, p)) GROUP BY p, k, j)
+       GROUP BY p, k),
+c{1} AS (SELECT p, k, coalesce(s{0}.c, c{0}.c) AS c FROM c{0} LEFT JOIN s{0} USING (p, k)),"""
+OP13_SQL = (
+    """
+WITH w AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+           FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS (SELECT r, p, x[p * len(x) // 16 + 1:(p + 1) * len(x) // 16] AS x FROM w, (SELECT unnest(range(16)) AS p)),
+c0 AS (SELECT p, r - 1 AS k, x AS c FROM v WHERE r <= 64),"""
+    + OP13_ROUND.format(0, 1)
+    + OP13_ROUND.format(1, 2)
+    + OP13_NEAREST.format(2)
+    + """,
+f AS (SELECT r, string_agg(lpad(lower(hex(m.k)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error FROM a2 GROUP BY r),
+b AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY p, k, j)) AS codebooks_sha256 FROM (SELECT p, k, unnest(c) AS x, unnest(range(len(c))) AS j FROM c2))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM w JOIN f USING (r), b
+"""
+)
+
+
+@query("op13_codebooks", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, books = codebooks.compress(table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(codebooks.digest(books)).alias("codebooks_sha256"))
