@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolebook.llm import bpe, chat, codebooks, decontaminate, langid, pii, quality, repeats, secret_scan, simhash, substrings, toxicity
+from rolebook.llm import bpe, chat, codebooks, decontaminate, langid, pii, quality, repeats, secret_scan, simhash, substrings, toxicity, turn_repair
 from rolebook.llm import texts as X
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -220,3 +220,10 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, books = codebooks.compress(table(spark, sf_dir, "embeddings"))
     return out.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(codebooks.digest(books)).alias("codebooks_sha256"))
+
+
+@query("op12_turn_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    out = turn_repair.report(turn_repair.damaged(turns))
+    return out.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
