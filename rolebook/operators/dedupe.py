@@ -25,24 +25,44 @@ def union_pools(*pools: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), pools)
 
 
+#: Rows without a position that may share a task are a pool's such rows over this many.
+UNPLACED = 1 << 12
+
+
+def _content(df: DataFrame) -> Column:
+    """A number from the whole row (maps have no hash and are left out)."""
+    return F.xxhash64(*[f"`{f.name}`" for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
+
+
+def same(pairs: dict[str, str]) -> Column:
+    """Null-safe equality of columns named in pairs."""
+    return reduce(lambda x, y: x & y, [F.col(a).eqNullSafe(F.col(b)) for a, b in pairs.items()])
+
+
 def pool_rank(df: DataFrame, pool: str = "pool_no", pos: str = "pos", out: str = "pool_rank", span: int = SPAN) -> DataFrame:
     """1-based position of each row within its pool, for pools of any size.
 
     A plain ``row_number`` would sort a whole pool in one task. Here rows are
     numbered inside (pool, span) groups of bounded size and shifted by the
     number of rows in earlier spans; only the per-span counts are ordered by
-    pool.
+    pool. Rows without a pool are a pool of their own; rows without a position come
+    last in theirs, ordered by a hash of the row.
     """
-    tagged = df.withColumn("_span", F.floor(F.col(pos) / F.lit(span)).cast("bigint"))
-    inner = Window.partitionBy(pool, "_span").orderBy(pos)
-    counts = tagged.groupBy(pool, "_span").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(pool).orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
-    shift = counts.select(pool, "_span", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    tagged = df.withColumn("_hash", _content(df)).withColumn("_late", F.col(pos).isNull())
+    unplaced = F.pmod("_hash", F.lit(UNPLACED))
+    tagged = tagged.withColumn("_span", F.when(F.col("_late"), unplaced).otherwise(F.floor(F.col(pos) / F.lit(span))).cast("bigint"))
+    group = [pool, "_late", "_span"]
+    inner = Window.partitionBy(*group).orderBy(pos, "_hash")
+    counts = tagged.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(pool).orderBy("_late", "_span").rowsBetween(Window.unboundedPreceding, -1)
+    shift = counts.select(
+        F.col(pool).alias("_of_pool"), F.col("_late").alias("_of_late"), F.col("_span").alias("_of_span"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift")
+    )
     numbered = tagged.withColumn("_local", F.row_number().over(inner))
     return (
-        numbered.join(shift, [pool, "_span"])
+        numbered.join(shift, same({pool: "_of_pool", "_late": "_of_late", "_span": "_of_span"}))
         .withColumn(out, (F.col("_local") + F.col("_shift")).cast("bigint"))
-        .drop("_span", "_local", "_shift")
+        .drop("_span", "_late", "_hash", "_local", "_shift", "_of_pool", "_of_late", "_of_span")
     )
 
 
@@ -52,7 +72,7 @@ def interleave(df: DataFrame) -> DataFrame:
 
 
 def round_robin_order() -> list[Column]:
-    return [F.col("pool_rank"), F.col("pool_no")]
+    return [F.col("pool_rank").asc_nulls_last(), F.col("pool_no").asc_nulls_last()]
 
 
 def with_dedupe_key(df: DataFrame) -> DataFrame:
@@ -60,21 +80,24 @@ def with_dedupe_key(df: DataFrame) -> DataFrame:
 
 
 def round_robin_place() -> Column:
-    """(pool_rank, pool_no) as one number, so that winners aggregate on plain longs."""
-    rank, pool = F.col("pool_rank"), F.coalesce(F.col("pool_no"), F.lit(65535))
-    place = F.shiftleft(rank.cast("bigint"), 16).bitwiseOR(pool.cast("bigint"))
-    return F.when(pool.between(0, 65535), place).otherwise(F.raise_error(F.lit("pool_no must be 0 to 65535")).cast("bigint"))
+    """(pool_rank, pool_no) as one number, so that winners aggregate on plain longs; a row
+    without a pool comes after the rows of its rank with one."""
+    rank, pool = F.col("pool_rank"), F.coalesce(F.col("pool_no"), F.lit(1 << 16))
+    place = F.shiftleft(rank.cast("bigint"), 17).bitwiseOR(pool.cast("bigint"))
+    known = F.col("pool_no").isNull() | F.col("pool_no").between(0, 65535)
+    return F.when(known, place).otherwise(F.raise_error(F.lit("pool_no must be 0 to 65535")).cast("bigint"))
 
 
 def merge_pools(ranked: DataFrame) -> DataFrame:
     """First-seen row per dedupe key in round-robin order, with ``copies``.
 
     Winners are found on the key and the place alone; whole rows meet them in one join
-    on the place, which no two rows share. The number of duplicates is ``sum(copies - 1)``.
+    on both, as no two rows share a place. The number of duplicates is ``sum(copies - 1)``.
     """
     keyed = with_dedupe_key(ranked).withColumn("_place", round_robin_place())
-    won = keyed.groupBy("dedupe_key").agg(F.min("_place").alias("_place"), F.count(F.lit(1)).alias("copies"))
-    return keyed.join(won.select("_place", "copies"), "_place").drop("_place")
+    won = keyed.groupBy("dedupe_key").agg(F.min("_place").alias("_at"), F.count(F.lit(1)).alias("copies"))
+    won = won.withColumnRenamed("dedupe_key", "_key")
+    return keyed.join(won, same({"_place": "_at", "dedupe_key": "_key"})).drop("_place", "_at", "_key")
 
 
 def duplicate_count(merged: DataFrame) -> DataFrame:
@@ -91,12 +114,15 @@ def spread_key() -> list[Column]:
 def collapse_spread(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     """One row per company and requisition, other cities noted in ``location``.
 
-    The first row wins; the ordering columns name one row. Rows are reduced to one per (group, location) before
+    The first row wins; of rows with equal ordering columns the one with the least hash
+    of its content. Rows are reduced to one per (group, location) before
     the group itself is formed, so a group holds its distinct places only.
     ``group_size`` counts the input rows of the group.
     """
     order = order or ["pool_rank", "pool_no", "id"]
     columns = df.columns
+    df = df.withColumn("_hash", _content(df))
+    order = [*order, "_hash"]
     keyed = df.select("*", *spread_key()).withColumn("_place", F.coalesce("location", F.lit("")))
     rank = F.struct(*order)
     # winners and places on the ordering columns alone; whole rows meet them once
@@ -107,8 +133,7 @@ def collapse_spread(df: DataFrame, order: list[str] | None = None) -> DataFrame:
         F.sum("_n").alias("group_size"),
     )
     won = won.select(*[F.col(f"_first.{c}").alias(f"_w_{c}") for c in order], "_places", "group_size")
-    met = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_w_{c}")) for c in order])
-    groups = df.join(won, met)
+    groups = df.join(won, same({c: f"_w_{c}" for c in order})).dropDuplicates(order)  # rows alike
     cities = F.col("_places._place")
     extra = F.size("_places") - 1
     spread = F.concat(

@@ -141,8 +141,13 @@ def _accepted(places: DataFrame, wants: DataFrame) -> DataFrame:
     return hits.union(places.select(F.array().cast("array<string>").alias("accept"), "place"))
 
 
+def _strings(column: str) -> Column:
+    """An array of texts; null is no text at all, and null entries are left out."""
+    return F.array_compact(F.coalesce(F.col(column), F.array().cast("array<string>")))
+
+
 def _accept() -> Column:
-    return F.array_sort(F.array_distinct(F.transform("locations", lambda w: canon_location(w))))
+    return F.array_sort(F.array_distinct(F.transform(_strings("locations"), lambda w: canon_location(w))))
 
 
 def candidate_reach(postings: DataFrame, candidates: DataFrame, as_of, max_age_days: int = vocab.RANK_MAX_AGE_DAYS) -> DataFrame:
@@ -174,7 +179,8 @@ def _title_parts(title: Column) -> Column:
 def shortlist_per_candidate(postings: DataFrame, candidates: DataFrame, as_of, top: int, max_age_days: int = vocab.RANK_MAX_AGE_DAYS) -> DataFrame:
     """(candidate_id, id, score): the best ``top`` postings of each row of a candidate
     table (candidate_id, stage, skills, locations), as ranking without texts scores them;
-    best first is score desc, pos.
+    best first is score desc, pos. Null skills are no skills (half of their part), null
+    locations accept any place.
 
     Candidates are reduced to distinct profiles and postings to distinct titles and
     places. Skills meet titles, and accepted terms places, in equi joins; a profile meets
@@ -186,7 +192,7 @@ def shortlist_per_candidate(postings: DataFrame, candidates: DataFrame, as_of, t
     live = postings.filter(~late).select(
         "id", "pos", F.lower(F.coalesce("title", F.lit(""))).alias("title"), canon_location("location").alias("place"), freshness("posted_date", as_of).alias("fresh")
     )
-    skills = F.array_sort(F.array_distinct(F.transform("skills", lambda s: F.lower(s))))
+    skills = F.array_sort(F.array_distinct(F.transform(_strings("skills"), lambda s: F.lower(s))))
     wants = candidates.select("candidate_id", "stage", skills.alias("skills"), _accept().alias("accept"))
     wants = wants.withColumn("profile", F.sha2(F.to_json(F.struct("stage", "skills", "accept")), 256))
     profiles = wants.select("profile", "stage", "skills", "accept").dropDuplicates(["profile"])

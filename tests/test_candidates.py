@@ -31,3 +31,18 @@ def test_like_every_pair(spark):
     for r in rows.filter("pass").select("cand.candidate_id", "id", "pos", "score").collect():
         want.setdefault(r.candidate_id, []).append((-r.score, r.pos, r.id))
     assert got == {k: {(i, -s) for s, _, i in sorted(v)[:4]} for k, v in want.items()}
+
+
+def test_null_skills_and_places(spark):
+    """No skills score half of their part; no places accept any."""
+    p = spark.createDataFrame([("x", 1, "python lead", "Pune", None), ("y", 2, "other", None, None)], "id string, pos long, title string, location string, posted_date date")
+    c = spark.createDataFrame(
+        [("n", "student", None, ["Pune"]), ("w", "student", ["python"], None), ("e", "student", [None], [None]), ("m", "student", [], [])],
+        "candidate_id string, stage string, skills array<string>, locations array<string>",
+    )
+    got = {}
+    for r in joins.shortlist_per_candidate(p, c, AS_OF, 5).collect():
+        got.setdefault(r.candidate_id, {})[r.id] = r.score
+    assert got["n"].keys() == {"x"} and got["w"].keys() == {"x", "y"}
+    assert got["e"] == got["m"] and got["m"].keys() == {"x", "y"} and got["n"]["x"] == got["m"]["x"]
+    assert got["w"]["x"] > got["w"]["y"] and None not in [s for v in got.values() for s in v.values()]

@@ -120,3 +120,23 @@ def test_diff_sets(spark):
     a = spark.createDataFrame([("x", "ctc"), ("x", "bond")], "l string, g string")
     b = spark.createDataFrame([("x", "Compensation"), ("x", "stale")], "l string, g string")
     assert {(r.g, r.side) for r in D.diff_sets(a, b, ["l"], "g").collect()} == {("bond", "missing"), ("stale", "extra")}
+
+
+def test_rows_without_pool_or_position_stay(spark):
+    """They come last in their pool, and a null pool is one of its own."""
+    specs = [("a", "t", "x", "u1", 0, 3), ("b", "t", "x", "u2", 0, None), ("c", "t", "x", "u3", None, 1), ("d", "t", "x", "u4", None, None), ("e", "t", "x", "u5", 0, 0)]
+    df = spark.createDataFrame(rows(*specs) + rows(*[(f"z{i}", "t", "x", "u", 7, None) for i in range(50)]), SCHEMA)
+    got = D.interleave(df).collect()
+    assert {r.id: (r.pool_no, r.pool_rank) for r in got if r.pool_no != 7} == {"e": (0, 1), "a": (0, 2), "b": (0, 3), "c": (None, 1), "d": (None, 2)}
+    assert sorted(r.pool_rank for r in got if r.pool_no == 7) == list(range(1, 51))
+
+
+def test_merge_null_pool_beside_the_last_number(spark):
+    specs = [("a", "t", "x", "https://e.com/1", None, 0), ("b", "t", "x", "https://e.com/2", 65535, 0), ("c", "t", "x", "https://e.com/1", 3, 0)]
+    merged = D.merge_pools(D.interleave(spark.createDataFrame(rows(*specs), SCHEMA)))
+    assert {r.id: r.copies for r in merged.collect()} == {"b": 1, "c": 2}
+
+
+def test_collapse_repeated_order_columns(spark):
+    got = collapse(spark, ("1", "SDE", "Pune", "https://x.com/a1b2c3d4e5", 0, 0), ("1", "SDE", "Goa", "https://x.com/a1b2c3d4e5", 0, 0), ("1", "SDE", "Goa", "https://x.com/a1b2c3d4e5", 0, 0))
+    assert len(got) == 1 and got[0].group_size == 3 and "+1 cities" in got[0].location
