@@ -45,6 +45,18 @@ def union_pools(spark, sf):
     return pools(spark, sf).groupBy("portal").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "interleave_gaps",
+    f"""WITH {B.DOC_SQL}, g AS (SELECT id, CASE WHEN doc_id % 7 <> 0 THEN pool_no END AS pool_no, CASE WHEN doc_id % 5 <> 0 THEN pos END AS pos FROM doc)
+SELECT CASE WHEN pos IS NOT NULL THEN id END AS id, pool_no, row_number() OVER (PARTITION BY pool_no ORDER BY pos NULLS LAST) AS pool_rank FROM g""",
+)
+def interleave_gaps(spark, sf):
+    """Rows without a pool or a position among others; those without one come in any order."""
+    k = F.col("doc_id")
+    d = B.doc_postings(spark, sf).select("id", F.when(k % 7 != 0, F.col("pool_no")).alias("pool_no"), F.when(k % 5 != 0, F.col("pos")).alias("pos"))
+    return dedupe.interleave(d).select(F.when(F.col("pos").isNotNull(), F.col("id")).alias("id"), "pool_no", "pool_rank")
+
+
 @query("interleave", f"WITH {RANKED_SQL} SELECT id, pool_no, pool_rank FROM ranked")
 def interleave(spark, sf):
     return dedupe.interleave(pools(spark, sf)).select("id", "pool_no", "pool_rank")

@@ -829,6 +829,30 @@ def tracker_mixed(spark, sf):
     return t.groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count("deadline").alias("deadlines"))
 
 
+@query(
+    "tracker_headers",
+    f"""WITH {B.TRK_SQL}, k AS (SELECT *, application_id % 4 AS kind FROM trk)
+SELECT 'row' AS what, status AS name, count(*) AS n, count(DISTINCT company) AS companies, count(deadline) AS deadlines FROM k WHERE kind <> 3 GROUP BY 2
+UNION ALL SELECT 'issue', 'column is not read: salary', count(*), 0, 0 FROM k WHERE kind = 2
+UNION ALL SELECT 'issue', 'no header with company and role', count(*), 0, 0 FROM k WHERE kind = 3""",
+)
+def tracker_headers(spark, sf):
+    """One folder of files with the known header, another order, a column more, and none."""
+    path = scratch_path(spark, "tracker-headers")
+    known = ("date", "company", "role", "status", "fit_rating", "source", "deadline")
+    rows = B.tracker(spark, sf).select(*[F.col(c).cast("string") if c in known else F.lit("").alias(c) for c in vocab.TRACKER_COLUMNS], (F.col("application_id") % 4).alias("kind"))
+    names = list(vocab.TRACKER_COLUMNS)
+    files = {0: names, 1: ["company", "date", *reversed(names[2:])], 2: [*names, F.lit("20").alias("salary")], 3: names}
+    for kind, columns in files.items():
+        rows.where(F.col("kind") == kind).select(*columns).write.mode("append").option("header", kind != 3).csv(path)
+    good = tables.read_tracker(spark, path, multiline=False).groupBy(F.col("status").alias("name")).agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("company").alias("companies"), F.count("deadline").alias("deadlines")
+    )
+    bad = tables.tracker_issues(spark, path, multiline=False).groupBy(F.col("error").alias("name")).agg(F.sum("lines").alias("n"))
+    none = F.lit(0).cast("long")
+    return good.select(F.lit("row").alias("what"), "*").union(bad.select(F.lit("issue"), "name", "n", none, none))
+
+
 SCRAPED = (("remoteok", REMOTEOK_SQL), ("remotive", REMOTIVE_SQL), ("arbeitnow", ARBEITNOW_SQL))
 
 

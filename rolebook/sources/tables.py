@@ -146,25 +146,62 @@ def conform_tracker(df: DataFrame) -> DataFrame:
     )
 
 
+#: Cells of a tracker line that are read; a line may not be wider.
+TRACKER_WIDTH = 64
+
+
+def _tracker_files(spark: SparkSession, path: str, multiline: bool) -> tuple[DataFrame, DataFrame]:
+    """(lines (file, at, cells), headers (file, first, names, error)) of tracker files. The first
+    line of each file is its header, whatever its order; ``error`` tells why a file cannot be read."""
+    schema = ", ".join(f"_c{i} string" for i in range(TRACKER_WIDTH))
+    raw = spark.read.schema(schema).option("multiLine", multiline).option("escape", '"').option("header", False).csv(path)
+    cells = F.array(*[F.col(f"_c{i}") for i in range(TRACKER_WIDTH)])
+    meta = F.col("_metadata")
+    # a file's parts are read in order, so ids grow with the place in it
+    lines = raw.select(meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), F.monotonically_increasing_id().alias("at"), cells.alias("cells"))
+    first = lines.filter("block = 0").groupBy("file").agg(F.min(F.struct("at", "cells")).alias("h"))
+    names = F.transform(F.filter("h.cells", lambda c: c.isNotNull()), lambda c: F.trim(F.replace(c, F.lit("\ufeff"), F.lit(""))))
+    heads = first.select("file", F.col("h.at").alias("first"), names.alias("names"))
+    error = F.when(~F.array_contains("names", "company") | ~F.array_contains("names", "role"), "no header with company and role").when(
+        F.size(F.array_distinct("names")) < F.size("names"), "header names a column twice"
+    )
+    return lines.drop("block"), heads.withColumn("error", error)
+
+
 def read_tracker(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """Tracker CSV files with a header, all text: each file's own header decides, so
+    """Tracker CSV files, all text: each file's own header names its columns, in any order, so
     files of thirteen and of fourteen columns may lie in one folder.
 
-    Columns are matched by place, as both headers agree on the first thirteen; short
-    rows are padded with NULL. A header that names other columns fails the read.
-    Without line breaks inside notes, ``multiline=False`` lets Spark split large files.
+    A column that a file lacks is NULL, as are cells that a short line lacks. Files without a usable
+    header give no rows, and columns of other names are not read: both are rows of
+    :func:`tracker_issues`. Empty files have neither. Without line breaks inside notes,
+    ``multiline=False`` lets Spark split large files.
     """
-    schema = ", ".join(f"`{c}` string" for c in vocab.TRACKER_COLUMNS)
-    reader = spark.read.schema(schema).option("multiLine", multiline).option("escape", '"')
-    rows = reader.option("header", False).option("mode", "PERMISSIVE").csv(path)
-    names = list(vocab.TRACKER_COLUMNS)
-    is_header = F.col(names[0]) == names[0]
-    known = F.lit(True)
-    for c in names[1:]:
-        known = known & F.coalesce(F.col(c) == c, F.lit(c == "deadline"))
-    odd = F.concat(F.lit("tracker header is not the known one: "), F.concat_ws(",", *names))
-    checked = F.when(is_header & ~known, F.raise_error(odd).cast("boolean")).otherwise(~F.coalesce(is_header, F.lit(False)))
-    return conform_tracker(rows.filter(checked))
+    lines, heads = _tracker_files(spark, path, multiline)
+    places = F.struct(*[(F.array_position("names", c) - 1).cast("int").alias(c) for c in vocab.TRACKER_COLUMNS])
+    usable = heads.filter("error IS NULL").select("file", "first", places.alias("at_place"))
+    rows = lines.join(usable, "file").filter("at <> first")
+    cell = lambda c: F.when(F.col(f"at_place.{c}") >= 0, F.get("cells", F.col(f"at_place.{c}")))
+    return rows.select(*[cell(c).alias(c) for c in vocab.TRACKER_COLUMNS])
+
+
+def tracker_issues(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """(file, error, lines) of what :func:`read_tracker` could not take: unusable headers,
+    columns of other names, and lines with more cells than their header."""
+    lines, heads = _tracker_files(spark, path, multiline)
+    width = F.lit(TRACKER_WIDTH) - F.coalesce(F.array_position(F.transform(F.reverse("cells"), lambda c: c.isNotNull()), True) - 1, F.lit(TRACKER_WIDTH))
+    both = lines.join(heads, "file")
+    own = F.col("at") == F.col("first")
+    other = F.filter("names", lambda n: ~n.isin(*vocab.TRACKER_COLUMNS))
+    found = F.when(F.col("error").isNotNull(), F.array("error")).otherwise(
+        F.concat(
+            F.transform(other, lambda n: F.concat(F.lit("column is not read: "), n)),
+            F.when(~own & (width > F.size("names")), F.array(F.lit("line is longer than its header"))).otherwise(F.array().cast("array<string>")),
+        )
+    )
+    # a file is told of even if its header is all it has
+    issues = both.select("file", (~own | F.col("error").isNotNull()).cast("long").alias("n"), F.explode(found).alias("error"))
+    return issues.groupBy("file", "error").agg(F.sum("n").alias("lines"))
 
 
 # --- salary data -----------------------------------------------------------------

@@ -80,9 +80,31 @@ def test_tracker_headers(spark, tmp_path):
     (tmp_path / "b.csv").write_text(",".join(new) + "\n" + ",".join(["2024-01-02", "B", *[""] * 11, "2024-09-09"]) + "\n2024-01-03,C\n")
     got = {(r.company, r.deadline) for r in tables.read_tracker(spark, str(tmp_path)).collect()}
     assert got == {("A", None), ("B", "2024-09-09"), ("C", None)}
-    (tmp_path / "c.csv").write_text("date,firm\n2024-01-01,A\n")
-    with pytest.raises(Exception, match="tracker header"):
-        tables.read_tracker(spark, str(tmp_path)).collect()
+    assert tables.tracker_issues(spark, str(tmp_path)).collect() == []
+
+
+def test_tracker_foreign_headers(spark, tmp_path):
+    """Columns are read by name; what cannot be read is told, not guessed."""
+    files = {
+        "swapped": "company,date,role,x\nAcme,2024-01-01,SDE,9\n",
+        "wide": "date,company,role\n2024-01-02,Beta,\"a, b\nc\",extra\n2024-01-03,Gamma,SDE\n",
+        "firm": "date,firm\n2024-01-01,A\n",
+        "bare": "2024-01-01,A,B\n2024-01-02,C,D\n",
+        "twice": "company,role,company\nA,B,C\n",
+        "bom": "\ufeffcompany, role\nDelta,QA\n",
+        "only": "company,role,y\n",
+        "empty": "",
+    }
+    for name, text in files.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    got = {(r.company, r.date, r.role) for r in tables.read_tracker(spark, str(tmp_path)).collect()}
+    assert got == {("Acme", "2024-01-01", "SDE"), ("Beta", "2024-01-02", "a, b\nc"), ("Gamma", "2024-01-03", "SDE"), ("Delta", None, "QA")}
+    issues = {(r.file.rsplit("/", 1)[1], r.error, r.lines) for r in tables.tracker_issues(spark, str(tmp_path)).collect()}
+    none = "no header with company and role"
+    assert issues == {
+        ("swapped.csv", "column is not read: x", 1), ("wide.csv", "line is longer than its header", 1), ("firm.csv", none, 2),
+        ("bare.csv", none, 2), ("twice.csv", "header names a column twice", 2), ("only.csv", "column is not read: y", 0),
+    }
 
 
 SEEN = (
