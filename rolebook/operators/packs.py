@@ -37,41 +37,67 @@ def profile_issues(df: DataFrame) -> DataFrame:
     return df.withColumn("issue", issue)
 
 
+#: Set behind title words while they are sorted; sorts before every character of a word.
+MARK = "\x01"
+
+
+def _runs(marked: Column) -> Column:
+    """(word, weight) of each different word of sorted words, title words marked: one
+    entry a word, as a marked run follows the unmarked one of its word."""
+    starts = F.filter(F.sequence(F.lit(0), F.size(marked) - 1), lambda i: (i == 0) | (F.get(marked, i) != F.get(marked, i - 1)))
+
+    def counted(at):
+        def one(i, j):
+            n = F.coalesce(F.get(at, j + 1), F.size(marked)) - i
+            raw = F.get(marked, i)
+            return F.struct(F.substring_index(raw, MARK, 1).alias("word"), F.when(F.endswith(raw, F.lit(MARK)), n * 4).otherwise(n).alias("weight"))
+
+        return let(F.transform(at, one), merged)
+
+    def merged(runs):
+        def one(x, j):
+            after = F.get(runs, j + 1)
+            both = F.when(after["word"] == x["word"], x["weight"] + after["weight"]).otherwise(x["weight"])
+            again = (j > 0) & (F.get(runs, j - 1)["word"] == x["word"])
+            return F.when(~again, F.struct(x["word"].alias("word"), both.alias("weight")))
+
+        return F.array_compact(F.transform(runs, one))
+
+    return let(starts, counted)
+
+
 def top_words(title: Column, description: Column, top: int = vocab.GAP_TOP) -> Column:
     """The heaviest words of a posting, heaviest first; ties keep the order of
     first appearance.
 
     A title word weighs 4 per occurrence, a description word 1. The words are
-    counted inside the row: sorted with their places, equal words form runs,
-    and a run's length is the word's weight. Nothing is shuffled.
+    counted inside the row: sorted as plain strings, equal words form runs, and a run's
+    length is the word's weight. Only words as heavy as the last of the top are
+    put in order of appearance. Nothing is shuffled.
     """
-    in_title = pack_tokens(title)
-    words = F.concat(F.flatten(F.array_repeat(in_title, 4)), pack_tokens(F.coalesce(description, F.lit(""))))
+    return let(
+        F.struct(pack_tokens(title).alias("t"), pack_tokens(F.coalesce(description, F.lit(""))).alias("d")),
+        lambda w: let(F.concat(w["t"], w["d"]), lambda ws: F.when(F.size(ws) == 0, F.array().cast("array<string>")).otherwise(_heaviest(w, ws, top))),
+    )
 
-    def ranked(ws):
-        spots = F.arrays_zip(ws.alias("word"), F.sequence(F.lit(1), F.size(ws)).alias("at"))
-        return let(F.sort_array(spots), runs)
 
-    def runs(s):
-        starts = F.filter(
-            F.sequence(F.lit(0), F.size(s) - 1),
-            lambda i: (i == 0) | (F.get(s, i)["word"] != F.get(s, i - 1)["word"]),
-        )
-        return let(starts, lambda st: weights(s, st))
-
-    def weights(s, starts):
-        weighed = F.transform(
-            starts,
-            lambda i, j: F.struct(
-                (i - F.coalesce(F.get(starts, j + 1), F.size(s))).alias("lightness"),
-                F.get(s, i)["at"].alias("first"),
-                F.get(s, i)["word"].alias("word"),
-            ),
+def _heaviest(w: Column, words: Column, top: int) -> Column:
+    def ranked(weighed):
+        weights = F.sort_array(F.transform(weighed, lambda x: x["weight"]), asc=False)
+        return let(F.get(weights, F.least(F.size(weights), F.lit(top)) - 1), lambda least: picked(weighed, least))
+
+    def picked(weighed, least):
+        above = F.transform(
+            F.filter(weighed, lambda x: x["weight"] > least),
+            lambda x: F.struct((-x["weight"]).alias("lightness"), F.array_position(words, x["word"]).alias("first"), x["word"].alias("word")),
         )
-        return F.transform(F.slice(F.sort_array(weighed), 1, top), lambda w: w["word"])
+        level = F.transform(F.filter(weighed, lambda x: x["weight"] == least), lambda x: x["word"])
+        first = F.transform(F.sort_array(above), lambda x: x["word"])
+        # the intersection keeps the order of its first array
+        return F.slice(F.concat(first, F.array_intersect(words, level)), 1, top)
 
-    none = F.array().cast("array<string>")
-    return let(words, lambda ws: F.when(F.size(ws) == 0, none).otherwise(ranked(ws)))
+    marked = F.concat(w["d"], F.transform(w["t"], lambda x: F.concat(x, F.lit(MARK))))
+    return let(F.sort_array(marked), lambda s: let(_runs(s), ranked))
 
 
 def with_keyword_gaps(df: DataFrame, skills: Column) -> DataFrame:
