@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rolebook.session import shared_folder
+from rolebook.session import cut  # noqa: F401
 
 #: Bytes of text handled at once inside a task; one longer text is a run alone.
 RUN_BYTES = 1 << 20
@@ -26,6 +26,18 @@ def crc_mod(column: Column, mod: int) -> Column:
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(mod))
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(data, offsets) of a text column as UTF-8 bytes; null reads as empty."""
     if isinstance(array, pa.ChunkedArray):
@@ -100,12 +112,3 @@ def strings(array: pa.Array, rows: int = 256) -> Iterator[str | None]:
     """The texts one by one, a few hundred at a time as Python strings."""
     for lo in range(0, len(array), rows):
         yield from array.slice(lo, rows).to_pylist()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder and read from there: its lineage
-    ends, and what it took to make is done once."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
