@@ -126,7 +126,7 @@ def _place_parts(place: Column) -> Column:
     return F.array_distinct(F.concat(F.array(F.lit("")), F.when(n > 0, parts).otherwise(F.array(F.lit("")))))
 
 
-def _accepted(places: DataFrame, wants: DataFrame) -> DataFrame:
+def accepted_places(places: DataFrame, wants: DataFrame) -> DataFrame:
     """Distinct (accept, place) of accepted sets and the distinct places they admit, by
     an equi join of terms with parts of places; an empty set admits every place."""
     terms = wants.select("accept").distinct().select("accept", F.explode("accept").alias("term"))
@@ -141,13 +141,13 @@ def _accepted(places: DataFrame, wants: DataFrame) -> DataFrame:
     return hits.union(places.select(F.array().cast("array<string>").alias("accept"), "place"))
 
 
-def _strings(column: str) -> Column:
+def texts_of(column: str) -> Column:
     """An array of texts; null is no text at all, and null entries are left out."""
     return F.array_compact(F.coalesce(F.col(column), F.array().cast("array<string>")))
 
 
-def _accept() -> Column:
-    return F.array_sort(F.array_distinct(F.transform(_strings("locations"), lambda w: canon_location(w))))
+def accepted_set() -> Column:
+    return F.array_sort(F.array_distinct(F.transform(texts_of("locations"), lambda w: canon_location(w))))
 
 
 def candidate_reach(postings: DataFrame, candidates: DataFrame, as_of, max_age_days: int = vocab.RANK_MAX_AGE_DAYS) -> DataFrame:
@@ -160,8 +160,8 @@ def candidate_reach(postings: DataFrame, candidates: DataFrame, as_of, max_age_d
     """
     late = gate_stale("posted_date", max_age_days, as_of).fails
     places = postings.filter(~late).groupBy(canon_location("location").alias("place")).agg(F.count(F.lit(1)).alias("n"))
-    wants = candidates.select("candidate_id", _accept().alias("accept"))
-    met = _accepted(places.select("place"), wants).join(places.withColumnRenamed("place", "_p"), F.col("place").eqNullSafe(F.col("_p")))
+    wants = candidates.select("candidate_id", accepted_set().alias("accept"))
+    met = accepted_places(places.select("place"), wants).join(places.withColumnRenamed("place", "_p"), F.col("place").eqNullSafe(F.col("_p")))
     counts = met.groupBy("accept").agg(F.sum("n").alias("passed"))
     out = wants.join(counts, "accept", "left")
     return out.select("candidate_id", F.coalesce("passed", F.lit(0)).cast("bigint").alias("passed"))
@@ -192,11 +192,11 @@ def shortlist_per_candidate(postings: DataFrame, candidates: DataFrame, as_of, t
     live = postings.filter(~late).select(
         "id", "pos", F.lower(F.coalesce("title", F.lit(""))).alias("title"), canon_location("location").alias("place"), freshness("posted_date", as_of).alias("fresh")
     )
-    skills = F.array_sort(F.array_distinct(F.transform(_strings("skills"), lambda s: F.lower(s))))
-    wants = candidates.select("candidate_id", "stage", skills.alias("skills"), _accept().alias("accept"))
+    skills = F.array_sort(F.array_distinct(F.transform(texts_of("skills"), lambda s: F.lower(s))))
+    wants = candidates.select("candidate_id", "stage", skills.alias("skills"), accepted_set().alias("accept"))
     wants = wants.withColumn("profile", F.sha2(F.to_json(F.struct("stage", "skills", "accept")), 256))
     profiles = wants.select("profile", "stage", "skills", "accept").dropDuplicates(["profile"])
-    places = _accepted(live.select("place").distinct(), profiles).withColumnRenamed("place", "_p")
+    places = accepted_places(live.select("place").distinct(), profiles).withColumnRenamed("place", "_p")
 
     terms = profiles.select(F.explode("skills").alias("term")).distinct().withColumn("_part", F.substring("term", 1, 3))
     parts = live.select("title").distinct().select("title", F.explode(_title_parts(F.col("title"))).alias("_part"))

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from rolebook import vocab
 from rolebook.operators import companies as C
-from rolebook.operators import dedupe, filters, joins, limits, robots
+from rolebook.operators import dedupe, filters, joins, limits, robots, shortlists
 from rolebook.operators import scoring as S
 from rolebook.plans import bindings as B
-from rolebook.plans.queries_matching import EXPERIENCED, STUDENT, scored_sql
+from rolebook.plans.queries_matching import EXPERIENCED, FACTS_SQL, STUDENT, scored_sql
 from rolebook.plans.queries_postings import SQL_NORM, SQL_REQ
 from rolebook.plans.registry import query
 
@@ -311,6 +311,10 @@ def weight_sql(i):
     return f"CASE WHEN stage = 'student' THEN {TABLE_WEIGHTS['student'][i]}::DOUBLE ELSE {TABLE_WEIGHTS['experienced'][i]}::DOUBLE END"
 
 
+def text_weight_sql(i):
+    return "CASE stage " + " ".join(f"WHEN '{s}' THEN {vocab.FACTOR_WEIGHTS[s][i]}::DOUBLE" for s in ("student", "fresher", "experienced")) + " END"
+
+
 @query(
     "shortlist_per_candidate",
     f"""WITH {B.PG_SQL}, c AS (SELECT 's' || s_suppkey AS candidate_id, CASE WHEN s_suppkey % 2 = 0 THEN 'student' ELSE 'experienced' END AS stage,
@@ -338,6 +342,41 @@ def shortlist_per_candidate(spark, sf):
     return joins.shortlist_per_candidate(pages, cands, B.AS_OF, 5)
 
 
+TEXT_SKILLS = {0: ("the", "tion", "Of The"), 1: ("Eaux", "de", "zzz", "de"), 2: ("er", "th", "on", "python", "chst"), 3: (), 4: None, 5: ("ö", "++", "batch only")}
+
+
+@query(
+    "shortlist_per_candidate_text",
+    f"""WITH {B.DOC_SQL}, {FACTS_SQL}, c AS (SELECT 's' || s_suppkey AS candidate_id, CASE s_suppkey % 3 WHEN 0 THEN 'student' WHEN 1 THEN 'fresher' ELSE 'experienced' END AS stage,
+  CASE s_suppkey % 7 WHEN 0 THEN ['the', 'tion', 'of the'] WHEN 1 THEN ['eaux', 'de', 'zzz', 'de'] WHEN 2 THEN ['er', 'th', 'on', 'python', 'chst'] WHEN 5 THEN ['ö', '++', 'batch only']
+    WHEN 6 THEN [lower(s_name), 'supplier', 'un'] ELSE [] END AS skills,
+  CASE s_nationkey % 4 WHEN 0 THEN ['remote'] WHEN 1 THEN ['mumbai', 'bengaluru'] WHEN 2 THEN [] END AS accept,
+  2024 + s_nationkey % 3 AS year, CASE WHEN s_suppkey % 2 = 0 THEN 20000 END AS floor FROM supplier),
+p AS (SELECT id, pos, age, replace(lower(location), 'bangalore', 'bengaluru') AS place, lower(title) AS t, lower(title || chr(10) || description) AS x, years, exclusive, monthly
+  FROM facts WHERE coalesce(age <= 30, true) AND NOT (has_text AND language IS NOT NULL)),
+x AS (SELECT candidate_id, stage, id, pos, age, len(skills) AS n, len(list_filter(skills, lambda s: contains(x, s))) AS h, len(list_filter(skills, lambda s: contains(t, s))) AS e
+  FROM p, c WHERE (coalesce(len(accept), 0) = 0 OR coalesce(len(list_filter(accept, lambda a: contains(place, a))), 0) > 0)
+    AND NOT (stage IN ('student', 'fresher') AND exclusive AND len(years) > 0 AND NOT list_contains(years, CAST(year AS VARCHAR)))
+    AND NOT coalesce(stage = 'student' AND monthly < floor, false)),
+y AS (SELECT *, CASE WHEN n = 0 THEN 0.5::DOUBLE ELSE h::DOUBLE / n END AS share, CASE WHEN n = 0 THEN 0.5::DOUBLE ELSE least(1.0::DOUBLE, e::DOUBLE / least(n, 3)) END AS echo,
+  CASE WHEN age IS NULL THEN 0.4::DOUBLE WHEN age <= 3 THEN 1.0::DOUBLE WHEN age <= 7 THEN 0.85::DOUBLE WHEN age <= 14 THEN 0.65::DOUBLE WHEN age <= 30 THEN 0.4::DOUBLE ELSE 0.15::DOUBLE END AS fresh FROM x),
+z AS (SELECT candidate_id, id, pos, CAST(floor(100.0::DOUBLE * (({text_weight_sql(0)}) * share + ({text_weight_sql(1)}) * echo + ({text_weight_sql(2)}) * fresh) + 0.5::DOUBLE) AS INTEGER) AS score FROM y)
+SELECT candidate_id, id, score FROM (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY score DESC, pos) AS r FROM z) WHERE r <= 5""",
+)
+def shortlist_per_candidate_text(spark, sf):
+    """The five best documents of every supplier, taken as candidates, with all gates and texts."""
+    k, nation = F.col("s_suppkey"), F.col("s_nationkey")
+    skills = F.array(F.col("s_name"), F.lit("supplier"), F.lit("un"))
+    for n, own in TEXT_SKILLS.items():
+        skills = F.when(k % 7 == n, F.lit(None).cast("array<string>") if own is None else F.array(*[F.lit(s) for s in own]).cast("array<string>")).otherwise(skills)
+    places = F.when(nation % 4 == 0, F.array(F.lit("Remote"))).when(nation % 4 == 1, F.array(F.lit("Mumbai"), F.lit("Bangalore"))).when(nation % 4 == 2, F.array().cast("array<string>"))
+    cands = B.table(spark, sf, "supplier").select(
+        F.concat(F.lit("s"), k).alias("candidate_id"), B.choose(k % 3, {0: "student", 1: "fresher"}, "experienced").alias("stage"), skills.alias("skills"),
+        places.alias("locations"), (F.lit(2024) + nation % 3).alias("grad_year"), F.when(k % 2 == 0, 20000.0).alias("stipend_floor"),
+    )
+    return shortlists.shortlist_per_candidate_text(B.doc_postings(spark, sf), cands, B.AS_OF, 5)
+
+
 POLICY_BODIES = {
     0: "User-agent: *\nDisallow: /en/\nAllow: /en/1*\n",
     1: "# rules\nUser-agent: bot\nUser-agent: *\nDisallow: /*.html$\n\nUser-agent: other\nDisallow: /\n",
