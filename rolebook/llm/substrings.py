@@ -312,6 +312,7 @@ def marks(docs: DataFrame) -> DataFrame:
     a document before."""
     found = _segments(docs.where("doc_id IS NOT NULL"))
     again = found.groupBy("h").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("h")
+    again = X.cut(again)  # so that a frequent anchor is split in the join
     found = X.cut(found.join(again, "h"))
     classes = found.groupBy("h", "c").agg(F.min("doc_id").alias("low"), F.min(F.struct("k1", "k2", "a", "n")).alias("one"))
     classes = X.cut(classes.select("h", "c", "low", "one.*"))
