@@ -12,8 +12,8 @@ prefix of each other.
 Re-Pair replaces the most frequent pair of neighbouring symbols over all conversations by a
 new symbol, again and again; a rule's matrix is the min-plus product of its two parts' and
 its edits are a rope that shares theirs, so each rule is evaluated once, bottom-up, for all
-conversations. At most ``RULES`` rules are made, so what reaches the driver and the tasks is
-bounded; symbols without a rule are multiplied as they are, with the same result.
+conversations. A round makes rules of several pairs that cannot overlap. At most ``RULES`` rules
+are made in ``ROUNDS`` rounds, so what reaches the driver and the tasks is bounded; symbols without a rule are multiplied as they are, with the same result.
 
 Rows are range-partitioned by conversation and turn and read in pieces of at most ``PIECE``
 rows, so a conversation may span many tasks; a piece is a string of symbols and a few
@@ -38,8 +38,10 @@ from pyspark.sql import functions as F
 
 from rolebook.llm import texts as X
 
-#: Rows of a piece, rules of the grammar, rules made in a round of counting.
-PIECE, RULES, AT_ONCE = 1024, 512, 16
+#: Rows of a piece; rules of the grammar, rounds of counting and rules made in a round.
+PIECE, RULES, ROUNDS, AT_ONCE = 1024, 128, 8, 32
+#: Different sequences that one task counts the pairs of.
+SEQUENCES = 20_000
 
 BLANKS = r"[\x20\x09-\x0D]"
 #: The first symbol is a row that must go; then initials s, u, a, other, whole and truncated.
@@ -314,9 +316,10 @@ def _pair_counts(symbols: str) -> Counter:
 
 def learn(sequences: DataFrame, rules: int | None = None) -> Grammar:
     """Re-Pair over rows (symbols, n): in each round the most frequent pairs, of which
-    none ends with what another starts with, become rules."""
+    none ends with what another starts with (so that they never overlap), become rules."""
     pairs: list[str] = []
     limit = RULES if rules is None else rules
+    sequences = sequences.select("symbols", "n").coalesce(sequences.count() // SEQUENCES + 1)
 
     def counts(known: list[str]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,25 +331,19 @@ def learn(sequences: DataFrame, rules: int | None = None) -> Grammar:
                         total[pair] += k * n
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["pair", "n"])
 
-        return sequences.select("symbols", "n").mapInArrow(run, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+        return sequences.mapInArrow(run, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
-    while len(pairs) < limit:
-        top = counts(list(pairs)).where("n > 1").orderBy(F.desc("n"), "pair").limit(AT_ONCE).collect()
+    for _ in range(ROUNDS):
         starts: set[str] = set()
         ends: set[str] = set()
-        made = 0
-        for r in top:
+        made = len(pairs)
+        for r in counts(list(pairs)).where("n > 1").orderBy(F.desc("n"), "pair").limit(AT_ONCE).collect():
             a, b = r["pair"]
-            # rules of one round must not compete for a symbol
-            if made and (a in starts | ends or b in starts | ends):
-                continue
-            starts.add(a)
-            ends.add(b)
-            pairs.append(r["pair"])
-            made += 1
-            if len(pairs) == limit:
-                break
-        if not made:
+            if len(pairs) < limit and a not in ends and b not in starts:
+                starts.add(a)
+                ends.add(b)
+                pairs.append(r["pair"])
+        if len(pairs) in (made, limit):
             break
     return Grammar(pairs)
 
