@@ -8,11 +8,12 @@ substrings of the longer key. Names are reduced to distinct ones first.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolebook import vocab
 from rolebook.functions.names import anglicize, company_key, core_words
+from rolebook.session import cut
 
 
 def name_forms(df: DataFrame, column: str, prefix: str) -> DataFrame:
@@ -101,6 +102,75 @@ def match_names(queries: DataFrame, companies: DataFrame, floor: int = vocab.MAT
     return scored.filter(F.col("score") >= floor).select("query", "company", "score")
 
 
+#: Names with a frequent word are dealt to one more task for each so many of them.
+SPREAD = 20_000
+
+
+def _best(df: DataFrame, keys: list[str], k: int, *order: Column) -> DataFrame:
+    """The first ``k`` rows of each group, cut before they are shuffled."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("_n", place).filter(F.col("_n") <= k).drop("_n")
+
+
+def _pair_score() -> Column:
+    shared = F.size(F.array_intersect("query_words", "company_words"))
+    return match_score(F.col("query_key"), F.col("company_key"), F.size("query_words"), shared)
+
+
+def best_names(queries: DataFrame, companies: DataFrame, k: int, floor: int = vocab.MATCH_FLOOR) -> DataFrame:
+    """(query, company, score): the ``k`` best matches of each distinct query name, as
+    :func:`match_names` scores them; best first is score desc, company asc.
+
+    A word that very many names share makes no pairs beyond the result. The first ``k`` names of
+    each word stand for all that share one word, and for each part of a name the ``k`` best that contain
+    it. They give each query a floor; a name past them must share so many words that its score reaches
+    the floor, so it has one of the query's rarest words (all but as many as may be
+    missing), and only those words' lists are opened. Lists of frequent words are dealt to several tasks.
+    Names without a key match nothing. Intermediate tables go to the shared folder.
+    """
+    q, c = cut(name_forms(queries, "query", "query")), cut(name_forms(companies, "company", "company"))
+    by_name = F.col("company").asc()
+    lists = c.select(F.explode("company_words").alias("word"), "*")
+    own = q.select(F.explode("query_words").alias("word"), "*")
+
+    # what shares a word: the first by name, and all where one of the keys is short (its own rules)
+    firsts = _best(lists, ["word"], k, by_name)
+    short = lists.filter(F.length("company_key") <= 4)
+    seeds = own.join(firsts.union(short).distinct(), "word").drop("word")
+    # what holds the other's key: the best for each part; a part of full length may go on
+    parts = c.select("*", F.explode(_substrings(F.col("company_key"))).alias("_part"))
+    whole = _best(parts.filter(F.length("_part") < PART), ["_part"], k, F.length("company_key"), by_name)
+    level = F.floor(F.length("_part") * 10 / F.length("company_key"))
+    whole = whole.union(_best(parts.filter(F.length("_part") < PART), ["_part"], k, level.desc(), by_name)).distinct()
+    starts = q.select("*", F.substring("query_key", 1, PART).alias("_part"))
+    holding = starts.join(whole.union(parts.filter(F.length("_part") == PART)), "_part").drop("_part")
+    keyed = _best(c, ["company_key"], k, by_name).select("*", F.substring("company_key", 1, PART).alias("_part"))
+    held = q.select("*", F.explode(_substrings(F.col("query_key"))).alias("_part")).join(keyed, "_part").drop("_part")
+    met = seeds.unionByName(holding).unionByName(held).select("query", "company", _pair_score().alias("score"))
+    known = cut(_best(met.filter(F.col("score") >= floor).distinct(), ["query"], k, F.col("score").desc(), by_name))
+
+    full = known.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).filter(F.col("n") == k)
+    counts = lists.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    rare = own.select("query", "word").join(counts, "word").groupBy("query").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("rare"))
+    asked = q.join(rare, "query").join(full.select("query", "least"), "query", "left").withColumn("least", F.greatest(F.coalesce("least", F.lit(floor)), F.lit(floor)))
+    n = F.size("query_words")
+    coverage = lambda s: F.floor(F.lit(30.0) + F.try_divide(s.cast("double"), n.cast("double")) * 40).cast("int")
+    enough = F.filter(F.sequence(F.lit(1), n), lambda s: (s >= 2) & (coverage(s) >= F.col("least")))
+    need = F.when(F.length("query_key") <= 4, F.lit(1)).otherwise(F.get(enough, F.lit(0)))
+    opened = F.transform(F.slice("rare", 1, F.greatest(F.size("rare") - need + 1, F.lit(0))), lambda r: r["word"])
+    opened = asked.filter(need.isNotNull()).withColumn("opened", opened).select("*", F.explode("opened").alias("word")).drop("rare")
+    tasks = counts.select(F.col("word").alias("_word"), (F.floor(F.col("n") / SPREAD) + 1).alias("tasks")).filter("tasks > 1")
+    dealt = lambda df: df.join(tasks, F.col("word") == F.col("_word"), "left").drop("_word")
+    opened = dealt(opened).withColumn("task", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("tasks", F.lit(1)) - 1))).drop("tasks")
+    spread = dealt(lists).withColumn("task", F.pmod(F.xxhash64("company"), F.coalesce("tasks", F.lit(1)))).drop("tasks")
+    more = opened.join(spread, ["word", "task"])
+    # a pair that shares several opened words is taken at the rarest
+    more = more.filter(F.get(F.filter("opened", lambda w: F.array_contains(F.col("company_words"), w)), F.lit(0)) == F.col("word"))
+    more = more.withColumn("score", _pair_score()).filter(F.col("score") >= F.col("least")).select("query", "company", "score")
+    more = _best(more, ["query"], k, F.col("score").desc(), by_name)
+    return _best(known.union(more).distinct(), ["query"], k, F.col("score").desc(), by_name)
+
+
 def in_city(city: str) -> Column:
     """City substring, with or without special letters."""
     entry = F.coalesce(F.lower("city"), F.lit(""))
@@ -113,3 +183,9 @@ def match_companies(queries: DataFrame, companies: DataFrame, city: str | None =
     Best first is score desc, company asc."""
     entries = companies.filter(in_city(city)) if city else companies
     return match_names(queries, entries, floor).join(entries, "company")
+
+
+def best_companies(queries: DataFrame, companies: DataFrame, k: int, city: str | None = None, floor: int = vocab.MATCH_FLOOR) -> DataFrame:
+    """Entries (all their columns) of the ``k`` best matching names of each query, with ``score``."""
+    entries = companies.filter(in_city(city)) if city else companies
+    return best_names(queries, entries, k, floor).join(entries, "company")

@@ -234,6 +234,28 @@ def match_companies(spark, sf):
     return m.groupBy("query", "score").agg(F.count(F.lit(1)).alias("entries"), F.sum("pos").alias("pos_sum"))
 
 
+@query(
+    "best_names",
+    f"""{COMPANY_PAIR_SQL} SELECT query, company, score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, company) AS r FROM s WHERE score >= 30) WHERE r <= 3""",
+)
+def best_names(spark, sf):
+    """The three best names of each; very many share a word."""
+    queries = B.table(spark, sf, "part").select(F.col("p_name").alias("query"))
+    return C.best_names(queries, B.companies(spark, sf), 3)
+
+
+@query(
+    "best_companies",
+    f"""{COMPANY_PAIR_SQL}, b AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, company) AS r FROM s
+  WHERE score >= 45 AND company IN (SELECT company FROM co WHERE contains(lower(city), 'eco')))
+SELECT query, score, count(*) AS entries, CAST(sum(pos) AS BIGINT) AS pos_sum FROM b JOIN co USING (company) WHERE r <= 2 AND contains(lower(city), 'eco') GROUP BY 1, 2""",
+)
+def best_companies(spark, sf):
+    queries = B.table(spark, sf, "part").select(F.col("p_name").alias("query"))
+    m = C.best_companies(queries, B.companies(spark, sf), 2, city="ECO", floor=45)
+    return m.groupBy("query", "score").agg(F.count(F.lit(1)).alias("entries"), F.sum("pos").alias("pos_sum"))
+
+
 def ref_postings(spark, sf):
     k = F.col("page_id")
     return B.table(spark, sf, "pages").select(
