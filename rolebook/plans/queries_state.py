@@ -24,7 +24,7 @@ from rolebook.plans.queries_postings import SQL_NORM
 from rolebook.plans.registry import query
 from rolebook.session import scratch_path
 from rolebook.sources import sinks, tables
-from rolebook.streaming import ingest
+from rolebook.streaming import ingest, keyed
 
 # --- reports ----------------------------------------------------------------------
 
@@ -553,3 +553,45 @@ def stream_ingest(spark, sf):
         ingest.stream_ingest(spark, landing, out).awaitTermination()
     rows = ingest.read_table(spark, out)
     return rows.groupBy("key", "status").agg((F.count(F.lit(1)) - 1).alias("repeats"))
+
+
+@query(
+    "stream_entries",
+    f"""WITH {B.PG2_SQL}, k AS (SELECT *, {SQL_NORM} AS key, CASE WHEN portal = 'mirror' THEN TIMESTAMP '2024-05-02' ELSE TIMESTAMP '2024-05-01' END AS seen_at,
+  CASE WHEN page_id % 3 = 0 THEN CAST(DATE '2024-05-04' + CAST(page_id % 5 AS INTEGER) AS VARCHAR) WHEN page_id % 3 = 1 THEN 'ASAP' END AS deadline FROM pg2),
+a AS (SELECT id, key, seen_at, deadline, page_id FROM k UNION ALL
+  SELECT 'old:' || page_id, key, TIMESTAMP '2024-04-01', NULL, page_id FROM k WHERE portal <> 'mirror' AND page_id % 4 = 0),
+f AS (SELECT key, arg_min(id, (seen_at, id)) AS id, min(seen_at) AS first_seen FROM a GROUP BY key),
+-- the rows that came first in each wave tell the deadline: an older row without one keeps it
+w AS (SELECT key, first(deadline ORDER BY seen_at, id) AS deadline FROM k GROUP BY key),
+c AS (SELECT key, min(page_id) % 101 AS score FROM k WHERE page_id % 2 = 0 GROUP BY key)
+SELECT key, id, CAST(first_seen AS DATE) AS first_seen, CASE WHEN score IS NULL THEN 'new' WHEN try_cast(deadline AS DATE) < DATE '2024-05-06' THEN 'expired' ELSE 'ranked' END AS status,
+  CAST(score AS INTEGER) AS score, deadline FROM f JOIN w USING (key) LEFT JOIN c USING (key)""",
+)
+def stream_entries(spark, sf):
+    """Postings, their mirror, older sights that land late, scores, a replay of the first wave, and a day that
+    lets deadlines pass: each a run of the keyed stream."""
+    landing, out = (scratch_path(spark, n) for n in ("landing", "entries"))
+    k = F.col("page_id")
+    stamp = lambda c: F.lit(c).cast("timestamp") if isinstance(c, str) else c
+    due = F.when(k % 3 == 0, F.date_add(F.lit("2024-05-04").cast("date"), (k % 5).cast("int")).cast("string")).when(k % 3 == 1, "ASAP")
+    p = dedupe.with_dedupe_key(pools(spark, sf)).withColumnRenamed("dedupe_key", "key").withColumn("deadline", due)
+    late = F.col("portal") == "mirror"
+    none = F.lit(None).cast("string")
+
+    def land(rows, seen, landed, score=F.lit(None), deadline=F.col("deadline"), name=F.col("id")):
+        rows.select(
+            name.alias("id"), "title", "company", "location", F.col("posted_date").cast("string").alias("posted_date"), "url", "portal",
+            deadline.alias("deadline"), score.cast("int").alias("score"), "key", stamp(seen).alias("seen_at"), stamp(landed).alias("landed_at"),
+        ).write.mode("append").parquet(landing)
+        keyed.run(spark, landing, out).awaitTermination()
+
+    land(p.filter(~late), "2024-05-01", "2024-05-01")
+    land(p.filter(late), "2024-05-02", "2024-05-02")
+    land(p.filter(~late & (k % 4 == 0)), "2024-04-01", "2024-05-03", deadline=none, name=F.concat(F.lit("old:"), k))
+    scored = p.filter(k % 2 == 0).groupBy("key").agg((F.min("page_id") % 101).alias("s"))
+    empty = [none.alias(c) for c in ("id", "title", "company", "location", "posted_date", "url", "portal", "deadline")]
+    land(scored.select("key", "s", *empty), "2024-05-03", "2024-05-03", score=F.col("s"))
+    land(p.filter(~late), "2024-05-01", "2024-05-06")
+    out = keyed.entries(spark, out)
+    return out.select("key", "id", F.col("first_seen").cast("date").alias("first_seen"), "status", "score", "deadline")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,11 +12,38 @@ from pyspark.sql import functions as F
 LEDGER = "version bigint, seq bigint, folder string"
 
 
+def _place(spark: SparkSession, path: str) -> tuple:
+    """(file system, path) of the session's storage."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def _numbers(spark: SparkSession, root: str) -> list[int]:
+    """Sequence numbers that were ever taken, by the names of the ledger's files."""
+    fs, where = _place(spark, f"{root}/ledger")
+    names = [f.getPath().getName() for f in fs.listStatus(where)] if fs.exists(where) else []
+    return sorted(int(n[6:-5]) for n in names if n.startswith("entry-") and n.endswith(".json"))
+
+
 def ledger(spark: SparkSession, root: str) -> list:
-    """(version, seq, folder) of every write, oldest first; a few rows a version."""
-    folder = spark.createDataFrame([(None, None, None)], LEDGER).limit(0)
-    folder.write.mode("append").parquet(f"{root}/ledger")  # an empty ledger where there is none
-    return sorted(spark.read.schema(LEDGER).parquet(f"{root}/ledger").collect(), key=lambda r: r.seq)
+    """(version, seq, folder) of every write, oldest first; a few rows a version. Reading
+    writes nothing: a store that was never written has no entries."""
+    if not _numbers(spark, root):
+        return []
+    rows = spark.read.schema(LEDGER).json(f"{root}/ledger").filter("folder IS NOT NULL").collect()
+    return sorted(rows, key=lambda r: r.seq)
+
+
+def _enter(spark: SparkSession, root: str, seq: int, version: int, folder: str) -> None:
+    """Make a folder current under a number that nobody else has: the file is created only
+    if it is not there, so the second of two writers fails and its folder stays unnamed."""
+    fs, where = _place(spark, f"{root}/ledger/entry-{seq:010d}.json")
+    try:
+        out = fs.create(where, False)
+    except Exception as e:
+        raise RuntimeError(f"another writer took number {seq} of the store {root}") from e
+    out.write(bytearray(json.dumps({"version": version, "seq": seq, "folder": folder}) + "\n", "utf-8"))
+    out.close()
 
 
 def write_seen(df: DataFrame, root: str, version: int) -> None:
@@ -23,28 +51,30 @@ def write_seen(df: DataFrame, root: str, version: int) -> None:
 
     Every write goes to a folder of its own and becomes current only when the ledger
     names it, so a failed write leaves the old store in place, also where it rewrites
-    the current version. A version older than the current one is refused. Partitioned
-    by ``status``: a sweep reads only ranked rows, a compaction only closed ones.
+    the current version. A version older than the current one is refused, and so is a write that another
+    one overtook. Partitioned by ``status``: a sweep reads only ranked rows, a compaction only closed ones.
     """
     spark = df.sparkSession
-    known = ledger(spark, root)
+    known, taken = ledger(spark, root), _numbers(spark, root)
     if known and version < known[-1].version:
         raise ValueError(f"version {version} is older than the store's version {known[-1].version}")
     folder = f"version={version}-{uuid.uuid4().hex}"
     df.write.partitionBy("status").parquet(f"{root}/data/{folder}")
-    row = spark.createDataFrame([(int(version), len(known), folder)], LEDGER)
-    row.write.mode("append").parquet(f"{root}/ledger")
+    _enter(spark, root, taken[-1] + 1 if taken else 0, int(version), folder)
 
 
 def current_version(spark: SparkSession, root: str) -> int:
-    return ledger(spark, root)[-1].version
+    rows = ledger(spark, root)
+    if not rows:
+        raise ValueError("the store was never written")
+    return rows[-1].version
 
 
 def read_seen(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
     """The current version of the store (or a named one, as last written)."""
     rows = [r for r in ledger(spark, root) if version in (None, r.version)]
     if not rows:
-        raise ValueError(f"the store has no version {version}")
+        raise ValueError(f"the store has no version {version}" if version is not None else "the store was never written")
     return spark.read.parquet(f"{root}/data/{rows[-1].folder}")
 
 

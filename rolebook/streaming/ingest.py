@@ -66,13 +66,12 @@ def upsert_batch(batch: DataFrame, batch_id: int, out: str) -> None:
 
 
 def stream_ingest(
-    spark: SparkSession, path: str, out: str, checkpoint: str | None = None, watermark: str = "14 days", files_per_trigger: int = 1000,
+    spark: SparkSession, path: str, out: str, checkpoint: str | None = None, files_per_trigger: int = 1000,
 ):
     """Start the ingest over what has landed and return its query.
 
-    Duplicates within the watermark are dropped by the stream's own state
-    (use the RocksDB state store for large windows); older ones are found in
-    the table. Offsets are kept beside the table by default, because batch
+    Duplicates are found in the batch and in the key buckets of the table that it touches;
+    :mod:`rolebook.streaming.keyed` keeps them as state instead. Offsets are kept beside the table by default, because batch
     numbers only mean something together with it.
     """
     create_table(spark, out)

@@ -1,11 +1,13 @@
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from rolebook.operators import evaluation, packs, reports, state
-from rolebook.streaming import ingest
+from rolebook.sources import sinks
+from rolebook.streaming import ingest, keyed
 
 AS_OF = "2026-10-10"
 H = "array<struct<score:int,verdict:string,date:string>>"
@@ -298,3 +300,56 @@ def test_replayed_batch_writes_the_same_rows(spark, tmp_path):
     for batch_id in (0, 0, 1):
         ingest.upsert_batch(batch, batch_id, out)
     assert sorted((r.key, r.ingest_batch) for r in ingest.read_table(spark, out).collect()) == [("https://e.com/1", 0), ("https://e.com/2", 0)]
+
+
+def keyed_rows(spark, *rows):
+    """(id, url, day seen, day landed, deadline, score) rows of the keyed stream."""
+    data = [(i, "t", "c", "Pune", None, url, "p", due, score, None, dt.datetime(2026, 10, seen), dt.datetime(2026, 10, land)) for i, url, seen, land, due, score in rows]
+    return spark.createDataFrame(data, keyed.LANDED_SCHEMA)
+
+
+def test_keyed_stream(spark, tmp_path):
+    """New, seen earlier, ranked, expired; replays and repeated scores change nothing."""
+    src, out = (str(tmp_path / n) for n in ("in", "out"))
+    u = "https://e.com/"
+
+    def run(*rows):
+        keyed_rows(spark, *rows).write.mode("append").parquet(src)
+        keyed.run(spark, src, out).awaitTermination()
+        return {r.key[-1]: (r.id, r.status, r.score, r.first_seen.day, r.deadline) for r in keyed.entries(spark, out).collect()}
+
+    first = (("a", u + "1", 5, 5, "2026-10-08", None), ("b", u + "1?ref=x", 6, 6, None, None), ("c", u + "2", 5, 5, "soon", None), ("d", u + "3", 5, 5, "2026-10-06", None))
+    assert run(*first) == {"1": ("a", "new", None, 5, "2026-10-08"), "2": ("c", "new", None, 5, "soon"), "3": ("d", "new", None, 5, "2026-10-06")}
+    got = run(("old", u + "2", 1, 7, None, None), ("s", u + "1", 7, 7, None, 80), ("t", u + "2", 7, 7, None, 50), ("x", u + "9", 7, 7, None, 50))
+    assert got == {"1": ("a", "ranked", 80, 5, "2026-10-08"), "2": ("old", "ranked", 50, 1, "soon"), "3": ("d", "new", None, 5, "2026-10-06")}
+    again = run(*first, ("s", u + "1", 7, 8, None, 80))
+    assert again == got
+    assert run(("z", u + "5", 9, 9, None, None))["1"] == ("a", "expired", 80, 5, "2026-10-08")
+    late = run(("y", u + "3", 9, 9, None, 30))  # scored after its deadline: expires as soon as the clock is read
+    assert late["3"][:3] == ("d", "expired", 30) and late["2"][1] == "ranked"
+    log = [(r.key[-1], r.change) for r in keyed.history(spark, out).orderBy("batch", "key", "version").collect()]
+    assert sorted(log) == [("1", "expired"), ("1", "new"), ("1", "ranked"), ("2", "new"), ("2", "ranked"), ("2", "seen earlier"), ("3", "expired"), ("3", "new"), ("3", "ranked"), ("5", "new"), ("9", "unknown key")]
+
+
+def test_store_reads_write_nothing_and_writers_do_not_overtake(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "store")
+    with pytest.raises(ValueError, match="never written"):
+        sinks.read_seen(spark, root)
+    assert not os.path.exists(root)
+    df = spark.createDataFrame([("a", "new")], "key string, status string")
+    sinks.write_seen(df, root, 1)
+    before = sorted(str(x) for x in tmp_path.rglob("*"))
+    assert sinks.read_seen(spark, root).count() == 1 and sinks.current_version(spark, root) == 1
+    assert sorted(str(x) for x in tmp_path.rglob("*")) == before
+    numbers = sinks._numbers(spark, root)
+    # a second writer that looked before the first one entered
+    monkeypatch.setattr(sinks, "_numbers", lambda *_: numbers[:-1])
+    monkeypatch.setattr(sinks, "ledger", lambda *_: [])
+    with pytest.raises(RuntimeError, match="another writer"):
+        sinks.write_seen(df.union(df), root, 1)
+    monkeypatch.undo()
+    assert sinks.read_seen(spark, root).count() == 1
+    (tmp_path / "store" / "ledger" / "entry-0000000001.json").write_text("")  # a writer lost between creating and writing
+    assert sinks.read_seen(spark, root).count() == 1
+    sinks.write_seen(df.union(df), root, 2)
+    assert sinks.read_seen(spark, root).count() == 2 and sinks.read_seen(spark, root, 1).count() == 1
