@@ -26,13 +26,13 @@ from pyspark.sql import functions as F
 from rolebook.llm import texts as X
 
 ORDER = 3
-#: Bounds of the training sample: rows of each language, chosen by a hash of their id
-#: (this many are expected, all where there are fewer), and bytes of one such row
-#: (longer rows are not learned from).
+#: Bounds of the training sample: different rows of each language, chosen by a hash of their id
+#: and text, and characters of one such row (of longer texts the start is learned).
 SAMPLE_ROWS, SAMPLE_CHARS = 400, 1 << 16
-#: Bound of a block's model: contexts of full length, the most frequent first, and how
-#: often a context has to occur in it.
-CONTEXTS, LEAST = 20_000, 2
+#: Bounds of a block's model: contexts of an order, the most frequent first, how
+#: often a context has to occur, and numbers of the table (each order gets an equal part of what
+#: the shorter ones left), so a block's broadcast has at most four times as many bytes.
+CONTEXTS, LEAST, CELLS = 20_000, 2, 16_000_000
 #: Bytes scored at once in a task.
 RUN = 1 << 18
 #: Languages of a block.
@@ -140,8 +140,13 @@ def build(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarra
             keys, inverse = np.unique(code, return_inverse=True)
             total = np.bincount(inverse, weights=n, minlength=len(keys))
             keep = (keys >= 0) & (total >= LEAST)
-            if k == ORDER and keep.sum() > CONTEXTS:
-                keep &= total >= np.sort(total[keep])[-CONTEXTS]
+            room = min(CONTEXTS, (CELLS // (s * langs) - sum(map(len, tables))) // (ORDER - k + 1))
+            if keep.sum() > room:
+                # the most frequent; of equal ones those of the least code
+                chosen = np.lexsort((keys, -total))
+                chosen = chosen[keep[chosen]][: max(room, 0)]
+                keep = np.zeros(len(keys), bool)
+                keep[chosen] = True
             fresh = np.full(len(keys), -1, np.int64)
             fresh[keep] = np.arange(keep.sum())
             level_of = fresh[inverse]
@@ -170,7 +175,7 @@ def train(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     The number of rows of each language and the counts of the bounded sample come to
     the driver."""
     text = F.col(text_col).cast("string")
-    rows = df.where(learn).select(F.xxhash64(F.col(id_col)).alias("h"), F.substring(text, 1, SAMPLE_CHARS).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    rows = df.where(learn).select(F.col(id_col).alias("doc_id"), text.alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where("text IS NOT NULL AND lang IS NOT NULL")
     found = sorted((r.lang, r.n) for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect())
     nothing = np.zeros(0, np.int64)
@@ -178,8 +183,9 @@ def train(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
         return Trained([], nothing, nothing, nothing)
     names = [x for x, _ in found]
     place = F.array_position(F.lit(names), F.col("lang"))
-    wanted = rows.where(F.pmod("h", F.element_at(F.lit([n for _, n in found]), place.cast("int"))) < SAMPLE_ROWS)
-    counts = fit_counts(wanted.select((place - 1).alias("lang"), "text"), names).toArrow()
+    wanted = rows.withColumn("n", F.element_at(F.lit([n for _, n in found]), place.cast("int")))
+    wanted = X.sample(wanted.withColumn("start", F.substring("text", 1, SAMPLE_CHARS)), SAMPLE_ROWS, by="lang", number="n")
+    counts = fit_counts(wanted.select((place - 1).alias("lang"), "start"), names).toArrow()
     if not counts.num_rows:
         return Trained([], nothing, nothing, nothing)
     return Trained(names, *(counts.column(c).to_numpy() for c in ("lang", "gram", "n")))

@@ -1,10 +1,12 @@
 """Personal data: patterns propose, checksums confirm, context words adjust.
 
 Kinds: email, ip, card (Luhn), phone, found leftmost and non-overlapping for each kind
-as the patterns say, and iban (mod-97), which the method adds. Offsets are code points,
+as the patterns say; the method adds iban (mod-97), and two kinds without a checksum: account
+(8 to 17 digits) and national (nine digits in groups of 3, 2 and 4). Offsets are code points,
 the end exclusive. Each span has a score: what its kind is worth, more with a checksum,
-more or less by the words just before it. Base spans stay whatever their score; an iban
-needs ``KEEP``.
+more or less by the words around it. Base spans stay whatever their score; the others need
+``KEEP``: an iban has it by its checksum, the two without one have it only where words
+around them speak for them and none against. A stretch that another span holds is not added again.
 
 Null texts read as empty and have no spans. Repeated rows give repeated rows. Patterns
 consume a run of characters as a whole, so very long runs take time in proportion.
@@ -20,17 +22,19 @@ from pyspark.sql import functions as F
 
 from rolebook.llm import texts as X
 
-KINDS = ("email", "ip", "card", "phone", "iban")
+KINDS = ("email", "ip", "card", "phone", "iban", "account", "national")
 #: Score of a kind's shape alone and with its check passed.
-SHAPE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9}
-#: Words that raise or lower the score of a kind within ``NEAR`` characters before it.
-NEAR, RAISE, LOWER, KEEP = 48, 0.1, 0.3, 0.5
+SHAPE = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.9, "account": 0.3, "national": 0.4}
+#: Words that raise or lower the score of a kind within ``NEAR`` characters on either side.
+NEAR, RAISE, LOWER, KEEP = 48, 0.25, 0.3, 0.5
 FOR = {
     "email": "mail email contact write",
     "ip": "ip address host server client",
     "card": "card visa mastercard credit debit payment",
     "phone": "phone tel call mobile fax telefon téléphone",
     "iban": "iban account bank konto compte cuenta",
+    "account": "account acct iban bank routing konto kontonummer compte cuenta",
+    "national": "ssn social security national identity tax sozialversicherung securite sociale dni",
 }
 AGAINST = "version release order invoice isbn serial example test"
 
@@ -40,6 +44,8 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+ACCOUNT = re.compile(r"(?<![A-Za-z0-9.,_+/-])[0-9]{8,17}(?![A-Za-z0-9_/-]|[.,][0-9])")
+NATIONAL = re.compile(r"(?<![0-9A-Za-z-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9A-Za-z-])")
 WORD = re.compile(r"\w+")
 _DIGIT = re.compile("[0-9]")
 _ONLY = str.maketrans("", "", " -().+")
@@ -97,13 +103,24 @@ def propose(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def numbers(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """(kind, start, end) of numbers of a shape without a checksum, outside the spans found."""
+    out = [(kind, *m.span()) for kind, pattern in (("account", ACCOUNT), ("national", NATIONAL)) for m in pattern.finditer(text)]
+    if not out:
+        return out
+    held = bytearray(len(text))
+    for _, a, b in spans:
+        held[a:b] = b"\1" * (b - a)
+    return [s for s in out if not any(held[s[1] : s[2]])]
+
+
 def scored(text: str) -> list[dict]:
-    out = []
-    for kind, start, end in propose(text):
-        near = {w.lower() for w in WORD.findall(text[max(0, start - NEAR) : start])}
+    out, spans = [], propose(text)
+    for kind, start, end in spans + (numbers(text, spans) if _DIGIT.search(text) else []):
+        near = {w.lower() for w in WORD.findall(text[max(0, start - NEAR) : start]) + WORD.findall(text[end : end + NEAR])}
         score = SHAPE[kind] + RAISE * bool(near & set(FOR[kind].split())) - LOWER * bool(near & set(AGAINST.split()))
         score = round(min(1.0, max(0.0, score)), 4)
-        if kind != "iban" or score >= KEEP:
+        if kind in KINDS[:4] or score >= KEEP:
             out.append({"kind": kind, "start": start, "end": end, "score": score})
     return out
 

@@ -11,7 +11,7 @@ each byte, so the matching statistics of all texts are streamed from these sampl
 positions that match ``LENGTH`` bytes elsewhere are marked.
 
 An anchor with more than ``HEAVY`` different segments (the edge of a passage in very many
-documents) is not gathered: hashes of its strings are counted, dealt by string.
+documents), or ``HEAVY_BYTES`` of them, is not gathered: hashes of its strings are counted, dealt by string.
 
 Texts are UTF-8 bytes; null reads as empty; matches never cross documents. Repeated rows
 are documents of their own, so each is a repeat of the others. Strings are judged on the
@@ -30,8 +30,9 @@ from pyspark.sql import functions as F
 from rolebook.llm import texts as X
 
 LENGTH, GRAM = 200, 32
-#: Different segments of an anchor that are indexed in one place; symbols indexed at once.
-HEAVY, BATCH = 5_000, 1 << 20
+#: Different segments of an anchor, and their bytes, that are indexed in one place; symbols
+#: indexed at once.
+HEAVY, HEAVY_BYTES, BATCH = 5_000, 8 << 20, 1 << 20
 
 _TABLE = (np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(0xD6E8FEB86659FD93)
 
@@ -307,7 +308,8 @@ def marks(docs: DataFrame) -> DataFrame:
     per = found.groupBy("h", "c").agg(F.count("*").alias("m"), F.min(F.struct("k1", "k2", "a", "n", "more")).alias("one"))
     per = X.cut(per.select("h", "c", (F.col("m") > 1).alias("whole"), "one.*"))
     # in two steps, as an anchor may have very many segments
-    kinds = per.groupBy("h").agg(F.count("*").alias("d"), F.sum(1 + F.col("more")).alias("m")).where("m > 1").select("h", (F.col("d") > HEAVY).alias("heavy"))
+    kinds = per.groupBy("h").agg(F.count("*").alias("d"), F.sum(1 + F.col("more")).alias("m"), F.sum("n").alias("size")).where("m > 1")
+    kinds = kinds.select("h", ((F.col("d") > HEAVY) | (F.col("size") > HEAVY_BYTES)).alias("heavy"))
     open_ = X.cut(_texts(docs, per.join(kinds, "h")).join(kinds, "h"))
     twice = per.where("whole").select("h", "c")
     whole = found.join(twice, ["h", "c"]).select("k1", "k2", F.col("a").alias("lo"), (F.col("a") + F.col("n")).alias("hi"))

@@ -21,15 +21,15 @@ from collections import deque
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolebook.llm import texts as X
 
 KINDS = ("assign", "access", "hex", "format")
-#: Bounds of the training sample: documents looked at (this many are expected, all
-#: where there are fewer), distinct values of a kind, and characters of a value.
-SAMPLE_DOCS, SAMPLE_VALUES, SAMPLE_CHARS = 40_000, 400, 64
+#: Bounds of the training sample: different documents looked at, distinct values of a kind, characters
+#: of a value, and characters of all values of a kind (of longer formats fewer values are learned).
+SAMPLE_DOCS, SAMPLE_VALUES, SAMPLE_CHARS, SAMPLE_TOTAL = 40_000, 400, 512, 25_600
 #: Confidence of the merge test; log-likelihood ratio that makes a token a secret, and
 #: how much of it each character has to bring.
 CONFIDENCE, MARGIN, MARGIN_CHAR = 0.05, 12.0, 0.5
@@ -193,8 +193,7 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict
     """Automata by kind, and ``""`` for the background. Each is inferred in a task of
     its own from at most ``SAMPLE_VALUES`` values; the transitions come to the driver."""
     docs = X.pairs(df, id_col, text_col)
-    n = max(docs.count(), 1)
-    docs = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < SAMPLE_DOCS)
+    docs = X.sample(docs, SAMPLE_DOCS)
 
     def values(batch: pa.RecordBatch) -> list:
         kinds, found = [], []
@@ -217,11 +216,11 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict
     if shortest is None:  # nothing to compare tokens with
         return {}
     seen = seen.where((F.col("kind") != "") | (F.length("value") >= shortest))
-    per = {r.kind: r.n for r in seen.groupBy("kind").agg(F.count("*").alias("n")).collect()}
-    share = F.lit(0)
-    for kind, k in per.items():
-        share = F.when(F.col("kind") == kind, F.lit(k)).otherwise(share)
-    chosen = seen.where(F.pmod(F.xxhash64("value"), share) < SAMPLE_VALUES)
+    # of each kind the values of least hashes, as many as both bounds allow; the sample is bounded
+    order = Window.partitionBy("kind").orderBy(F.xxhash64("value"), "value")
+    size = F.sum(F.length("value")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    chosen = seen.select("kind", "value", F.row_number().over(order).alias("i"), size.alias("size"))
+    chosen = chosen.where((F.col("i") <= SAMPLE_VALUES) & (F.col("size") <= SAMPLE_TOTAL)).select("kind", "value")
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = infer(sorted(pdf["value"])).rows()

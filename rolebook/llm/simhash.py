@@ -252,16 +252,30 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     classes = X.cut(docs.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected(links(classes.select("fp")))
     rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # written, so that a large component is split in the join
+    named = X.cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     by_class = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
     return docs.join(by_class, "fp").select("doc_id", "fp", "component_id")
 
 
 def one_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component the row with its smallest id, once, with all its columns. Rows
-    without an id cannot be named and all stay."""
-    named = df.where(F.col(id_col).isNotNull())
-    found = components(named, id_col, text_col)
-    keep = found.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = named.join(keep, F.col(id_col) == F.col("_keep"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(df.where(F.col(id_col).isNull()))
+    """Of each component one row, with all its columns, whatever their names: the one with the
+    smallest id (rows without one come last), of those with that id the one with the least text hash,
+    of rows alike any. Two texts that share an id are judged each by its own component."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    fp, key = X.fresh(df, "fp", "key")
+    named = df.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("key"), text.alias("text"))
+
+    def make(texts: pa.Array) -> list:
+        return [pa.array(np.array([fingerprint(t) for t in X.strings(texts)], np.uint64).view(np.int64))]
+
+    docs = X.cut(X.with_columns(named, "text", make, "fp long").select("id", "key", "fp"))
+    # of each class its first row; nulls last
+    place = F.struct(F.col("id").isNull().alias("late"), "id", "key")
+    classes = X.cut(docs.groupBy("fp").agg(F.min(place).alias("first")))
+    roots = connected(links(classes.select("fp")))
+    rooted = classes.join(roots, F.col("fp") == F.col("node"), "left").select("first", F.coalesce("root", "fp").alias("root"))
+    first = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias(fp), F.col("first.key").alias(key))
+    kept = df.join(first, F.col(id_col).eqNullSafe(F.col(fp)) & (F.sha2(text, 256) == F.col(key)), "left_semi")
+    alike = X.fresh(df, "alike")[0]
+    return kept.withColumn(alike, F.sha2(text, 256)).dropDuplicates([id_col, alike]).drop(alike)

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolebook.session import cut  # noqa: F401
@@ -38,6 +38,25 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def sample(df: DataFrame, rows: int, by: str = "", number: str = "", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """At most ``rows`` rows with different (id, text), the least hashes of both; with ``by`` so many
+    of each of its values. The bound holds whatever the ids are: rows without one, or sharing one,
+    are told apart by their texts, and rows alike count once. ``number`` names a column with the
+    number of rows (of that value), which is counted where it is not given."""
+    h, place = fresh(df, "h", "place")
+    named = df.withColumn(h, F.xxhash64(F.col(id_col).cast("string"), text_col))
+    total = F.col(number) if number else F.lit(max(df.count(), 1))
+    # so many are expected; a few more or less by chance, so the last ones are cut
+    chosen = named.where(F.pmod(h, total) < rows + 4 * int(rows**0.5) + 4)
+    keys = [by] if by else []
+    once = chosen.dropDuplicates([*keys, h])
+    if by:
+        once = once.withColumn(place, F.row_number().over(Window.partitionBy(by).orderBy(F.pmod(h, total), h))).where(F.col(place) <= rows).drop(place)
+    else:
+        once = once.orderBy(F.pmod(h, total), h).limit(rows)
+    return once.drop(h)
+
+
 def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(data, offsets) of a text column as UTF-8 bytes; null reads as empty."""
     if isinstance(array, pa.ChunkedArray):

@@ -120,9 +120,12 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, id_col: str = "doc_id
     as the updates follow one another; only the model comes to the driver."""
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL").where(use)
     chosen = marks.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
+    own, h = F.col("text"), F.xxhash64("doc_id", "text")
     rows = X.pairs(docs, id_col, text_col).where("text IS NOT NULL").where(F.octet_length("text") <= SAMPLE_BYTES)
     # SAMPLE_ROWS pairs of numbers at most
-    rows = rows.join(F.broadcast(chosen), "doc_id").select("y", "text", F.xxhash64("doc_id", "text").alias("h"))
+    rows = rows.join(F.broadcast(chosen), "doc_id")
+    # one text an id, however many rows share it
+    rows = rows.groupBy("doc_id", "y").agg(F.min(F.struct(h.alias("h"), own.alias("text"))).alias("x")).select("y", "x.text", "x.h")
 
     def fit(batches):
         hasher, rows = Hasher(), []

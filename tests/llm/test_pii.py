@@ -53,6 +53,24 @@ def test_iban_and_context():
     (s,) = P.scored(text)
     assert (s["kind"], text[s["start"] : s["end"]], s["score"]) == ("iban", "DE89 3704 0044 0532 0130 00", 1.0)
     assert not P.scored("DE88370400440532013000 ")
+
+
+def test_context_alone_decides():
+    """Numbers without a checksum are spans only where words around them say so."""
+    found = lambda t: [(s["kind"], t[s["start"] : s["end"]]) for s in P.scored(t)]
+    assert found("account 12345678 is ours") == [("account", "12345678")]
+    assert found("the 12345678 Konto") == [("account", "12345678")]
+    assert found("we sold 12345678 of them") == []
+    assert found("invoice to account 12345678") == []
+    assert found("my SSN: 123-45-6789.") == [("national", "123-45-6789")]
+    assert found("part 123-45-6789") == [] and found("ssn 000-45-6789") == [] and found("ssn 123-45-67890") == []
+    # what another span holds is not added again
+    assert found("account card 4111111111111111 x") == [("card", "4111111111111111")]
+    assert P.mask("bank account 1234567890, yes") == "bank account [ACCOUNT], yes"
+    assert found("account " + "9" * 18) == [] and found("account 1.12345678") == [] and found("account 12345678.5") == []
+
+
+def test_scores_follow_context():
     assert P.scored("server 1.2.3.4")[0]["score"] > P.scored("so 1.2.3.4")[0]["score"] > P.scored("version 1.2.3.4")[0]["score"]
     assert P.mask("mail a@b.cd, card 4111111111111111.") == "mail [EMAIL], card [CARD]."
 

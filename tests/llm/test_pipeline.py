@@ -53,6 +53,39 @@ def test_stages(spark, tmp_path):
     assert rows_of(P.run(spark, str(tmp_path))) == rows_of(kept[4][1])
 
 
+def test_language_by_one_rule(spark, tmp_path):
+    """Texts in a script that was never learned go at any length that tells; odd words, weak evidence and labelled rows stay."""
+    en, de = "the of and to that this with from have more ", "der und die das nicht mit ein auch von haben "
+    rows = [(i, (en if i % 2 else de) * (1 + i % 7) + f"w{i}", "en" if i % 2 else "de", "s", 1) for i in range(300)]
+    odd = [(1000, "Ωμέγα καὶ ἄλφα " * 3, None, "s", 1), (1001, "漢字仮名交じり文" * 30, "zh", "s", 1), (1002, "漢字仮名交じり文章です", None, "s", 1)]
+    odd += [(2001, "w", "xx", "s", 1), (2002, "of und", "xx", "s", 1), (1005, en, None, "s", 1), (1005, en, None, "s", 1), (None, de, "en", "s", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    learned = [r for r in odd if r[2] != "zh"]  # a labelled language would be learned
+    df = spark.createDataFrame([(*r, "z", 1) for r in rows + learned], schema + ", lang_pred string, score int")
+    got = sorted(((r.doc_id, r.lang) for r in P.language(spark, df, "").collect()), key=repr)
+    ids = [i for i, _ in got]
+    assert {1000, 1002}.isdisjoint(ids) and ids.count(1005) == 2 and ids.count(None) == 1
+    assert sum(i is not None and i < 300 for i in ids) == 300
+    lang = dict(got)
+    assert lang[1005] == "en" and lang[None] == "de" and lang[2001] == "xx"
+    assert P.language(spark, df.limit(0), "").collect() == []
+
+
+def test_stages_take_odd_tables(spark, tmp_path):
+    """Repeated ids and rows, null everything, very long texts and columns of clashing names."""
+    long = "word after word of a long text " * 20_000
+    rows = [(1, "the of and to that " * 20, "en", "s", 1), (1, "other text than before " * 9, "en", "s", 1), (1, "other text than before " * 9, "en", "s", 1), (2, long, "en", None, None), (None, None, None, None, None), (3, "", None, "s", 0)]
+    df = spark.createDataFrame([(*r, "a", "b", 1, 2) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _keep string, _bad_id string, fp int, h int")
+    spark.createDataFrame([(1, "x " * 20), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    now = df
+    for name, stage in P.STAGES[:4]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == list(P.COLUMNS), name
+        now = spark.createDataFrame(now.collect(), now.schema)
+    assert sorted(r.text[:5] for r in now.collect()) == ["other", "the o", "word "]
+    assert P.encoding(spark, now, str(tmp_path)).count() == 3
+
+
 def test_empty(spark, tmp_path):
     for t, schema in (("documents", "doc_id long, text string, lang string, source string, n_chars long"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{t}.parquet")

@@ -104,5 +104,17 @@ def test_components(spark):
     assert sorted(((r.doc_id, r.fp, r.component_id) for r in got), key=repr) == want
     kept = S.one_each(df)
     assert kept.columns == df.columns
-    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted({least[k] for k in comp} | {None}, key=repr)
+    assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted({least[k] for k in comp}, key=repr)
+
+
+def test_one_each_by_component(spark):
+    """Two texts of one id are judged apart; rows without an id take part, after all others."""
+    a, b = "alpha beta gamma delta epsilon zeta eta theta", "a completely different text about something else entirely here"
+    rows = [(1, a), (1, b), (2, a), (None, b), (None, "only here and nowhere else in this table of rows"), (None, "only here and nowhere else in this table of rows"), (7, None), (8, "")]
+    df = spark.createDataFrame([(i, t, "k", 1, "x") for i, t in rows], "doc_id long, text string, _keep string, fp int, key string")
+    kept = S.one_each(df)
+    assert kept.columns == df.columns
+    want = [(1, a), (1, b), (7, None), (None, "only here and nowhere else in this table of rows")]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(want, key=repr)
+    assert S.one_each(df.limit(0)).collect() == []
     assert S.components(df.limit(0)).collect() == []
