@@ -853,6 +853,30 @@ def tracker_headers(spark, sf):
     return good.select(F.lit("row").alias("what"), "*").union(bad.select(F.lit("issue"), "name", "n", none, none))
 
 
+@query(
+    "large_documents",
+    """WITH k AS (SELECT *, p_partkey // 500 AS d, p_partkey % 17 = 3 AS bad FROM part)
+SELECT 'entry' AS what, 'part:' || p_partkey AS key, p_name AS title, CAST(p_size AS INTEGER) AS score, NULL AS error FROM k WHERE NOT bad AND d % 3 <> 2
+UNION ALL SELECT 'bad', 'part:' || p_partkey, NULL, NULL, 'entry is not an object' FROM k WHERE bad AND d % 3 <> 2
+UNION ALL SELECT 'bad', NULL, NULL, NULL, 'document is not valid JSON' FROM (SELECT DISTINCT d FROM k WHERE d % 3 = 2)""",
+)
+def large_documents(spark, sf):
+    """Stores of 500 parts as one document each, wrapped, bare, and cut short, read in pieces."""
+    path = scratch_path(spark, "large")
+    k = F.col("p_partkey")
+    entry = F.when(k % 17 == 3, F.to_json(F.array(k))).otherwise(F.to_json(js(title=F.col("p_name"), rank_score=F.col("p_size").cast("int"), note=F.lit("a, \"b\" {c} ["))))
+    rows = B.table(spark, sf, "part").select(F.floor(k / 500).alias("d"), F.concat(F.lit('"part:'), k, F.lit('":'), entry).alias("e"))
+    body = F.array_join(F.array_sort(F.collect_list("e")), ",")
+    docs = rows.groupBy("d").agg(body.alias("body")).withColumn("kind", F.col("d") % 3)
+    text = F.when(F.col("kind") == 0, F.concat(F.lit('{"version":1,"seen":{'), "body", F.lit('},"end":[]}'))).when(F.col("kind") == 1, F.concat(F.lit("{"), "body", F.lit("}")))
+    docs.select("d", text.otherwise(F.concat(F.lit('{"seen":{'), "body")).alias("value")).write.partitionBy("d").text(path)
+    good, bad = tables.read_seen_large(spark, path)
+    none = F.lit(None)
+    return good.select(F.lit("entry").alias("what"), "key", "title", F.col("rank_score").alias("score"), none.cast("string").alias("error")).union(
+        bad.select(F.lit("bad"), "key", none, none, "error")
+    )
+
+
 SCRAPED = (("remoteok", REMOTEOK_SQL), ("remotive", REMOTIVE_SQL), ("arbeitnow", ARBEITNOW_SQL))
 
 

@@ -26,6 +26,7 @@ from rolebook.functions.text import (
 )
 from rolebook.operators.filters import reject_reason
 from rolebook.sources import documents as D
+from rolebook.sources import large
 
 # --- fixed values: the boards' own addresses ------------------------------------
 REMOTEOK_URL = "https://remoteok.com"
@@ -493,17 +494,31 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).withColumnRenamed("value", "payload")
 
 
+def read_items(spark: SparkSession, path: str, part: str = "") -> DataFrame:
+    """Documents of any size as one small ``payload`` for each listed item, and one that
+    says what is wrong for a document that cannot be used."""
+    entries, issues = large.entries_of(spark, path, part or None)
+    told = F.concat(F.lit("["), "text", F.lit("]"))
+    # no valid document: the feed's own reader quarantines it
+    return entries.select("entry_no", told.alias("payload")).union(issues.select(F.lit(None).cast("long"), F.col("error").alias("payload")))
+
+
 def read_feed(
     spark: SparkSession, portal: str, path: str, as_of=None, slug: str | None = None,
-    company: str | None = None, chars: int | None = None,
+    company: str | None = None, chars: int | None = None, large_part: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """(postings, quarantined) of the landed files under ``path``."""
-    payloads = read_payloads(spark, path)
+    """(postings, quarantined) of the landed files under ``path``. With ``large_part``, the name of the
+    member that lists the items (empty: the document lists them), files may have any size and each is
+    read in several tasks; a file that cannot be used is a quarantined row."""
+    payloads = read_payloads(spark, path) if large_part is None else read_items(spark, path, large_part)
     if FEEDS[portal].kind == "company":
         payloads = payloads.withColumns(
             {"slug": F.lit(slug or ""), "company": F.lit(company or slug or "")}
         )
-    return split_feed(FEEDS[portal].map(payloads, as_of=as_of, chars=chars))
+    mapped = FEEDS[portal].map(payloads, as_of=as_of, chars=chars)
+    if large_part is not None:
+        mapped = mapped.withColumn("item_no", F.col("entry_no").cast("int")).drop("entry_no")
+    return split_feed(mapped)
 
 
 def _reader(portal: str):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rolebook import vocab
 from rolebook.functions.money import parse_locale_number
 from rolebook.sources import documents as D
+from rolebook.sources import large
 from rolebook.sources.feeds import get, items_of, kind_of, pick_array, read_payloads
 
 # --- registry --------------------------------------------------------------------
@@ -128,6 +129,21 @@ def read_seen_json(spark: SparkSession, path: str, lines: bool = False) -> tuple
     return parse_seen(spark.read.text(path).withColumnRenamed("value", "payload") if lines else read_payloads(spark, path))
 
 
+def read_seen_large(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """:func:`parse_seen` of whole documents of any size, each read in several tasks: its entries
+    are cut out where they lie and parsed one by one. A document that does not close is a bad row
+    without a key; one without ``seen`` is a bare map."""
+    entries, issues = large.entries_of(spark, path, "seen")
+    bare = issues.filter(F.startswith("error", F.lit("document has no")))
+    if not bare.isEmpty():
+        every, _ = large.entries_of(spark, path)
+        entries = entries.union(every.join(bare.select("file"), "file", "left_semi").select(*entries.columns))
+    good, bad = parse_seen(entries.select(F.concat(F.lit('{"seen":{'), "text", F.lit("}}")).alias("payload")))
+    nothing = F.lit(None).cast("string")
+    broken = issues.join(bare.select("file"), "file", "left_anti").select(nothing.alias("key"), "error", nothing.alias("found"))
+    return good, bad.unionByName(broken)
+
+
 def first_bad_keys(bad: DataFrame, show: int = 5) -> DataFrame:
     """Up to five of the bad keys, for the message of a failed import."""
     return bad.select("key", "error").orderBy("key").limit(show)
