@@ -13,6 +13,7 @@ from rolebook.functions.text import canon_location, norm_key
 from rolebook.functions.urls import numeric_ref
 from rolebook.operators.gates import gate_stale
 from rolebook.operators.scoring import Candidate, factor_weights, freshness, half_up
+from rolebook.session import cut
 
 
 def tracker_pairs(tracker: DataFrame) -> DataFrame:
@@ -276,6 +277,90 @@ def cache_lookup(wanted: DataFrame, cache: DataFrame, as_of, ttl_days: int = voc
     )
 
 
+def cache_lookup_asof(wanted: DataFrame, cache: DataFrame, day: str = "day", ttl_days: int = vocab.CACHE_TTL_DAYS) -> DataFrame:
+    """:func:`cache_lookup` with a date of its own in each row (column ``day``): the latest cached
+    value of the company that is no older than the TTL on that day and not from after it.
+
+    Both sides are dealt by company and a cell of as many days as the TTL spans, so a day looks into
+    its own cell and the one before. Before they meet, the cache is reduced to one value a company and
+    day and the rows to the different days of a company, so a company with very many
+    rows brings a bounded number to each cell. Rows without a company or a day miss; of values of one
+    day the greatest counts.
+    """
+    width = ttl_days + 1
+    cell = lambda d: F.floor(F.unix_date(d) / F.lit(width)).cast("bigint")
+    known = cache.filter("company IS NOT NULL AND fetched_date IS NOT NULL").groupBy("company", "fetched_date").agg(F.max("value").alias("value"))
+    known = known.withColumn("_cell", cell(F.col("fetched_date")))
+    asked = wanted.select(F.col("company"), F.col(day).alias("_day")).filter("company IS NOT NULL AND _day IS NOT NULL").distinct()
+    own = cell(F.col("_day"))
+    asked = asked.withColumn("_cell", F.explode(F.array(own, own - 1)))
+    met = asked.join(known, ["company", "_cell"]).filter(F.col("fetched_date").between(F.date_sub("_day", ttl_days), F.col("_day")))
+    latest = met.groupBy("company", "_day").agg(F.max(F.struct("fetched_date", "value")).alias("_c"))
+    latest = latest.select(F.col("company").alias("_of"), "_day", "_c")
+    out = wanted.join(latest, (F.col("company") == F.col("_of")) & (F.col(day) == F.col("_day")), "left")
+    return out.select(*wanted.columns, F.col("_c.fetched_date").alias("fetched_date"), F.col("_c.value").alias("value"), F.col("_c").isNotNull().alias("hit"))
+
+
+#: Parts that a comparison of tables is cut into, and parts of a part that differs.
+COARSE, FINE = 1 << 12, 1 << 8
+
+
+def column_differences(expected: DataFrame, actual: DataFrame) -> list[tuple[str, str]]:
+    """(side, column) of columns that one table alone has, or has with another type."""
+    e, a = dict(expected.dtypes), dict(actual.dtypes)
+    out = [("missing column", c) for c in e if c not in a] + [("extra column", c) for c in a if c not in e]
+    return out + [("other type", c) for c in e if c in a and e[c] != a[c]]
+
+
+def reconcile_tables(expected: DataFrame, actual: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(what, keys as text, column, expected, actual): every difference between two keyed tables of any size.
+
+    Columns that only one side has, or has with another type, are rows of their own and not compared further. Rows
+    are summed up by order-free checksums of parts of the keys, then of parts of the parts that differ; only rows of
+    parts that differ there meet in a join, so equal tables move a few numbers. Null keys are keys;
+    a key that occurs repeatedly on a side is told, with how often on each.
+    """
+    sides = column_differences(expected, actual)
+    odd = {c for _, c in sides}
+    common = [c for c in expected.columns if c in actual.columns and c not in odd and c not in keys]
+    if set(keys) & odd:
+        raise ValueError(f"key columns differ: {sorted(set(keys) & odd)}")
+
+    def hashed(df: DataFrame) -> DataFrame:
+        text = F.to_json(F.struct(*[F.col(k) for k in keys]))
+        values = [F.col(c).cast("string").alias(c) for c in common]
+        h = F.xxhash64(text, *[F.coalesce(v, F.lit("\0")) for v in values])
+        return df.select(text.alias("_key"), F.pmod(F.xxhash64(text), F.lit(COARSE)).alias("_part"), F.pmod(F.hash(text), F.lit(FINE)).alias("_fine"), h.alias("_h"), *values)
+
+    def parts(df: DataFrame, by: list[str], name: str) -> DataFrame:
+        total = F.sum(F.col("_h").cast("decimal(38,0)"))
+        return df.groupBy(*by).agg(F.struct(F.count(F.lit(1)).alias("n"), total.alias("s")).alias(name))
+
+    def differing(e: DataFrame, a: DataFrame, by: list[str]) -> DataFrame:
+        both = parts(e, by, "_e").join(parts(a, by, "_a"), by, "full_outer")
+        return cut(both.filter(~F.col("_e").eqNullSafe(F.col("_a"))).select(*by))
+
+    e, a = hashed(expected), hashed(actual)
+    coarse = differing(e, a, ["_part"])  # at most COARSE rows
+    e, a = (x.join(F.broadcast(coarse), "_part", "left_semi") for x in (e, a))
+    fine = differing(e, a, ["_part", "_fine"])  # at most COARSE * FINE rows
+    e, a = (x.join(F.broadcast(fine), ["_part", "_fine"], "left_semi") for x in (e, a))
+    row = lambda df, name: df.groupBy("_key").agg(F.count(F.lit(1)).alias(f"_n{name}"), F.min(F.struct("_h", *common)).alias(f"_{name}"))
+    both = row(e, "e").join(row(a, "a"), "_key", "full_outer")
+    text = "what string, key string, column string, expected string, actual string"
+    none = F.lit(None).cast("string")
+    cell = lambda what, c=none, x=none, y=none: F.struct(F.lit(what).alias("what"), c.alias("column"), x.alias("expected"), y.alias("actual"))
+    values = [F.when(~F.col(f"_e.{c}").eqNullSafe(F.col(f"_a.{c}")), cell("differs", F.lit(c), F.col(f"_e.{c}"), F.col(f"_a.{c}"))) for c in common]
+    found = (
+        F.when(F.col("_na").isNull(), F.array(cell("missing")))
+        .when(F.col("_ne").isNull(), F.array(cell("extra")))
+        .when((F.col("_ne") > 1) | (F.col("_na") > 1), F.array(cell("repeated", none, F.col("_ne").cast("string"), F.col("_na").cast("string"))))
+        .otherwise(F.array_compact(F.array(*values)) if values else F.array().cast("array<struct<what:string,column:string,expected:string,actual:string>>"))
+    )
+    rows = both.select(F.col("_key").alias("key"), F.explode(found).alias("d")).select("d.what", "key", "d.column", "d.expected", "d.actual")
+    return rows.union(expected.sparkSession.createDataFrame([(what, None, c, None, None) for what, c in sides], text))
+
+
 def reconcile(expected: DataFrame, actual: DataFrame, keys: Sequence[str], value: str, tolerance: float = 1e-9) -> DataFrame:
     """Differences between two keyed tables: ``detail`` says missing, extra or
     by how much the value differs."""

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolebook import vocab
@@ -17,6 +17,7 @@ from rolebook.functions.text import canon_status, is_open
 from rolebook.operators import joins
 from rolebook.operators import scoring as S
 from rolebook.operators.filters import focus_filter
+from rolebook.sources import sinks
 
 STORE_VERSION = 1
 
@@ -149,6 +150,16 @@ def apply_scores(seen: DataFrame, results: DataFrame, as_of, stage: str = "exper
     return out, errors.unionByName(clash)
 
 
+def score_store(spark: SparkSession, root: str, results: DataFrame, as_of, stage: str = "experienced") -> DataFrame:
+    """:func:`apply_scores` on the written store, as a delta: only the entries that results name are read into
+    the update, and only those that change are written. Returns the errors."""
+    seen = sinks.read_seen(spark, root)
+    asked = seen.join(results.select("key").distinct(), "key", "left_semi").select(*seen.columns)
+    out, errors = apply_scores(asked, results, as_of, stage)
+    sinks.write_delta(out.filter("outcome IS NOT NULL").select(*seen.columns), root)
+    return errors
+
+
 def _excluded(exclude: Sequence[str]) -> Column:
     return F.col("key").isin(*exclude) if exclude else F.lit(False)
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from rolebook import vocab
 from rolebook.operators import companies as C
-from rolebook.operators import dedupe, filters, joins, limits, robots, shortlists
+from rolebook.operators import dedupe, filters, joins, limits, lookup, robots, shortlists
 from rolebook.operators import scoring as S
 from rolebook.plans import bindings as B
 from rolebook.plans.queries_matching import EXPERIENCED, FACTS_SQL, STUDENT, scored_sql
@@ -145,6 +145,14 @@ def page(spark, sf):
     return rows.select("id")
 
 
+@query("deep_pages", "WITH o AS (SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber) AS row_no FROM lineitem) SELECT * FROM o WHERE row_no BETWEEN 401 AND 420 OR row_no BETWEEN 5001 AND 5020")
+def deep_pages(spark, sf):
+    """Page 21 and page 251 of all order lines, from ranges sorted once."""
+    lines = B.table(spark, sf, "lineitem").select("l_shipdate", "l_orderkey", "l_linenumber")
+    pages = limits.Pages(lines, ["l_shipdate", "l_orderkey", "l_linenumber"], 32)
+    return pages.page(21, 20).union(pages.page(251, 20)).select("l_orderkey", "l_linenumber", "row_no")
+
+
 @query(
     "cap_per_source",
     f"WITH {B.DOC_SQL} SELECT id, portal FROM (SELECT *, row_number() OVER (PARTITION BY portal ORDER BY pos) AS r FROM doc) WHERE r <= 30",
@@ -523,3 +531,56 @@ def ratchet(spark, sf):
     classed, patterns = joins.ratchet(diffs, KNOWN)
     unexpected = classed.filter(F.col("known").isNull()).agg(F.count(F.lit(1)).alias("hits"))
     return patterns.unionByName(unexpected.select(F.lit("unexpected").alias("pattern"), "hits", F.lit(False).alias("resolved")))
+
+
+@query(
+    "cache_lookup_asof",
+    f"""WITH {B.TRK_SQL}, w AS (SELECT application_id, company, date + CAST(application_id % 45 AS INTEGER) AS day FROM trk),
+c AS (SELECT company, date AS fetched_date, max(role) AS value FROM trk WHERE application_id % 3 = 0 GROUP BY 1, 2)
+SELECT application_id, CAST(max(fetched_date) AS VARCHAR) AS fetched_date, arg_max(value, fetched_date) AS value, max(fetched_date) IS NOT NULL AS hit
+FROM w LEFT JOIN c ON w.company = c.company AND fetched_date BETWEEN day - 30 AND day GROUP BY 1""",
+)
+def cache_lookup_asof(spark, sf):
+    """Every application asks for its company's latest value on a day of its own."""
+    t = B.tracker(spark, sf)
+    cache = t.filter(F.col("application_id") % 3 == 0).select("company", F.col("date").alias("fetched_date"), F.col("role").alias("value"))
+    asked = t.select("application_id", "company", F.date_add("date", (F.col("application_id") % 45).cast("int")).alias("day"))
+    out = joins.cache_lookup_asof(asked, cache)
+    return out.select("application_id", F.col("fetched_date").cast("string").alias("fetched_date"), "value", "hit")
+
+
+@query(
+    "reconcile_tables",
+    """WITH e AS (SELECT * FROM orders WHERE o_orderkey % 997 <> 1),
+a AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 499 = 3 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 991 <> 2),
+j AS (SELECT e.o_orderkey AS ek, a.o_orderkey AS ak, e.o_orderstatus AS es, a.o_orderstatus AS s FROM e FULL JOIN a ON e.o_orderkey = a.o_orderkey)
+SELECT 'missing' AS what, '{"o_orderkey":' || ek || '}' AS key, NULL AS "column", NULL AS expected, NULL AS actual FROM j WHERE ak IS NULL
+UNION ALL SELECT 'extra', '{"o_orderkey":' || ak || '}', NULL, NULL, NULL FROM j WHERE ek IS NULL
+UNION ALL SELECT 'differs', '{"o_orderkey":' || ek || '}', 'o_orderstatus', es, s FROM j WHERE ek = ak AND es <> s
+UNION ALL SELECT 'missing column', NULL, 'o_totalprice', NULL, NULL
+UNION ALL SELECT 'extra column', NULL, 'note', NULL, NULL""",
+)
+def reconcile_tables(spark, sf):
+    """All orders against a copy with rows left out, values changed and other columns."""
+    o = B.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    k = F.col("o_orderkey")
+    status = F.when(k % 499 == 3, "X").otherwise(F.col("o_orderstatus"))
+    other = o.filter(k % 991 != 2).select("o_orderkey", "o_custkey", status.alias("o_orderstatus"), F.lit(1).alias("note"))
+    return joins.reconcile_tables(o.filter(k % 997 != 1), other, ["o_orderkey"])
+
+
+@query(
+    "match_query_table",
+    f"""WITH {B.DOC_SQL}, q AS (SELECT doc_id AS query_id, doc_id % 20 = 0 AS phrase, CASE WHEN doc_id % 20 = 0 THEN lower(substr(text, 9, 11)) ELSE lower(split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 5)) END AS query
+  FROM documents WHERE doc_id % 10 = 0),
+w AS (SELECT query_id, CASE WHEN phrase THEN list_filter([query], lambda x: x <> '') ELSE list_filter(regexp_split_to_array(query, '\s+'), lambda x: x <> '') END AS w FROM q),
+h AS (SELECT id, lower(title || ' ' || description) AS hay FROM doc)
+SELECT query_id, id FROM w, h WHERE len(w) > 0 AND len(list_filter(w, lambda x: NOT contains(hay, x))) = 0""",
+)
+def match_query_table(spark, sf):
+    """A tenth of the documents as queries (two words, or a phrase) against all."""
+    d = B.table(spark, sf, "documents").filter(F.col("doc_id") % 10 == 0)
+    is_phrase = F.col("doc_id") % 20 == 0
+    two = F.concat(F.split_part("text", F.lit(" "), F.lit(2)), F.lit(" "), F.split_part("text", F.lit(" "), F.lit(5)))
+    queries = d.select(F.col("doc_id").alias("query_id"), F.when(is_phrase, F.substring("text", 9, 11)).otherwise(two).alias("query"), F.when(is_phrase, "phrase").otherwise("words").alias("kind"))
+    return lookup.match_query_table(B.doc_postings(spark, sf), queries, ["title", "description"])

@@ -363,6 +363,25 @@ def apply_scores(spark, sf):
     )
 
 
+@query(
+    "score_store",
+    f"WITH {T1_SQL} SELECT key, status, location, location_verdict, language_gate, language_note, deadline, rank_score, rank_verdict, rank_date, history FROM after",
+)
+def score_store(spark, sf):
+    """The written store scored by two deltas, folded after the first: as one rewrite."""
+    root = scratch_path(spark, "scored")
+    sinks.write_seen(B.seen_store(spark, sf), root, 1)
+    results = B.score_results(spark, sf)
+    half = F.pmod(F.hash("key"), F.lit(2)) == 0
+    state.score_store(spark, root, results.filter(half), B.AS_OF)
+    sinks.fold(spark, root)
+    state.score_store(spark, root, results.filter(~half), B.AS_OF)
+    history = F.array_join(F.transform("rank_history", lambda h: F.concat_ws("/", h["score"].cast("string"), h["verdict"], h["date"])), ";")
+    return sinks.read_seen(spark, root).select(
+        "key", "status", "location", "location_verdict", "language_gate", "language_note", "deadline", "rank_score", "rank_verdict", F.col("rank_date").cast("string").alias("rank_date"), history.alias("history")
+    )
+
+
 REPEATS_SQL = f"""WITH {B.SEEN_SQL}, {B.SCORES_SQL},
 swapped AS (SELECT * REPLACE (career AS technical, technical AS career) FROM scores WHERE part_no % 4 = 0),
 sc AS (SELECT *, {overall_sql("'experienced'").replace('t *', 'technical *').replace('e *', 'experience *').replace('b *', 'behavioral *').replace('c *', 'career *')} AS score FROM scores),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,6 +64,31 @@ def write_seen(df: DataFrame, root: str, version: int) -> None:
     _enter(spark, root, taken[-1] + 1 if taken else 0, int(version), folder)
 
 
+def write_delta(rows: DataFrame, root: str) -> None:
+    """Whole new states of some entries, one row a key, beside the store: what is written grows with
+    the rows, not with the store. They count as soon as the ledger names them; a write that fails before
+    leaves the store as it was."""
+    spark = rows.sparkSession
+    known, taken = ledger(spark, root), _numbers(spark, root)
+    if not known:
+        raise ValueError("the store was never written")
+    folder = f"delta-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{root}/data/{folder}")
+    _enter(spark, root, taken[-1] + 1, known[-1].version, folder)
+
+
+def fold(spark: SparkSession, root: str, share: float = 0.1) -> bool:
+    """Rewrite the store with its deltas in it once they have over ``share`` of its rows; whether it did."""
+    base, deltas = _folders(spark, root, None)
+    if not deltas:
+        return False
+    count = lambda names: spark.read.parquet(*[f"{root}/data/{n}" for n in names]).count()
+    if count(deltas) <= share * count([base]):
+        return False
+    write_seen(read_seen(spark, root), root, current_version(spark, root))
+    return True
+
+
 def current_version(spark: SparkSession, root: str) -> int:
     rows = ledger(spark, root)
     if not rows:
@@ -70,12 +96,28 @@ def current_version(spark: SparkSession, root: str) -> int:
     return rows[-1].version
 
 
-def read_seen(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
-    """The current version of the store (or a named one, as last written)."""
+def _folders(spark: SparkSession, root: str, version: int | None) -> tuple[str, list[str]]:
+    """(folder of the last whole write, folders of the deltas after it, oldest first)."""
     rows = [r for r in ledger(spark, root) if version in (None, r.version)]
-    if not rows:
+    whole = [i for i, r in enumerate(rows) if not r.folder.startswith("delta-")]
+    if not whole:
         raise ValueError(f"the store has no version {version}" if version is not None else "the store was never written")
-    return spark.read.parquet(f"{root}/data/{rows[-1].folder}")
+    return rows[whole[-1]].folder, [r.folder for r in rows[whole[-1] + 1 :]]
+
+
+def read_seen(spark: SparkSession, root: str, version: int | None = None) -> DataFrame:
+    """The current version of the store (or a named one, as last written), with the last delta of
+    each key in place of its row. The store itself is the streamed side of a join with the deltas' keys
+    and is not shuffled for a few of them; a filter on ``status`` still reads its partitions alone."""
+    base, deltas = _folders(spark, root, version)
+    store = spark.read.parquet(f"{root}/data/{base}")
+    if not deltas:
+        return store
+    parts = [spark.read.schema(store.schema).parquet(f"{root}/data/{d}").withColumn("_seq", F.lit(i)) for i, d in enumerate(deltas)]
+    every = reduce(DataFrame.unionByName, parts)
+    last = every.groupBy("key").agg(F.max_by(F.struct(*[c for c in store.columns if c != "key"]), "_seq").alias("_row"))
+    kept = store.join(every.select("key").distinct(), "key", "left_anti")
+    return kept.select(*store.columns).unionByName(last.select("key", "_row.*").select(*store.columns))
 
 
 def _cell(name: str, missing: str | None = None):

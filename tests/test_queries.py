@@ -43,7 +43,7 @@ def test_entry(spark):
 def test_plans_have_no_products(spark):
     """No registered plan compares every row of one table with another's."""
     for name, build in QUERIES.items():
-        if name in ("seen_sink", "sweep_and_compact", "stream_ingest", "stream_entries", "tracker_csv", "tracker_mixed", "tracker_headers", "large_documents", "feed_files"):
+        if name in ("seen_sink", "sweep_and_compact", "stream_ingest", "stream_entries", "tracker_csv", "tracker_mixed", "tracker_headers", "large_documents", "deep_pages", "score_store", "feed_files"):
             continue  # these write before they return
         plan = build(spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name

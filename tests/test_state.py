@@ -353,3 +353,25 @@ def test_store_reads_write_nothing_and_writers_do_not_overtake(spark, tmp_path,
     assert sinks.read_seen(spark, root).count() == 1
     sinks.write_seen(df.union(df), root, 2)
     assert sinks.read_seen(spark, root).count() == 2 and sinks.read_seen(spark, root, 1).count() == 1
+
+
+def test_delta_store(spark, tmp_path):
+    """Deltas stand in for their keys, the last one counts, folding changes nothing that is read."""
+    root = str(tmp_path / "store")
+    with pytest.raises(ValueError, match="never written"):
+        sinks.write_delta(store(spark, {"key": "a", "status": "new"}), root)
+    sinks.write_seen(store(spark, *[{"key": f"k{i}", "status": "new" if i % 2 else "ranked", "title": "t"} for i in range(40)]), root, 1)
+    size = lambda: sum(x.stat().st_size for x in (tmp_path / "store" / "data").rglob("*.parquet"))
+    whole = size()
+    sinks.write_delta(store(spark, {"key": "k1", "status": "skipped"}, {"key": "new", "status": "new"}), root)
+    sinks.write_delta(store(spark, {"key": "k1", "status": "ranked", "title": "last"}), root)
+    assert size() < 4 * whole
+    rows = {r.key: (r.status, r.title) for r in sinks.read_seen(spark, root).collect()}
+    assert len(rows) == 41 and rows["k1"] == ("ranked", "last") and rows["new"] == ("new", None) and rows["k3"] == ("new", "t")
+    assert sinks.read_seen(spark, root).filter("status = 'ranked'").count() == 21
+    # written but never named: a writer lost half-way
+    store(spark, {"key": "k5", "status": "expired"}).write.parquet(f"{root}/data/delta-lost")
+    assert {r.key: (r.status, r.title) for r in sinks.read_seen(spark, root).collect()} == rows
+    assert not sinks.fold(spark, root, share=0.5) and sinks.fold(spark, root, share=0.01)
+    assert {r.key: (r.status, r.title) for r in sinks.read_seen(spark, root).collect()} == rows
+    assert not sinks.fold(spark, root, share=0.01) and sinks.current_version(spark, root) == 1
