@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rolebook.llm import texts as X
+from rolebook.llm.pii import luhn
 
 KINDS = ("assign", "access", "hex", "format")
 #: Bounds of the training sample: different documents looked at, distinct values of a kind, characters
@@ -235,13 +236,25 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict
     return out
 
 
+#: Numbers as texts write them (dates, amounts, addresses, phone numbers; card numbers by their checksum):
+#: the log-probability of a digit, and of a sign between digits.
+NUMBER, DIGIT, SIGN = re.compile(r"\+[0-9]+|[0-9]+(?:[./_-]+[0-9]+)+[.]?"), math.log(1 / 10), math.log(1 / 8)
+
+
+def written_number(value: str) -> bool:
+    return bool(NUMBER.fullmatch(value)) or (value.isascii() and value.isdigit() and 13 <= len(value) <= 19 and luhn(value))
+
+
 def ratio(value: str, automata: dict[str, Automaton]) -> float:
     """Log-likelihood of the best kind less that of the background, for which a word in
-    capitals is also the word in small letters (at the odds of one in two)."""
+    capitals is also the word in small letters (at the odds of one in two), and a written number
+    also any number of its shape. Other runs of digits are tokens like any."""
     best = max((a.log_likelihood(value) for k, a in automata.items() if k), default=-math.inf)
     other = automata[""].log_likelihood(value) if "" in automata else SURPRISE * len(value)
     if "" in automata and value.isupper():
         other = max(other, automata[""].log_likelihood(value.lower()) - math.log(2))
+    if written_number(value):
+        other = max(other, sum(DIGIT if c.isdigit() else SIGN for c in value))
     return best - other
 
 
