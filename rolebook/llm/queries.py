@@ -222,7 +222,74 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(codebooks.digest(books)).alias("codebooks_sha256"))
 
 
-@query("op12_turn_repair")
+OP12_FAR = 1 << 40
+
+
+def _op12_least(*cells: str) -> str:
+    return f"list_sort([{', '.join(cells)}])[1]"
+
+
+def _op12_more(cell: str, cost: str, edits: str) -> str:
+    """A cell (cost, edits) after more edits."""
+    return f"{{'c': {cell}.c + {cost}, 'a': {cell}.a || '{edits}'}}"
+
+
+def _op12_step() -> str:
+    """The cells of states 0 to 3 after a row, from those after any insertions (w)."""
+    far, more = str(OP12_FAR), "CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END"
+    stays = "fault IN ('blank', 'duplicate')"
+
+    def kept(cell: str, initial: str) -> str:
+        return _op12_more(cell, f"CASE WHEN {stays} OR initial <> '{initial}' THEN {far} ELSE {more} END", "K")
+
+    def other(cell: str) -> str:
+        return _op12_more(cell, f"CASE WHEN {stays} THEN {far} ELSE 1 + {more} END", "R")
+
+    gone = [_op12_more(f"w[{j}]", "2", "D") for j in range(1, 5)]
+    return ", ".join(
+        [
+            gone[0],
+            _op12_least(gone[1], kept("w[1]", "s")),
+            _op12_least(gone[2], *(f(x) for x in ("w[1]", "w[2]", "w[4]") for f in (lambda x: kept(x, "u"), other))),
+            _op12_least(gone[3], kept("w[3]", "a"), other("w[3]")),
+        ]
+    )
+
+
+def _op12_inserted(v: str) -> str:
+    """The cells after any insertions."""
+    cell = [f"{v}[{j}]" for j in range(1, 5)]
+    one = lambda j: _op12_more(cell[j], "5", "I")
+    return f"[{cell[0]}, {cell[1]}, {_op12_least(cell[2], one(0), one(1), one(3))}, {_op12_least(cell[3], one(2), _op12_more(cell[0], '10', 'II'), _op12_more(cell[1], '10', 'II'))}]"
+
+
+OP12_SQL = rf"""
+WITH RECURSIVE crc AS MATERIALIZED (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+r AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+k AS (SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS k FROM r, crc),
+d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN k = 3 THEN [0, 1] ELSE [0] END) AS copy FROM k WHERE k <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, regexp_replace(text, '[\x20\x09-\x0D]', '', 'g') AS bare, left(role, 1) AS initial FROM d),
+f AS MATERIALIZED (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN NOT regexp_matches(right(bare, 1), '[.!?]') THEN 'truncated' ELSE '' END AS fault,
+        lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM o),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+        count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM f GROUP BY conv_id),
+s AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, [{{'c': CAST(0 AS BIGINT), 'a': ''}}, {{'c': {OP12_FAR}, 'a': ''}}, {{'c': {OP12_FAR}, 'a': ''}}, {{'c': {OP12_FAR}, 'a': ''}}] AS v FROM c
+      UNION ALL SELECT conv_id, i, [{_op12_step()}] FROM (SELECT f.*, {_op12_inserted('s.v')} AS w FROM s JOIN f ON s.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = s.i + 1)),
+e AS (SELECT s.conv_id, {_op12_inserted('v')} AS w FROM s JOIN c ON s.conv_id IS NOT DISTINCT FROM c.conv_id AND s.i = c.n),
+p AS (SELECT conv_id, b.c AS cost, b.a AS audit FROM (SELECT conv_id, {_op12_least('w[1]', 'w[4]')} AS b FROM e)),
+x AS (SELECT conv_id, unnest(string_split(audit, '')) AS edit, unnest(range(1, len(audit) + 1)) AS p FROM p WHERE audit <> ''),
+y AS (SELECT *, sum(CASE WHEN edit <> 'I' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY p) AS i, sum(CASE WHEN edit <> 'D' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY p) AS m FROM x),
+z AS (SELECT y.conv_id, y.p, edit, m, role, text, max(CASE WHEN m = 1 AND edit = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY y.conv_id) AS s
+      FROM y LEFT JOIN f ON y.conv_id IS NOT DISTINCT FROM f.conv_id AND y.i = f.i AND edit <> 'I' WHERE edit <> 'D'),
+t AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role ELSE CASE WHEN (m - s) % 2 = 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS t FROM z GROUP BY conv_id),
+a AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM a LEFT JOIN c ON a.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN p ON a.conv_id IS NOT DISTINCT FROM p.conv_id LEFT JOIN t ON a.conv_id IS NOT DISTINCT FROM t.conv_id
+"""
+
+
+@query("op12_turn_repair", OP12_SQL)
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     out = turn_repair.report(turn_repair.damaged(turns))
