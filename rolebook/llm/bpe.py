@@ -153,7 +153,7 @@ class Codec:
 _codecs: dict = {}
 
 
-def _codec(sent, pattern: str, chunk: str | None) -> Codec:
+def codec_of(sent, pattern: str, chunk: str | None) -> Codec:
     key = (hashlib.sha1(sent.value).digest(), pattern, chunk)
     if key not in _codecs:
         _codecs.clear()
@@ -165,7 +165,7 @@ def _batches(df: DataFrame, rank_path: str, pattern: str, chunk: str | None, mak
     sent = df.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
 
     def columns(batch: pa.RecordBatch) -> list:
-        codec = _codec(sent, pattern, chunk)
+        codec = codec_of(sent, pattern, chunk)
         data, at = X.text_bytes(batch.column(1))
         parts = []
         for lo, hi in X.runs(at):
@@ -198,7 +198,7 @@ def decode(df: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id",
     sent = df.sparkSession.sparkContext.broadcast(read_ranks(rank_path))
 
     def columns(batch: pa.RecordBatch) -> list:
-        codec = _codec(sent, pattern, CHUNK)
+        codec = codec_of(sent, pattern, CHUNK)
         raw = [codec.decode_bytes(x or []) for x in batch.column(1).to_pylist()]
         return [batch.column(0), pa.array([r.decode("utf-8", "replace") for r in raw], pa.string()), pa.array(raw, pa.binary())]
 

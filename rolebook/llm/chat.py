@@ -1,7 +1,8 @@
 """Chat formatting in budgeted windows.
 
 Turns are read in order and cut into turn-aligned windows: the prefix sums of the turns'
-tokens say how many more turns fit. A window repeats the system turn and a limited
+tokens say how many more turns fit. Tokens are what ``size`` of a row says, in production the ids
+of the formatted turn, marks and escapes included (``sized``); without it words and signs. A window repeats the system turn and a limited
 history, whose targets are masked, then holds its own turns; only its own assistant turns
 carry loss, so each does so once. The system turn that opens a conversation stands in
 front of every later window; only history makes room. A turn that does not fit beside it
@@ -28,6 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rolebook.llm import bpe
+from rolebook.llm import texts as X
+
 #: Tokens of a window, and the history that it may repeat: turns and tokens.
 BUDGET, HISTORY_TURNS, HISTORY_TOKENS = 256, 2, 64
 #: Tokens of a turn's marks.
@@ -67,10 +71,8 @@ class Turn:
 @dataclass
 class Windows:
     """The windows of one conversation, fed turn by turn. Where the system turn and the
-    next turn exceed the budget, the window exceeds it too if ``overrun``; else the
-    system turn is not repeated there."""
+    next turn exceed the budget, the window exceeds it too."""
 
-    overrun: bool = False
     number: int = 0
     total: int = 0
     system: Turn | None = None
@@ -78,9 +80,9 @@ class Windows:
     repeated: list[Turn] = field(default_factory=list)
     own: list[Turn] = field(default_factory=list)
 
-    def add(self, role: str, text: str) -> dict | None:
+    def add(self, role: str, text: str, size: int | None = None) -> dict | None:
         """The window that ends before this turn, if one does."""
-        turn = Turn(role, text, tokens(role, text), self.total)
+        turn = Turn(role, text, tokens(role, text) if size is None else size, self.total)
         self.total += turn.size
         if not self.number and not self.own and role == SYSTEM:
             self.system = turn
@@ -96,7 +98,7 @@ class Windows:
         head = [self.system] if self.system else []
         room = BUDGET - turn.size - sum(t.size for t in head)
         if room < 0:  # no history
-            return head if self.overrun else []
+            return head
         past = [t for t in self.recent if t is not self.system]
         while past and turn.before - past[0].before > min(room, HISTORY_TOKENS):
             past.pop(0)
@@ -124,20 +126,46 @@ def parse(text: str) -> list[tuple[str, str]]:
     return [(unescape(m[1] + m[2]), unescape(m[3] + m[4])) for m in _TURN.finditer(text, 3)]
 
 
+def formatted(role: str, text: str) -> str:
+    """A turn as the template writes it."""
+    return f"[INST]{escape(role)}[/INST]{escape(text)}</s>"
+
+
+def sized(df: DataFrame, rank_path: str, pattern: str) -> DataFrame:
+    """Rows (conv_id, turn, role, text) with ``size``: the ids that the byte-level encoder gives the
+    formatted turn."""
+    sent = df.sparkSession.sparkContext.broadcast(bpe.read_ranks(rank_path))
+    df = df.select("conv_id", "turn", "role", "text")
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    names = [*kinds, "size"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codec = bpe.codec_of(sent, pattern, bpe.CHUNK)
+            sizes = []
+            for role, text in zip(X.strings(batch.column(2)), X.strings(batch.column(3)), strict=True):
+                sizes.append(len(codec.encode([formatted(role or "", text or "")])[0]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sizes, pa.int64())], names)
+
+    return df.mapInArrow(run, ", ".join(f"{n} {k}" for n, k in kinds.items()) + ", size long")
+
+
 def _ordered(df: DataFrame, *by: str) -> DataFrame:
     return df.repartition("conv_id").sortWithinPartitions("conv_id", *by)
 
 
 def windows(df: DataFrame) -> DataFrame:
-    """(conv_id, window, repeated, text, targets) from rows (conv_id, turn, role, text):
-    how many turns a window repeats at its start, its formatted text, and the (start,
+    """(conv_id, window, repeated, text, targets) from rows (conv_id, turn, role, text) and, where
+    they have one, a column ``size``: how many turns a window repeats at its start, its formatted text, and the (start,
     end) code points under the loss mask."""
     target = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     names = ("window", "repeated", "text", "targets")
     kinds = (pa.int64(), pa.int64(), pa.string(), target)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        conv, made, ids, out = None, Windows(overrun=True), [], []
+        conv, made, ids, out = None, Windows(), [], []
 
         def flush() -> pa.RecordBatch:
             cols = [pa.array(ids, pa.int64()), *(pa.array([w[n] for w in out], k) for n, k in zip(names, kinds, strict=True))]
@@ -151,17 +179,18 @@ def windows(df: DataFrame) -> DataFrame:
                 out.append(done)
 
         for batch in batches:
-            for c, role, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for c, role, text, size in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if c != conv:
                     keep(made.close())
-                    conv, made = c, Windows(overrun=True)
-                keep(made.add(role or "", text or ""))
+                    conv, made = c, Windows()
+                keep(made.add(role or "", text or "", size))
                 if len(out) >= 1000:
                     yield flush()
         keep(made.close())
         yield flush()
 
-    rows = _ordered(df.select("conv_id", "turn", "role", "text"), "turn", "role", "text").select("conv_id", "role", "text")
+    size = F.col("size").cast("long") if "size" in df.columns else F.lit(None).cast("long").alias("size")
+    rows = _ordered(df.select("conv_id", "turn", "role", "text", size), "turn", "role", "text").select("conv_id", "role", "text", "size")
     return rows.mapInArrow(run, "conv_id long, window long, repeated long, text string, targets array<struct<start:long,end:long>>")
 
 

@@ -166,7 +166,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return chat.read_back(chat.windows(turns.unionByName(extra)))
+    return chat.read_back(chat.windows(chat.sized(turns.unionByName(extra), *public_ranks())))
 
 
 OP11_SQL = r"""

@@ -121,3 +121,13 @@ def test_many_languages_and_long_texts(spark):
     # one block gives the same order of code lengths for the languages of a block
     whole = L.build(model.languages, model.lang, model.gram, model.n)
     assert [m.bits.shape[1] for m in model.blocks()] == [whole.bits.shape[1]] * 9
+
+
+def test_clashing_names(spark):
+    """Columns named like the operator's own do not matter."""
+    rows = [(i, "the of and to that " * 5 if i % 2 else "der und die das nicht " * 5, "en" if i % 2 else "de", "x", 1, 2) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, h string, n int, place int")
+    got = {r.doc_id: r.lang_pred for r in L.identify(df, F.lit(True)).collect()}
+    assert got == {i: "en" if i % 2 else "de" for i in range(40)}
+    model = L.train(df, F.lit(True))
+    assert L.label(df, model).columns[:6] == df.columns

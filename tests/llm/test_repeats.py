@@ -102,3 +102,11 @@ def test_shared_below_length(spark):
 def test_heavy_shared_below_length(spark, monkeypatch):
     monkeypatch.setattr(R, "HEAVY", 1)
     test_shared_below_length(spark)
+
+
+def test_clashing_names(spark):
+    """Columns named like the operator's own do not matter."""
+    shared = "".join(chr(97 + (i * i * 7 + i) % 26) for i in range(300))
+    rows = [(i, f"{i} {shared} {i}", 1, "k", 2, 3) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, k1 int, z string, m int, lo int")
+    assert all(sum(s["end"] - s["start"] for s in r.spans) >= 300 for r in R.remove(df).collect())

@@ -1,5 +1,7 @@
 """FTRL toxicity: features against plain strings, held-out accuracy, odd rows."""
 
+import math
+import random
 import re
 from collections import defaultdict
 
@@ -58,3 +60,31 @@ def test_held_out(spark):
     hit = got.score >= 0.3
     assert (hit & (got.toxic == 1)).sum() >= 0.9 * hit.sum()
     assert (hit & (got.toxic == 1)).sum() >= 0.8 * (got.toxic == 1).sum()
+
+
+def test_updates_like_plain():
+    """Every coordinate's sums and weights as the update rule gives them one by one."""
+    rng = random.Random(4)
+    rows = [(np.array([*sorted(rng.sample(range(40), rng.randint(1, 8))), 1 << T.BITS], np.int32), float(rng.random() < 0.5)) for _ in range(60)]
+    z, n = {}, {}
+
+    def weight(i):
+        pull = 0.0 if i == 1 << T.BITS else T.L1
+        zi = z.get(i, 0.0)
+        if abs(zi) <= pull:
+            return 0.0
+        return -(zi - math.copysign(pull, zi)) / ((T.BETA + math.sqrt(n.get(i, 0.0))) / T.ALPHA + T.L2)
+
+    for _ in range(T.EPOCHS):
+        for where, y in rows:
+            w = {int(i): weight(int(i)) for i in where}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - y
+            for i, wi in w.items():
+                was = n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(was + g * g) - math.sqrt(was)) / T.ALPHA * wi
+                n[i] = was + g * g
+    model = T.learn(rows)
+    want = {i: weight(i) for i in z if i != 1 << T.BITS and weight(i)}
+    assert set(model.index.tolist()) == set(want)
+    assert all(abs(w - want[i]) < 1e-5 for i, w in zip(model.index.tolist(), model.weight.tolist(), strict=True))
+    assert abs(model.bias - weight(1 << T.BITS)) < 1e-9
