@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rolebook import vocab
 from rolebook.functions.urls import host_of, path_of, query_of
+from rolebook.session import cut
 
 _STATE = "struct<agents:array<string>,open:boolean,known:array<string>,rules:array<struct<agent:string,allow:boolean,pattern:string>>>"
 
@@ -122,9 +123,7 @@ def robots_filter(urls: DataFrame, policies: DataFrame, agents: Sequence[str] =
     The policies are reduced to one row a host, so the join never multiplies URLs, and the
     rules are evaluated inside the row.
     """
-    query = query_of(column)
-    path = F.concat(percent_decode(path_of(column)), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
-    joined = urls.withColumns({"host": host_of(column), "_path": path}).join(policy_table(policies), "host", "left")
+    joined = urls.withColumns({"host": host_of(column), "_path": _path(column)}).join(policy_table(policies), "host", "left")
     ok = F.lit(True)
     for agent in agents:
         ok = ok & _allowed(agent, F.col("_path"))
@@ -134,3 +133,52 @@ def robots_filter(urls: DataFrame, policies: DataFrame, agents: Sequence[str] =
         .otherwise("unconfirmed")
     )
     return joined.withColumn("robots", verdict).drop("_path", "state", "known", "rules")
+
+
+def _path(column: str) -> Column:
+    query = query_of(column)
+    return F.concat(percent_decode(path_of(column)), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit("")))
+
+
+def rule_table(policies: DataFrame) -> DataFrame:
+    """(host, agent, deny, head, regex, len): one row a rule of hosts with a policy. ``head`` is its
+    pattern up to the first wildcard; ``regex`` is null where the head is all of it."""
+    rules = policies.select("host", F.explode("rules").alias("r"))
+    m = F.col("r.m")
+    quoted = F.regexp_extract(m["regex"], r"^\^\\Q(.*?)\\E(?:\.\*|\$|$)", 1)
+    return rules.select(
+        "host", F.col("r.agent").alias("agent"), (~F.col("r.allow")).alias("deny"),
+        F.coalesce(m["prefix"], quoted).alias("head"), F.when(m["prefix"].isNull(), m["regex"]).alias("regex"), m["len"].alias("len"),
+    )
+
+
+def robots_filter_many(urls: DataFrame, policies: DataFrame, agents: Sequence[str] = ("*",), column: str = "url") -> DataFrame:
+    """:func:`robots_filter` for hosts with very many rules and URLs: adds ``robots``.
+
+    Rules are a table keyed by host and literal head. A path looks up its prefixes of the lengths that
+    its host's heads have, in an equi join; patterns are tried only behind their head, and the longest match is
+    an aggregate. No row holds a host's rules, and each different path is judged once.
+    """
+    known = cut(policy_table(policies))
+    rules = cut(rule_table(known.filter("state = 'rules'")))
+    lengths = rules.groupBy("host").agg(F.collect_set(F.length("head")).alias("_lengths"))
+    rows = urls.withColumns({"host": host_of(column), "_path": _path(column)})
+    # rules of an agent that the policy names, else those of all agents
+    asked = known.select("host", F.explode(F.array_distinct(F.array(*[F.when(F.array_contains("known", a.lower()), F.lit(a.lower())).otherwise(F.lit("*")) for a in agents]))).alias("agent"))
+    paths = rows.select("host", "_path").distinct().join(lengths, "host")
+    heads = paths.select("host", "_path", F.explode(F.filter("_lengths", lambda n: n <= F.length("_path"))).alias("n"))
+    heads = heads.select("host", "_path", F.substring("_path", F.lit(1), F.col("n")).alias("head"))
+    met = heads.join(rules.join(asked, ["host", "agent"], "left_semi"), ["host", "head"])
+    hits = met.filter(F.col("regex").isNull() | F.rlike("_path", F.col("regex")))
+    # of each agent the longest rule counts, of equal ones the one that denies; any agent's denial counts
+    best = hits.groupBy("host", "_path", "agent").agg(F.max(F.struct("len", "deny")).alias("b"))
+    denied = best.groupBy("host", "_path").agg(F.max("b.deny").alias("_denied"))
+    denied = denied.select(F.col("host").alias("_host"), F.col("_path").alias("_p"), "_denied")
+    out = rows.join(known.select("host", "state"), "host", "left")
+    out = out.join(denied, (F.col("host") == F.col("_host")) & (F.col("_path") == F.col("_p")), "left")
+    verdict = (
+        F.when(F.col("state") == "open", "allowed")
+        .when(F.col("state") == "rules", F.when(F.coalesce("_denied", F.lit(False)), "disallowed").otherwise("allowed"))
+        .otherwise("unconfirmed")
+    )
+    return out.withColumn("robots", verdict).drop("_path", "state", "_host", "_p", "_denied")

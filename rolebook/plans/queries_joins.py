@@ -426,22 +426,29 @@ def host_policies(spark, sf):
     )
 
 
-@query(
-    "robots_filter",
-    """WITH u AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host,
+ROBOTS_SQL = """WITH u AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host,
     regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) || CASE WHEN url LIKE '%?%' THEN '?' || regexp_extract(url, '\\?([^#]*)', 1) ELSE '' END AS path FROM pages),
 h AS (SELECT host, min(page_id) % 6 AS k FROM u GROUP BY 1)
 SELECT page_id, host, CASE k WHEN 0 THEN CASE WHEN path LIKE '/en/1%' THEN 'allowed' WHEN path LIKE '/en/%' THEN 'disallowed' ELSE 'allowed' END
   WHEN 1 THEN CASE WHEN path LIKE '/%.html' THEN 'disallowed' ELSE 'allowed' END
   WHEN 2 THEN 'unconfirmed' WHEN 3 THEN 'allowed'
   WHEN 4 THEN CASE WHEN path LIKE '/fr/%' THEN 'disallowed' ELSE 'allowed' END
-  ELSE CASE WHEN path LIKE '/en/%' THEN 'disallowed' ELSE 'allowed' END END AS robots FROM u JOIN h USING (host)""",
-)
+  ELSE CASE WHEN path LIKE '/en/%' THEN 'disallowed' ELSE 'allowed' END END AS robots FROM u JOIN h USING (host)"""
+
+
+@query("robots_filter", ROBOTS_SQL)
 def robots_filter(spark, sf):
     urls = B.table(spark, sf, "pages").select("page_id", "url")
     return robots.robots_filter(urls, host_policies(spark, sf)).select("page_id", "host", "robots")
 
 
+@query("robots_filter_many", ROBOTS_SQL)
+def robots_filter_many(spark, sf):
+    """The same verdicts with every host's rules as rows."""
+    urls = B.table(spark, sf, "pages").select("page_id", "url")
+    return robots.robots_filter_many(urls, host_policies(spark, sf)).select("page_id", "host", "robots")
+
+
 @query(
     "with_company",
     f"""WITH {B.CO_SQL}, r AS (SELECT 'slug' || pos AS slug, company FROM co WHERE city IN ('ECONOMY', 'PROMO'))

@@ -237,3 +237,21 @@ def test_text_hygiene(spark):
     row = {r.text: r.issues for r in needs.collect()}
     assert row[good] == [] and "too-short" in row["Experience Skills a@b.co"]
     assert "missing: Jane jane@x.org" in row["Experience Skills a@b.co"]
+
+
+@pytest.mark.parametrize("agents", [("*",), ("ClaimBot", "*"), ("other",)])
+def test_robots_many_like_in_row(spark, agents):
+    """Rules as a table give what rules in the row give, also on a host with thousands of them."""
+    rng = random.Random(3)
+    part = lambda: "".join(rng.choice("abc/.?=%20*$") for _ in range(rng.randint(0, 5)))
+    bodies = []
+    for _ in range(25):
+        lines = [rng.choice([f"User-agent: {rng.choice(['*', 'claimbot', 'other'])}", f"Disallow: /{part()}", f"Allow: /{part()}", f"Disallow: {part()}", "# x", "Disallow:"]) for _ in range(rng.randint(1, 14))]
+        bodies.append("\n".join(lines))
+    bodies += ["User-agent: *\n" + "\n".join(f"{'Allow' if i % 3 else 'Disallow'}: /p{i}{'*' if i % 5 == 0 else ''}" for i in range(3000)), "", "<html>"]
+    hosts = [(f"H{i}.com", rng.choice([200, 200, 200, 404, 500]) if i < 25 else 200, b) for i, b in enumerate(bodies)]
+    policies = spark.createDataFrame(hosts, "host string, http_status int, body string")
+    urls = [(f"https://h{rng.randrange(30)}.com/{part()}{part()}",) for _ in range(300)] + [(f"https://h25.com/p{i}7/x",) for i in range(0, 600, 7)]
+    df = spark.createDataFrame([*urls, urls[0], (None,), ("not a url",)], "url string")
+    rows = lambda f: sorted((r.url or "", r.robots) for r in f(df, policies, agents).collect())
+    assert rows(robots.robots_filter_many) == rows(robots.robots_filter)
