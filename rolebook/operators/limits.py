@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rolebook.session import scratch_path
+from rolebook.session import cut, scratch_path
 
 
 def limit_with_meta(df: DataFrame, order: Sequence, limit: int) -> tuple[DataFrame, DataFrame]:
@@ -82,7 +82,7 @@ def cap_per_source(df: DataFrame, limit: int, source: str = "portal", order: Seq
 def row_budget(df: DataFrame, budget: int, target: str = "pool_no") -> tuple[DataFrame, DataFrame]:
     """(rows, notes): whole sources in target order until their cumulative
     rows reach the budget; later sources are left out, and noted."""
-    counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("rows"))
+    counts = cut(df.groupBy(target).agg(F.count(F.lit(1)).alias("rows")))  # counted once for both
     before = Window.orderBy(target).rowsBetween(Window.unboundedPreceding, -1)
     plan = counts.withColumn("rows_before", F.coalesce(F.sum("rows").over(before), F.lit(0)))
     taken = F.lit(True) if budget <= 0 else F.col("rows_before") < budget

@@ -1,4 +1,7 @@
-"""Why a landed document could not be used: no document vanishes without a row."""
+"""Why a landed document could not be used: no document vanishes without a row.
+
+The error texts here and in :mod:`rolebook.sources.tables` are fixed values.
+"""
 
 from __future__ import annotations
 
