@@ -184,8 +184,8 @@ def train(df: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str =
     names = [x for x, _ in found]
     place = F.array_position(F.lit(names), F.col("lang"))
     wanted = rows.withColumn("n", F.element_at(F.lit([n for _, n in found]), place.cast("int")))
-    wanted = X.sample(wanted.withColumn("start", F.substring("text", 1, SAMPLE_CHARS)), SAMPLE_ROWS, by="lang", number="n")
-    counts = fit_counts(wanted.select((place - 1).alias("lang"), "start"), names).toArrow()
+    wanted = X.sample(wanted, SAMPLE_ROWS, by="lang", number="n")
+    counts = fit_counts(wanted.select((place - 1).alias("lang"), F.substring("text", 1, SAMPLE_CHARS).alias("text")), names).toArrow()
     if not counts.num_rows:
         return Trained([], nothing, nothing, nothing)
     return Trained(names, *(counts.column(c).to_numpy() for c in ("lang", "gram", "n")))

@@ -43,18 +43,21 @@ def sample(df: DataFrame, rows: int, by: str = "", number: str = "", id_col: str
     of each of its values. The bound holds whatever the ids are: rows without one, or sharing one,
     are told apart by their texts, and rows alike count once. ``number`` names a column with the
     number of rows (of that value), which is counted where it is not given."""
-    h, place = fresh(df, "h", "place")
-    named = df.withColumn(h, F.xxhash64(F.col(id_col).cast("string"), text_col))
+    h, p, last, of = fresh(df, "h", "p", "last", "of")
     total = F.col(number) if number else F.lit(max(df.count(), 1))
-    # so many are expected; a few more or less by chance, so the last ones are cut
-    chosen = named.where(F.pmod(h, total) < rows + 4 * int(rows**0.5) + 4)
-    keys = [by] if by else []
-    once = chosen.dropDuplicates([*keys, h])
+    named = df.withColumn(h, F.xxhash64(F.col(id_col).cast("string"), text_col)).withColumn(p, F.pmod(F.col(h), total))
+    # so many are expected; a few more or less by chance, so the last ones are cut, by numbers alone
+    chosen = named.where(F.col(p) < rows + 4 * int(rows**0.5) + 4)
+    numbers = chosen.select(*([F.col(by).alias(of)] if by else []), p, h).distinct()
     if by:
-        once = once.withColumn(place, F.row_number().over(Window.partitionBy(by).orderBy(F.pmod(h, total), h))).where(F.col(place) <= rows).drop(place)
+        place = F.row_number().over(Window.partitionBy(of).orderBy(p, h))
+        numbers = numbers.withColumn("place", place).where(F.col("place") <= rows)
+        cuts = numbers.groupBy(of).agg(F.max(F.struct(p, h)).alias(last))
+        once = chosen.join(cuts, F.col(by) == F.col(of)).where(F.struct(p, h) <= F.col(last)).drop(of, last)
     else:
-        once = once.orderBy(F.pmod(h, total), h).limit(rows)
-    return once.drop(h)
+        top = numbers.orderBy(p, h).limit(rows).agg(F.max(F.struct(p, h)).alias(last)).first()[last]
+        once = chosen.where((F.col(p) < top[p]) | ((F.col(p) == top[p]) & (F.col(h) <= top[h]))) if top else chosen
+    return once.dropDuplicates([*([by] if by else []), h]).drop(h, p)
 
 
 def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
