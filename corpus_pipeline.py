@@ -17,8 +17,9 @@ from rolebook.session import scratch_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Bits that the best language needs for a byte of a text past which it may be in none; the share among
-#: all languages from which the best one replaces a language that is given.
-STRANGE, SURE = 7.5, 0.9
+#: all languages from which the best one replaces a language that is given; what the excess of any text may be
+#: beside what labelled rows show.
+STRANGE, SURE, SLACK = 7.5, 0.9, 4.0
 
 
 def excess() -> Column:
@@ -29,7 +30,7 @@ def excess() -> Column:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter (null and empty ones among them) go, and texts in no learned
-    language: those whose ``excess`` is larger than that of any labelled row that was not
+    language: those whose ``excess`` is over ``SLACK`` and twice that of any labelled row that was not
     learned from, so the shorter a text, the more it may exceed. Without such rows none goes for it. lang becomes
     the predicted one, but where the best language is not ``SURE`` a given one stays.
     Rows are judged one by one by their text: repeated rows alike, ids and other columns of no
@@ -41,7 +42,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     most = held_out.agg(F.max(excess()).alias("x")).first().x
     kept = langid.label(docs, model).where("lang_pred <> 'und'")
     if most is not None:
-        kept = kept.where(excess() <= max(most, 0.0))
+        kept = kept.where(excess() <= SLACK + 2 * max(most, 0.0))
     lang = F.when(F.col("lang").isNull() | (F.col("score") >= SURE), F.col("lang_pred")).otherwise(F.col("lang"))
     return kept.select("doc_id", "text", lang.alias("lang"), "source", "n_chars")
 
