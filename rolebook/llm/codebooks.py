@@ -88,11 +88,16 @@ def _pairs(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return k, np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + lo[k]
 
 
+def _squared(x: np.ndarray) -> np.ndarray:
+    """Squared length of each row."""
+    return np.einsum("ij,ij->i", x, x)
+
+
 def _apart(low: np.ndarray, high: np.ndarray, low2: np.ndarray, high2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Least and greatest squared distance of two boxes."""
     near = np.maximum(np.maximum(low - high2, low2 - high), 0)
     far = np.maximum(high - low2, high2 - low)
-    return (near * near).sum(1), (far * far).sum(1)
+    return _squared(near), _squared(far)
 
 
 def assign(points: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -134,12 +139,12 @@ def assign(points: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndar
         first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
         group = np.cumsum(np.concatenate([[0], node[1:] != node[:-1]]))
         middle = low[node] + high[node] - 2 * entries[entry]
-        off = (middle.astype(np.float64) ** 2).sum(1)
+        off = _squared(middle.astype(np.float64))
         likely = np.lexsort((off, group))[first]
         winner = entry[likely][group]
         a, b = entries[winner], entries[entry]
         corner = np.where(b > a, high[node], low[node])  # the corner that b likes best
-        worse = ((corner - a) ** 2).sum(1) < ((corner - b) ** 2).sum(1)
+        worse = _squared(corner - a) < _squared(corner - b)
         node, entry, group = node[~worse], entry[~worse], group[~worse]
         alone = np.bincount(group)[group] == 1
         settle(node[alone], entry[alone], edges, sums)
@@ -154,20 +159,22 @@ def assign(points: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndar
         node, side, level = node[order], side[order], level + 1
     if len(node):
         edges = tree.levels[level][0]
-        at, row = _pairs(edges[node], edges[node + 1])
-        entry, row = entry[at], tree.order[row]
-        order = np.lexsort((entry, row))
-        entry, row = entry[order], row[order]
-        work[1] += len(row)
-        d = points[row] - entries[entry]
-        d = (d * d).sum(1)
-        first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-        group = np.cumsum(np.concatenate([[0], row[1:] != row[:-1]]))
-        least = np.flatnonzero(d == np.minimum.reduceat(d, first)[group])
-        pick = least[np.unique(group[least], return_index=True)[1]]
-        code[row[pick]] = entry[pick]
-        np.add.at(total, entry[pick], points[row[pick]])
-        np.add.at(count, entry[pick], 1)
+        order = np.lexsort((entry, node))
+        node, entry = node[order], entry[order]
+        first = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]]))
+        size = np.diff(np.append(first, len(node)))
+        # every row of a leaf with the leaf's entries, in their order
+        leaf, at = _pairs(edges[node[first]], edges[node[first] + 1])
+        row = tree.order[at]
+        which, at = _pairs(first[leaf], first[leaf] + size[leaf])
+        work[1] += len(which)
+        d = _squared(points[row[which]] - entries[entry[at]])
+        start = np.cumsum(size[leaf]) - size[leaf]
+        least = np.flatnonzero(d == np.minimum.reduceat(d, start)[which])
+        pick = least[np.concatenate([[True], which[least[1:]] != which[least[:-1]]])]
+        code[row] = best = entry[at[pick]]
+        np.add.at(total, best, points[row])
+        count += np.bincount(best, minlength=k)
     return code, total, count, work
 
 
@@ -250,7 +257,7 @@ def encode(vectors: DataFrame, size: int, books: list[np.ndarray]) -> DataFrame:
                 for p, book in enumerate(books):
                     part = x[:, at[p] : at[p + 1]]
                     code[:, p] = c = assign(part, book)[0]
-                    error += ((part - book[c]) ** 2).sum(1)
+                    error += _squared(part - book[c])
                 yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(error)], ["vec_id", "label", "code", "error"])
 
     rows = vectors.where(F.size("v") == size).select("vec_id", "label", "v")
