@@ -580,7 +580,7 @@ def reconcile_tables(spark, sf):
     "match_query_table",
     f"""WITH {B.DOC_SQL}, q AS (SELECT doc_id AS query_id, doc_id % 20 = 0 AS phrase, CASE WHEN doc_id % 20 = 0 THEN lower(substr(text, 9, 11)) ELSE lower(split_part(text, ' ', 2) || ' ' || split_part(text, ' ', 5)) END AS query
   FROM documents WHERE doc_id % 10 = 0),
-w AS (SELECT query_id, CASE WHEN phrase THEN list_filter([query], lambda x: x <> '') ELSE list_filter(regexp_split_to_array(query, '\s+'), lambda x: x <> '') END AS w FROM q),
+w AS (SELECT query_id, CASE WHEN phrase THEN list_filter([query], lambda x: x <> '') ELSE list_filter(regexp_split_to_array(query, '\\s+'), lambda x: x <> '') END AS w FROM q),
 h AS (SELECT id, lower(title || ' ' || description) AS hay FROM doc)
 SELECT query_id, id FROM w, h WHERE len(w) > 0 AND len(list_filter(w, lambda x: NOT contains(hay, x))) = 0""",
 )
