@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rolebook import vocab
 from rolebook.functions.money import parse_locale_number
+from rolebook.session import cut
 from rolebook.sources import documents as D
 from rolebook.sources import large
 from rolebook.sources.feeds import get, items_of, kind_of, pick_array, read_payloads
@@ -384,6 +385,10 @@ def sheet_issues(cells: DataFrame, depth: int = vocab.SHEET_HEADER_ROWS) -> Data
     return sheets.select("sheet", error.alias("error")).filter("error IS NOT NULL")
 
 
+#: Header cells of all sheets up to which every task holds them.
+BROADCAST_ROLES = 100_000
+
+
 def unpivot_salary(cells: DataFrame, depth: int = vocab.SHEET_HEADER_ROWS) -> DataFrame:
     """Wide sheets as (sheet, row, company, city, category, count, index).
 
@@ -392,8 +397,10 @@ def unpivot_salary(cells: DataFrame, depth: int = vocab.SHEET_HEADER_ROWS) -> Da
     figure is one row without category. Sheets without a header in their first
     ``depth`` rows are in :func:`sheet_issues`.
     """
-    roles = sheet_roles(sheet_headers(cells, depth))
-    body = cells.join(roles, ["sheet", "col"]).filter(F.col("row") > F.col("header_row"))
+    # by guess the cells look smaller than their headers, so Spark is told which side is small
+    roles = cut(sheet_roles(sheet_headers(cells, depth)))
+    few = roles.limit(BROADCAST_ROLES + 1).count() <= BROADCAST_ROLES
+    body = cells.join(F.broadcast(roles) if few else roles.hint("merge"), ["sheet", "col"]).filter(F.col("row") > F.col("header_row"))
     value = F.trim("value")
 
     def cell(role):

@@ -248,6 +248,22 @@ def test_unpivot_falls_back_to_any_company_cell(spark):
     assert tables.unpivot_salary(sheet(spark, ["a", "b"], ["c", "d"])).count() == 0
 
 
+@pytest.mark.parametrize("bound", [100_000, 0])
+def test_unpivot_never_hands_out_the_cells(spark, monkeypatch, bound):
+    """Few headers go to every task, many meet the cells in a shuffle; the cells themselves stay dealt out."""
+    monkeypatch.setattr(tables, "BROADCAST_ROLES", bound, raising=False)
+    n = F.col("id")
+    values = F.array(F.concat(F.lit("c"), n), n.cast("string"))
+    cells = spark.range(3000).select((n % 3).cast("string").alias("sheet"), (n + 20).alias("row"), F.posexplode(values).alias("col", "value"))
+    heads = F.array(F.lit("Company"), F.lit("Pay"))
+    heads = spark.range(3).select(n.cast("string").alias("sheet"), F.lit(1).cast("long").alias("row"), F.posexplode(heads).alias("col", "value"))
+    out = tables.unpivot_salary(cells.union(heads))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BuildLeft" not in plan and ("BuildRight" in plan) == (bound > 0)
+    assert out.count() == 3000
+    assert out.agg(F.sum("index")).first()[0] == sum(range(3000))
+
+
 def test_companies_without_figures_and_late_headers(spark):
     df = sheet(spark, *[["note"]] * 10, ["Company", "City", "Pay"], ["Acme", "Pune", "n/a"], ["Beta", "", "10"], ["Gamma"])
     got = sorted((r.company, r.city, r.category, r["index"]) for r in tables.unpivot_salary(df, depth=11).collect())
