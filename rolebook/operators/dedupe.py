@@ -29,9 +29,14 @@ def union_pools(*pools: DataFrame) -> DataFrame:
 UNPLACED = 1 << 12
 
 
+#: What :func:`with_keys` adds.
+KEYS = ("dedupe_key", "_merge", "_company", "_req", "_content")
+
+
 def _content(df: DataFrame) -> Column:
     """A number from the whole row (maps have no hash and are left out)."""
-    return F.xxhash64(*[f"`{f.name}`" for f in df.schema.fields if "map<" not in f.dataType.simpleString()])
+    keys = KEYS if "_content" in df.columns else ()
+    return F.xxhash64(*[f"`{f.name}`" for f in df.schema.fields if "map<" not in f.dataType.simpleString() and f.name not in keys])
 
 
 def same(pairs: dict[str, str]) -> Column:
@@ -88,16 +93,33 @@ def round_robin_place() -> Column:
     return F.when(known, place).otherwise(F.raise_error(F.lit("pool_no must be 0 to 65535")).cast("bigint"))
 
 
+def _short(c: Column) -> Column:
+    """A text, or the digest of a long one: equal where the texts are."""
+    return F.when(F.length(c) > 64, F.concat(F.lit("sha256:"), F.sha2(c, 256))).otherwise(c)
+
+
+def with_keys(df: DataFrame) -> DataFrame:
+    """Adds what :func:`merge_pools` and :func:`collapse_spread` compare, as short columns.
+
+    They compute it themselves where it is not there. Added before rows are dealt out, it spares
+    the shuffles the texts that it comes from, unless the caller keeps those.
+    """
+    content = _content(df)
+    keyed = with_dedupe_key(df).withColumns({"_merge": _short(F.col("dedupe_key")), "_content": content})
+    return keyed.select("*", *spread_key())
+
+
 def merge_pools(ranked: DataFrame) -> DataFrame:
     """First-seen row per dedupe key in round-robin order, with ``copies``.
 
     Winners are found on the key and the place alone; whole rows meet them in one join
     on both, as no two rows share a place. The number of duplicates is ``sum(copies - 1)``.
     """
-    keyed = with_dedupe_key(ranked).withColumn("_place", round_robin_place())
-    won = keyed.groupBy("dedupe_key").agg(F.min("_place").alias("_at"), F.count(F.lit(1)).alias("copies"))
-    won = won.withColumnRenamed("dedupe_key", "_key")
-    return keyed.join(won, same({"_place": "_at", "dedupe_key": "_key"})).drop("_place", "_at", "_key")
+    early = "_merge" in ranked.columns
+    keyed = ranked if early else with_dedupe_key(ranked).withColumn("_merge", _short(F.col("dedupe_key")))
+    keyed = keyed.withColumn("_place", round_robin_place())
+    won = keyed.groupBy(F.col("_merge").alias("_key")).agg(F.min("_place").alias("_at"), F.count(F.lit(1)).alias("copies"))
+    return keyed.join(won, same({"_place": "_at", "_merge": "_key"})).drop("_place", "_at", "_key", "_merge")
 
 
 def duplicate_count(merged: DataFrame) -> DataFrame:
@@ -107,7 +129,7 @@ def duplicate_count(merged: DataFrame) -> DataFrame:
 def spread_key() -> list[Column]:
     return [
         F.lower(F.col("company")).alias("_company"),
-        F.coalesce(req_id("url"), F.lower(F.col("title"))).alias("_req"),
+        _short(F.coalesce(req_id("url"), F.lower(F.col("title")))).alias("_req"),
     ]
 
 
@@ -120,10 +142,11 @@ def collapse_spread(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     ``group_size`` counts the input rows of the group.
     """
     order = order or ["pool_rank", "pool_no", "id"]
-    columns = df.columns
-    df = df.withColumn("_hash", _content(df))
+    early = "_content" in df.columns
+    columns = [c for c in df.columns if not early or c not in KEYS[1:]]
+    df = df.withColumn("_hash", F.col("_content") if early else _content(df))
     order = [*order, "_hash"]
-    keyed = df.select("*", *spread_key()).withColumn("_place", F.coalesce("location", F.lit("")))
+    keyed = (df if early else df.select("*", *spread_key())).withColumn("_place", F.coalesce("location", F.lit("")))
     rank = F.struct(*order)
     # winners and places on the ordering columns alone; whole rows meet them once
     places = keyed.groupBy("_company", "_req", "_place").agg(F.min(rank).alias("_rank"), F.count(F.lit(1)).alias("_n"))

@@ -909,7 +909,7 @@ WHERE lower(location) LIKE '%remote%' AND coalesce(DATE '2024-04-30' - posted_da
 def scrape_feeds(spark, sf):
     """Payloads to mappers to one merged, collapsed, filtered and sliced list."""
     good, _ = feeds.split_feed(scraped(spark, sf))
-    merged = dedupe.merge_pools(dedupe.interleave(good)).drop("copies", "dedupe_key")
+    merged = dedupe.merge_pools(dedupe.interleave(dedupe.with_keys(good))).drop("copies", "dedupe_key")
     rows = filters.stage_filter(dedupe.collapse_spread(merged), B.AS_OF, location="remote", max_age=40)
     top, _ = limits.limit_with_meta(rows, dedupe.round_robin_order(), 50)
     return top.select("id", "company", "location", "portal")

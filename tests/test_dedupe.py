@@ -140,3 +140,31 @@ def test_merge_null_pool_beside_the_last_number(spark):
 def test_collapse_repeated_order_columns(spark):
     got = collapse(spark, ("1", "SDE", "Pune", "https://x.com/a1b2c3d4e5", 0, 0), ("1", "SDE", "Goa", "https://x.com/a1b2c3d4e5", 0, 0), ("1", "SDE", "Goa", "https://x.com/a1b2c3d4e5", 0, 0))
     assert len(got) == 1 and got[0].group_size == 3 and "+1 cities" in got[0].location
+
+
+def test_keys_first_change_nothing_and_spare_the_texts(spark, capsys):
+    """Keys added before rows are dealt out: the same rows, and no shuffle carries the titles."""
+    rng = random.Random(5)
+    url = lambda: rng.choice([None, "", f"https://e.com/{rng.randrange(9)}", f"https://e.com/jobs/1000000{rng.randrange(4)}"])
+    data = [
+        (f"r{i}", rng.choice([None, "Dev", "dev", "long title " * 20, "Long title " * 20 + "x"]), rng.choice(["Acme", "acme", None]), rng.choice([None, "Pune", "Remote", ""]), url(), rng.choice([0, 1, None]), i if i % 9 else None)
+        for i in range(200)
+    ]
+    df = spark.createDataFrame(data, SCHEMA)
+
+    def merged(d):
+        return D.merge_pools(D.interleave(d))
+
+    def whole(d):
+        return D.collapse_spread(merged(d).drop("copies", "dedupe_key"))
+
+    early, late = merged(D.with_keys(df)), merged(df)
+    assert sorted(early.select(late.columns).collect(), key=str) == sorted(late.collect(), key=str)
+    out = whole(D.with_keys(df))
+    assert set(out.columns) == {*df.columns, "pool_rank", "group_size"}
+    assert sorted(out.select(sorted(out.columns)).collect(), key=str) == sorted(whole(df).select(sorted(out.columns)).collect(), key=str)
+    wide = df.withColumn("title", F.repeat(F.coalesce("title", F.lit("none")), 2))
+    whole(D.with_keys(wide)).select("id", "company", "location").explain("formatted")
+    plan = capsys.readouterr().out
+    shuffles = [part.splitlines()[1] for part in plan.split("\n\n") if " Exchange" in part.splitlines()[0] and part.startswith("(")]
+    assert len(shuffles) >= 5 and not any("title" in x for x in shuffles)
